@@ -85,4 +85,4 @@ def invoice_summary(stg_orders: DataFrame) -> DataFrame:
     return g.select(
         "customer", "lines", F.col("_total").cast("double").alias("total"),
         F.format_string("invoice.pdf for %s: %d lines, $%.2f",
-                        "customer", "lines", "_total").alias("invoice"))
+                        "customer", "lines", F.col("_total").cast("double")).alias("invoice"))

@@ -61,3 +61,103 @@ def with_ctes(body: str, *names: str) -> str:
 
 def register(name: str, deps: tuple[str, ...], select: str) -> None:
     CTES[name] = (deps, select)
+
+
+# ---------------------------------------------------------------------------
+# settlement CTEs
+# ---------------------------------------------------------------------------
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_FLOAT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def _repr(x: str) -> str:
+    return f"""CASE WHEN strpos({x}, '''') > 0 THEN '"' || {x} || '"' ELSE '''' || {x} || '''' END"""
+
+
+CTES.update({
+    "split0": (("raw_vendor_orders",), f"""
+        SELECT *, {_STRIP.format(x="coalesce(item_count, '')")} AS _ir,
+                  {_STRIP.format(x="coalesce(submitted_amount, '')")} AS _sr
+        FROM raw_vendor_orders"""),
+    "split1": (("split0",), f"""
+        SELECT batch_id, _source_file, CAST(_line AS BIGINT) AS _line,
+               {_STRIP.format(x="coalesce(CASE WHEN order_ref <> '' THEN order_ref END, 'line-' || CAST(_line AS VARCHAR))")} AS order_ref,
+               lower({_STRIP.format(x="coalesce(CASE WHEN vendor <> '' THEN vendor END, 'unknown')")}) AS vendor,
+               CASE WHEN regexp_matches(_ir, '^[+-]?[0-9]+$') THEN TRY_CAST(_ir AS INTEGER) END AS item_count,
+               CASE WHEN regexp_matches(_sr, '{_FLOAT}') THEN TRY_CAST(_sr AS DECIMAL(20,6)) END AS _submitted,
+               _ir, _sr
+        FROM split0"""),
+    "split": (("split1",), f"""
+        SELECT batch_id, _source_file, _line, order_ref, vendor, item_count, _submitted,
+               coalesce(CASE WHEN _submitted IS NULL THEN 'bad submitted_amount: ' || {_repr('_sr')} END,
+                        CASE WHEN item_count IS NULL THEN 'bad item_count: ' || {_repr('_ir')} END) AS parse_error
+        FROM split1"""),
+    "deduped": (("split",), """
+        SELECT *, row_number() OVER (PARTITION BY batch_id, vendor, order_ref
+                                     ORDER BY _source_file, _line) > 1 AS is_duplicate
+        FROM split"""),
+    "validated": (("deduped",), """
+        SELECT *, CASE WHEN parse_error IS NOT NULL OR item_count IS NULL OR item_count <= 0
+                            OR _submitted IS NULL OR _submitted <= 0
+                       THEN coalesce(parse_error, 'missing or non-positive fields') END AS validation_note
+        FROM deduped"""),
+    "contracted": (("validated", "contracts"), """
+        SELECT v.*, CAST(c.unit_rate AS DECIMAL(10,4)) AS unit_rate,
+               CAST(c.discount_pct AS DECIMAL(8,4)) AS discount_pct,
+               c.vendor IS NOT NULL AS _has_contract
+        FROM validated v LEFT JOIN contracts c ON v.vendor = c.vendor"""),
+    "priced0": (("contracted",), """
+        SELECT *, round(CAST(item_count AS DECIMAL(10,0)) * unit_rate * (100 - discount_pct)
+                        * CAST(0.01 AS DECIMAL(3,2)), 2) AS _priced
+        FROM contracted"""),
+    "priced": (("priced0",), """
+        SELECT *, round((_submitted - _priced) * 100 / nullif(_priced, 0), 2) AS _variance
+        FROM priced0"""),
+    "first_decision": (("decisions",), """
+        SELECT order_ref, decision, note AS decision_note, delay_s AS decision_delay_s, decision_id
+        FROM (SELECT *, row_number() OVER (PARTITION BY order_ref ORDER BY delay_s, decision_id) AS rn
+              FROM decisions WHERE decision IN ('approve', 'deny') AND delay_s <= 300) t
+        WHERE rn = 1"""),
+    "settled0": (("priced", "first_decision"), """
+        SELECT p.*, validation_note IS NULL AND _has_contract AND _variance IS NOT NULL
+                    AND abs(_variance) > 10 AS _review,
+               d.decision, d.decision_note, d.decision_delay_s, d.decision_id
+        FROM priced p LEFT JOIN first_decision d ON p.order_ref = d.order_ref"""),
+    "settled1": (("settled0",), """
+        SELECT *, CASE WHEN is_duplicate THEN 'duplicate'
+                       WHEN validation_note IS NOT NULL THEN 'denied'
+                       WHEN NOT _has_contract OR _variance IS NULL THEN 'errored'
+                       WHEN NOT _review THEN 'settled'
+                       WHEN decision IS NOT NULL THEN CASE WHEN decision = 'approve' THEN 'settled' ELSE 'denied' END
+                       ELSE 'escalated' END AS outcome
+        FROM settled0"""),
+    "settled2": (("settled1",), """
+        SELECT *, CASE WHEN outcome IN ('duplicate', 'errored') THEN NULL
+                       WHEN validation_note IS NOT NULL THEN 'validation'
+                       WHEN NOT _review THEN 'auto'
+                       WHEN decision IS NOT NULL THEN 'reviewer'
+                       ELSE 'sla_timeout' END AS decision_source
+        FROM settled1"""),
+    "settled": (("settled2",), """
+        SELECT *, CAST(CASE WHEN outcome = 'settled' THEN _priced ELSE 0 END AS DOUBLE) AS payable_amount,
+               CASE WHEN decision_source = 'validation' THEN validation_note
+                    WHEN decision_source = 'reviewer' THEN coalesce(decision_note, '')
+                    WHEN decision_source = 'sla_timeout' THEN 'no decision within 300s'
+                    ELSE '' END AS note,
+               coalesce(CAST(_submitted AS DOUBLE), 0.0) AS submitted_amount,
+               CASE WHEN validation_note IS NULL AND _has_contract THEN CAST(_priced AS DOUBLE) END AS priced_amount,
+               CASE WHEN validation_note IS NULL AND _has_contract THEN CAST(_variance AS DOUBLE) END AS variance_pct
+        FROM settled2"""),
+    "outcomes": (("settled",), """
+        SELECT batch_id, order_ref, vendor, coalesce(item_count, 0) AS item_count, submitted_amount,
+               coalesce(priced_amount, 0.0) AS priced_amount, coalesce(variance_pct, 0.0) AS variance_pct,
+               outcome, decision_source, payable_amount, note
+        FROM settled WHERE outcome IN ('settled', 'denied', 'escalated')"""),
+    "stg_settlements": (("outcomes",), """
+        SELECT batch_id, order_ref, vendor, CAST(item_count AS INTEGER) AS item_count,
+               CAST(submitted_amount AS DOUBLE) AS submitted_amount,
+               CAST(priced_amount AS DOUBLE) AS priced_amount, CAST(variance_pct AS DOUBLE) AS variance_pct,
+               lower(trim(outcome)) AS outcome, decision_source,
+               CAST(payable_amount AS DOUBLE) AS payable_amount, note
+        FROM outcomes"""),
+})

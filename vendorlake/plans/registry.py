@@ -70,3 +70,375 @@ def staged_payments(spark, sf):
                                   "stg_orders"))
 def q_daily_revenue(spark, sf):
     return marts.daily_revenue(staged_orders(spark, sf))
+
+
+@query("dim_customers", with_ctes("SELECT customer, segment, region FROM dim_customers",
+                                  "dim_customers"))
+def q_dim_customers(spark, sf):
+    return marts.dim_customers(staged_customers(spark, sf))
+
+
+@query("fct_payments", with_ctes(
+    "SELECT payment_id, order_id, paid_amount, paid_date FROM fct_payments", "fct_payments"))
+def q_fct_payments(spark, sf):
+    return marts.fct_payments(staged_payments(spark, sf))
+
+
+@query("executive_summary", with_ctes("""
+    SELECT c.segment, count(DISTINCT o.order_id) AS orders_count,
+           CAST(round(sum(CAST(o.amount AS DECIMAL(18,2))), 2) AS DOUBLE) AS revenue,
+           CAST(round(coalesce(sum(p.paid_amount), 0), 2) AS DOUBLE) AS collected,
+           CAST(round(coalesce(sum(p.paid_amount), 0) / sum(CAST(o.amount AS DECIMAL(18,2))), 3) AS DOUBLE)
+               AS collection_rate
+    FROM (SELECT * FROM stg_orders WHERE status = 'completed') o
+    JOIN dim_customers c ON o.customer = c.customer
+    LEFT JOIN paid p ON p.order_id = o.order_id
+    GROUP BY c.segment ORDER BY c.segment""", "stg_orders", "dim_customers", "paid"))
+def q_executive_summary(spark, sf):
+    return marts.executive_summary(staged_orders(spark, sf),
+                                   marts.dim_customers(staged_customers(spark, sf)),
+                                   marts.fct_payments(staged_payments(spark, sf)))
+
+
+@query("invoice_summary", with_ctes("""
+    SELECT customer, count(*) AS lines, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total,
+           printf('invoice.pdf for %s: %d lines, $%.2f', customer, count(*),
+                  CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)) AS invoice
+    FROM stg_orders GROUP BY customer""", "stg_orders"))
+def q_invoice_summary(spark, sf):
+    return marts.invoice_summary(staged_orders(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# 2.6 joins
+# --------------------------------------------------------------------------
+@query("join_customer_using", with_ctes("""
+    SELECT o.customer, o.order_id, o.order_date, o.amount, o.status, c.segment, c.region
+    FROM stg_orders o JOIN dim_customers c ON o.customer = c.customer
+    WHERE o.status = 'completed'""", "stg_orders", "dim_customers"))
+def q_join_customer_using(spark, sf):
+    return marts.completed_with_segment(
+        staged_orders(spark, sf), marts.dim_customers(staged_customers(spark, sf)))
+
+
+@query("join_paid_left", with_ctes("""
+    SELECT o.order_id, o.customer, o.order_date, o.amount, o.status,
+           CAST(p.paid_amount AS DOUBLE) AS paid_amount
+    FROM stg_orders o LEFT JOIN paid p ON p.order_id = o.order_id""", "stg_orders", "paid"))
+def q_join_paid_left(spark, sf):
+    from pyspark.sql import functions as F
+    j = marts.orders_with_payments(staged_orders(spark, sf), marts.fct_payments(staged_payments(spark, sf)))
+    return j.withColumn("paid_amount", F.col("paid_amount").cast("double"))
+
+
+# --------------------------------------------------------------------------
+# 2.3 hygiene / 2.4 staging
+# --------------------------------------------------------------------------
+@query("sanitize_headers", with_ctes(
+    "SELECT order_id, customer, order_date, amount, status, _source_file FROM raw_orders", "raw_orders"))
+def q_sanitize_headers(spark, sf):
+    from vendorlake.operators.hygiene import sanitize_headers
+    return sanitize_headers(A.raw_orders(spark, sf))
+
+
+@query("alias_columns", with_ctes(
+    "SELECT customer, segment, region, _source_file FROM raw_customers", "raw_customers"))
+def q_alias_columns(spark, sf):
+    from vendorlake.operators.hygiene import alias_columns, sanitize_headers
+    return alias_columns(sanitize_headers(A.raw_customers(spark, sf)),
+                         SPECS["transform-spec-2"].column_aliases)
+
+
+@query("build_staging", with_ctes(
+    "SELECT order_id, customer, order_date, amount, status FROM stg_orders", "stg_orders"))
+def q_build_staging(spark, sf):
+    return build_staging(landed_orders(spark, sf), "stg_orders")
+
+
+@query("stg_orders", with_ctes(
+    "SELECT order_id, customer, order_date, amount, status FROM stg_orders", "stg_orders"))
+def q_stg_orders(spark, sf):
+    return staged_orders(spark, sf)
+
+
+@query("stg_customers", with_ctes(
+    "SELECT customer, segment, region FROM stg_customers", "stg_customers"))
+def q_stg_customers(spark, sf):
+    return staged_customers(spark, sf)
+
+
+@query("stg_payments", with_ctes(
+    "SELECT payment_id, order_id, paid_amount, paid_date FROM stg_payments", "stg_payments"))
+def q_stg_payments(spark, sf):
+    return staged_payments(spark, sf)
+
+
+# --------------------------------------------------------------------------
+# 2.5 data tests and gates
+# --------------------------------------------------------------------------
+def staged_payment_lines(spark, sf, keep_lineage=True):
+    raw = apply_hygiene(A.raw_payment_lines(spark, sf), required=canonical_columns("stg_payments"))
+    return build_staging(raw, "stg_payments", keep_lineage=keep_lineage)
+
+
+@query("test_not_null", with_ctes("""
+    SELECT count(*) FILTER (WHERE order_id IS NULL) AS order_id,
+           count(*) FILTER (WHERE customer IS NULL) AS customer,
+           count(*) FILTER (WHERE order_date IS NULL) AS order_date,
+           count(*) FILTER (WHERE amount IS NULL) AS amount,
+           count(*) FILTER (WHERE status IS NULL) AS status
+    FROM stg_orders""", "stg_orders"))
+def q_test_not_null(spark, sf):
+    from vendorlake.operators.quality import test_not_null
+    return test_not_null(staged_orders(spark, sf),
+                         ["order_id", "customer", "order_date", "amount", "status"])
+
+
+@query("test_unique", with_ctes("""
+    SELECT payment_id, count(*) AS n_records FROM stg_payment_lines
+    WHERE payment_id IS NOT NULL GROUP BY payment_id HAVING count(*) > 1""", "stg_payment_lines"))
+def q_test_unique(spark, sf):
+    from vendorlake.operators.quality import test_unique
+    return test_unique(staged_payment_lines(spark, sf), "payment_id")
+
+
+@query("test_accepted_values", with_ctes("""
+    SELECT status, count(*) AS n_records FROM raw_orders
+    WHERE status IS NOT NULL AND status NOT IN ('completed', 'cancelled', 'pending')
+    GROUP BY status""", "raw_orders"))
+def q_test_accepted_values(spark, sf):
+    from vendorlake.operators.quality import test_accepted_values
+    return test_accepted_values(landed_orders(spark, sf), "status",
+                                ("completed", "cancelled", "pending"))
+
+
+_TEST_REPORT_SQL = """
+    SELECT 'stg_payments' AS model, 'payment_id' AS column_name, 'not_null' AS test_name,
+           count(*) FILTER (WHERE payment_id IS NULL) AS failures FROM stg_payment_lines
+    UNION ALL SELECT 'stg_payments', 'order_id', 'not_null', count(*) FILTER (WHERE order_id IS NULL) FROM stg_payment_lines
+    UNION ALL SELECT 'stg_payments', 'paid_amount', 'not_null', count(*) FILTER (WHERE paid_amount IS NULL) FROM stg_payment_lines
+    UNION ALL SELECT 'stg_payments', 'paid_date', 'not_null', count(*) FILTER (WHERE paid_date IS NULL) FROM stg_payment_lines
+    UNION ALL SELECT 'stg_payments', 'payment_id', 'unique', count(*) FROM
+        (SELECT payment_id FROM stg_payment_lines WHERE payment_id IS NOT NULL
+         GROUP BY payment_id HAVING count(*) > 1) d"""
+
+
+@query("test_report", with_ctes(_TEST_REPORT_SQL, "stg_payment_lines"))
+def q_test_report(spark, sf):
+    from vendorlake.operators.quality import run_tests
+    return run_tests(staged_payment_lines(spark, sf, keep_lineage=False), "stg_payments")
+
+
+@query("cast_gate", with_ctes("""
+    SELECT _source_file, column_name, bad_cells FROM (
+      SELECT _source_file, 'item_count' AS column_name,
+             count(*) FILTER (WHERE item_count IS NOT NULL AND NOT regexp_matches(item_count, '^[+-]?[0-9]+$'))
+               AS bad_cells
+      FROM raw_vendor_orders GROUP BY _source_file
+      UNION ALL
+      SELECT _source_file, 'submitted_amount',
+             count(*) FILTER (WHERE submitted_amount IS NOT NULL AND TRY_CAST(submitted_amount AS DOUBLE) IS NULL)
+      FROM raw_vendor_orders GROUP BY _source_file) t
+    WHERE bad_cells > 0""", "raw_vendor_orders"))
+def q_cast_gate(spark, sf):
+    from vendorlake.operators.quality import cast_gate
+    return cast_gate(A.raw_vendor_orders(spark, sf), "stg_settlements", ["_source_file"])
+
+
+_GATE_SQL = """
+    SELECT _source_file,
+           'data tests failed: ' || string_agg(item, '; ' ORDER BY item) AS reason
+    FROM (
+      SELECT _source_file, 'unique(payment_id)=' || CAST(count(*) AS VARCHAR) AS item
+      FROM (SELECT _source_file, payment_id FROM stg_payment_lines WHERE payment_id IS NOT NULL
+            GROUP BY _source_file, payment_id HAVING count(*) > 1) d
+      GROUP BY _source_file) t
+    GROUP BY _source_file"""
+
+
+@query("quality_gate", with_ctes(_GATE_SQL, "stg_payment_lines"))
+def q_quality_gate(spark, sf):
+    from vendorlake.operators.quality import quality_gate
+    raw = apply_hygiene(A.raw_payment_lines(spark, sf), required=canonical_columns("stg_payments"))
+    return quality_gate(raw, "stg_payments")[1]
+
+
+@query("anti_join_rejects", with_ctes(f"""
+    SELECT payment_id, order_id, paid_amount, paid_date, _source_file FROM stg_payment_lines s
+    WHERE NOT EXISTS (SELECT 1 FROM ({_GATE_SQL}) r WHERE r._source_file = s._source_file)""",
+                                      "stg_payment_lines"))
+def q_anti_join_rejects(spark, sf):
+    from vendorlake.operators.quality import quality_gate
+    raw = apply_hygiene(A.raw_payment_lines(spark, sf), required=canonical_columns("stg_payments"))
+    return quality_gate(raw, "stg_payments")[0]
+
+
+# --------------------------------------------------------------------------
+# 2.10 settlement
+# --------------------------------------------------------------------------
+def split_records(spark, sf):
+    from vendorlake.operators.settlement import split_orders
+    return split_orders(A.raw_vendor_orders(spark, sf))
+
+
+def settled_records(spark, sf):
+    from vendorlake.operators.settlement import settle
+    return settle(split_records(spark, sf), A.contracts(spark, sf), A.decisions(spark, sf))
+
+
+def _sub(df):
+    from pyspark.sql import functions as F
+    return df.withColumn("submitted_amount", F.col("_submitted").cast("double")).drop("_submitted")
+
+
+_SPLIT_COLS = "batch_id, _source_file, _line, order_ref, vendor, item_count"
+
+
+@query("split_orders", with_ctes(f"""
+    SELECT {_SPLIT_COLS}, CAST(_submitted AS DOUBLE) AS submitted_amount, parse_error FROM split""",
+                                 "split"))
+def q_split_orders(spark, sf):
+    return _sub(split_records(spark, sf))
+
+
+@query("dedupe_orders", with_ctes(f"""
+    SELECT {_SPLIT_COLS}, is_duplicate FROM deduped""", "deduped"))
+def q_dedupe_orders(spark, sf):
+    from vendorlake.operators.settlement import dedupe_orders
+    return dedupe_orders(split_records(spark, sf)).select(
+        *[c.strip() for c in _SPLIT_COLS.split(",")], "is_duplicate")
+
+
+@query("validate_orders", with_ctes(f"""
+    SELECT {_SPLIT_COLS}, CAST(_submitted AS DOUBLE) AS submitted_amount, validation_note FROM validated
+    WHERE NOT is_duplicate""", "validated"))
+def q_validate_orders(spark, sf):
+    from pyspark.sql import functions as F
+    from vendorlake.operators.settlement import dedupe_orders, validate_orders
+    v = validate_orders(dedupe_orders(split_records(spark, sf))).filter(~F.col("is_duplicate"))
+    return _sub(v.drop("parse_error", "is_duplicate"))
+
+
+@query("contract_lookup", with_ctes("""
+    SELECT batch_id, order_ref, vendor, unit_rate, discount_pct, _has_contract AS has_contract
+    FROM contracted WHERE NOT is_duplicate AND validation_note IS NULL""", "contracted"))
+def q_contract_lookup(spark, sf):
+    from pyspark.sql import functions as F
+    from vendorlake.operators.settlement import dedupe_orders, lookup_contracts, validate_orders
+    v = validate_orders(dedupe_orders(split_records(spark, sf)))
+    v = v.filter(~F.col("is_duplicate") & F.col("validation_note").isNull())
+    c = lookup_contracts(v, A.contracts(spark, sf))
+    return c.select("batch_id", "order_ref", "vendor", "unit_rate", "discount_pct",
+                    F.col("_has_contract").isNotNull().alias("has_contract"))
+
+
+@query("price_orders", with_ctes("""
+    SELECT batch_id, order_ref, vendor, item_count, CAST(_submitted AS DOUBLE) AS submitted_amount,
+           CAST(_priced AS DOUBLE) AS priced_amount, CAST(_variance AS DOUBLE) AS variance_pct
+    FROM priced WHERE NOT is_duplicate AND validation_note IS NULL AND _has_contract""", "priced"))
+def q_price_orders(spark, sf):
+    from pyspark.sql import functions as F
+    from vendorlake.operators.settlement import (
+        dedupe_orders, lookup_contracts, price_orders, validate_orders)
+    v = validate_orders(dedupe_orders(split_records(spark, sf)))
+    v = v.filter(~F.col("is_duplicate") & F.col("validation_note").isNull())
+    p = price_orders(lookup_contracts(v, A.contracts(spark, sf))).filter(F.col("_has_contract"))
+    return p.select("batch_id", "order_ref", "vendor", "item_count",
+                    F.col("_submitted").cast("double").alias("submitted_amount"),
+                    F.col("_priced").cast("double").alias("priced_amount"),
+                    F.col("_variance").cast("double").alias("variance_pct"))
+
+
+_SETTLED_COLS = ("batch_id, order_ref, vendor, _source_file, _line, outcome, decision_source, "
+                 "payable_amount, note")
+
+
+@query("variance_gate", with_ctes("""
+    SELECT batch_id, order_ref, vendor, _source_file, _line, CAST(_variance AS DOUBLE) AS variance_pct,
+           NOT _review AS auto_settled
+    FROM settled WHERE outcome <> 'duplicate' AND outcome <> 'errored' AND validation_note IS NULL""",
+                                  "settled"))
+def q_variance_gate(spark, sf):
+    from pyspark.sql import functions as F
+    s = settled_records(spark, sf).filter(
+        ~F.col("outcome").isin("duplicate", "errored") & F.col("validation_note").isNull())
+    return s.select("batch_id", "order_ref", "vendor", "_source_file", "_line",
+                    F.col("_variance").cast("double").alias("variance_pct"),
+                    (~F.col("_review")).alias("auto_settled"))
+
+
+@query("decision_within_sla", with_ctes("""
+    SELECT s.batch_id, s.order_ref, s.vendor, s._source_file, s._line, d.decision_id, d.decision,
+           d.delay_s
+    FROM settled s JOIN decisions d ON s.order_ref = d.order_ref
+    WHERE s._review AND d.decision IN ('approve', 'deny') AND d.delay_s <= 300""", "settled", "decisions"))
+def q_decision_within_sla(spark, sf):
+    from pyspark.sql import functions as F
+    from vendorlake.model import REVIEW_SLA_SECONDS, VALID_DECISIONS
+    s = settled_records(spark, sf).filter(F.col("_review")).select(
+        "batch_id", "order_ref", "vendor", "_source_file", "_line")
+    d = A.decisions(spark, sf).filter(F.col("decision").isin(*VALID_DECISIONS)
+                                      & (F.col("delay_s") <= REVIEW_SLA_SECONDS))
+    return s.join(d.select("order_ref", "decision_id", "decision", "delay_s"), "order_ref")
+
+
+@query("apply_decisions", with_ctes(f"""
+    SELECT {_SETTLED_COLS}, decision_id FROM settled WHERE decision_source = 'reviewer'""", "settled"))
+def q_apply_decisions(spark, sf):
+    from pyspark.sql import functions as F
+    s = settled_records(spark, sf).filter(F.col("decision_source") == "reviewer")
+    return s.select(*[c.strip() for c in _SETTLED_COLS.split(",")], "decision_id")
+
+
+@query("sla_outcome", with_ctes(f"""
+    SELECT {_SETTLED_COLS} FROM settled WHERE decision_source = 'sla_timeout'""", "settled"))
+def q_sla_outcome(spark, sf):
+    from pyspark.sql import functions as F
+    s = settled_records(spark, sf).filter(F.col("decision_source") == "sla_timeout")
+    return s.select(*[c.strip() for c in _SETTLED_COLS.split(",")])
+
+
+@query("outcome_rows", with_ctes("SELECT * FROM outcomes", "outcomes"))
+def q_outcome_rows(spark, sf):
+    from vendorlake.operators.settlement import outcome_rows
+    return outcome_rows(settled_records(spark, sf))
+
+
+@query("settlement_report", with_ctes("""
+    SELECT batch_id, count(*) AS orders,
+           count(*) FILTER (WHERE outcome = 'settled') AS settled,
+           count(*) FILTER (WHERE outcome = 'denied') AS denied,
+           count(*) FILTER (WHERE outcome = 'escalated') AS escalated,
+           count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate,
+           count(*) FILTER (WHERE outcome = 'errored') AS errored,
+           count(*) FILTER (WHERE decision_source = 'auto') AS auto,
+           count(*) FILTER (WHERE decision_source = 'reviewer') AS reviewer,
+           count(*) FILTER (WHERE decision_source = 'validation') AS validation,
+           count(*) FILTER (WHERE decision_source = 'sla_timeout') AS sla_timeout
+    FROM settled GROUP BY batch_id""", "settled"))
+def q_settlement_report(spark, sf):
+    from vendorlake.operators.settlement import settlement_report
+    return settlement_report(settled_records(spark, sf))
+
+
+@query("stg_settlements", with_ctes("SELECT * FROM stg_settlements", "stg_settlements"))
+def q_stg_settlements(spark, sf):
+    from vendorlake.operators.settlement import outcome_rows
+    return build_staging(outcome_rows(settled_records(spark, sf)), "stg_settlements")
+
+
+_PRICING_SQL = """
+    SELECT vendor, count(*) AS orders_count,
+           count(*) FILTER (WHERE outcome = 'settled') AS settled_count,
+           count(*) FILTER (WHERE outcome = 'denied') AS denied_count,
+           count(*) FILTER (WHERE outcome = 'escalated') AS escalated_count,
+           CAST(round(sum(CAST(submitted_amount AS DECIMAL(18,2))), 2) AS DOUBLE) AS submitted_total,
+           CAST(round(sum(CAST(payable_amount AS DECIMAL(18,2))), 2) AS DOUBLE) AS payable_total,
+           CAST(round(sum(CAST(submitted_amount AS DECIMAL(18,2)))
+                      - sum(CAST(payable_amount AS DECIMAL(18,2))), 2) AS DOUBLE) AS savings
+    FROM stg_settlements GROUP BY vendor ORDER BY vendor"""
+
+
+@query("pricing_summary", with_ctes(_PRICING_SQL, "stg_settlements"))
+def q_pricing_summary(spark, sf):
+    return marts.pricing_summary(q_stg_settlements(spark, sf))
