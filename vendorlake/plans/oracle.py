@@ -161,3 +161,39 @@ CTES.update({
                CAST(payable_amount AS DOUBLE) AS payable_amount, note
         FROM outcomes"""),
 })
+
+
+# ---------------------------------------------------------------------------
+# file routing CTEs (over the derived file inventory)
+# ---------------------------------------------------------------------------
+def _route_sql(col: str) -> str:
+    from vendorlake.functions.names import glob_to_regex
+    from vendorlake.model import REGISTRY
+    whens = " ".join(f"WHEN regexp_matches({col}, '{glob_to_regex(r.pattern)}') THEN '{r.route}'"
+                     for r in REGISTRY)
+    return f"CASE {whens} END"
+
+
+CTES.update({
+    "routed": (("file_inventory",), f"""
+        SELECT file_name, modified_at, regexp_replace(file_name, '\\.gz$', '') AS decompressed_name,
+               {_route_sql("regexp_replace(file_name, '\\.gz$', '')")} AS route
+        FROM file_inventory"""),
+    "routed_dups": (("routed",), """
+        SELECT *, CASE WHEN route IS NULL THEN false ELSE
+                  row_number() OVER (PARTITION BY route, decompressed_name ORDER BY file_name) > 1 END
+                  AS is_duplicate
+        FROM routed"""),
+    "ledger": (("routed_dups",), """
+        SELECT decompressed_name AS file,
+               CASE WHEN route IS NULL THEN 'quarantined' WHEN is_duplicate THEN 'duplicate'
+                    WHEN route = 'vendor-orders' THEN 'landed' ELSE 'transformed' END AS status,
+               route,
+               CASE WHEN route IS NOT NULL AND NOT is_duplicate THEN 'landing/' || decompressed_name END
+                   AS landed_key,
+               CASE WHEN route IS NULL THEN 'quarantine/' || decompressed_name END AS quarantine_key,
+               CASE WHEN route IS NULL THEN 'no route pattern matched'
+                    WHEN is_duplicate THEN 'a transform for this route+filename is already running' END AS error,
+               CASE WHEN route IS NULL THEN 'no route pattern matched' END AS quarantine_reason
+        FROM routed_dups"""),
+})

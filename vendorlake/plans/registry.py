@@ -442,3 +442,98 @@ _PRICING_SQL = """
 @query("pricing_summary", with_ctes(_PRICING_SQL, "stg_settlements"))
 def q_pricing_summary(spark, sf):
     return marts.pricing_summary(q_stg_settlements(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# 2.1 / 2.2 files: naming, routing, duplicates, quarantine, report
+# --------------------------------------------------------------------------
+def _routed(spark, sf):
+    from vendorlake.operators.routing import classify_route
+    return classify_route(A.file_inventory(spark, sf))
+
+
+@query("decompressed_name", with_ctes("""
+    SELECT file_name, regexp_replace(file_name, '\\.gz$', '') AS decompressed_name FROM file_inventory""",
+                                      "file_inventory"))
+def q_decompressed_name(spark, sf):
+    from pyspark.sql import functions as F
+    from vendorlake.functions.names import decompressed_name_col
+    inv = A.file_inventory(spark, sf)
+    return inv.select("file_name", decompressed_name_col(F.col("file_name")).alias("decompressed_name"))
+
+
+@query("classify_route", with_ctes("SELECT file_name, decompressed_name, route FROM routed", "routed"))
+def q_classify_route(spark, sf):
+    return _routed(spark, sf).select("file_name", "decompressed_name", "route")
+
+
+@query("batch_window", with_ctes("""
+    SELECT file_name, modified_at FROM file_inventory
+    WHERE modified_at >= TIMESTAMP '1996-01-01 00:00:00' AND modified_at < TIMESTAMP '1997-01-01 00:00:00'""",
+                                 "file_inventory"))
+def q_batch_window(spark, sf):
+    from vendorlake.operators.routing import batch_window
+    return batch_window(A.file_inventory(spark, sf), "1996-01-01", "1997-01-01")
+
+
+@query("drop_duplicates_in_batch", with_ctes(
+    "SELECT file_name, route, decompressed_name, is_duplicate FROM routed_dups", "routed_dups"))
+def q_drop_duplicates(spark, sf):
+    from vendorlake.operators.routing import mark_duplicates
+    return mark_duplicates(_routed(spark, sf)).select("file_name", "route", "decompressed_name",
+                                                      "is_duplicate")
+
+
+def _spec_sql() -> str:
+    from vendorlake.model import REGISTRY
+    whens = " ".join(f"WHEN '{r.route}' THEN '{r.spec}'" for r in REGISTRY if r.spec)
+    return f"CASE route {whens} END"
+
+
+@query("resolve_spec", with_ctes(f"""
+    SELECT file_name, route, spec,
+           CASE spec WHEN 'transform-spec-1' THEN 'raw.orders' WHEN 'transform-spec-2' THEN 'raw.customers'
+                     WHEN 'transform-spec-3' THEN 'raw.payments' END AS source_table,
+           CASE spec WHEN 'transform-spec-1' THEN 'stg_orders' WHEN 'transform-spec-2' THEN 'stg_customers'
+                     WHEN 'transform-spec-3' THEN 'stg_payments' END AS staging_model,
+           CASE spec WHEN 'transform-spec-1' THEN 'order_id,customer,order_date,amount,status'
+                     WHEN 'transform-spec-2' THEN 'customer,segment,region'
+                     WHEN 'transform-spec-3' THEN 'payment_id,order_id,paid_amount,paid_date' END
+               AS require_columns
+    FROM (SELECT file_name, route, {_spec_sql()} AS spec FROM routed WHERE route IS NOT NULL) t""", "routed"))
+def q_resolve_spec(spark, sf):
+    from pyspark.sql import functions as F
+    from vendorlake.operators.routing import resolve_spec
+    return resolve_spec(_routed(spark, sf).filter(F.col("route").isNotNull()))
+
+
+@query("batch_ledger", with_ctes("SELECT * FROM ledger", "ledger"))
+def q_batch_ledger(spark, sf):
+    from vendorlake.operators.routing import batch_ledger
+    return batch_ledger(A.file_inventory(spark, sf))
+
+
+@query("quarantine", with_ctes("""
+    SELECT file, quarantine_key, quarantine_reason FROM ledger WHERE status = 'quarantined'""", "ledger"))
+def q_quarantine(spark, sf):
+    from vendorlake.operators.routing import batch_ledger, quarantine
+    return quarantine(batch_ledger(A.file_inventory(spark, sf)))
+
+
+@query("ingest_only", with_ctes("""
+    SELECT decompressed_name AS file, 'landed' AS status, 'landing/' || decompressed_name AS landed_key, route
+    FROM routed WHERE route IS NOT NULL""", "routed"))
+def q_ingest_only(spark, sf):
+    from vendorlake.operators.routing import ingest_only
+    return ingest_only(A.file_inventory(spark, sf))
+
+
+@query("batch_report", with_ctes("""
+    SELECT count(*) AS files_processed,
+           count(*) FILTER (WHERE status = 'transformed') AS transformed,
+           count(*) FILTER (WHERE status = 'landed') AS landed,
+           count(*) FILTER (WHERE status = 'quarantined') AS quarantined
+    FROM ledger""", "ledger"))
+def q_batch_report(spark, sf):
+    from vendorlake.operators.routing import batch_ledger, batch_report
+    return batch_report(batch_ledger(A.file_inventory(spark, sf)))

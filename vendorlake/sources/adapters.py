@@ -259,8 +259,10 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = p.select(
         F.concat(F.lit("zz_page_"), s("page_id").cast("string"), F.lit(".csv")).alias("file_name"),
         F.lit("1995-01-01 00:00:00").cast("timestamp").alias("modified_at"))
-    return orders.unionByName(customers).unionByName(payments).unionByName(vendor) \
+    listing = orders.unionByName(customers).unionByName(payments).unionByName(vendor) \
         .unionByName(events).unionByName(pages)
+    # A listing holds each name once: keep its latest modification time.
+    return listing.groupBy("file_name").agg(F.max("modified_at").alias("modified_at"))
 
 
 # ---------------------------------------------------------------------------
@@ -345,7 +347,9 @@ ADAPTER_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                'vendor_orders_' || strftime(ts, '%Y-%m-%d') || '.csv' AS source_file,
                {_sql_case('event_type', STAGE_BY_EVENT)} AS stage, ts
         FROM events"""),
-    "file_inventory": ((), """
+    "file_inventory": (("file_listing",), """
+        SELECT file_name, max(modified_at) AS modified_at FROM file_listing GROUP BY file_name"""),
+    "file_listing": ((), """
         SELECT CASE WHEN o_orderstatus = 'P' THEN 'ORDERS_' ELSE 'orders_' END
                    || strftime(o_orderdate, '%Y-%m-%d') || '_' || CAST(o_orderkey AS VARCHAR) || '.csv' AS file_name,
                CAST(o_orderdate AS TIMESTAMP) AS modified_at FROM orders
