@@ -103,8 +103,8 @@ def batch_ledger(files: DataFrame, dispatch_transforms: bool = True,
                                                              F.col("decompressed_name"))
                           .otherwise(F.col("file_name")))
     if rejected is not None:
-        r = r.join(rejected.select(F.col("file_name").alias("decompressed_name"),
-                                   F.col("reason").alias("_rejected")), "decompressed_name", "left")
+        first_reason = rejected.groupBy("file_name").agg(F.min("reason").alias("_rejected"))
+        r = r.join(first_reason, "file_name", "left")
     else:
         r = r.withColumn("_rejected", F.lit(None).cast("string"))
     has_spec = spec_col(F.col("route")).isNotNull()

@@ -31,6 +31,10 @@ CTES.update({
                CAST(paid_amount AS DOUBLE) AS paid_amount, CAST(paid_date AS DATE) AS paid_date,
                _source_file
         FROM raw_payment_lines"""),
+    "legacy_orders": (("raw_orders",), """
+        SELECT CAST(order_id AS INTEGER) AS order_id, customer, CAST(order_date AS DATE) AS order_date,
+               CAST(amount AS DOUBLE) AS amount, lower(status) AS status
+        FROM raw_orders"""),
     "dim_customers": (("stg_customers",), "SELECT customer, segment, region FROM stg_customers"),
     "fct_payments": (("stg_payments",),
                      "SELECT payment_id, order_id, paid_amount, paid_date FROM stg_payments"),

@@ -537,3 +537,293 @@ def q_ingest_only(spark, sf):
 def q_batch_report(spark, sf):
     from vendorlake.operators.routing import batch_ledger, batch_report
     return batch_report(batch_ledger(A.file_inventory(spark, sf)))
+
+
+# --------------------------------------------------------------------------
+# 2.1 sources over a landing zone written from the tables; 2.11 sinks;
+# 2.13 jobs.  A landing zone is written once per session and data dir.
+# --------------------------------------------------------------------------
+_LANDINGS: dict[tuple[int, str], str] = {}
+
+
+def landing(spark, sf):
+    from vendorlake.sources.landing import write_landing
+    key = (id(spark), sf)
+    if key not in _LANDINGS:
+        _LANDINGS[key] = write_landing(spark, sf)
+    return _LANDINGS[key]
+
+
+@query("discover_files")
+def q_discover_files(spark, sf):
+    from vendorlake.sources.files import discover_files
+    return discover_files(spark, landing(spark, sf))
+
+
+@query("read_csv_raw")
+def q_read_csv_raw(spark, sf):
+    from pyspark.sql import functions as F
+    from vendorlake.sources.files import list_parts, read_csv_raw
+    parts = list_parts(spark, landing(spark, sf)).filter(F.col("file_name").startswith("orders_"))
+    rows, _ = read_csv_raw(spark, parts)
+    return rows.drop("_block_start", "_mid")
+
+
+@query("column_contract")
+def q_column_contract(spark, sf):
+    """Drops whose header misses a required column (per header signature)."""
+    from pyspark.sql import functions as F
+    from vendorlake.sources.files import list_parts, read_csv_raw
+    parts = list_parts(spark, landing(spark, sf)).filter(F.col("file_name").startswith("orders_"))
+    return read_csv_raw(spark, parts, required=canonical_columns("stg_orders"))[1]
+
+
+@query("gzip_audit")
+def q_gzip_audit(spark, sf):
+    from vendorlake.sources.files import list_parts
+    from vendorlake.sources.gzip_audit import gzip_audit
+    return gzip_audit(list_parts(spark, landing(spark, sf)))
+
+
+@query("header_profile")
+def q_header_profile(spark, sf):
+    from vendorlake.sources.files import header_profile
+    return header_profile(spark, landing(spark, sf))
+
+
+@query("run_batch")
+def q_run_batch(spark, sf):
+    from vendorlake.plans.jobs import run_batch
+    return run_batch(spark, landing(spark, sf))["ledger"]
+
+
+@query("read_any", with_ctes("SELECT * FROM region"))
+def q_read_any(spark, sf):
+    from vendorlake.sources.files import read_any
+    return read_any(spark, "parquet", f"{sf.rstrip('/')}/region.parquet")
+
+
+@query("land_table", with_ctes(
+    "SELECT order_id, customer, order_date, amount, status, _source_file FROM raw_orders", "raw_orders"))
+def q_land_table(spark, sf):
+    from vendorlake.operators.hygiene import land_table
+    from vendorlake.session import scratch_path
+    return land_table(landed_orders(spark, sf), "raw.orders", path=scratch_path(spark, "raw_orders"))
+
+
+@query("read_table", with_ctes("SELECT customer, segment, region, _source_file FROM raw_customers",
+                               "raw_customers"))
+def q_read_table(spark, sf):
+    from vendorlake.operators.hygiene import land_table
+    from vendorlake.session import scratch_path
+    from vendorlake.sources.files import read_table
+    land_table(landed_customers(spark, sf), "raw.customers", path=scratch_path(spark, "raw_customers"))
+    return read_table(spark, "raw.customers")
+
+
+@query("capped_result", ORACLE_SQL["daily_revenue"])
+def q_capped_result(spark, sf):
+    from vendorlake.operators.diff import capped_result
+    return capped_result(marts.daily_revenue(staged_orders(spark, sf)))
+
+
+@query("table_diff", with_ctes("""
+    (SELECT order_id, customer, order_date, amount, status, 'only_new' AS side FROM stg_orders
+     EXCEPT ALL
+     SELECT order_id, customer, order_date, amount, status, 'only_new' FROM legacy_orders)
+    UNION ALL
+    (SELECT order_id, customer, order_date, amount, status, 'only_old' FROM legacy_orders
+     EXCEPT ALL
+     SELECT order_id, customer, order_date, amount, status, 'only_old' FROM stg_orders)""",
+                               "stg_orders", "legacy_orders"))
+def q_table_diff(spark, sf):
+    """Parallel run: the staging model against a legacy one that forgot trim."""
+    from pyspark.sql import functions as F
+    from vendorlake.operators.diff import table_diff
+    new = staged_orders(spark, sf)
+    legacy = landed_orders(spark, sf).selectExpr(
+        "cast(order_id as int) as order_id", "customer", "cast(order_date as date) as order_date",
+        "cast(amount as double) as amount", "lower(status) as status")
+    return table_diff(new, legacy.select(*[F.col(c) for c in new.columns]))
+
+
+@query("export_json")
+def q_export_json(spark, sf):
+    from pyspark.sql import functions as F
+    from vendorlake.session import scratch_path
+    from vendorlake.sources.export import export_json
+    path = scratch_path(spark, "daily_revenue_json")
+    export_json(marts.daily_revenue(staged_orders(spark, sf)), path)
+    doc = spark.read.text(path)
+    return doc.select(F.explode(F.from_json("value", "array<struct<order_date:string,"
+                                                     "order_count:bigint,total_revenue:double>>")).alias("r")
+                      ).select("r.*")
+
+
+@query("export_parquet", ORACLE_SQL["daily_revenue"])
+def q_export_parquet(spark, sf):
+    from vendorlake.session import scratch_path
+    from vendorlake.sources.export import export_parquet
+    path = scratch_path(spark, "daily_revenue_parquet")
+    export_parquet(marts.daily_revenue(staged_orders(spark, sf)), path)
+    return spark.read.parquet(path)
+
+
+@query("export_manifest")
+def q_export_manifest(spark, sf):
+    from vendorlake.session import scratch_path
+    from vendorlake.sources.export import export, export_manifest
+    results = [export(marts.daily_revenue(staged_orders(spark, sf)), "analytics.daily_revenue",
+                      scratch_path(spark, "daily_revenue"), "json"),
+               export(marts.dim_customers(staged_customers(spark, sf)), "analytics.dim_customers",
+                      scratch_path(spark, "dim_customers"), "parquet")]
+    return export_manifest(spark, results)
+
+
+@query("validate_outputs")
+def q_validate_outputs(spark, sf):
+    from vendorlake.session import scratch_path
+    from vendorlake.sources.export import export, validate_outputs
+    outs = []
+    for fmt in ("json", "parquet"):
+        dest = scratch_path(spark, f"daily_revenue_{fmt}")
+        export(marts.daily_revenue(staged_orders(spark, sf)), "analytics.daily_revenue", dest, fmt)
+        outs.append({"destination": dest, "format": fmt})
+    return validate_outputs(spark, outs)
+
+
+@query("table_format")
+def q_table_format(spark, sf):
+    from vendorlake.operators.hygiene import land_table
+    from vendorlake.session import scratch_path
+    land_table(marts.dim_customers(staged_customers(spark, sf)), "analytics.dim_customers",
+               path=scratch_path(spark, "dim_customers_tbl"), fmt="parquet")
+    return spark.sql("DESCRIBE TABLE EXTENDED analytics.dim_customers")
+
+
+def settlement_batch(spark, sf):
+    from vendorlake.plans.jobs import run_settlement_batch
+    return run_settlement_batch(spark, landing(spark, sf), A.contracts(spark, sf), A.decisions(spark, sf))
+
+
+@query("write_remittance")
+def q_write_remittance(spark, sf):
+    from vendorlake.session import scratch_path
+    from vendorlake.sources.export import write_remittance
+    from vendorlake.operators.settlement import outcome_rows
+    path = write_remittance(outcome_rows(settled_records(spark, sf)), scratch_path(spark, "remit"))
+    return spark.read.option("header", True).csv(path)
+
+
+@query("settlements_mart", with_ctes(_PRICING_SQL, "stg_settlements"))
+def q_settlements_mart(spark, sf):
+    """Remittance CSV re-landed through the settlements contract -> mart."""
+    from vendorlake.operators.settlement import outcome_rows
+    from vendorlake.session import scratch_path
+    from vendorlake.sources.export import write_remittance
+    from vendorlake.sources.files import list_parts, read_csv_raw
+    from pyspark.sql import functions as F
+    path = write_remittance(outcome_rows(settled_records(spark, sf)), scratch_path(spark, "remit"))
+    parts = list_parts(spark, path).withColumn("file_name", F.lit("remittance.csv"))
+    raw, _ = read_csv_raw(spark, parts, required=canonical_columns("stg_settlements"))
+    stg = build_staging(raw.drop("_block_start", "_mid", "_source_file"), "stg_settlements")
+    return marts.pricing_summary(stg)
+
+
+@query("settlement_batch")
+def q_settlement_batch(spark, sf):
+    return settlement_batch(spark, sf)["report"]
+
+
+# --------------------------------------------------------------------------
+# 2.13 job composition
+# --------------------------------------------------------------------------
+@query("run_job", ORACLE_SQL["daily_revenue"])
+def q_run_job(spark, sf):
+    from vendorlake.plans.jobs import InputSpec, JobSpec, run_job
+    spec = JobSpec("daily-revenue",
+                   inputs=[InputSpec(A.raw_orders(spark, sf), "raw.orders",
+                                     require_columns=tuple(canonical_columns("stg_orders")))],
+                   select=("tag:orders",))
+    res = run_job(spark, spec)
+    if not res["success"]:
+        raise RuntimeError(res["error"])
+    return res["tables"]["daily_revenue"]
+
+
+@query("select_tag", with_ctes("SELECT customer, segment, region FROM dim_customers", "dim_customers"))
+def q_select_tag(spark, sf):
+    from vendorlake.plans.jobs import InputSpec, JobSpec, run_job
+    spec = JobSpec("customers", inputs=[InputSpec(
+        A.raw_customers(spark, sf), "raw.customers",
+        column_aliases=SPECS["transform-spec-2"].column_aliases,
+        require_columns=tuple(canonical_columns("stg_customers")))], select=("tag:customers",))
+    res = run_job(spark, spec)
+    return res["tables"]["dim_customers"]
+
+
+@query("vars", with_ctes("""
+    SELECT order_date, order_count, total_revenue FROM (
+      SELECT order_date, count(*) AS order_count,
+             CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
+      FROM stg_orders WHERE status = 'completed' GROUP BY order_date) t
+    WHERE order_date >= DATE '1998-01-01' AND order_count >= 2""", "stg_orders"))
+def q_vars(spark, sf):
+    from vendorlake.plans.jobs import InputSpec, JobSpec, run_job
+    spec = JobSpec("daily-revenue-since",
+                   inputs=[InputSpec(A.raw_orders(spark, sf), "raw.orders")], select=("tag:orders",),
+                   vars={"since": "1998-01-01", "min_orders": 2},
+                   sql_models={"recent_revenue": "SELECT * FROM daily_revenue WHERE order_date >= "
+                                                 "CAST(:since AS DATE) AND order_count >= :min_orders"})
+    return run_job(spark, spec)["tables"]["recent_revenue"]
+
+
+@query("user_expressions", with_ctes("""
+    SELECT CAST(order_id AS INTEGER) AS order_id, upper(trim(customer)) AS customer,
+           CAST(order_date AS DATE) AS order_date, round(CAST(amount AS DOUBLE) / 1000, 1) AS amount_k,
+           lower(trim(status)) AS status
+    FROM raw_orders""", "raw_orders"))
+def q_user_expressions(spark, sf):
+    from vendorlake.model import Column, Entity, STG_ORDERS
+    ent = Entity("stg_orders_k", "raw.orders", (
+        STG_ORDERS.columns[0], Column("customer", expr="upper(trim(customer))"), STG_ORDERS.columns[2],
+        Column("amount_k", "double", expr="round(cast(amount as double) / 1000, 1)"),
+        STG_ORDERS.columns[4]))
+    return build_staging(landed_orders(spark, sf), ent)
+
+
+# --------------------------------------------------------------------------
+# 2.10 lineage (lifecycle events)
+# --------------------------------------------------------------------------
+@query("review_queue", with_ctes("""
+    SELECT order_ref, stage, stage_ts FROM (
+      SELECT order_ref, stage, max(ts) OVER (PARTITION BY order_ref) AS stage_ts,
+             row_number() OVER (PARTITION BY order_ref ORDER BY ts DESC, event_id DESC) AS rn
+      FROM lifecycle_events) t
+    WHERE rn = 1 AND stage = 'awaiting_review'""", "lifecycle_events"))
+def q_review_queue(spark, sf):
+    from vendorlake.operators.lineage import review_queue
+    return review_queue(A.lifecycle_events(spark, sf))
+
+
+@query("trace_order", with_ctes("""
+    SELECT e.order_ref, e.run_id, e.batch_id, e.stage, e.ts, e.event_id FROM lifecycle_events e
+    JOIN (SELECT order_ref, run_id FROM (
+            SELECT order_ref, run_id, row_number() OVER (PARTITION BY order_ref
+                   ORDER BY min(ts) DESC, run_id DESC) AS rn
+            FROM lifecycle_events GROUP BY order_ref, run_id) r WHERE rn = 1) n
+      ON e.order_ref = n.order_ref AND e.run_id = n.run_id
+    ORDER BY e.order_ref, e.ts, e.event_id""", "lifecycle_events"))
+def q_trace_order(spark, sf):
+    from vendorlake.operators.lineage import trace_order
+    return trace_order(A.lifecycle_events(spark, sf))
+
+
+@query("lineage_filter", with_ctes("""
+    SELECT * FROM lifecycle_events
+    WHERE route = 'vendor-orders' AND stage = 'awaiting_review'
+      AND starts_with(source_file, 'vendor_orders_2024-01-1')""", "lifecycle_events"))
+def q_lineage_filter(spark, sf):
+    from vendorlake.operators.lineage import lineage_filter
+    return lineage_filter(A.lifecycle_events(spark, sf), route="vendor-orders",
+                          source_file_prefix="vendor_orders_2024-01-1", stage="awaiting_review")
