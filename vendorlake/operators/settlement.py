@@ -184,7 +184,8 @@ def settle(raw_records: DataFrame, contracts: DataFrame, decisions: DataFrame,
     r = lookup_contracts(r, contracts)
     r = price_orders(r)
     needs_review = F.abs(F.col("_variance")) > F.lit(variance_threshold_pct)
-    r = r.withColumn("_review", F.col("validation_note").isNull() & F.col("_has_contract").isNotNull()
+    r = r.withColumn("_review", ~F.col("is_duplicate") & F.col("validation_note").isNull()
+                     & F.col("_has_contract").isNotNull()
                      & F.col("_variance").isNotNull() & needs_review)
     r = r.join(first_decisions(decisions, review_sla_seconds), "order_ref", "left")
     errored = F.col("_has_contract").isNull() | F.col("_variance").isNull()

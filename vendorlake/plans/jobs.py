@@ -174,7 +174,7 @@ def route_job(route: str) -> JobSpec | None:
                    outputs=[OutputSpec(o) for o in s.outputs])
 
 
-def run_batch(spark: SparkSession, root: str, consolidate: bool = True,
+def run_batch(spark: SparkSession, root: str | DataFrame, consolidate: bool = True,
               dispatch_transforms: bool = True) -> dict:
     """The file batch as one set of Spark jobs.
 
@@ -188,7 +188,7 @@ def run_batch(spark: SparkSession, root: str, consolidate: bool = True,
     from vendorlake.sources.files import list_parts, read_csv_raw
     from vendorlake.sources.gzip_audit import gzip_audit
 
-    parts = list_parts(spark, root)
+    parts = list_parts(spark, root) if isinstance(root, str) else root
     files = (parts.groupBy("file_name").agg(F.max("modified_at").alias("modified_at"))
              .join(gzip_audit(parts).select("file_name", "gzip_error"), "file_name", "left"))
     routed = mark_duplicates(classify_route(files))
@@ -232,7 +232,7 @@ def run_batch(spark: SparkSession, root: str, consolidate: bool = True,
 
 def run_settlement_batch(spark: SparkSession, root: str, contracts: DataFrame,
                          decisions: DataFrame, remit_path: str | None = None,
-                         **policy) -> dict:
+                         batch_id: str = "batch", **policy) -> dict:
     """The order batch: ingest-only landing -> split -> settle -> remittance
     CSV -> re-landed through the settlements contract -> stg_settlements
     (tested) -> pricing_summary.  Returns {settled, outcomes, report, mart,
@@ -248,7 +248,8 @@ def run_settlement_batch(spark: SparkSession, root: str, contracts: DataFrame,
     raw, _ = read_csv_raw(spark, parts.join(vendor_files, "file_name"))
     if raw is None:
         raise ContractError("no vendor-orders files landed in this batch")
-    settled = settle(split_orders(raw), contracts, decisions, **policy)
+    settled = settle(split_orders(raw, None if "batch_id" in raw.columns else batch_id),
+                     contracts, decisions, **policy)
     outcomes = outcome_rows(settled)
     remit = write_remittance(outcomes, remit_path or scratch_path(spark, "remittance"))
     relanded, rejected = read_csv_raw(spark, list_parts(spark, remit).withColumn("file_name", F.lit("remittance.csv")),

@@ -123,7 +123,7 @@ CTES.update({
               FROM decisions WHERE decision IN ('approve', 'deny') AND delay_s <= 300) t
         WHERE rn = 1"""),
     "settled0": (("priced", "first_decision"), """
-        SELECT p.*, validation_note IS NULL AND _has_contract AND _variance IS NOT NULL
+        SELECT p.*, NOT is_duplicate AND validation_note IS NULL AND _has_contract AND _variance IS NOT NULL
                     AND abs(_variance) > 10 AS _review,
                d.decision, d.decision_note, d.decision_delay_s, d.decision_id
         FROM priced p LEFT JOIN first_decision d ON p.order_ref = d.order_ref"""),

@@ -827,3 +827,21 @@ def q_lineage_filter(spark, sf):
     from vendorlake.operators.lineage import lineage_filter
     return lineage_filter(A.lifecycle_events(spark, sf), route="vendor-orders",
                           source_file_prefix="vendor_orders_2024-01-1", stage="awaiting_review")
+
+
+# --------------------------------------------------------------------------
+# 2.12 streaming
+# --------------------------------------------------------------------------
+@query("stream_ingest")
+def q_stream_ingest(spark, sf):
+    from vendorlake.streaming.ingest import stream_ingest
+    q, ledger = stream_ingest(spark, landing(spark, sf))
+    q.awaitTermination()
+    return spark.read.parquet(ledger)
+
+
+@query("stream_order_status")
+def q_stream_order_status(spark, sf):
+    from vendorlake.streaming.order_status import review_events, run_order_status
+    events = review_events(settled_records(spark, sf), A.decisions(spark, sf))
+    return run_order_status(spark, events)
