@@ -283,7 +283,8 @@ def split_records(spark, sf):
 
 def settled_records(spark, sf):
     from vendorlake.operators.settlement import settle
-    return settle(split_records(spark, sf), A.contracts(spark, sf), A.decisions(spark, sf))
+    return settle(split_records(spark, sf), A.contracts(spark, sf), A.decisions(spark, sf),
+                  materialize=True)
 
 
 def _sub(df):

@@ -63,3 +63,14 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def materialize(df):
+    """Cut lineage: a reliable checkpoint into the shared checkpoint folder.
+
+    Used where a plan would otherwise be computed twice (a self-join of an
+    aggregate with its input) and to bound recomputation after a lost
+    executor.  Never a local checkpoint: those die with the executor.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
