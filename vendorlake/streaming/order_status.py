@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,16 +49,21 @@ def _resolver(sla_seconds: int, sla_action: str):
                           f"no decision within {sla_seconds}s", opened + sla_ms)
             return
         for pdf in batches:
-            pdf = pdf.assign(ms=pdf["ts"].astype("datetime64[ns]").astype("int64") // 1_000_000 if
-                             pd.api.types.is_datetime64_any_dtype(pdf["ts"]) else
-                             pd.to_datetime(pdf["ts"]).astype("int64") // 1_000_000)
-            for row in pdf.sort_values(["ms", "decision_id"], na_position="first").itertuples():
-                if row.kind == "opened":
-                    opened = row.ms if opened is None else min(opened, row.ms)
-                elif row.decision in VALID_DECISIONS:
-                    first = decided is None or (row.ms, row.decision_id) < (decided, did)
-                    if first:
-                        decision, note, decided, did = row.decision, row.note, row.ms, row.decision_id
+            ms = pdf["ts"].astype("datetime64[ns]").to_numpy().astype("int64") // 1_000_000
+            kinds = pdf["kind"].to_numpy()
+            opened_ms = ms[kinds == "opened"]
+            if opened_ms.size:
+                first_open = int(opened_ms.min())
+                opened = first_open if opened is None else min(opened, first_open)
+            valid = (kinds == "decision") & pdf["decision"].isin(VALID_DECISIONS).to_numpy()
+            if valid.any():
+                ids = pdf["decision_id"].fillna(-1).to_numpy().astype("int64")
+                cand = np.flatnonzero(valid)
+                best = cand[np.lexsort((ids[cand], ms[cand]))[0]]
+                key_ = (int(ms[best]), int(ids[best]))
+                if decided is None or key_ < (decided, did):
+                    decision, note = pdf["decision"].iat[best], pdf["note"].iat[best]
+                    decided, did = key_
         if opened is not None and decision is not None and decided <= opened + sla_ms:
             state.remove()
             yield out(order_ref, "settled" if decision == "approve" else "denied", "reviewer",
