@@ -9,7 +9,7 @@ join.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendorlake.functions.names import decompressed_name_col, glob_to_regex
@@ -60,13 +60,16 @@ def batch_window(files: DataFrame, since: str | None = None, until: str | None =
 
 def mark_duplicates(routed: DataFrame) -> DataFrame:
     """Same route + decompressed name in one batch: the first name (sorted)
-    runs, the others are duplicates.  groupBy + equi-join, no window."""
-    key = ["route", "decompressed_name"]
-    first = (routed.filter(F.col("route").isNotNull()).groupBy(*key)
-             .agg(F.min("file_name").alias("_first")))
-    return (routed.join(first, key, "left")
-            .withColumn("is_duplicate", F.coalesce(F.col("_first") != F.col("file_name"), F.lit(False)))
-            .drop("_first"))
+    runs, the others are duplicates.
+
+    A listing holds each name once, so a (route, decompressed name) key holds
+    at most two files (``x`` and ``x.gz``): the window's groups are bounded
+    by construction and one shuffle replaces an aggregate joined back to its
+    own input.
+    """
+    w = Window.partitionBy("route", "decompressed_name").orderBy("file_name")
+    dup = F.when(F.col("route").isNull(), F.lit(False)).otherwise(F.row_number().over(w) > 1)
+    return routed.withColumn("is_duplicate", dup)
 
 
 def resolve_spec(routed: DataFrame) -> DataFrame:
