@@ -180,13 +180,13 @@ def settle(raw_records: DataFrame, contracts: DataFrame, decisions: DataFrame,
     """One status row per split record (outcome is settled / denied /
     escalated / duplicate / errored) with the outcome-row values.
 
-    ``materialize`` checkpoints the split records to the shared folder first:
+    ``materialize`` writes the split records to the shared folder first:
     duplicate detection reads them twice (aggregate + join back), and the
     checkpoint also bounds recomputation if an executor is lost.
     """
     if materialize:
         from vendorlake.session import materialize as _checkpoint
-        raw_records = _checkpoint(raw_records)
+        raw_records = _checkpoint(raw_records, "split_records")
     r = dedupe_orders(raw_records)
     r = r.withColumn("validation_note", validation_note(r))
     r = lookup_contracts(r, contracts)

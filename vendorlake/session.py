@@ -65,12 +65,18 @@ def local_path(path: str) -> str:
     return os.path.abspath(path)
 
 
-def materialize(df):
-    """Cut lineage: a reliable checkpoint into the shared checkpoint folder.
+def materialize(df, name: str = "materialized"):
+    """Cut lineage by writing ``df`` as a parquet table in the shared folder
+    (``spark.checkpoint.dir``) and reading it back.
 
-    Used where a plan would otherwise be computed twice (a self-join of an
-    aggregate with its input) and to bound recomputation after a lost
-    executor.  Never a local checkpoint: those die with the executor.
+    Used where a plan would otherwise be computed twice (an aggregate joined
+    back to its own input) and to bound recomputation after a lost executor:
+    tasks downstream re-read the written files instead of replaying the
+    lineage.  One columnar write - unlike ``Dataset.checkpoint``, which
+    computes the plan twice - and the read-back carries real size statistics
+    for AQE.  Never a local checkpoint: those die with the executor.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
