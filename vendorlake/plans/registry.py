@@ -825,8 +825,11 @@ def q_trace_order(spark, sf):
     WHERE route = 'vendor-orders' AND stage = 'awaiting_review'
       AND starts_with(source_file, 'vendor_orders_2024-01-1')""", "lifecycle_events"))
 def q_lineage_filter(spark, sf):
+    """Over the stored lifecycle table, so the predicates reach the scan."""
     from vendorlake.operators.lineage import lineage_filter
-    return lineage_filter(A.lifecycle_events(spark, sf), route="vendor-orders",
+    from vendorlake.session import materialize
+    stored = materialize(A.lifecycle_events(spark, sf), "lifecycle_events")
+    return lineage_filter(stored, route="vendor-orders",
                           source_file_prefix="vendor_orders_2024-01-1", stage="awaiting_review")
 
 
