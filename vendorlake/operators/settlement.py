@@ -113,14 +113,23 @@ def split_orders(raw: DataFrame, batch_id: str | None = None,
 
 def dedupe_orders(records: DataFrame) -> DataFrame:
     """Mark twins: the lifecycle id is vendor + order_ref + batch; the first
-    record (by file, then line) runs, the others are ``duplicate``."""
+    record (by file, then line) runs, the others are ``duplicate``.
+
+    Only keys are shuffled: a hash aggregate counts records per key (partial
+    aggregation absorbs a hot key), the first (file, line) is found for the
+    duplicated keys only, and that set - normally small, so AQE broadcasts it
+    at runtime - is left-joined back.  When it is large the same plan runs as
+    a sort-merge join with AQE's skew splitting.
+    """
     key = ["batch_id", "vendor", "order_ref"]
-    first = records.groupBy(*key).agg(
-        F.min(F.struct("_source_file", "_line")).alias("_first"))
-    return (records.join(first, key)
-            .withColumn("is_duplicate",
-                        (F.col("_first._source_file") != F.col("_source_file"))
-                        | (F.col("_first._line") != F.col("_line")))
+    dup_keys = (records.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") > 1).drop("_n"))
+    first = (records.join(dup_keys, key, "left_semi").groupBy(*key)
+             .agg(F.min(F.struct("_source_file", "_line")).alias("_first")))
+    return (records.join(first, key, "left")
+            .withColumn("is_duplicate", F.coalesce(
+                (F.col("_first._source_file") != F.col("_source_file"))
+                | (F.col("_first._line") != F.col("_line")), F.lit(False)))
             .drop("_first"))
 
 
