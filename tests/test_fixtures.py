@@ -194,3 +194,12 @@ def test_capped_result(spark):
     assert capped_result(df, 10) is df
     with pytest.raises(ResultTooLarge):
         capped_result(df, 9)
+
+
+def test_discovery_window_and_pattern(spark, landing):
+    from vendorlake.sources.files import discover_files
+    names = [r.file_name for r in discover_files(spark, landing).collect()]
+    assert names == sorted(["customers_2026-08.csv", "orders_2026-08.csv",
+                            "payments_2026-08.csv.gz", "zz_broken.csv"])
+    assert discover_files(spark, landing, modified_after="2999-01-01T00:00:00").count() == 0
+    assert discover_files(spark, landing, pattern="*.gz").count() == 1

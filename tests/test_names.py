@@ -53,3 +53,17 @@ def test_glob_regex_agrees_with_fnmatch(name, pattern):
 
 def test_glob_regex_is_anchored():
     assert glob_to_regex("orders_*.csv") == r"^orders_.*\.csv$"
+
+
+def test_catalog_conf():
+    import pytest
+    from vendorlake.plans.catalog import catalog_conf, table_format
+    assert catalog_conf(None) == {} and table_format(None) == "parquet"
+    rest = catalog_conf({"type": "rest", "name": "lake", "uri": "http://catalog:8181",
+                         "warehouse": "s3://w"})
+    assert rest["spark.sql.defaultCatalog"] == "lake"
+    assert rest["spark.sql.catalog.lake.uri"] == "http://catalog:8181"
+    assert "spark.sql.catalog.lake.catalog-impl" in catalog_conf({"type": "glue"})
+    assert table_format({"type": "glue"}) == "iceberg"
+    with pytest.raises(ValueError):
+        catalog_conf({"type": "hive"})

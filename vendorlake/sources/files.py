@@ -40,18 +40,29 @@ def _root_regex(root: str) -> str:
     return re.escape(r.lstrip("/"))
 
 
-def list_parts(spark: SparkSession, root: str) -> DataFrame:
-    """Every data file under ``root`` (no content read): path, length, mtime."""
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-          .option("pathGlobFilter", "[!._]*").load(root)
-          .select("path", "length", F.col("modificationTime").alias("modified_at")))
+def list_parts(spark: SparkSession, root: str, modified_after: str | None = None,
+               modified_before: str | None = None) -> DataFrame:
+    """Every data file under ``root`` (no content read): path, length, mtime.
+
+    ``modified_after`` / ``modified_before`` (``YYYY-MM-DDTHH:mm:ss``) re-run a
+    past window (backfill); they prune the listing itself.
+    """
+    reader = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+              .option("pathGlobFilter", "[!._]*"))
+    if modified_after:
+        reader = reader.option("modifiedAfter", modified_after)
+    if modified_before:
+        reader = reader.option("modifiedBefore", modified_before)
+    df = reader.load(root).select("path", "length", F.col("modificationTime").alias("modified_at"))
     return df.withColumn("file_name", _drop_name(F.col("path"), root))
 
 
-def discover_files(spark: SparkSession, root: str, pattern: str = DEFAULT_PATTERN) -> DataFrame:
+def discover_files(spark: SparkSession, root: str, pattern: str = DEFAULT_PATTERN,
+                   modified_after: str | None = None, modified_before: str | None = None) -> DataFrame:
     """Drops under ``root`` whose name matches ``pattern``, one row per drop:
     file_name, parts, length, modified_at (sorted by name)."""
-    parts = list_parts(spark, root).filter(F.col("file_name").rlike(glob_to_regex(pattern)))
+    parts = list_parts(spark, root, modified_after, modified_before) \
+        .filter(F.col("file_name").rlike(glob_to_regex(pattern)))
     return (parts.groupBy("file_name")
             .agg(F.count(F.lit(1)).alias("parts"), F.sum("length").alias("length"),
                  F.max("modified_at").alias("modified_at"))
