@@ -161,15 +161,21 @@ def read_csv_raw(spark: SparkSession, parts: DataFrame, sanitize: bool = True,
     signatures.  ``rejected`` (file_name, reason) lists drops whose header
     misses a required column; they are not read.
     """
-    heads = header_lines(parts).join(parts.select("path", "file_name"), "path")
+    from vendorlake.session import materialize
+    heads = materialize(header_lines(parts).join(parts.select("path", "file_name"), "path"),
+                        "headers")
     amap = alias_map(aliases or {})
-    # Distinct header signatures are few; only they (and their file names)
-    # reach the driver.
-    sigs = heads.groupBy("header").agg(F.collect_set("path").alias("paths"),
-                                       F.collect_set("file_name").alias("files")).collect()
+    # Only the distinct header signatures (a handful) are collected; each
+    # signature's file list is then fetched as plain rows - the listing
+    # Spark's own file index keeps on the driver - never built into one
+    # array by one task.
+    headers = [r["header"] for r in heads.select("header").distinct().collect()]
     required = list(required or [])
     frames, rejects = [], []
-    for row in sigs:
+    for header in headers:
+        sel = heads.filter(F.col("header").eqNullSafe(header)).select("path", "file_name").collect()
+        row = {"header": header, "paths": [r["path"] for r in sel],
+               "files": sorted({r["file_name"] for r in sel})}
         raw_cols = split_header(row["header"])
         cols = [sanitize_header(c) if sanitize else c for c in raw_cols]
         cols = [amap.get(c, c) for c in cols]
