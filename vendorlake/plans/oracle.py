@@ -201,3 +201,60 @@ CTES.update({
                CASE WHEN route IS NULL THEN 'no route pattern matched' END AS quarantine_reason
         FROM routed_dups"""),
 })
+
+
+# ---------------------------------------------------------------------------
+# the landing zone written by sources.landing (drop names follow its rules)
+# ---------------------------------------------------------------------------
+_CONTRACT_1998 = ("input orders_1998.csv does not satisfy its column contract; missing ['amount'] "
+                  "(found ['order_id', 'customer', 'order_date', 'status'])")
+_GZIP_ERR = "not valid gzip (Error -3 while decompressing data: incorrect header check)"
+
+
+def sql_str(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+CTES.update({
+    "landed_orders_csv": (("raw_orders",), """
+        SELECT order_id, customer, order_date,
+               CASE WHEN substr(order_date, 1, 4) = '1998' THEN NULL ELSE amount END AS amount,
+               status, 'orders_' || substr(order_date, 1, 4) || '.csv' AS _source_file
+        FROM raw_orders"""),
+    "landing_drops": (("raw_orders", "raw_payments", "raw_vendor_orders"), """
+        SELECT DISTINCT 'orders_' || substr(order_date, 1, 4) || '.csv' AS drop_name FROM raw_orders
+        UNION ALL
+        SELECT DISTINCT 'customers_' || lower(regexp_replace(r.r_name, '[^A-Za-z]', '', 'g')) || '.csv'
+        FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+        JOIN region r ON n.n_regionkey = r.r_regionkey
+        UNION ALL
+        SELECT DISTINCT 'payments_' || substr(paid_date, 1, 4) || '.csv.gz' FROM raw_payments
+        UNION ALL
+        SELECT DISTINCT 'vendor_orders_' || substr(batch_id, 7, 4) || '.csv' FROM raw_vendor_orders
+        UNION ALL
+        SELECT DISTINCT 'zz_pages.csv' FROM pages
+        UNION ALL
+        SELECT DISTINCT 'documents_' || lang || '.csv.gz' FROM documents"""),
+    "landing_ledger": (("landing_drops",), f"""
+        SELECT file, status, route,
+               CASE WHEN status IN ('landed', 'transformed') THEN 'landing/' || file END AS landed_key,
+               CASE WHEN status = 'quarantined' THEN 'quarantine/' || drop_name END AS quarantine_key,
+               error, CASE WHEN status = 'quarantined' THEN error END AS quarantine_reason
+        FROM (
+          SELECT drop_name,
+                 CASE WHEN starts_with(drop_name, 'documents_') THEN drop_name
+                      ELSE regexp_replace(drop_name, '\\.gz$', '') END AS file,
+                 CASE WHEN starts_with(drop_name, 'documents_') OR drop_name = 'zz_pages.csv'
+                           OR drop_name = 'orders_1998.csv' THEN 'quarantined'
+                      WHEN starts_with(drop_name, 'vendor_orders_') THEN 'landed'
+                      ELSE 'transformed' END AS status,
+                 CASE WHEN starts_with(drop_name, 'orders_') THEN 'orders'
+                      WHEN starts_with(drop_name, 'customers_') THEN 'customers'
+                      WHEN starts_with(drop_name, 'payments_') THEN 'payments'
+                      WHEN starts_with(drop_name, 'vendor_orders_') THEN 'vendor-orders' END AS route,
+                 CASE WHEN starts_with(drop_name, 'documents_') THEN drop_name || ': {_GZIP_ERR}'
+                      WHEN drop_name = 'zz_pages.csv' THEN 'no route pattern matched'
+                      WHEN drop_name = 'orders_1998.csv' THEN {sql_str(_CONTRACT_1998)} END AS error
+          FROM landing_drops) t"""),
+})

@@ -14,7 +14,7 @@ from vendorlake.model import SPECS, canonical_columns
 from vendorlake.operators import marts
 from vendorlake.operators.hygiene import apply_hygiene
 from vendorlake.operators.staging import build_staging
-from vendorlake.plans.oracle import with_ctes
+from vendorlake.plans.oracle import _CONTRACT_1998, sql_str, with_ctes
 from vendorlake.sources import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -561,7 +561,7 @@ def q_discover_files(spark, sf):
     return discover_files(spark, landing(spark, sf))
 
 
-@query("read_csv_raw")
+@query("read_csv_raw", with_ctes("SELECT * FROM landed_orders_csv", "landed_orders_csv"))
 def q_read_csv_raw(spark, sf):
     from pyspark.sql import functions as F
     from vendorlake.sources.files import list_parts, read_csv_raw
@@ -570,7 +570,9 @@ def q_read_csv_raw(spark, sf):
     return rows.drop("_block_start", "_mid")
 
 
-@query("column_contract")
+@query("column_contract", with_ctes(f"""
+    SELECT DISTINCT 'orders_1998.csv' AS file_name, {sql_str(_CONTRACT_1998)} AS reason
+    FROM raw_orders WHERE substr(order_date, 1, 4) = '1998'""", "raw_orders"))
 def q_column_contract(spark, sf):
     """Drops whose header misses a required column (per header signature)."""
     from pyspark.sql import functions as F
@@ -592,7 +594,7 @@ def q_header_profile(spark, sf):
     return header_profile(spark, landing(spark, sf))
 
 
-@query("run_batch")
+@query("run_batch", with_ctes("SELECT * FROM landing_ledger", "landing_ledger"))
 def q_run_batch(spark, sf):
     from vendorlake.plans.jobs import run_batch
     return run_batch(spark, landing(spark, sf))["ledger"]
@@ -648,7 +650,11 @@ def q_table_diff(spark, sf):
     return table_diff(new, legacy.select(*[F.col(c) for c in new.columns]))
 
 
-@query("export_json")
+@query("export_json", with_ctes("""
+    SELECT CAST(order_date AS VARCHAR) AS order_date, order_count, total_revenue FROM (
+      SELECT order_date, count(*) AS order_count,
+             CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
+      FROM stg_orders WHERE status = 'completed' GROUP BY order_date) t""", "stg_orders"))
 def q_export_json(spark, sf):
     from pyspark.sql import functions as F
     from vendorlake.session import scratch_path

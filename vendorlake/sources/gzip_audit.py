@@ -22,7 +22,7 @@ CHUNK = 8 * 1024 ** 2
 
 
 def inflate_check(path: str, cap: int = PREPROCESS_MAX_DECOMPRESSED) -> tuple[int, str | None]:
-    name = path.rsplit("/", 1)[-1]
+    """(decompressed bytes, error text or None); the caller prefixes the name."""
     total = 0
     d = zlib.decompressobj(16 + zlib.MAX_WBITS)
     try:
@@ -35,16 +35,16 @@ def inflate_check(path: str, cap: int = PREPROCESS_MAX_DECOMPRESSED) -> tuple[in
                     out = d.decompress(chunk, CHUNK)
                     total += len(out)
                     if total > cap:
-                        return total, f"{name}: decompressed size exceeds {cap} bytes"
+                        return total, f"decompressed size exceeds {cap} bytes"
                     chunk = d.unconsumed_tail
                     if d.eof and d.unused_data:        # concatenated members
                         rest = d.unused_data
                         d = zlib.decompressobj(16 + zlib.MAX_WBITS)
                         chunk = rest
         if not d.eof:
-            return total, f"{name}: not valid gzip (truncated stream)"
+            return total, "not valid gzip (truncated stream)"
     except zlib.error as exc:
-        return total, f"{name}: not valid gzip ({exc})"
+        return total, f"not valid gzip ({exc})"
     return total, None
 
 
@@ -65,4 +65,7 @@ def gzip_audit(parts: DataFrame, cap: int = PREPROCESS_MAX_DECOMPRESSED) -> Data
                .mapInPandas(_audit(cap), "path string, decompressed_bytes long, gzip_error string"))
     return (checked.join(gz, "path").groupBy("file_name")
             .agg(F.sum("decompressed_bytes").alias("decompressed_bytes"),
-                 F.min("gzip_error").alias("gzip_error")))
+                 F.min("gzip_error").alias("_err"))
+            .select("file_name", "decompressed_bytes",
+                    F.when(F.col("_err").isNotNull(),
+                           F.concat(F.col("file_name"), F.lit(": "), F.col("_err"))).alias("gzip_error")))
