@@ -842,12 +842,13 @@ def q_lineage_filter(spark, sf):
 # --------------------------------------------------------------------------
 # 2.12 streaming
 # --------------------------------------------------------------------------
-@query("stream_ingest")
+@query("stream_ingest", with_ctes("SELECT * FROM landing_ledger", "landing_ledger"))
 def q_stream_ingest(spark, sf):
+    """The ledgers of all micro-batches (the batch ledger, built incrementally)."""
     from vendorlake.streaming.ingest import stream_ingest
     q, ledger = stream_ingest(spark, landing(spark, sf))
     q.awaitTermination()
-    return spark.read.parquet(ledger)
+    return spark.read.parquet(ledger).drop("batch_id")
 
 
 @query("stream_order_status")

@@ -29,8 +29,11 @@ ORDERS_HEADER_NO_AMOUNT = ("Order ID", "Customer", "Order Date", "Status")
 
 
 def _write(df: DataFrame, root: str, drop: F.Column, compression: str = "none") -> None:
+    """One part file per drop; rows sorted so record numbers are reproducible."""
+    cols = df.columns
     (df.withColumn("_drop", drop)
      .repartition("_drop")
+     .sortWithinPartitions("_drop", *cols)
      .write.mode("append").partitionBy("_drop")
      .option("header", True).option("compression", compression)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
