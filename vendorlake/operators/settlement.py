@@ -37,8 +37,12 @@ FLOAT_TEXT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 FIELDS = ("order_ref", "vendor", "item_count", "submitted_amount")
 
 
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Python's str.strip() for ASCII whitespace, as plain string code."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def _repr(c: Column) -> Column:
