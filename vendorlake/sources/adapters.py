@@ -160,9 +160,14 @@ def raw_vendor_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .when(pk % 149 == 0, F.lit(None).cast("string"))
                  .otherwise(_money_text("l_extendedprice")))
     w = Window.partitionBy("l_orderkey").orderBy(*VENDOR_ORDER_SORT)
+    # Number the records on the raw columns first: the string building below
+    # then runs after the window's shuffle, in parallel tasks, not in the
+    # scan stage.
+    numbered = (l.join(s, l.l_suppkey == s.s_suppkey)
+                .join(o, l.l_orderkey == o.o_orderkey)
+                .withColumn("_rn", F.row_number().over(w)))
     return (
-        l.join(s, l.l_suppkey == s.s_suppkey)
-        .join(o, l.l_orderkey == o.o_orderkey)
+        numbered
         .select(
             ref.alias("order_ref"),
             vendor.alias("vendor"),
@@ -170,7 +175,7 @@ def raw_vendor_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             submitted.alias("submitted_amount"),
             F.concat(F.lit("vendor_orders_"), F.col("l_orderkey").cast("string"),
                      F.lit(".csv")).alias("_source_file"),
-            (F.row_number().over(w) + 1).alias("_line"),
+            (F.col("_rn") + 1).alias("_line"),
             F.concat(F.lit("batch-"), F.date_format("o_orderdate", "yyyy-MM")).alias("batch_id"),
         )
     )
@@ -245,11 +250,15 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("customers_"), s("c_custkey").cast("string"),
                  F.when(s("c_acctbal") < 0, F.lit(".csv.gz")).otherwise(F.lit(".csv"))).alias("file_name"),
         F.lit("1995-01-01 00:00:00").cast("timestamp").alias("modified_at"))
-    payments = l.select(
+    # Only payment names can repeat (one per line, and line keys are not
+    # unique): collapse them on the numeric keys, then build the names.
+    pay_keys = l.groupBy("l_orderkey", "l_linenumber", (s("l_returnflag") == "R").alias("_plain")) \
+        .agg(F.max("l_shipdate").alias("_mtime"))
+    payments = pay_keys.select(
         F.concat(F.lit("payments_"), s("l_orderkey").cast("string"), F.lit("_"),
                  s("l_linenumber").cast("string"),
-                 F.when(s("l_returnflag") == "R", F.lit(".csv")).otherwise(F.lit(".csv.gz"))).alias("file_name"),
-        s("l_shipdate").cast("timestamp").alias("modified_at"))
+                 F.when(s("_plain"), F.lit(".csv")).otherwise(F.lit(".csv.gz"))).alias("file_name"),
+        s("_mtime").cast("timestamp").alias("modified_at"))
     vendor = o.select(
         F.concat(F.lit("vendor_orders_"), s("o_orderkey").cast("string"), F.lit(".csv")).alias("file_name"),
         s("o_orderdate").cast("timestamp").alias("modified_at"))
@@ -259,10 +268,10 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = p.select(
         F.concat(F.lit("zz_page_"), s("page_id").cast("string"), F.lit(".csv")).alias("file_name"),
         F.lit("1995-01-01 00:00:00").cast("timestamp").alias("modified_at"))
-    listing = orders.unionByName(customers).unionByName(payments).unionByName(vendor) \
+    # A listing holds each name once: every other source is keyed uniquely
+    # (order, customer, event, page), so the union needs no global dedupe.
+    return orders.unionByName(customers).unionByName(payments).unionByName(vendor) \
         .unionByName(events).unionByName(pages)
-    # A listing holds each name once: keep its latest modification time.
-    return listing.groupBy("file_name").agg(F.max("modified_at").alias("modified_at"))
 
 
 # ---------------------------------------------------------------------------
