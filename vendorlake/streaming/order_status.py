@@ -113,13 +113,25 @@ def run_order_status(spark, events: DataFrame, sla_seconds: int = REVIEW_SLA_SEC
     src, out, ckpt = f"{root}/events", f"{root}/resolved", f"{root}/checkpoint"
     events.write.mode("overwrite").parquet(f"{src}/data")
     stream = spark.readStream.schema(events.schema).parquet(f"{src}/*")
+    # The number of state partitions is fixed when the query first starts;
+    # size it to the cluster's parallelism rather than the session default.
+    prior = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        _replay(spark, events, stream, src, out, ckpt, sla_seconds, sla_action)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prior)
+    return spark.read.parquet(out)
+
+
+def _replay(spark, events, stream, src, out, ckpt, sla_seconds, sla_action) -> None:
+    from pyspark.sql import functions as F
     for phase in ("data", "tick"):
         if phase == "tick":
-            tick_ts = events.agg(F.max("ts")).first()[0]
+            tick_ts = spark.read.parquet(f"{src}/data").agg(F.max("ts")).first()[0]
             spark.createDataFrame([("__tick__", "tick", tick_ts, None, None, None)], events.schema) \
                 .write.mode("overwrite").parquet(f"{src}/tick")
         q = (order_status(stream, sla_seconds, sla_action).writeStream.format("parquet")
              .option("path", out).option("checkpointLocation", ckpt)
              .trigger(availableNow=True).start())
         q.awaitTermination()
-    return spark.read.parquet(out)
