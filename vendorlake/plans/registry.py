@@ -588,7 +588,22 @@ def q_gzip_audit(spark, sf):
     return gzip_audit(list_parts(spark, landing(spark, sf)))
 
 
-@query("header_profile")
+@query("header_profile", with_ctes("""
+    SELECT regexp_replace(regexp_replace(lower(trim(raw)), '[^0-9a-zA-Z]+', '_', 'g'), '^_+|_+$', '', 'g')
+               AS sanitized, raw, count(*) AS files
+    FROM (SELECT unnest(CASE
+            WHEN drop_name = 'orders_1997.csv' THEN ['Customer', 'Order ID', 'Status', 'Amount', 'Order Date']
+            WHEN drop_name = 'orders_1998.csv' THEN ['Order ID', 'Customer', 'Order Date', 'Status']
+            WHEN starts_with(drop_name, 'orders_') THEN ['Order ID', 'Customer', 'Order Date', 'Amount', 'Status']
+            WHEN starts_with(drop_name, 'customers_') THEN ['Cust', 'Seg', 'RGN']
+            WHEN starts_with(drop_name, 'payments_') THEN ['Payment ID', 'Order ID', 'Paid Amount', 'Paid Date']
+            WHEN starts_with(drop_name, 'vendor_orders_') THEN
+                 ['order_ref', 'vendor', 'item_count', 'submitted_amount', 'batch_id']
+            WHEN drop_name = 'zz_pages.csv' THEN ['page_id', 'url']
+            WHEN starts_with(drop_name, 'documents_') THEN ['doc_id', 'lang', 'n_chars']
+            ELSE [] END) AS raw
+          FROM landing_drops) t
+    GROUP BY 1, 2""", "landing_drops"))
 def q_header_profile(spark, sf):
     from vendorlake.sources.files import header_profile
     return header_profile(spark, landing(spark, sf))
@@ -713,8 +728,16 @@ def settlement_batch(spark, sf):
     return run_settlement_batch(spark, landing(spark, sf), A.contracts(spark, sf), A.decisions(spark, sf))
 
 
-@query("write_remittance")
+@query("write_remittance", with_ctes("""
+    SELECT nullif(batch_id, '') AS batch_id, nullif(order_ref, '') AS order_ref,
+           nullif(vendor, '') AS vendor, CAST(item_count AS VARCHAR) AS item_count,
+           CAST(submitted_amount AS VARCHAR) AS submitted_amount,
+           CAST(priced_amount AS VARCHAR) AS priced_amount, CAST(variance_pct AS VARCHAR) AS variance_pct,
+           outcome, decision_source, CAST(payable_amount AS VARCHAR) AS payable_amount,
+           nullif(note, '') AS note
+    FROM outcomes""", "outcomes"))
 def q_write_remittance(spark, sf):
+    """Remittance CSV read back as text (empty strings return as NULL)."""
     from vendorlake.session import scratch_path
     from vendorlake.sources.export import write_remittance
     from vendorlake.operators.settlement import outcome_rows
