@@ -258,3 +258,34 @@ CTES.update({
                       WHEN drop_name = 'orders_1998.csv' THEN {sql_str(_CONTRACT_1998)} END AS error
           FROM landing_drops) t"""),
 })
+
+
+# ---------------------------------------------------------------------------
+# settlement over the landed vendor files: the same chain, another input
+# ---------------------------------------------------------------------------
+SETTLEMENT_CHAIN = ("split0", "split1", "split", "deduped", "validated", "contracted",
+                    "priced0", "priced", "settled0", "settled1", "settled2", "settled")
+
+
+def clone_chain(suffix: str, base_from: str, base_to: str) -> None:
+    """Copy the settlement CTEs with table references (after FROM / JOIN)
+    renamed, so the same statements run over another input."""
+    import re
+    names = {n: n + suffix for n in SETTLEMENT_CHAIN}
+    names[base_from] = base_to
+    pattern = re.compile(r"\b(FROM|JOIN)(\s+)(" + "|".join(map(re.escape, names)) + r")\b")
+    for n in SETTLEMENT_CHAIN:
+        deps, sql = CTES[n]
+        CTES[n + suffix] = (tuple(names.get(d, d) for d in deps),
+                            pattern.sub(lambda m: m.group(1) + m.group(2) + names[m.group(3)], sql))
+
+
+CTES["raw_vendor_landing"] = (("raw_vendor_orders",), """
+    SELECT order_ref, vendor, item_count, submitted_amount, batch_id, _source_file,
+           row_number() OVER (PARTITION BY _source_file ORDER BY order_ref NULLS FIRST, vendor NULLS FIRST,
+                              item_count NULLS FIRST, submitted_amount NULLS FIRST, batch_id NULLS FIRST) + 1
+               AS _line
+    FROM (SELECT order_ref, vendor, item_count, submitted_amount, batch_id,
+                 'vendor_orders_' || substr(batch_id, 7, 4) || '.csv' AS _source_file
+          FROM raw_vendor_orders) t""")
+clone_chain("_landed", "raw_vendor_orders", "raw_vendor_landing")

@@ -405,7 +405,7 @@ def q_outcome_rows(spark, sf):
     return outcome_rows(settled_records(spark, sf))
 
 
-@query("settlement_report", with_ctes("""
+_REPORT_SQL = """
     SELECT batch_id, count(*) AS orders,
            count(*) FILTER (WHERE outcome = 'settled') AS settled,
            count(*) FILTER (WHERE outcome = 'denied') AS denied,
@@ -416,7 +416,10 @@ def q_outcome_rows(spark, sf):
            count(*) FILTER (WHERE decision_source = 'reviewer') AS reviewer,
            count(*) FILTER (WHERE decision_source = 'validation') AS validation,
            count(*) FILTER (WHERE decision_source = 'sla_timeout') AS sla_timeout
-    FROM settled GROUP BY batch_id""", "settled"))
+    FROM {settled} GROUP BY batch_id"""
+
+
+@query("settlement_report", with_ctes(_REPORT_SQL.format(settled="settled"), "settled"))
 def q_settlement_report(spark, sf):
     from vendorlake.operators.settlement import settlement_report
     return settlement_report(settled_records(spark, sf))
@@ -760,7 +763,7 @@ def q_settlements_mart(spark, sf):
     return marts.pricing_summary(stg)
 
 
-@query("settlement_batch")
+@query("settlement_batch", with_ctes(_REPORT_SQL.format(settled="settled_landed"), "settled_landed"))
 def q_settlement_batch(spark, sf):
     return settlement_batch(spark, sf)["report"]
 
@@ -874,7 +877,16 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(ledger).drop("batch_id")
 
 
-@query("stream_order_status")
+@query("stream_order_status", with_ctes("""
+    SELECT r.order_ref,
+           CASE WHEN d.decision IS NULL THEN 'escalated'
+                WHEN d.decision = 'approve' THEN 'settled' ELSE 'denied' END AS outcome,
+           CASE WHEN d.decision IS NULL THEN 'sla_timeout' ELSE 'reviewer' END AS decision_source,
+           CASE WHEN d.decision IS NULL THEN 'no decision within 300s' ELSE d.decision_note END AS note,
+           TIMESTAMP '2024-01-01 00:00:00'
+               + to_milliseconds(CAST(coalesce(d.decision_delay_s, 300) * 1000 AS BIGINT)) AS resolved_at
+    FROM (SELECT DISTINCT order_ref FROM settled WHERE _review) r
+    LEFT JOIN first_decision d ON r.order_ref = d.order_ref""", "settled", "first_decision"))
 def q_stream_order_status(spark, sf):
     from vendorlake.streaming.order_status import review_events, run_order_status
     events = review_events(settled_records(spark, sf), A.decisions(spark, sf))
