@@ -891,3 +891,19 @@ def q_stream_order_status(spark, sf):
     from vendorlake.streaming.order_status import review_events, run_order_status
     events = review_events(settled_records(spark, sf), A.decisions(spark, sf))
     return run_order_status(spark, events)
+
+
+@query("settlement_lifecycle", with_ctes("""
+    SELECT batch_id, order_ref, vendor, _source_file,
+           generate_subscripts(stages, 1) - 1 AS seq, unnest(stages) AS stage
+    FROM (SELECT batch_id, order_ref, vendor, _source_file,
+                 CASE WHEN outcome = 'duplicate' THEN ['received']
+                      WHEN decision_source = 'validation' THEN ['received', 'denied']
+                      WHEN outcome = 'errored' THEN ['received', 'validated']
+                      WHEN decision_source = 'auto' THEN ['received', 'validated', 'enriched', 'priced', 'settled']
+                      ELSE ['received', 'validated', 'enriched', 'priced', 'awaiting_review', outcome] END AS stages
+          FROM settled) t""", "settled"))
+def q_settlement_lifecycle(spark, sf):
+    """Stage transitions of every settled record (the lineage table's source)."""
+    from vendorlake.operators.lineage import settlement_lifecycle
+    return settlement_lifecycle(settled_records(spark, sf))
