@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from vendorlake.model import DEMO_CONTRACTS
-from vendorlake.operators import marts
 from vendorlake.operators.hygiene import apply_hygiene
 from vendorlake.operators.staging import build_staging
 from vendorlake.plans.jobs import InputSpec, JobSpec, run_batch, run_job, run_settlement_batch

@@ -1,6 +1,5 @@
 """Record numbers (for blank order refs -> line-N) stay exact when a CSV file
 is split across many partitions."""
-from pyspark.sql import functions as F
 
 from vendorlake.operators.settlement import split_orders
 from vendorlake.sources.files import list_parts, read_csv_raw
