@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendorlake.model import Entity, entity
-from vendorlake.operators.staging import build_staging
+from vendorlake.operators.staging import staging_exprs
 
 RESULT_COLUMNS = ("model", "column_name", "test_name", "failures")
 
@@ -126,25 +126,49 @@ def failing_groups(results: DataFrame, by: list[str]) -> DataFrame:
                  F.array_join(F.array_sort(F.collect_list(item)), "; ")).alias("reason"))
 
 
-def quality_gate(raw: DataFrame, model, by: str = "_source_file") -> tuple[DataFrame, DataFrame]:
+def quality_gate(raw: DataFrame, model, by: str = "_source_file",
+                 materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """Stage ``raw`` and split it into (good staged rows, rejected groups).
 
     A group (file) is rejected when any cell fails its cast or any data test
     fails within it; the rest of the batch goes on.  Good rows are the
     staged rows of groups not rejected (a left anti join on the group key).
+
+    The cast flags are computed in the same projection as the staging, so
+    the raw input is parsed once; with ``materialize`` that staged frame is
+    written to the shared folder first and every check reads the columnar
+    copy (worth it when the source is CSV).
     """
     ent = _ent(model)
-    casts = cast_gate(raw, ent, [by])
-    cast_rej = casts.groupBy(by).agg(F.concat(
-        F.lit("cast failed: "),
-        F.array_join(F.array_sort(F.collect_list(F.concat(
-            F.col("column_name"), F.lit("="), F.col("bad_cells").cast("string")))), "; ")
-    ).alias("reason"))
-    staged = build_staging(raw, ent, safe=True, keep_lineage=True)
-    test_rej = failing_groups(run_tests(staged, ent, [by]), [by])
-    rejected = (cast_rej.unionByName(test_rej).groupBy(by)
+    typed = [c for c in ent.columns if not c.expr and c.data_type not in ("string", None)
+             and c.name in raw.columns]
+    flags = [f"(`{c.name}` is not null and try_cast(`{c.name}` as {c.data_type}) is null) "
+             f"as `_bad_{c.name}`" for c in typed]
+    staged = raw.selectExpr(*staging_exprs(ent, safe=True, keep=(by,)), *flags)
+    if materialize:
+        from vendorlake.session import materialize as _write
+        staged = _write(staged, "staged")
+    flag_cols = [f"_bad_{c.name}" for c in typed]
+    if typed:
+        counts = staged.groupBy(by).agg(*[F.count_if(F.col(f)).alias(f) for f in flag_cols])
+        item = F.explode(F.array(*[
+            F.struct(F.lit(c.name).alias("column_name"), F.col(f"_bad_{c.name}").alias("bad"))
+            for c in typed]))
+        bad_cells = (counts.select(by, item.alias("_t"))
+                     .select(by, "_t.column_name", "_t.bad").filter(F.col("bad") > 0))
+        cast_rej = bad_cells.groupBy(by).agg(F.concat(
+            F.lit("cast failed: "),
+            F.array_join(F.array_sort(F.collect_list(F.concat(
+                F.col("column_name"), F.lit("="), F.col("bad").cast("string")))), "; ")
+        ).alias("reason"))
+    else:
+        cast_rej = None
+    clean = staged.drop(*flag_cols)
+    test_rej = failing_groups(run_tests(clean, ent, [by]), [by])
+    parts = [test_rej] if cast_rej is None else [cast_rej, test_rej]
+    rejected = (reduce(DataFrame.unionByName, parts).groupBy(by)
                 .agg(F.array_join(F.array_sort(F.collect_list("reason")), " | ").alias("reason")))
-    good = staged.join(rejected.select(by), by, "left_anti")
+    good = clean.join(rejected.select(by), by, "left_anti")
     return good, rejected
 
 

@@ -210,7 +210,7 @@ def run_batch(spark: SparkSession, root: str | DataFrame, consolidate: bool = Tr
             if raw is None:
                 continue
             raw = raw.drop("_block_start", "_mid")
-            good, bad = quality_gate(raw, model)
+            good, bad = quality_gate(raw, model, materialize=True)   # parse the CSV once
             rejected_frames.append(bad.select(F.col("_source_file").alias("file_name"), "reason"))
             tables[model] = good.drop("_source_file")
             for m in selected_models(tuple(f"tag:{t}" for t in spec.select_tags)):
