@@ -202,3 +202,34 @@ def test_discovery_window_and_pattern(spark, landing):
                             "payments_2026-08.csv.gz", "zz_broken.csv"])
     assert discover_files(spark, landing, modified_after="2999-01-01T00:00:00").count() == 0
     assert discover_files(spark, landing, pattern="*.gz").count() == 1
+
+
+def test_json_job_spec_cli(spark, tmp_path, capsys):
+    """A reference-shaped JSON spec runs end to end and reports ETL_RESULT."""
+    import json
+
+    from vendorlake.plans.cli import main
+    drop = tmp_path / "landing"
+    drop.mkdir()
+    (drop / "orders.csv").write_text(ORDERS)
+    spec = {"name": "daily-revenue",
+            "inputs": [{"source": str(drop), "table": "raw.orders", "format": "csv",
+                        "hygiene": {"sanitize_headers": True,
+                                    "require_columns": ["order_id", "customer", "order_date",
+                                                        "amount", "status"]}}],
+            "dbt_args": ["build", "--select", "tag:orders"],
+            "outputs": [{"table": "analytics.daily_revenue",
+                         "destination": str(tmp_path / "daily_revenue.json"), "format": "json"}]}
+    (tmp_path / "spec.json").write_text(json.dumps(spec))
+    assert main(["--spec", str(tmp_path / "spec.json")]) == 0
+    line = [l for l in capsys.readouterr().out.splitlines() if l.startswith("ETL_RESULT ")][-1]
+    result = json.loads(line[len("ETL_RESULT "):])
+    assert result["success"] and result["outputs"][0]["rows"] == 3
+    rows = json.loads(spark.read.text(str(tmp_path / "daily_revenue.json")).first()[0])
+    assert abs(sum(r["total_revenue"] for r in rows) - 666.54) < 0.01
+    # a contract violation is a deterministic rejection
+    spec["inputs"][0]["hygiene"]["require_columns"].append("discount")
+    (tmp_path / "bad.json").write_text(json.dumps(spec))
+    assert main(["--spec", str(tmp_path / "bad.json")]) == 1
+    line = [l for l in capsys.readouterr().out.splitlines() if l.startswith("ETL_RESULT ")][-1]
+    assert "does not satisfy its column contract" in json.loads(line[11:])["error"]
