@@ -233,3 +233,15 @@ def test_json_job_spec_cli(spark, tmp_path, capsys):
     assert main(["--spec", str(tmp_path / "bad.json")]) == 1
     line = [l for l in capsys.readouterr().out.splitlines() if l.startswith("ETL_RESULT ")][-1]
     assert "does not satisfy its column contract" in json.loads(line[11:])["error"]
+
+
+def test_quarantined_files_are_copied_with_reason(spark, landing, tmp_path):
+    from vendorlake.sources.export import quarantine_files
+    from vendorlake.sources.files import list_parts
+    res = run_batch(spark, landing)
+    dest = str(tmp_path / "quarantine")
+    copied = quarantine_files(list_parts(spark, landing), res["ledger"], dest).collect()
+    assert len(copied) == 1 and copied[0].bytes == 200
+    assert (tmp_path / "quarantine" / "zz_broken.csv" / "zz_broken.csv").stat().st_size == 200
+    reason = (tmp_path / "quarantine" / "zz_broken.csv" / "zz_broken.csv.reason.txt").read_text()
+    assert reason == "no route pattern matched"
