@@ -245,3 +245,15 @@ def test_quarantined_files_are_copied_with_reason(spark, landing, tmp_path):
     assert (tmp_path / "quarantine" / "zz_broken.csv" / "zz_broken.csv").stat().st_size == 200
     reason = (tmp_path / "quarantine" / "zz_broken.csv" / "zz_broken.csv.reason.txt").read_text()
     assert reason == "no route pattern matched"
+
+
+def test_ambiguous_headers_fail_the_contract(spark, tmp_path):
+    from vendorlake.sources.files import list_parts, read_csv_raw, split_header
+    assert split_header("Order ID,order id,,Amount") == ["Order ID0", "order id1", "_c2", "Amount"]
+    (tmp_path / "orders_dup.csv").write_text("Order ID,order id,Customer,Order Date,Amount,Status\n"
+                                            "1,1,acme,2026-08-01,1.00,completed\n")
+    rows, rejected = read_csv_raw(spark, list_parts(spark, str(tmp_path)),
+                                  required=["order_id", "customer", "order_date", "amount", "status"])
+    assert rows is None
+    reason = rejected.first().reason
+    assert "missing ['order_id']" in reason and "order_id0" in reason

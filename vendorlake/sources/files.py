@@ -119,10 +119,15 @@ def header_lines(parts: DataFrame) -> DataFrame:
 
 
 def split_header(line: str | None) -> list[str]:
+    """Header names as Spark's CSV reader names them: a blank name becomes
+    ``_c<i>``, and names equal up to case get their position appended
+    (``Order ID,order id`` -> ``Order ID0,order id1``)."""
     import csv
     if not line:
         return []
-    return next(csv.reader([line]))
+    names = [n if n.strip() else f"_c{i}" for i, n in enumerate(next(csv.reader([line])))]
+    lowered = [n.lower() for n in names]
+    return [f"{n}{i}" if lowered.count(n.lower()) > 1 else n for i, n in enumerate(names)]
 
 
 def header_profile(spark: SparkSession, root: str) -> DataFrame:
