@@ -45,3 +45,31 @@ def test_unique_test_with_a_hot_value(spark):
         F.lit(1.0).alias("amount"), F.lit("completed").alias("status"))
     res = {(r.column_name, r.test_name): r.failures for r in run_tests(df, "stg_orders").collect()}
     assert res[("order_id", "unique")] == 1
+
+
+def test_line_numbers_of_a_hot_file_span_partitions(spark):
+    """Range-sorted lines of one file holding a third of all rows are numbered
+    by several tasks and equal a plain row_number over the file."""
+    from pyspark.sql import Window
+
+    from vendorlake.operators.settlement import record_numbers
+    from vendorlake.session import materialize
+
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
+        ((F.col("id") * 7919) % 1000).alias("a"), F.col("id").alias("b"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")      # keep the 8 range partitions of a tiny input
+    try:
+        ordered = materialize(df.orderBy("k", "a", "b").select(
+            "k", "a", "b", F.spark_partition_id().alias("_block_start"),
+            F.monotonically_increasing_id().alias("_mid")), "hot_lines")
+    finally:
+        spark.conf.set(key, "true")
+    assert ordered.filter(F.col("k") == 0).select("_block_start").distinct().count() > 1
+    got = record_numbers(ordered, "k").select("k", "a", "b", "_line")
+    want = df.select("k", "a", "b", (F.row_number().over(
+        Window.partitionBy("k").orderBy("a", "b")) + 1).alias("_line"))
+    assert got.count() == n
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

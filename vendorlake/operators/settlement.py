@@ -51,22 +51,25 @@ def _repr(c: Column) -> Column:
             .otherwise(F.concat(F.lit("'"), c, F.lit("'"))))
 
 
-def record_numbers(df: DataFrame) -> DataFrame:
+def record_numbers(df: DataFrame, group: str = "_source_file") -> DataFrame:
     """Add ``_line`` (CSV record number, header = 1) to a file-source frame.
 
-    Needs ``_source_file``, ``_block_start`` (file split offset) and ``_mid``
-    (``monotonically_increasing_id`` taken at the scan), as produced by
-    ``sources.files.read_csv_raw``.  Rows of one split are contiguous in one
+    Needs ``group`` (the file), ``_block_start`` (file split offset) and
+    ``_mid`` (``monotonically_increasing_id`` taken at the scan), as produced
+    by ``sources.files.read_csv_raw``.  Rows of one split are contiguous in one
     partition, so a record's number is the count of rows in earlier splits of
     its file plus its position in its split.  Only the per-split counts (a
-    small table: one row per file split) are windowed.
+    small table: one row per file split) are windowed, so a huge file is
+    numbered by many tasks.  Any frame range-sorted by (group, order) with
+    ``_block_start = spark_partition_id()`` and ``_mid`` taken after the sort
+    is numbered the same way.
     """
-    blocks = (df.groupBy("_source_file", "_block_start")
+    blocks = (df.groupBy(group, "_block_start")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
-    w = (Window.partitionBy("_source_file").orderBy("_block_start")
+    w = (Window.partitionBy(group).orderBy("_block_start")
          .rowsBetween(Window.unboundedPreceding, -1))
     offs = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (df.join(offs, ["_source_file", "_block_start"])
+    return (df.join(offs, [group, "_block_start"])
             .withColumn("_line", F.col("_before") + F.col("_mid") - F.col("_first") + 2)
             .drop("_n", "_first", "_before"))
 

@@ -6,16 +6,19 @@ blanks, bad numbers) so that every hygiene rule, cast gate and data test has
 work to do.  Every rule here is deterministic so that the DuckDB oracle in
 ``ADAPTER_SQL`` builds the very same rows.
 
-All joins are equi-joins on keys; no adapter uses a window over an unbounded
-group (the only window, the record number inside a vendor file, is
-partitioned by order key - at most a few dozen rows).
+All joins are equi-joins on keys; no adapter uses a window over a data
+group.  The record number inside a vendor file is computed like the file
+reader's (``record_numbers``): a range sort splits even a hot file across
+tasks, and only per-partition counts are windowed.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendorlake.functions.money import MONEY
+from vendorlake.operators.settlement import record_numbers
+from vendorlake.session import materialize
 
 TABLES = ("region nation customer supplier part orders lineitem events "
           "documents embeddings pages benchmark labels conversations").split()
@@ -159,13 +162,21 @@ def raw_vendor_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .when(pk % 137 == 0, F.lit("-5.00"))
                  .when(pk % 149 == 0, F.lit(None).cast("string"))
                  .otherwise(_money_text("l_extendedprice")))
-    w = Window.partitionBy("l_orderkey").orderBy(*VENDOR_ORDER_SORT)
     # Number the records on the raw columns first: the string building below
-    # then runs after the window's shuffle, in parallel tasks, not in the
-    # scan stage.
-    numbered = (l.join(s, l.l_suppkey == s.s_suppkey)
-                .join(o, l.l_orderkey == o.o_orderkey)
-                .withColumn("_rn", F.row_number().over(w)))
+    # then runs after the sort's shuffle, in parallel tasks, not in the scan
+    # stage.  The range sort spreads a hot order key over several partitions;
+    # the sorted lines are written once to the shared folder so that the
+    # per-partition counts and the rows they number come from the same
+    # partitioning (a second evaluation would sample other range bounds).
+    ordered = (l.join(s, l.l_suppkey == s.s_suppkey)
+               .join(o, l.l_orderkey == o.o_orderkey)
+               .orderBy("l_orderkey", *VENDOR_ORDER_SORT)
+               .select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
+                       "l_extendedprice", "s_suppkey", "s_name", "o_orderdate",
+                       F.spark_partition_id().alias("_block_start"),
+                       F.monotonically_increasing_id().alias("_mid")))
+    ordered = materialize(ordered, "vendor_order_lines")
+    numbered = record_numbers(ordered, "l_orderkey")
     return (
         numbered
         .select(
@@ -175,7 +186,7 @@ def raw_vendor_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             submitted.alias("submitted_amount"),
             F.concat(F.lit("vendor_orders_"), F.col("l_orderkey").cast("string"),
                      F.lit(".csv")).alias("_source_file"),
-            (F.col("_rn") + 1).alias("_line"),
+            F.col("_line"),
             F.concat(F.lit("batch-"), F.date_format("o_orderdate", "yyyy-MM")).alias("batch_id"),
         )
     )
