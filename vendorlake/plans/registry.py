@@ -282,10 +282,9 @@ def split_records(spark, sf):
 
 
 def settled_records(spark, sf):
-    # The adapter's numbered lines are already a written table, so the split
-    # records (a projection of it) are not written again before dedupe.
     from vendorlake.operators.settlement import settle
-    return settle(split_records(spark, sf), A.contracts(spark, sf), A.decisions(spark, sf))
+    return settle(split_records(spark, sf), A.contracts(spark, sf), A.decisions(spark, sf),
+                  materialize=True)
 
 
 def _sub(df):
