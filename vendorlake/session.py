@@ -36,13 +36,16 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for written intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only
-    when neither is set - a local test session - is a fresh temporary folder
-    chosen and registered, so that ``DataFrame.checkpoint()`` works too.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  When
+    neither is set, a local master gets a fresh temporary folder, registered so
+    that ``DataFrame.checkpoint()`` works too; any other master raises, since a
+    machine-local folder is not shared by its executors.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="vendorlake-ckpt-")
         sc.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
