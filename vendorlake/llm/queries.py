@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.llm import sharding
+from vendorlake.llm import secrets, sharding
 from vendorlake.llm.common import documents
+from vendorlake.session import scratch_path
 
 SHARDS = 24
 
@@ -18,5 +19,20 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "grown_shard")
 
 
-QUERIES = {"op10_rendezvous_sharding": op10_rendezvous_sharding}
+def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, through a ledger that starts empty."""
+    ledger = secrets.Ledger(spark, scratch_path(spark, "secret-ledger"))
+    found = secrets.scan_versions(documents(spark, sf_dir).select("doc_id", "text"), ledger)
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.BASE_RULES]))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+                        secrets.span_text(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op5_secret_ledger": op5_secret_ledger,
+           "op10_rendezvous_sharding": op10_rendezvous_sharding}
 ORACLE_SQL: dict[str, str] = {}
