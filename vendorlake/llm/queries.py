@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.llm import secrets, sharding
+from vendorlake.llm import quality, secrets, sharding
 from vendorlake.llm.common import documents
 from vendorlake.session import scratch_path
 
@@ -33,6 +33,14 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.span_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op5_secret_ledger": op5_secret_ledger,
+def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, its own failure and the verdict with its host's."""
+    out = quality.judge(documents(spark, sf_dir))
+    return out.select("doc_id", "f.n_words", "f.word_chars", "f.n_symbols", "f.n_dup_lines", "f.n_repeat_words",
+                      "base_failed", "kept", "host", "host_docs", "host_rejected")
+
+
+QUERIES = {"op3_host_quality": op3_host_quality,
+           "op5_secret_ledger": op5_secret_ledger,
            "op10_rendezvous_sharding": op10_rendezvous_sharding}
 ORACLE_SQL: dict[str, str] = {}
