@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.llm import quality, secrets, sharding
+from vendorlake.llm import packing, quality, secrets, sharding
 from vendorlake.llm.common import documents
 from vendorlake.session import scratch_path
 
@@ -40,7 +40,13 @@ def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "host", "host_docs", "host_rejected")
 
 
-QUERIES = {"op3_host_quality": op3_host_quality,
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack(documents(spark, sf_dir))
+
+
+QUERIES = {"op4_best_fit_packing": op4_best_fit_packing,
+           "op3_host_quality": op3_host_quality,
            "op5_secret_ledger": op5_secret_ledger,
            "op10_rendezvous_sharding": op10_rendezvous_sharding}
 ORACLE_SQL: dict[str, str] = {}
