@@ -56,23 +56,23 @@ def utf8(text: Column) -> Column:
 
 
 def number_within(df: DataFrame, group: str, order: Sequence[str], out: str,
-                  buckets: int = 1024) -> DataFrame:
-    """Add ``out``: 0, 1, 2, ... without gaps within each ``group`` (null is a group).
+                  per_bucket: int = 10_000) -> DataFrame:
+    """Add ``out``: 0, 1, 2, ... without gaps within each ``group`` (not null).
 
     A window over a group would put a hot group in one task.  Rows are numbered
-    in hash buckets of the order columns instead, and a bucket starts where the
-    counts of the earlier buckets of its group end: at most ``buckets`` count
-    rows per group.  ``df`` must be stable (stashed); equal rows may swap numbers.
+    in hash buckets of the order columns instead (more buckets for more rows),
+    and a bucket starts where the counts of the earlier buckets of its group
+    end.  The buckets depend on the rows' values alone, so a recomputation
+    gives the same numbers; equal rows may swap theirs.
     """
-    b, base, n = fresh(df, "_bucket"), fresh(df, "_base"), fresh(df, "_n")
-    g = fresh(df, "_group")
-    rows = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy(F.col(group).alias(g), b).agg(F.count(F.lit(1)).alias(n))
-    before = Window.partitionBy(g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(g, F.col(b).alias(b + "2"),
-                          F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    b, base, n, g, b2 = (fresh(df, x) for x in ("_bucket", "_base", "_n", "_group", "_bucket2"))
+    buckets = max(1024, df.count() // per_bucket)
+    rows = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    counts = rows.groupBy(F.col(group).alias(g), F.col(b).alias(b2)).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(g).orderBy(b2).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(g, b2, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
     in_bucket = Window.partitionBy(group, b).orderBy(*order)
     numbered = rows.withColumn(n, F.row_number().over(in_bucket))
-    return (numbered.join(bases, F.col(group).eqNullSafe(F.col(g)) & (F.col(b) == F.col(b + "2")))
+    return (numbered.join(bases, (F.col(group) == F.col(g)) & (F.col(b) == F.col(b2)))
             .withColumn(out, F.col(base) + F.col(n) - 1)
             .select(*df.columns, out))

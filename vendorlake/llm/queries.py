@@ -4,11 +4,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.llm import packing, quality, secrets, sharding
+from vendorlake.llm import mixing, packing, quality, secrets, sharding
 from vendorlake.llm.common import documents
 from vendorlake.session import scratch_path
 
 SHARDS = 24
+#: Parts of the mix per source; what is not named shares the parts of mixing.OTHER.
+TARGETS = {"src0": 12, **{f"src{i}": 3 + i % 4 for i in range(1, 20)}, mixing.OTHER: 4}
 
 
 def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_best_fit_packing": op4_best_fit_packing,
+def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the mix of the sources."""
+    return mixing.positions(documents(spark, sf_dir).select("doc_id", "source"), TARGETS, key="doc_id")
+
+
+QUERIES = {"op2_pfair_mixing": op2_pfair_mixing,
+           "op4_best_fit_packing": op4_best_fit_packing,
            "op3_host_quality": op3_host_quality,
            "op5_secret_ledger": op5_secret_ledger,
            "op10_rendezvous_sharding": op10_rendezvous_sharding}
