@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.llm import mixing, packing, quality, secrets, sharding
+from vendorlake.llm import minhash, mixing, packing, quality, secrets, sharding
 from vendorlake.llm.common import documents
 from vendorlake.session import scratch_path
 
@@ -52,7 +52,13 @@ def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.positions(documents(spark, sf_dir).select("doc_id", "source"), TARGETS, key="doc_id")
 
 
-QUERIES = {"op2_pfair_mixing": op2_pfair_mixing,
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies, on 4-word shingles."""
+    return minhash.near_duplicates(documents(spark, sf_dir), k=4).drop("component", "tkey")
+
+
+QUERIES = {"op7_minhash_near_dedup": op7_minhash_near_dedup,
+           "op2_pfair_mixing": op2_pfair_mixing,
            "op4_best_fit_packing": op4_best_fit_packing,
            "op3_host_quality": op3_host_quality,
            "op5_secret_ledger": op5_secret_ledger,
