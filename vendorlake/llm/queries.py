@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.llm import minhash, mixing, packing, quality, secrets, sharding
+from vendorlake.llm import linededup, minhash, mixing, packing, quality, secrets, sharding
 from vendorlake.llm.common import documents
 from vendorlake.session import scratch_path
 
@@ -57,7 +57,13 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), k=4).drop("component", "tkey")
 
 
-QUERIES = {"op7_minhash_near_dedup": op7_minhash_near_dedup,
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document that no earlier line resembles."""
+    return linededup.line_report(documents(spark, sf_dir))
+
+
+QUERIES = {"op8_line_dedup": op8_line_dedup,
+           "op7_minhash_near_dedup": op7_minhash_near_dedup,
            "op2_pfair_mixing": op2_pfair_mixing,
            "op4_best_fit_packing": op4_best_fit_packing,
            "op3_host_quality": op3_host_quality,

@@ -56,9 +56,9 @@ def blob_id(text: Column) -> Column:
 
 
 class Ledger:
-    """Two append-only tables in one folder.  A run writes its findings first
-    and its scanned pairs last; findings of a run without pairs never count, so
-    a run that died is simply repeated."""
+    """Append-only tables in one folder.  A run writes its findings and its
+    scanned pairs, and then one row in ``runs``; rows of a run that is not there
+    never count, so a run that died is simply repeated."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -70,16 +70,20 @@ class Ledger:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
 
+    def _committed(self, table: str, schema: str) -> DataFrame:
+        # a row per scan ever made: small enough for the planner to broadcast
+        return self._read(table, schema).join(self._read("runs", "run string"), "run", "left_semi")
+
     def pairs(self) -> DataFrame:
-        return self._read("pairs", _PAIRS)
+        return self._committed("pairs", _PAIRS)
 
     def findings(self) -> DataFrame:
-        runs = self.pairs().select("run").distinct()
-        return self._read("findings", _FINDINGS).join(runs, "run", "left_semi")
+        return self._committed("findings", _FINDINGS)
 
     def append(self, pairs: DataFrame, findings: DataFrame, run: str) -> None:
         findings.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{self.folder}/findings")
         pairs.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{self.folder}/pairs")
+        self.spark.range(1).select(F.lit(run).alias("run")).coalesce(1).write.mode("append").parquet(f"{self.folder}/runs")
 
 
 def _matches(text: Column, rule: Rule, due: Column) -> Column:
