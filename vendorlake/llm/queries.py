@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.llm import linededup, minhash, mixing, packing, quality, secrets, sharding
+from vendorlake.llm import linededup, minhash, mixing, packing, quality, secrets, sharding, substrings
 from vendorlake.llm.common import documents
 from vendorlake.session import scratch_path
 
@@ -62,7 +62,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(documents(spark, sf_dir))
 
 
-QUERIES = {"op8_line_dedup": op8_line_dedup,
+def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated passages."""
+    return substrings.removal_report(documents(spark, sf_dir))
+
+
+QUERIES = {"op9_debruijn_dedup": op9_debruijn_dedup,
+           "op8_line_dedup": op8_line_dedup,
            "op7_minhash_near_dedup": op7_minhash_near_dedup,
            "op2_pfair_mixing": op2_pfair_mixing,
            "op4_best_fit_packing": op4_best_fit_packing,
