@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.llm import linededup, minhash, mixing, packing, quality, secrets, sharding, substrings
+from vendorlake.llm import linededup, lmscore, minhash, mixing, packing, quality, secrets, sharding, substrings
 from vendorlake.llm.common import documents
 from vendorlake.session import scratch_path
 
@@ -67,7 +67,13 @@ def op9_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(documents(spark, sf_dir))
 
 
-QUERIES = {"op9_debruijn_dedup": op9_debruijn_dedup,
+def op6_bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document, learned from six sevenths of them."""
+    return lmscore.score_documents(documents(spark, sf_dir))
+
+
+QUERIES = {"op6_bloom_lm_scores": op6_bloom_lm_scores,
+           "op9_debruijn_dedup": op9_debruijn_dedup,
            "op8_line_dedup": op8_line_dedup,
            "op7_minhash_near_dedup": op7_minhash_near_dedup,
            "op2_pfair_mixing": op2_pfair_mixing,
