@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.llm import linededup, lmscore, minhash, mixing, packing, quality, secrets, sharding, substrings
+from vendorlake.llm import linededup, lmscore, minhash, mixing, packing, quality, search, secrets, sharding, substrings
 from vendorlake.llm.common import documents
 from vendorlake.session import scratch_path
 
@@ -72,7 +72,13 @@ def op6_bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_documents(documents(spark, sf_dir))
 
 
-QUERIES = {"op6_bloom_lm_scores": op6_bloom_lm_scores,
+def op1_bmw_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 20."""
+    return search.search_documents(documents(spark, sf_dir), F.col("doc_id") % 20 == 0)
+
+
+QUERIES = {"op1_bmw_bm25_search": op1_bmw_bm25_search,
+           "op6_bloom_lm_scores": op6_bloom_lm_scores,
            "op9_debruijn_dedup": op9_debruijn_dedup,
            "op8_line_dedup": op8_line_dedup,
            "op7_minhash_near_dedup": op7_minhash_near_dedup,
