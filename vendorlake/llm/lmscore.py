@@ -259,7 +259,7 @@ def _score(shared: Broadcast, first_part: bool, total: int, mu: float):
                 p = (c + 1) / total
 
                 def by_text(values: np.ndarray, which: np.ndarray) -> np.ndarray:
-                    return np.bincount(t.owner[which], values[which], minlength=n)
+                    return np.bincount(t.owner[which], values[which], minlength=n).astype(np.float64)
 
                 once = frequent & first_part
                 rare = np.flatnonzero(~frequent & (ours | first_part))
@@ -272,8 +272,8 @@ def _score(shared: Broadcast, first_part: bool, total: int, mu: float):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("tkey").slice(at, n), pa.array(t.counts * int(first_part), pa.int64()),
                      pa.array(by_text(np.ones(len(key)), once & (c > 0)).astype(np.int64)),
-                     pa.array(by_text(np.log10(p), once)),
-                     pa.array(by_text(np.log10(seen + rest * p), frequent & ours)),
+                     pa.array(by_text(np.log10(p), once), pa.float64()),
+                     pa.array(by_text(np.log10(seen + rest * p), frequent & ours), pa.float64()),
                      pa.ListArray.from_arrays(pa.array(ends), tail)],
                     names=["tkey", "n_tokens", "known", "base", "score", "tail"])
     return run

@@ -231,12 +231,12 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """One document of each component (of those with the least key, the least
     text hash), with its columns as they were.  Documents without words stay."""
     found = near_duplicates(docs, key, text, k, percent)
-    kt, tt = fresh(docs, "_key"), fresh(docs, "_tkey")
+    kt, tt, k2, t2 = (fresh(docs, x) for x in ("_key", "_tkey", "_key2", "_tkey2"))
     marked = (docs.withColumn(kt, F.coalesce(F.col(key).cast("long"), F.lit(2 ** 63 - 1)))
               .withColumn(tt, F.unhex(F.md5(utf8(F.col(text))))))
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     stay = stash(found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(
-        F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("_k"), F.col("tkey").alias("_t"))).alias("x")).select("x.*"), "stay")
-    one = (marked.where(~wordless).join(stay, (F.col(kt) == F.col("_k")) & (F.col(tt) == F.col("_t")), "left_semi")
+        F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias(k2), F.col("tkey").alias(t2))).alias("x")).select("x.*"), "stay")
+    one = (marked.where(~wordless).join(stay, (F.col(kt) == F.col(k2)) & (F.col(tt) == F.col(t2)), "left_semi")
            .dropDuplicates([kt, tt]))
     return one.select(*docs.columns).unionByName(docs.where(wordless))

@@ -96,13 +96,15 @@ def _placed(rows: DataFrame, targets: Mapping[str, int], source: str, key: str,
     if len(pattern) > MAX_PATTERN:
         raise ValueError(f"the schedule has {len(pattern)} rows; use smaller parts")
     spark = rows.sparkSession
+    c = {x: fresh(rows, f"_{x}") for x in ("s", "first", "until", "i", "start", "w", "total")}
     pat = F.broadcast(spark.createDataFrame(
-        pattern, "_s string, _first bigint, _until bigint, _i bigint, _slot bigint, _w bigint, _total bigint"))
+        pattern, ", ".join(f"{c[x]} {'string' if x == 's' else 'bigint'}" for x in c)))
     numbered = number_within(pooled, pool, [key], rank)
     nth = F.floor(F.col(rank) / block)
-    at = numbered.join(pat, (F.col(pool) == F.col("_s")) & (nth >= F.col("_first")) & (nth < F.col("_until"))
-                       & ((nth - F.col("_first")) % F.col("_w") == F.col("_i")))
-    at = at.withColumn(slot, F.col("_slot") + F.floor((nth - F.col("_first")) / F.col("_w")) * F.col("_total"))
+    since = nth - F.col(c["first"])
+    at = numbered.join(pat, (F.col(pool) == F.col(c["s"])) & (nth >= F.col(c["first"])) & (nth < F.col(c["until"]))
+                       & (since % F.col(c["w"]) == F.col(c["i"])))
+    at = at.withColumn(slot, F.col(c["start"]) + F.floor(since / F.col(c["w"])) * F.col(c["total"]))
     # only the last block of a source is short: later slots move up by what it lacks
     short = [(slot_of(phases, s, blocks[s] - 1), blocks[s] * block - n) for s, n in counts.items()]
     lacking = F.lit(0).cast("long")
