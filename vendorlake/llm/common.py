@@ -28,6 +28,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def few(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """``df`` in fewer tasks, where its number of rows (known beforehand, at most
+    ``rows``) does not need as many as a shuffle has by default."""
+    return df.coalesce(max(8, -(-rows // per_task)))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the written copies behind ``stash`` results no longer needed."""
     for df in frames:

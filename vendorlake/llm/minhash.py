@@ -6,8 +6,11 @@ candidates, checked by signature and then on the full sets; the links are
 joined into components by alternating large-star and small-star.
 
 A bucket of n classes never becomes n^2 pairs: all are compared with its least
-member, and only pairs that are then still in different components are compared
-among themselves, which loses no component.
+member.  Buckets that then still hold several components are joined into
+clusters, and a cluster is checked block against block: the exact sizes of all
+common sets come from products of 0/1 matrices inside a task, which sends on
+only the links that join components.  So no component is lost, and no pairs are
+written that link nothing.
 """
 from __future__ import annotations
 
@@ -29,8 +32,9 @@ BANDS = HASHES // ROWS
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2 ** 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2 ** 63, HASHES, np.uint64)
-#: Rounds in which the members of a bucket meet its least member, before what is left is paired off.
-STAR_ROUNDS = 3
+#: Texts of a cluster that are checked against as many others in one task.
+BLOCK = 1000
+_COLUMNS = 4096
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -149,48 +153,123 @@ def _near_lengths(percent: int, x: str, y: str):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each class of a bucket with the bucket's least class."""
+    leads = stash(members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead")), "leads")
+    return stash(members.join(leads, "bucket")
+                 .where((F.col("node") != F.col("lead.node")) & _near_lengths(percent, "n", "lead.n"))
+                 .select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+
+
+def _clusters(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, component, cluster, block, blocks) of the classes in buckets with
+    several components; components that share such a bucket share a cluster."""
+    now = stash(members.join(labels, "node", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("component")), "now")
+    several = stash(now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                    .where("lo <> hi"), "open")
+    left = stash(now.join(several.select("bucket", "lo"), "bucket").select("node", "component", "lo").distinct(), "left")
+    clusters = stash(components(left, "lo", "component").toDF("component", "cluster"), "clusters")
+    nodes = stash(left.select("node", "component").distinct().join(clusters, "component"), "nodes")
+    sizes = stash(nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "sizes")
+    discard(now, several)
+    return nodes.join(sizes, "cluster").select(
+        "node", "component", "cluster", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
+
+
+def common_sizes(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The number of common values of each set in x with each in y, exactly."""
+    flat_x, flat_y = (np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (x, y))
+    row_x, row_y = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y))
+    shared = np.intersect1d(flat_x, flat_y)
+    out = np.zeros((len(x), len(y)), np.float32)         # counts below 2**24 are exact; longer sets use float64
+    if max(map(len, x + y), default=0) >= 1 << 24:
+        out = out.astype(np.float64)
+    for lo in range(0, len(shared), _COLUMNS):
+        part = shared[lo:lo + _COLUMNS]
+
+        def dense(flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[at] == flat
+            m = np.zeros((n, len(part)), out.dtype)
+            m[row[hit], at[hit]] = 1
+            return m
+
+        out += dense(flat_x, row_x, len(x)) @ dense(flat_y, row_y, len(y)).T
+    return out
+
+
+def _joining_links(nodes: list[int], components_: list[int], blocks: list[int], sets: list[np.ndarray],
+                   percent: int) -> list[tuple[int, int]]:
+    """Links between different components of a pair of blocks (or one), as few as join them."""
+    first = [i for i in range(len(nodes)) if blocks[i] == blocks[0]]
+    second = [i for i in range(len(nodes)) if blocks[i] != blocks[0]] or first
+    both = common_sizes([sets[i] for i in first], [sets[i] for i in second])
+    size_x, size_y = (np.array([len(sets[i]) for i in s], np.float64) for s in (first, second))
+    label = np.array(components_)
+    similar = (100 * both >= percent * (size_x[:, None] + size_y[None, :] - both)) & \
+        (label[first][:, None] != label[second][None, :])
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(similar)):
+        a, b = find(components_[first[i]]), find(components_[second[j]])
+        if a != b:
+            root[a] = b
+            out.append((nodes[first[i]], nodes[second[j]]))
+    return out
+
+
+def _check_blocks(k: int, percent: int):
+    """Rows (cluster, i, j, node, component, block, body), the rows of a pair of
+    blocks one after another: the links that join components."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        now, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            nodes, labels, blocks, sets = (list(x) for x in zip(*held))
+            links = _joining_links(nodes, labels, blocks, sets, percent) if len(set(labels)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            values = zip(*(batch.column(i).to_pylist() for i in range(3, 6)))
+            for key, value, body in zip(keys, values, batch.column("body")):
+                if key != now:
+                    if held:
+                        yield flush()
+                    now, held = key, []
+                text = pa.array([expand(body.as_py()).decode()], pa.large_string())
+                held.append((*value, shingle_sets(text, k)[0]))
+        if held:
+            yield flush()
+    return run
+
+
+def _cluster_links(clusters: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links between the components of a cluster, from all pairs of its blocks."""
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
+        F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    rows = clusters.select("cluster", F.explode(pairs).alias("p"), "node", "component", "block").join(bodies, "node")
+    key = ["cluster", "i", "j"]
+    return (rows.select("cluster", "p.i", "p.j", "node", "component", "block", "body")
+            .repartition(*key).sortWithinPartitions(*key, "block")
+            .mapInArrow(_check_blocks(k, percent), "a bigint, b bigint"))
+
+
 def _labels(members: DataFrame, classes: DataFrame, bodies: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of the linked nodes."""
-    spark = members.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    labels = spark.createDataFrame([], "node bigint, component bigint")
-    left = stash(members.withColumn("component", F.col("node")), "left")
-    for turn in range(STAR_ROUNDS):
-        # each bucket's lead: least of all, by another order in every round
-        order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        leads = stash(left.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "component"), order).alias("lead")), "leads")
-        pairs = (left.join(leads, "bucket")
-                 .where((F.col("component") != F.col("lead.component")) & _near_lengths(percent, "n", "lead.n"))
-                 .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
-        found = _links(stash(pairs, "pairs"), classes, bodies, k, percent)
-        links = stash(links.union(found), "all-links")
-        labels = stash(components(links), "labels")
-        left, pairs_left, rows = _unresolved(members, labels)
-        if pairs_left <= 8 * rows:
-            break
-    if pairs_left:
-        x, y = left.alias("x"), left.alias("y")
-        pairs = x.join(y, "bucket").where(
-            (F.col("x.component") < F.col("y.component")) & _near_lengths(percent, "x.n", "y.n")).select(
-            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        found = _links(stash(pairs, "pairs"), classes, bodies, k, percent)
-        labels = stash(components(links.union(found)), "labels")
-    return labels
-
-
-def _unresolved(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
-    """The members of buckets that still hold several components, and how many
-    pairs of different components they have."""
-    now = stash(members.join(labels, "node", "left")
-                .withColumn("component", F.coalesce("component", "node")), "now")
-    open_buckets = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo <> hi").select("bucket")
-    left = stash(now.join(stash(open_buckets, "open"), "bucket").select("bucket", "node", "n", "component"), "left")
-    sizes = left.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    row = sizes.groupBy("bucket").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc")) \
-        .agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-    discard(now)
-    return left, int(row.pairs or 0), int(row.rows or 0)
+    links = _links(_star_pairs(members, percent), classes, bodies, k, percent)
+    labels = stash(components(links), "labels")
+    more = _cluster_links(_clusters(members, labels), bodies, k, percent)
+    # components that the clusters join: links between links
+    return stash(components(links.union(stash(more, "more"))), "labels")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
