@@ -185,15 +185,15 @@ class Repeats:
         return self.listed.select("tid", F.explode(each).alias("x")).select("tid", "x.*")
 
     def edges(self) -> DataFrame:
-        def bits(c: str) -> Column:
-            return F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+        def mark(c: str) -> Column:                  # 16 bits tell neighbours apart well enough
+            return F.col(c).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
-        both = F.shiftleft(bits("prev"), 32).bitwiseOR(bits("next"))
+        both = F.shiftleft(mark("prev"), 16).bitwiseOR(mark("next"))
         counted = (self.occurrences().select("edge", "check", both.alias("both")).groupBy("edge", "check")
                    .agg(F.count(F.lit(1)).alias("n"), F.bit_and("both").alias("all"), F.bit_or("both").alias("any")).where("n > 1"))
         differ = F.col("all").bitwiseXOR(F.col("any"))
-        return counted.select("edge", "check", "n", (F.shiftrightunsigned(differ, 32) == 0).alias("in_one"),
-                              (differ.bitwiseAND(F.lit(0xFFFFFFFF)) == 0).alias("out_one"))
+        return counted.select("edge", "check", "n", (F.shiftrightunsigned(differ, 16) == 0).alias("in_one"),
+                              (differ.bitwiseAND(F.lit(0xFFFF)) == 0).alias("out_one"))
 
     def paths(self) -> DataFrame:
         """(tid, spans): the compacted paths on their source texts; a span has path,
