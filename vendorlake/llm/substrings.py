@@ -22,14 +22,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vendorlake.llm import textops
+from vendorlake.llm import sift, textops
 from vendorlake.llm.common import discard, stash, utf8
 
 SPAN = 35
 SEED = 8
-#: Bits of the sift: 32 for each repeated seed, within these bounds (at most 128 MB).
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
-_SEGMENT = 1 << 15
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -67,47 +64,16 @@ def _first_pass(span: int):
     return run
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(segment, its bits) from rows (segment, bit) sorted by segment."""
-    now, bits = None, None
-    for batch in batches:
-        seg, bit = (batch.column(i).to_numpy() for i in range(2))
-        for s in np.unique(seg):
-            if s != now:
-                if now is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["s", "bits"])
-                now, bits = int(s), np.zeros(_SEGMENT, bool)
-            bits[bit[seg == s]] = True
-    if now is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["s", "bits"])
-
-
-def _sift(seeds: DataFrame, count: int) -> np.ndarray:
-    """The bit map of the repeated seeds, built in segments by the tasks."""
-    size = MIN_BITS
-    while size < min(32 * count, MAX_BITS):
-        size *= 2
-    cell = F.pmod(F.col("seed"), F.lit(size))
-    rows = (seeds.select(F.floor(cell / _SEGMENT).cast("int").alias("s"), (cell % _SEGMENT).cast("int").alias("bit"))
-            .repartition("s").sortWithinPartitions("s").mapInArrow(_segments, "s bigint, bits binary"))
-    bits = np.zeros(size // 8, np.uint8)
-    for row in rows.toLocalIterator():                   # at most MAX_BITS / 8 bytes in all
-        bits[row.s * _SEGMENT // 8:(row.s + 1) * _SEGMENT // 8] = np.frombuffer(row.bits, np.uint8)
-    return bits
-
-
 def _listed(span: int, shared: Broadcast):
     """Per text with sifted runs: their places, hashes and check hashes, and the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sift = shared.value
-        mask = np.uint64(len(sift) * 8 - 1)
+        bits = shared.value
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for first, texts in textops.pieces(batch.column("text")):
                 words = textops.Words(texts)
                 at, edge, _, seed = _seeds(words, span)
-                cell = seed & mask
-                hit = (sift[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                hit = sift.passes(bits, seed.view(np.int64))
                 at, edge = at[hit], edge[hit]
                 check = textops.rolling(textops.mix(words.hashes ^ _OTHER), span)[at] if len(at) else edge
                 ends = np.searchsorted(at, words.first)
@@ -166,12 +132,12 @@ class Repeats:
             .select("tkey", "copies", "x.*"), "texts")
         seeds = stash(self.texts.select(F.explode("seeds").alias("seed")).groupBy("seed")
                       .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed"), "seeds")
-        sift = spark.sparkContext.broadcast(_sift(seeds, seeds.count()))
+        bits = spark.sparkContext.broadcast(sift.build(seeds, "seed", seeds.count()))
         discard(seeds)
         self.listed = stash(
-            rows.mapInArrow(_listed(span, sift), "tkey binary, place array<int>, edge array<bigint>, check array<int>, body binary")
+            rows.mapInArrow(_listed(span, bits), "tkey binary, place array<int>, edge array<bigint>, check array<int>, body binary")
             .dropDuplicates(["tkey"]).withColumn("tid", F.monotonically_increasing_id()), "listed")
-        sift.unpersist()
+        bits.unpersist()
 
     def occurrences(self) -> DataFrame:
         """(tid, place, edge, check, prev, next): neighbours are 0 where not listed."""
