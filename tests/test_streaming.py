@@ -9,13 +9,13 @@ from vendorlake.streaming.order_status import review_events, run_order_status
 def test_stream_order_status_equals_batch(spark, sf):
     settled = R.settled_records(spark, sf)
     events = review_events(settled, A.decisions(spark, sf))
-    stream = {(r.order_ref, r.outcome, r.decision_source)
+    stream = {(r.batch_id, r.vendor, r.order_ref, r.outcome, r.decision_source)
               for r in run_order_status(spark, events).collect()}
-    batch = {(r.order_ref, r.outcome, r.decision_source)
+    batch = {(r.batch_id, r.vendor, r.order_ref, r.outcome, r.decision_source)
              for r in settled.filter(F.col("_review")).select(
-                 "order_ref", "outcome", "decision_source").distinct().collect()}
+                 "batch_id", "vendor", "order_ref", "outcome", "decision_source").distinct().collect()}
     assert stream == batch
-    assert {s for _, _, s in stream} == {"reviewer", "sla_timeout"}
+    assert {r[-1] for r in stream} == {"reviewer", "sla_timeout"}
 
 
 def test_stream_ingest_equals_batch(spark, sf):
@@ -28,3 +28,37 @@ def test_stream_ingest_equals_batch(spark, sf):
     streamed = sorted(tuple(r) for r in spark.read.parquet(ledger).select(*cols).collect())
     batch = sorted(tuple(r) for r in run_batch(spark, root)["ledger"].select(*cols).collect())
     assert streamed == batch
+
+
+def test_order_status_with_late_and_orphan_signals(spark, tmp_path):
+    """Three micro-batches: a decision when the timer is due, a decision for an
+    order never in review; no state is left once the watermark has passed."""
+    import datetime as dt
+    from vendorlake.streaming.order_status import order_status
+    t0 = dt.datetime(2024, 1, 1)
+    schema = ("batch_id string, vendor string, order_ref string, kind string, ts timestamp, decision string, "
+              "note string, decision_id long")
+
+    def event(vendor, ref, kind, seconds, decision=None, did=None):
+        return ("b", vendor, ref, kind, t0 + dt.timedelta(seconds=seconds), decision, "n", did)
+
+    turns = [
+        [event("acme", "A", "opened", 0), event("globex", "A", "opened", 0), event("acme", "A", "decision", 10, "approve", 1),
+         event("acme", "orphan", "decision", 20, "approve", 2)],
+        [event("acme", "tick", "tick", 400)],
+        [event("globex", "A", "decision", 399, "approve", 3), event("acme", "tick2", "tick", 5000)],
+        [event("acme", "tick3", "tick", 9000)],
+        [event("acme", "tick4", "tick", 9001)],
+    ]
+    src, out, ckpt = (str(tmp_path / x) for x in ("src", "out", "ckpt"))
+    for turn in turns:
+        spark.createDataFrame(turn, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        q = (order_status(stream).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert q.exception() is None
+    got = sorted((r.vendor, r.order_ref, r.outcome, r.decision_source) for r in spark.read.parquet(out).collect())
+    assert got == [("acme", "A", "settled", "reviewer"), ("globex", "A", "escalated", "sla_timeout")]
+    left = [s["numRowsTotal"] for s in q.lastProgress["stateOperators"]]
+    assert sum(left) <= 2                     # the last ticks only

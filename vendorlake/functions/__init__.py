@@ -7,4 +7,4 @@ from vendorlake.functions.names import (  # noqa: F401
     sanitize_col,
     sanitize_header,
 )
-from vendorlake.functions.money import exact_sum, money, round_money  # noqa: F401
+from vendorlake.functions.money import exact_total, money_difference, money_sum  # noqa: F401

@@ -1,9 +1,9 @@
 """Exact money arithmetic.
 
-Amounts are carried as ``decimal(18,2)`` and rates as ``decimal(10,4)`` so
-that sums and prices are exact and identical on every engine and at every
-partitioning (double sums depend on the order partial aggregates combine).
-Results are cast to double only at the end, as the canonical model declares.
+Sums are taken in decimal at the amounts' own scale and rounded, if at all,
+only once, at the end: exact, and the same at every partitioning (double sums
+depend on the order partial aggregates combine).  Amounts beyond the decimal's
+range, and NaN, turn the sum into the plain double sum, so they show.
 """
 from __future__ import annotations
 
@@ -11,20 +11,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+WIDE = "decimal(38,12)"
 RATE = "decimal(10,4)"
-AMOUNT_IN = "decimal(20,6)"
+AMOUNT_IN = "decimal(38,10)"
 
 
-def money(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return c.cast(MONEY)
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def round_money(c: Column, scale: int = 2) -> Column:
-    """Half-up rounding of a decimal, returned as double."""
-    return F.round(c, scale).cast("double")
+def exact_total(c: Column | str) -> Column:
+    """Aggregate: the sum in decimal; NULL where an amount does not fit it."""
+    c = _col(c)
+    wide = c.try_cast(WIDE)
+    return F.when(F.count_if(c.isNotNull() & wide.isNull()) == 0, F.try_sum(wide))
 
 
-def exact_sum(c: Column | str) -> Column:
-    """Sum of a double money column, computed exactly in decimal."""
-    return F.sum(money(c))
+def money_sum(c: Column | str, scale: int | None = None) -> Column:
+    """Aggregate: the sum as double, rounded half up to ``scale`` if given."""
+    total, plain = exact_total(c), F.sum(_col(c).cast("double"))
+    if scale is not None:
+        total, plain = F.round(total, scale), F.round(plain, scale)
+    return F.coalesce(total.cast("double"), plain)
+
+
+def money_difference(a: Column | str, b: Column | str, scale: int) -> Column:
+    """Aggregate: sum(a) - sum(b) as double, rounded once."""
+    exact = F.round(exact_total(a) - exact_total(b), scale).cast("double")
+    return F.coalesce(exact, F.round(F.sum(_col(a).cast("double")) - F.sum(_col(b).cast("double")), scale))

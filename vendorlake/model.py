@@ -181,28 +181,5 @@ REMIT_COLUMNS = (
     "payable_amount", "note",
 )
 
-OUTCOMES = ("settled", "denied", "escalated", "duplicate", "errored")
-DECISION_SOURCES = ("auto", "reviewer", "validation", "sla_timeout")
-
-# Lifecycle stages (order lifecycle, then batch lifecycle).
-STAGES = (
-    "received", "validated", "enriched", "priced", "awaiting_review",
-    "settled", "denied", "escalated",
-    "ingesting", "pricing", "remitting", "analytics", "complete",
-)
-
-# Demo contracts of the settlement fixture: vendor -> (unit_rate, discount_pct).
-DEMO_CONTRACTS = {
-    "acme": (40.0, 5.0),
-    "globex": (25.0, 0.0),
-    "initech": (12.5, 10.0),
-}
-
-MAX_INLINE_ROWS = 100_000          # json export cap
-MAX_INLINE_BYTES = 5 * 1024 ** 2   # inline validation cap
-PREPROCESS_MAX_DECOMPRESSED = 1 * 1024 ** 3
-SPLIT_MAX_BYTES = 8 * 1024 ** 2    # optional per-file cap of split_orders
-SPLIT_MAX_RECORDS = 2000           # optional per-file cap of split_orders
-QUARANTINE_REASON_CHARS = 1024
-RESULT_ERROR_CHARS = 500
+MAX_INLINE_ROWS = 100_000          # rows of a json document, which is opt-in
 DEFAULT_PATTERN = "*.csv*"

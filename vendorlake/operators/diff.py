@@ -19,17 +19,19 @@ def capped_result(df: DataFrame, cap: int = MAX_INLINE_ROWS, name: str = "result
     """
     n = df.limit(cap + 1).count()
     if n > cap:
-        raise ResultTooLarge(f"{name} has more than {cap} rows; json outputs are capped at "
-                             f"{cap} (use format=parquet for large outputs)")
+        raise ResultTooLarge(f"{name}: over {cap} rows, too many for one json document; write it as parquet")
     return df
 
 
 def table_diff(new: DataFrame, old: DataFrame) -> DataFrame:
     """Rows only in ``new`` / only in ``old`` (multiset difference), tagged.
 
-    ``exceptAll`` both ways: each side is shuffled once on all columns.
+    One union and one aggregate: a row counts +1 in ``new`` and -1 in ``old``,
+    and what is left of the sum is repeated that many times.
     """
     cols = new.columns
-    old = old.select(*cols)
-    return (new.exceptAll(old).withColumn("side", F.lit("only_new"))
-            .unionByName(old.exceptAll(new).withColumn("side", F.lit("only_old"))))
+    n, side = "_n", "side"
+    sums = (new.withColumn(n, F.lit(1)).unionByName(old.select(*cols).withColumn(n, F.lit(-1)))
+            .groupBy(*cols).agg(F.sum(n).cast("int").alias(n)).filter(F.col(n) != 0))
+    left = sums.withColumn(side, F.when(F.col(n) > 0, "only_new").otherwise("only_old"))
+    return left.withColumn(n, F.explode(F.array_repeat(F.lit(0), F.abs(n)))).select(*cols, side)

@@ -28,13 +28,26 @@ def sanitize_headers(df: DataFrame) -> DataFrame:
 
 
 def alias_map(aliases: Mapping[str, Iterable[str]]) -> dict[str, str]:
-    """variant (sanitized) -> canonical; a variant claimed twice: last wins."""
-    return {sanitize_header(v): canon for canon, variants in aliases.items() for v in variants}
+    """Each variant's sanitized form and the canonical name it stands for.
+
+    Entries apply in order, so the last canonical name that claims a variant
+    gets it.
+    """
+    mapping: dict[str, str] = {}
+    for canonical in aliases:
+        mapping.update(dict.fromkeys(map(sanitize_header, aliases[canonical]), canonical))
+    return mapping
 
 
 def alias_columns(df: DataFrame, aliases: Mapping[str, Iterable[str]]) -> DataFrame:
+    """Variants take their canonical names; two columns that come to one name are
+    a deterministic rejection."""
     mapping = alias_map(aliases)
-    return _rename(df, lambda c: mapping.get(c, c))
+    renamed = _rename(df, lambda c: mapping.get(c, c))
+    twice = sorted({c for c in renamed.columns if renamed.columns.count(c) > 1})
+    if twice:
+        raise ContractError(f"ambiguous columns {twice} (from {df.columns})")
+    return renamed
 
 
 def missing_columns(columns: Iterable[str], required: Iterable[str]) -> list[str]:

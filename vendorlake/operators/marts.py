@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlake.functions.money import money
+from vendorlake.functions.money import exact_total, money_difference, money_sum
 
 
 def daily_revenue(stg_orders: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def daily_revenue(stg_orders: DataFrame) -> DataFrame:
         stg_orders.filter(F.col("status") == "completed")
         .groupBy("order_date")
         .agg(F.count(F.lit(1)).alias("order_count"),
-             F.sum(money("amount")).cast("double").alias("total_revenue"))
+             money_sum("amount").alias("total_revenue"))
         .orderBy("order_date")
     )
 
@@ -33,7 +33,8 @@ def fct_payments(stg_payments: DataFrame) -> DataFrame:
 
 def paid_per_order(fct: DataFrame) -> DataFrame:
     """Payments pre-aggregated to one row per order (no fan-out in joins)."""
-    return fct.groupBy("order_id").agg(F.sum(money("paid_amount")).alias("paid_amount"))
+    return fct.groupBy("order_id").agg(
+        F.coalesce(exact_total("paid_amount").cast("double"), F.sum("paid_amount")).alias("paid_amount"))
 
 
 def completed_with_segment(stg_orders: DataFrame, dim: DataFrame) -> DataFrame:
@@ -49,14 +50,15 @@ def orders_with_payments(orders: DataFrame, fct: DataFrame) -> DataFrame:
 
 def executive_summary(stg_orders: DataFrame, dim: DataFrame, fct: DataFrame) -> DataFrame:
     j = orders_with_payments(completed_with_segment(stg_orders, dim), fct)
-    revenue = F.sum(money("amount"))
-    collected = F.coalesce(F.sum("paid_amount"), F.lit(0).cast("decimal(28,2)"))
+    revenue, collected = money_sum("amount"), F.coalesce(money_sum("paid_amount"), F.lit(0.0))
+    exact_rate = F.try_divide(F.coalesce(exact_total("paid_amount"), F.lit(0)).cast("decimal(28,10)"),
+                              exact_total("amount").cast("decimal(28,10)")).cast("double")
     return (
         j.groupBy("segment")
         .agg(F.countDistinct("order_id").alias("orders_count"),
-             F.round(revenue, 2).cast("double").alias("revenue"),
-             F.round(collected, 2).cast("double").alias("collected"),
-             F.round(F.try_divide(collected, revenue), 3).cast("double").alias("collection_rate"))
+             money_sum("amount", 2).alias("revenue"),
+             F.coalesce(money_sum("paid_amount", 2), F.lit(0.0)).alias("collected"),
+             F.round(F.coalesce(exact_rate, F.try_divide(collected, revenue)), 3).alias("collection_rate"))
         .orderBy("segment")
     )
 
@@ -64,16 +66,15 @@ def executive_summary(stg_orders: DataFrame, dim: DataFrame, fct: DataFrame) ->
 def pricing_summary(stg_settlements: DataFrame) -> DataFrame:
     def n(outcome):
         return F.sum(F.when(F.col("outcome") == outcome, 1).otherwise(0)).cast("bigint")
-    sub, pay = F.sum(money("submitted_amount")), F.sum(money("payable_amount"))
     return (
         stg_settlements.groupBy("vendor")
         .agg(F.count(F.lit(1)).alias("orders_count"),
              n("settled").alias("settled_count"),
              n("denied").alias("denied_count"),
              n("escalated").alias("escalated_count"),
-             F.round(sub, 2).cast("double").alias("submitted_total"),
-             F.round(pay, 2).cast("double").alias("payable_total"),
-             F.round(sub - pay, 2).cast("double").alias("savings"))
+             money_sum("submitted_amount", 2).alias("submitted_total"),
+             money_sum("payable_amount", 2).alias("payable_total"),
+             money_difference("submitted_amount", "payable_amount", 2).alias("savings"))
         .orderBy("vendor")
     )
 
@@ -81,8 +82,8 @@ def pricing_summary(stg_settlements: DataFrame) -> DataFrame:
 def invoice_summary(stg_orders: DataFrame) -> DataFrame:
     """Per customer: order lines, total, and the rendered invoice line."""
     g = stg_orders.groupBy("customer").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(money("amount")).alias("_total"))
+        F.count(F.lit(1)).alias("lines"), money_sum("amount").alias("_total"))
     return g.select(
-        "customer", "lines", F.col("_total").cast("double").alias("total"),
+        "customer", "lines", F.col("_total").alias("total"),
         F.format_string("invoice.pdf for %s: %d lines, $%.2f",
-                        "customer", "lines", F.col("_total").cast("double")).alias("invoice"))
+                        "customer", "lines", "_total").alias("invoice"))

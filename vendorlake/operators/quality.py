@@ -171,7 +171,3 @@ def quality_gate(raw: DataFrame, model, by: str = "_source_file",
     good = clean.join(rejected.select(by), by, "left_anti")
     return good, rejected
 
-
-def gate_report(staged: DataFrame, model) -> DataFrame:
-    """Table-level test report: one row per declared test."""
-    return run_tests(staged, model)

@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from vendorlake.functions.names import decompressed_name_col, glob_to_regex
 from vendorlake.model import (
-    QUARANTINE_REASON_CHARS,
     REGISTRY,
-    RESULT_ERROR_CHARS,
     SPECS,
     Route,
     canonical_columns,
@@ -134,9 +132,8 @@ def batch_ledger(files: DataFrame, dispatch_transforms: bool = True,
         "route",
         F.when(F.col("status").isin("landed", "transformed"), F.col("landed_key")).alias("landed_key"),
         F.when(F.col("status") == "quarantined", qkey).alias("quarantine_key"),
-        F.substring("_reason", 1, RESULT_ERROR_CHARS).alias("error"),
-        F.when(F.col("status") == "quarantined",
-               F.substring("_reason", 1, QUARANTINE_REASON_CHARS)).alias("quarantine_reason"),
+        F.col("_reason").alias("error"),
+        F.when(F.col("status") == "quarantined", F.col("_reason")).alias("quarantine_reason"),
     )
 
 

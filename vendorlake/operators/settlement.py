@@ -20,6 +20,9 @@ window over a possibly hot key.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ from vendorlake.model import (
 INT_TEXT = r"^[+-]?[0-9]+$"
 FLOAT_TEXT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 FIELDS = ("order_ref", "vendor", "item_count", "submitted_amount")
+#: What identifies an order's lifecycle: twins and decisions go by all three.
+LIFECYCLE_KEY = ("batch_id", "vendor", "order_ref")
 
 
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -74,16 +79,14 @@ def record_numbers(df: DataFrame, group: str = "_source_file") -> DataFrame:
             .drop("_n", "_first", "_before"))
 
 
-def split_orders(raw: DataFrame, batch_id: str | None = None,
-                 max_records: int | None = None) -> DataFrame:
+def split_orders(raw: DataFrame, batch_id: str | None = None) -> DataFrame:
     """Vendor rows -> order records (never dropped; bad numbers -> parse_error).
 
     ``raw``: string columns order_ref, vendor, item_count, submitted_amount
     (any may be missing), ``_source_file`` and ``_line`` (or the scan columns
-    ``record_numbers`` needs), and ``batch_id`` unless given.  With
-    ``max_records`` every record of a file holding more carries
-    ``file_error`` (the reference's split cap, optional here); callers
-    quarantine such files before ``settle``.
+    ``record_numbers`` needs).  ``batch_id`` is the caller's, for every record,
+    whatever a vendor file says in a column of that name; only without it (rows
+    of several batches already told apart) is the column ``batch_id`` used.
     """
     for f in FIELDS:
         if f not in raw.columns:
@@ -99,7 +102,7 @@ def split_orders(raw: DataFrame, batch_id: str | None = None,
     item_err = F.when(items.isNull(), F.concat(F.lit("bad item_count: "), _repr(items_raw)))
     sub_err = F.when(sub.isNull(), F.concat(F.lit("bad submitted_amount: "), _repr(sub_raw)))
     line = F.col("_line").cast("bigint")
-    out = raw.select(
+    return raw.select(
         "batch_id", "_source_file", line.alias("_line"),
         _strip(F.coalesce(F.when(F.col("order_ref") != "", F.col("order_ref")),
                           F.concat(F.lit("line-"), line.cast("string")))).alias("order_ref"),
@@ -109,31 +112,23 @@ def split_orders(raw: DataFrame, batch_id: str | None = None,
         sub.alias("_submitted"),
         F.coalesce(sub_err, item_err).alias("parse_error"),
     )
-    if max_records is not None:
-        sizes = out.groupBy("_source_file").agg(F.count(F.lit(1)).alias("_records"))
-        out = (out.join(sizes, "_source_file")
-               .withColumn("file_error", F.when(F.col("_records") > max_records, F.concat(
-                   F.col("_source_file"), F.lit(f": more than {max_records} records"))))
-               .drop("_records"))
-    return out
 
 
 def dedupe_orders(records: DataFrame) -> DataFrame:
     """Mark twins: the lifecycle id is vendor + order_ref + batch; the first
     record (by file, then line) runs, the others are ``duplicate``.
 
-    Only keys are shuffled: a hash aggregate counts records per key (partial
-    aggregation absorbs a hot key), the first (file, line) is found for the
-    duplicated keys only, and that set - normally small, so AQE broadcasts it
-    at runtime - is left-joined back.  When it is large the same plan runs as
-    a sort-merge join with AQE's skew splitting.
+    One aggregate counts the records of each key and finds their first (file,
+    line); partial aggregation absorbs a hot key.  Only keys seen more than once
+    are left-joined back (null-safely) - normally few, so AQE broadcasts them at
+    runtime; when many, the same plan runs as a sort-merge join with AQE's skew
+    splitting.
     """
-    key = ["batch_id", "vendor", "order_ref"]
-    dup_keys = (records.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > 1).drop("_n"))
-    first = (records.join(dup_keys, key, "left_semi").groupBy(*key)
-             .agg(F.min(F.struct("_source_file", "_line")).alias("_first")))
-    return (records.join(first, key, "left")
+    twins = records.groupBy(*LIFECYCLE_KEY).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct("_source_file", "_line")).alias("_first"))
+    first = twins.filter(F.col("_n") > 1).select(*[F.col(c).alias(f"_{c}") for c in LIFECYCLE_KEY], "_first")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LIFECYCLE_KEY))
+    return (records.join(first, same, "left").drop(*[f"_{c}" for c in LIFECYCLE_KEY])
             .withColumn("is_duplicate", F.coalesce(
                 (F.col("_first._source_file") != F.col("_source_file"))
                 | (F.col("_first._line") != F.col("_line")), F.lit(False)))
@@ -152,9 +147,10 @@ def validate_orders(records: DataFrame) -> DataFrame:
 
 
 def lookup_contracts(records: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Left equi-join on vendor; contracts is one row per vendor."""
-    c = contracts.select("vendor", F.col("unit_rate").cast(RATE).alias("unit_rate"),
-                         F.col("discount_pct").cast("decimal(8,4)").alias("discount_pct"),
+    """Left equi-join on vendor; contracts is one row per vendor.  A rate or
+    discount out of range leaves its orders without a price: errored, not lost."""
+    c = contracts.select("vendor", F.col("unit_rate").try_cast(RATE).alias("unit_rate"),
+                         F.col("discount_pct").try_cast("decimal(8,4)").alias("discount_pct"),
                          F.lit(True).alias("_has_contract"))
     return records.join(c, "vendor", "left")
 
@@ -166,8 +162,11 @@ def price_columns() -> tuple[Column, Column]:
                      * (F.lit(100) - F.col("discount_pct")) * F.lit(0.01).cast("decimal(3,2)"), 2)
     # Narrow operand types keep ~18 decimals in the quotient (a wide numerator
     # would make Spark cut the scale to 6 and round twice).
-    variance = F.round(F.try_divide(((F.col("_submitted") - F.col("_priced")) * F.lit(100)).cast("decimal(24,6)"),
-                                    F.col("_priced").cast("decimal(18,2)")), 2)
+    gap = (F.col("_submitted").try_cast("decimal(22,6)") - F.col("_priced").try_cast("decimal(18,2)")) * F.lit(100)
+    exact = F.try_divide(gap.try_cast("decimal(24,6)"), F.col("_priced").try_cast("decimal(18,2)"))
+    plain = F.try_divide((F.col("_submitted").cast("double") - F.col("_priced").cast("double")) * 100,
+                         F.col("_priced").cast("double"))
+    variance = F.round(F.coalesce(exact.cast("double"), plain).try_cast("decimal(38,8)"), 2)
     return priced, variance
 
 
@@ -177,13 +176,14 @@ def price_orders(records: DataFrame) -> DataFrame:
 
 
 def first_decisions(decisions: DataFrame, sla_seconds: float = REVIEW_SLA_SECONDS) -> DataFrame:
-    """First valid decision per order_ref that arrived within the SLA (a tie
-    with the timer goes to the decision).  Invalid verbs are ignored."""
+    """First valid decision per lifecycle (batch, vendor, order_ref) that arrived
+    within the SLA (a tie with the timer goes to the decision).  Invalid verbs
+    are ignored."""
     valid = decisions.filter(F.col("decision").isin(*VALID_DECISIONS)
                              & (F.col("delay_s") <= F.lit(sla_seconds)))
-    return (valid.groupBy("order_ref")
+    return (valid.groupBy(*LIFECYCLE_KEY)
             .agg(F.min(F.struct("delay_s", "decision_id", "decision", "note")).alias("_d"))
-            .select("order_ref", F.col("_d.decision").alias("decision"),
+            .select(*LIFECYCLE_KEY, F.col("_d.decision").alias("decision"),
                     F.col("_d.note").alias("decision_note"),
                     F.col("_d.delay_s").alias("decision_delay_s"),
                     F.col("_d.decision_id").alias("decision_id")))
@@ -211,7 +211,7 @@ def settle(raw_records: DataFrame, contracts: DataFrame, decisions: DataFrame,
     r = r.withColumn("_review", ~F.col("is_duplicate") & F.col("validation_note").isNull()
                      & F.col("_has_contract").isNotNull()
                      & F.col("_variance").isNotNull() & needs_review)
-    r = r.join(first_decisions(decisions, review_sla_seconds), "order_ref", "left")
+    r = r.join(first_decisions(decisions, review_sla_seconds), list(LIFECYCLE_KEY), "left")
     errored = F.col("_has_contract").isNull() | F.col("_variance").isNull()
     approved = F.col("decision") == "approve"
     terminal = "denied" if sla_action == "deny" else "escalated"
@@ -256,11 +256,16 @@ def outcome_rows(settled: DataFrame) -> DataFrame:
     ).select(*REMIT_COLUMNS)
 
 
-def settlement_report(settled: DataFrame) -> DataFrame:
-    """Per batch: orders = rows + duplicates + errored; outcome and source counts."""
+def settlement_report(settled: DataFrame, rejected_files: DataFrame | None = None) -> DataFrame:
+    """Per batch: orders = rows + duplicates + errored; outcome and source counts.
+    A rejected file (batch_id, file_name) counts as one errored order."""
     def n(col, value):
         return F.count_if(F.col(col) == value).alias(value)
-    return settled.groupBy("batch_id").agg(
+    rows = settled.select("batch_id", "outcome", "decision_source")
+    if rejected_files is not None:
+        rows = rows.unionByName(rejected_files.select(
+            "batch_id", F.lit("errored").alias("outcome"), F.lit(None).cast("string").alias("decision_source")))
+    return rows.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("orders"),
         n("outcome", "settled"), n("outcome", "denied"), n("outcome", "escalated"),
         n("outcome", "duplicate"), n("outcome", "errored"),

@@ -5,25 +5,31 @@ A job spec is plain data.  Models form a small DAG of DataFrame functions
 with tags; ``select("tag:x")`` builds the tagged models in dependency order,
 runs the canonical model's tests on every staging model, and skips the
 dependants of a failed model (the job then fails, as a failed build does).
-Nothing here collects data: each model is a lazy plan, exports are
-distributed writes, and only test counts and capped outputs reach the driver.
+Jobs leave tables: what they land and what they build, for later jobs to read.
+Nothing here collects data: builds and exports are distributed writes, and only
+test counts and small outputs reach the driver.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.model import REGISTRY, SPECS, canonical_columns
+from vendorlake.functions.names import glob_to_regex
+from vendorlake.model import DEFAULT_PATTERN, MAX_INLINE_ROWS, REGISTRY, SPECS, canonical_columns
 from vendorlake.operators import marts
-from vendorlake.operators.hygiene import ContractError, apply_hygiene
+from vendorlake.operators.hygiene import ContractError, apply_hygiene, land_table
 from vendorlake.operators.quality import quality_gate, run_tests
 from vendorlake.operators.routing import batch_ledger, batch_report
 from vendorlake.operators.staging import build_staging
-from vendorlake.session import scratch_path
-from vendorlake.sources.export import export
+from vendorlake.session import materialize, scratch_path
+from vendorlake.sources.export import export, quarantine_files, validate_outputs
+
+#: Where built models are kept as tables; landed inputs carry their own database.
+MODEL_DATABASE = "analytics"
 
 
 @dataclass
@@ -40,7 +46,8 @@ class InputSpec:
 class OutputSpec:
     table: str
     destination: str | None = None
-    format: str = "json"
+    format: str = "parquet"            # or "json": one document, of at most max_rows rows
+    max_rows: int = MAX_INLINE_ROWS
 
 
 @dataclass
@@ -126,42 +133,73 @@ def load_input(spark: SparkSession, inp: InputSpec) -> DataFrame:
                          source=str(inp.table))
 
 
-def run_job(spark: SparkSession, spec: JobSpec, tables: dict[str, DataFrame] | None = None) -> dict:
-    """Run one job; returns {success, error, tables, outputs, tests}."""
-    tables = dict(tables or {})
+def _saved(spark: SparkSession, name: str) -> DataFrame:
+    """A table that an earlier job left."""
+    return spark.table(name if "." in name else f"{MODEL_DATABASE}.{name}")
+
+
+def _run_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], args: Mapping[str, object]) -> DataFrame:
+    """A statement over the job's tables by their short names; the names are gone
+    afterwards, so no later job can pick them up."""
+    views = {_short(t): df for t, df in tables.items()}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
     try:
-        for inp in spec.inputs:
-            tables[inp.table] = load_input(spark, inp)
-    except ContractError as exc:
-        return {"success": False, "error": str(exc), "tables": tables, "outputs": [], "tests": []}
+        return spark.sql(sql, args=dict(args) or None)
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
+
+
+def run_job(spark: SparkSession, spec: JobSpec, tables: dict[str, DataFrame] | None = None,
+            save: bool = True, table_format: str = "parquet") -> dict:
+    """Run one job; returns {success, error, tables, outputs, tests}.
+
+    Inputs are landed as their tables and models saved in MODEL_DATABASE (as
+    ``table_format``), so a later job - a consolidation without inputs, say -
+    finds them; with ``save`` off they are plans only.  A rejected input, a
+    missing table, a failed test and data that cannot be computed all end in
+    ``success: False`` with the reason.
+    """
+    tables, tests, outputs = dict(tables or {}), [], []
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        if not save:
+            return df
+        table = name if "." in name else f"{MODEL_DATABASE}.{name}"
+        path = scratch_path(spark, table.replace(".", "_")) if table_format == "parquet" else None
+        return land_table(df, table, path, table_format)
+
+    def result(error: str | None = None) -> dict:
+        return {"success": error is None, "error": error, "tables": tables, "outputs": outputs, "tests": tests}
+
     failed: set[str] = set()
-    tests = []
-    for m in selected_models(spec.select):
-        if any(d in failed for d in m.deps):
-            failed.add(m.name)
-            continue
-        args = [tables.get(d) if d in tables else spark.table(d) for d in m.deps]
-        df = m.build(*args)
-        if m.entity:
-            bad = run_tests(df, m.entity).filter(F.col("failures") > 0).collect()
-            tests += [r.asDict() for r in bad]
-            if bad:
+    try:
+        for inp in spec.inputs:
+            tables[inp.table] = keep(inp.table, load_input(spark, inp).drop("_block_start", "_mid"))
+        for m in selected_models(spec.select):
+            if any(d in failed for d in m.deps):
                 failed.add(m.name)
                 continue
-        tables[m.name] = df
-    for name, sql in spec.sql_models.items():
-        for t, df in tables.items():
-            df.createOrReplaceTempView(_short(t))
-        tables[name] = spark.sql(sql, args=dict(spec.vars) or None)
-    if failed:
-        return {"success": False, "error": f"data tests failed in {sorted(failed)}",
-                "tables": tables, "outputs": [], "tests": tests}
-    outputs = []
-    for out in spec.outputs:
-        df = tables[_short(out.table)] if _short(out.table) in tables else spark.table(out.table)
-        dest = out.destination or scratch_path(spark, _short(out.table))
-        outputs.append(export(df, out.table, dest, out.format))
-    return {"success": True, "error": None, "tables": tables, "outputs": outputs, "tests": tests}
+            df = m.build(*[tables[d] if d in tables else _saved(spark, d) for d in m.deps])
+            if m.entity:
+                bad = run_tests(df, m.entity).filter(F.col("failures") > 0).collect()
+                tests += [r.asDict() for r in bad]
+                if bad:
+                    failed.add(m.name)
+                    continue
+            tables[m.name] = keep(m.name, df)
+        if failed:
+            return result(f"data tests failed in {sorted(failed)}")
+        for name, sql in spec.sql_models.items():
+            tables[name] = _run_sql(spark, sql, tables, spec.vars)
+        for out in spec.outputs:
+            short = _short(out.table)
+            df = tables[short] if short in tables else _saved(spark, out.table)
+            outputs.append(export(df, out.table, out.destination or scratch_path(spark, short), out.format, out.max_rows))
+    except (ContractError, PySparkException, ValueError) as exc:
+        return result(str(exc))
+    return result()
 
 
 def route_job(route: str) -> JobSpec | None:
@@ -175,25 +213,33 @@ def route_job(route: str) -> JobSpec | None:
 
 
 def run_batch(spark: SparkSession, root: str | DataFrame, consolidate: bool = True,
-              dispatch_transforms: bool = True) -> dict:
+              dispatch_transforms: bool = True, pattern: str = DEFAULT_PATTERN,
+              max_decompressed: int | None = None, publish: str | None = None) -> dict:
     """The file batch as one set of Spark jobs.
 
-    discover -> gzip audit -> route -> duplicates -> per route: one
-    header-signature read of all its files -> per-file cast + data-test
-    gate (bad files quarantined, the rest go on) -> the route's models ->
-    optional consolidation when at least one route transformed.
-    Returns {ledger, report, tables, rejected}.
+    discover (names matching ``pattern``) -> gzip audit -> route -> duplicates ->
+    per route: one read of all its files per column layout -> per-file cast +
+    data-test gate (bad files quarantined, the rest go on) -> the route's models
+    -> consolidation, once a file has transformed, over this batch's tables and
+    those that earlier jobs left.
+
+    ``publish``: a folder for what the batch gives out: the models, the outputs
+    its specs declare (parquet, validated), and copies of the quarantined files.
+    Returns {ledger, report, tables, rejected, outputs, quarantined}.
     """
     from vendorlake.operators.routing import classify_route, mark_duplicates
     from vendorlake.sources.files import list_parts, read_csv_raw
     from vendorlake.sources.gzip_audit import gzip_audit
 
     parts = list_parts(spark, root) if isinstance(root, str) else root
-    files = (parts.groupBy("file_name").agg(F.max("modified_at").alias("modified_at"))
-             .join(gzip_audit(parts).select("file_name", "gzip_error"), "file_name", "left"))
+    parts = materialize(parts.filter(F.col("file_name").rlike(glob_to_regex(pattern))), "listing")
+    # the audit inflates every archive once; all later steps read its result
+    files = materialize(
+        parts.groupBy("file_name").agg(F.max("modified_at").alias("modified_at"))
+        .join(gzip_audit(parts, max_decompressed).select("file_name", "gzip_error"), "file_name", "left"), "audit")
     routed = mark_duplicates(classify_route(files))
-    usable = routed.filter(F.col("gzip_error").isNull() & F.col("route").isNotNull()
-                           & ~F.col("is_duplicate"))
+    usable = materialize(routed.filter(F.col("gzip_error").isNull() & F.col("route").isNotNull()
+                                       & ~F.col("is_duplicate")).select("file_name", "route"), "usable")
     tables: dict[str, DataFrame] = {}
     rejected_frames = []
     if dispatch_transforms:
@@ -221,43 +267,82 @@ def run_batch(spark: SparkSession, root: str | DataFrame, consolidate: bool = Tr
         rejected = rejected_frames[0]
         for r in rejected_frames[1:]:
             rejected = rejected.unionByName(r)
+        rejected = materialize(rejected, "rejected")
     ledger = batch_ledger(files, dispatch_transforms, rejected)
-    if consolidate and dispatch_transforms and all(
-            k in tables for k in ("stg_orders", "dim_customers", "fct_payments")):
-        tables["executive_summary"] = marts.executive_summary(
-            tables["stg_orders"], tables["dim_customers"], tables["fct_payments"])
+    if consolidate and dispatch_transforms and "consolidation" in SPECS:
+        transformed = not ledger.filter(F.col("status") == "transformed").isEmpty()
+        for m in selected_models(tuple(f"tag:{t}" for t in SPECS["consolidation"].select_tags)):
+            known = [d for d in m.deps if d in tables or spark.catalog.tableExists(f"{MODEL_DATABASE}.{d}")]
+            if transformed and len(known) == len(m.deps):
+                tables[m.name] = m.build(*[tables[d] if d in tables else _saved(spark, d) for d in m.deps])
+    outputs, quarantined = [], None
+    if publish:
+        for name, df in tables.items():
+            tables[name] = land_table(df, f"{MODEL_DATABASE}.{name}", f"{publish}/tables/{name}")
+        for spec in SPECS.values():
+            for out in spec.outputs:
+                if _short(out) in tables:
+                    outputs.append(export(tables[_short(out)], out, f"{publish}/outputs/{_short(out)}"))
+        validate_outputs(spark, [o for o in outputs if o["rows"]])
+        quarantined = materialize(quarantine_files(parts, ledger, f"{publish}/quarantine"), "quarantined")
     return {"ledger": ledger, "report": batch_report(ledger), "tables": tables,
-            "rejected": rejected}
+            "rejected": rejected, "outputs": outputs, "quarantined": quarantined}
 
 
 def run_settlement_batch(spark: SparkSession, root: str, contracts: DataFrame,
                          decisions: DataFrame, remit_path: str | None = None,
-                         batch_id: str = "batch", **policy) -> dict:
+                         batch_id: str = "batch", multi_line: bool = True, **policy) -> dict:
     """The order batch: ingest-only landing -> split -> settle -> remittance
     CSV -> re-landed through the settlements contract -> stg_settlements
-    (tested) -> pricing_summary.  Returns {settled, outcomes, report, mart,
-    remittance, tests}."""
+    (tested) -> pricing_summary.
+
+    All records belong to ``batch_id``, and so do ``decisions`` without a batch
+    of their own.  A vendor file that is unreadable, empty, corrupt or without
+    records is rejected and counted as one errored order.  Failing tests stop
+    the mart.  ``multi_line``: quoted values may hold line breaks; off, large
+    files are split between tasks.  Returns {settled, outcomes, report, mart,
+    error, rejected, remittance, stg_settlements, tests}.
+    """
     from vendorlake.operators.routing import classify_route
     from vendorlake.operators.settlement import outcome_rows, settle, settlement_report, split_orders
     from vendorlake.sources.export import write_remittance
     from vendorlake.sources.files import list_parts, read_csv_raw
+    from vendorlake.sources.gzip_audit import gzip_audit
 
     parts = list_parts(spark, root)
     vendor_files = (classify_route(parts.select("file_name").distinct())
                     .filter(F.col("route") == "vendor-orders").select("file_name"))
-    raw, _ = read_csv_raw(spark, parts.join(vendor_files, "file_name"))
-    if raw is None:
+    parts = materialize(parts.join(vendor_files, "file_name"), "vendor_files")
+    corrupt = materialize(gzip_audit(parts).filter(F.col("gzip_error").isNotNull())
+                          .select("file_name", F.col("gzip_error").alias("reason")), "corrupt")
+    raw, rejected = read_csv_raw(spark, parts.join(corrupt, "file_name", "left_anti"), multi_line=multi_line)
+    rejected = rejected.unionByName(corrupt)
+    if raw is None and rejected.isEmpty():
         raise ContractError("no vendor-orders files landed in this batch")
-    settled = settle(split_orders(raw, None if "batch_id" in raw.columns else batch_id),
-                     contracts, decisions, **policy)
+    if raw is None:
+        raw = spark.createDataFrame([], "_source_file string, _block_start long, _mid long")
+    records = materialize(split_orders(raw, batch_id), "split_records")
+    silent = (parts.select("file_name").distinct().join(rejected.select("file_name"), "file_name", "left_anti")
+              .join(records.select(F.col("_source_file").alias("file_name")).distinct(), "file_name", "left_anti")
+              .select("file_name", F.concat("file_name", F.lit(": no records")).alias("reason")))
+    rejected = materialize(rejected.unionByName(silent).withColumn("batch_id", F.lit(batch_id)), "rejected_files")
+    if "batch_id" not in decisions.columns:
+        decisions = decisions.withColumn("batch_id", F.lit(batch_id))
+    settled = materialize(settle(records, contracts, decisions, **policy), "settled")
     outcomes = outcome_rows(settled)
     remit = write_remittance(outcomes, remit_path or scratch_path(spark, "remittance"))
-    relanded, rejected = read_csv_raw(spark, list_parts(spark, remit).withColumn("file_name", F.lit("remittance.csv")),
-                                      True, None, canonical_columns("stg_settlements"))
-    if relanded is None:
-        raise ContractError("remittance has no rows")
-    stg = build_staging(relanded.drop("_block_start", "_mid", "_source_file"), "stg_settlements")
-    tests = run_tests(stg, "stg_settlements")
-    return {"settled": settled, "outcomes": outcomes, "report": settlement_report(settled),
-            "stg_settlements": stg, "mart": marts.pricing_summary(stg), "remittance": remit,
-            "tests": tests}
+    relanded, _ = read_csv_raw(spark, list_parts(spark, remit).withColumn("file_name", F.lit("remittance.csv")),
+                               True, None, canonical_columns("stg_settlements"))
+    stg = tests = mart = None
+    error = None if relanded is not None else "remittance has no rows"
+    if relanded is not None:
+        stg = materialize(build_staging(relanded.drop("_block_start", "_mid", "_source_file"), "stg_settlements"), "stg")
+        tests = materialize(run_tests(stg, "stg_settlements"), "tests")
+        failed = tests.filter(F.col("failures") > 0).collect()
+        if failed:
+            error = f"data tests failed: {[r.asDict() for r in failed]}"
+        else:
+            mart = marts.pricing_summary(stg)
+    return {"settled": settled, "outcomes": outcomes, "report": settlement_report(settled, rejected),
+            "rejected": rejected, "stg_settlements": stg, "mart": mart, "error": error,
+            "remittance": remit, "tests": tests}

@@ -2,8 +2,8 @@
 
 Each query's SQL is ``WITH <the CTEs it needs> <body>``.  The adapter CTEs
 come from ``sources.adapters.ADAPTER_SQL``; the model CTEs below restate the
-staging projections and marts by hand, so the oracle is an independent
-statement of the same semantics rather than a generated copy.
+staging projections and marts by hand.  Routing, too, is written in DuckDB's own
+globs, next to the registry's patterns it has to agree with.
 """
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ CTES.update({
     "fct_payments": (("stg_payments",),
                      "SELECT payment_id, order_id, paid_amount, paid_date FROM stg_payments"),
     "paid": (("fct_payments",), """
-        SELECT order_id, sum(CAST(paid_amount AS DECIMAL(18,2))) AS paid_amount
+        SELECT order_id, CAST(sum(CAST(paid_amount AS DECIMAL(28,6))) AS DOUBLE) AS paid_amount
         FROM fct_payments GROUP BY order_id"""),
 })
 
@@ -118,15 +118,17 @@ CTES.update({
         SELECT *, round((_submitted - _priced) * 100 / nullif(_priced, 0), 2) AS _variance
         FROM priced0"""),
     "first_decision": (("decisions",), """
-        SELECT order_ref, decision, note AS decision_note, delay_s AS decision_delay_s, decision_id
-        FROM (SELECT *, row_number() OVER (PARTITION BY order_ref ORDER BY delay_s, decision_id) AS rn
+        SELECT batch_id, vendor, order_ref, decision, note AS decision_note, delay_s AS decision_delay_s, decision_id
+        FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, vendor, order_ref
+                                           ORDER BY delay_s, decision_id) AS rn
               FROM decisions WHERE decision IN ('approve', 'deny') AND delay_s <= 300) t
         WHERE rn = 1"""),
     "settled0": (("priced", "first_decision"), """
         SELECT p.*, NOT is_duplicate AND validation_note IS NULL AND _has_contract AND _variance IS NOT NULL
                     AND abs(_variance) > 10 AS _review,
                d.decision, d.decision_note, d.decision_delay_s, d.decision_id
-        FROM priced p LEFT JOIN first_decision d ON p.order_ref = d.order_ref"""),
+        FROM priced p LEFT JOIN first_decision d
+          ON p.batch_id = d.batch_id AND p.vendor = d.vendor AND p.order_ref = d.order_ref"""),
     "settled1": (("settled0",), """
         SELECT *, CASE WHEN is_duplicate THEN 'duplicate'
                        WHEN validation_note IS NOT NULL THEN 'denied'
@@ -171,11 +173,9 @@ CTES.update({
 # file routing CTEs (over the derived file inventory)
 # ---------------------------------------------------------------------------
 def _route_sql(col: str) -> str:
-    from vendorlake.functions.names import glob_to_regex
-    from vendorlake.model import REGISTRY
-    whens = " ".join(f"WHEN regexp_matches({col}, '{glob_to_regex(r.pattern)}') THEN '{r.route}'"
-                     for r in REGISTRY)
-    return f"CASE {whens} END"
+    return f"""CASE WHEN {col} GLOB 'orders_*.csv' THEN 'orders' WHEN {col} GLOB 'customers_*.csv' THEN 'customers'
+                    WHEN {col} GLOB 'payments_*.csv' THEN 'payments'
+                    WHEN {col} GLOB 'vendor_orders_*.csv' THEN 'vendor-orders' END"""
 
 
 CTES.update({
@@ -263,16 +263,16 @@ CTES.update({
 # ---------------------------------------------------------------------------
 # settlement over the landed vendor files: the same chain, another input
 # ---------------------------------------------------------------------------
-SETTLEMENT_CHAIN = ("split0", "split1", "split", "deduped", "validated", "contracted",
+SETTLEMENT_CHAIN = ("first_decision", "split0", "split1", "split", "deduped", "validated", "contracted",
                     "priced0", "priced", "settled0", "settled1", "settled2", "settled")
 
 
-def clone_chain(suffix: str, base_from: str, base_to: str) -> None:
+def clone_chain(suffix: str, bases: dict[str, str]) -> None:
     """Copy the settlement CTEs with table references (after FROM / JOIN)
     renamed, so the same statements run over another input."""
     import re
     names = {n: n + suffix for n in SETTLEMENT_CHAIN}
-    names[base_from] = base_to
+    names.update(bases)
     pattern = re.compile(r"\b(FROM|JOIN)(\s+)(" + "|".join(map(re.escape, names)) + r")\b")
     for n in SETTLEMENT_CHAIN:
         deps, sql = CTES[n]
@@ -281,11 +281,12 @@ def clone_chain(suffix: str, base_from: str, base_to: str) -> None:
 
 
 CTES["raw_vendor_landing"] = (("raw_vendor_orders",), """
-    SELECT order_ref, vendor, item_count, submitted_amount, batch_id, _source_file,
+    SELECT order_ref, vendor, item_count, submitted_amount, 'batch' AS batch_id, _source_file,
            row_number() OVER (PARTITION BY _source_file ORDER BY order_ref NULLS FIRST, vendor NULLS FIRST,
                               item_count NULLS FIRST, submitted_amount NULLS FIRST, batch_id NULLS FIRST) + 1
                AS _line
     FROM (SELECT order_ref, vendor, item_count, submitted_amount, batch_id,
                  'vendor_orders_' || substr(batch_id, 7, 4) || '.csv' AS _source_file
           FROM raw_vendor_orders) t""")
-clone_chain("_landed", "raw_vendor_orders", "raw_vendor_landing")
+CTES["decisions_landed"] = (("decisions",), "SELECT * REPLACE ('batch' AS batch_id) FROM decisions")
+clone_chain("_landed", {"raw_vendor_orders": "raw_vendor_landing", "decisions": "decisions_landed"})

@@ -65,7 +65,7 @@ def staged_payments(spark, sf):
 # --------------------------------------------------------------------------
 @query("daily_revenue", with_ctes("""
     SELECT order_date, count(*) AS order_count,
-           CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
+           CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS total_revenue
     FROM stg_orders WHERE status = 'completed' GROUP BY order_date ORDER BY order_date""",
                                   "stg_orders"))
 def q_daily_revenue(spark, sf):
@@ -101,9 +101,9 @@ def q_executive_summary(spark, sf):
 
 
 @query("invoice_summary", with_ctes("""
-    SELECT customer, count(*) AS lines, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total,
+    SELECT customer, count(*) AS lines, CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS total,
            printf('invoice.pdf for %s: %d lines, $%.2f', customer, count(*),
-                  CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)) AS invoice
+                  CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE)) AS invoice
     FROM stg_orders GROUP BY customer""", "stg_orders"))
 def q_invoice_summary(spark, sf):
     return marts.invoice_summary(staged_orders(spark, sf))
@@ -371,7 +371,8 @@ def q_variance_gate(spark, sf):
 @query("decision_within_sla", with_ctes("""
     SELECT s.batch_id, s.order_ref, s.vendor, s._source_file, s._line, d.decision_id, d.decision,
            d.delay_s
-    FROM settled s JOIN decisions d ON s.order_ref = d.order_ref
+    FROM settled s JOIN decisions d
+      ON s.batch_id = d.batch_id AND s.vendor = d.vendor AND s.order_ref = d.order_ref
     WHERE s._review AND d.decision IN ('approve', 'deny') AND d.delay_s <= 300""", "settled", "decisions"))
 def q_decision_within_sla(spark, sf):
     from pyspark.sql import functions as F
@@ -380,7 +381,9 @@ def q_decision_within_sla(spark, sf):
         "batch_id", "order_ref", "vendor", "_source_file", "_line")
     d = A.decisions(spark, sf).filter(F.col("decision").isin(*VALID_DECISIONS)
                                       & (F.col("delay_s") <= REVIEW_SLA_SECONDS))
-    return s.join(d.select("order_ref", "decision_id", "decision", "delay_s"), "order_ref")
+    from vendorlake.operators.settlement import LIFECYCLE_KEY
+    # one reviewed record per lifecycle (twins never enter review), so nothing fans out
+    return s.join(d.select(*LIFECYCLE_KEY, "decision_id", "decision", "delay_s"), list(LIFECYCLE_KEY))
 
 
 @query("apply_decisions", with_ctes(f"""
@@ -436,10 +439,10 @@ _PRICING_SQL = """
            count(*) FILTER (WHERE outcome = 'settled') AS settled_count,
            count(*) FILTER (WHERE outcome = 'denied') AS denied_count,
            count(*) FILTER (WHERE outcome = 'escalated') AS escalated_count,
-           CAST(round(sum(CAST(submitted_amount AS DECIMAL(18,2))), 2) AS DOUBLE) AS submitted_total,
-           CAST(round(sum(CAST(payable_amount AS DECIMAL(18,2))), 2) AS DOUBLE) AS payable_total,
-           CAST(round(sum(CAST(submitted_amount AS DECIMAL(18,2)))
-                      - sum(CAST(payable_amount AS DECIMAL(18,2))), 2) AS DOUBLE) AS savings
+           CAST(round(sum(CAST(submitted_amount AS DECIMAL(28,6))), 2) AS DOUBLE) AS submitted_total,
+           CAST(round(sum(CAST(payable_amount AS DECIMAL(28,6))), 2) AS DOUBLE) AS payable_total,
+           CAST(round(sum(CAST(submitted_amount AS DECIMAL(28,6)))
+                      - sum(CAST(payable_amount AS DECIMAL(28,6))), 2) AS DOUBLE) AS savings
     FROM stg_settlements GROUP BY vendor ORDER BY vendor"""
 
 
@@ -671,7 +674,7 @@ def q_table_diff(spark, sf):
 @query("export_json", with_ctes("""
     SELECT CAST(order_date AS VARCHAR) AS order_date, order_count, total_revenue FROM (
       SELECT order_date, count(*) AS order_count,
-             CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
+             CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS total_revenue
       FROM stg_orders WHERE status = 'completed' GROUP BY order_date) t""", "stg_orders"))
 def q_export_json(spark, sf):
     from pyspark.sql import functions as F
@@ -728,7 +731,8 @@ def q_table_format(spark, sf):
 
 def settlement_batch(spark, sf):
     from vendorlake.plans.jobs import run_settlement_batch
-    return run_settlement_batch(spark, landing(spark, sf), A.contracts(spark, sf), A.decisions(spark, sf))
+    return run_settlement_batch(spark, landing(spark, sf), A.contracts(spark, sf),
+                                A.decisions(spark, sf).drop("batch_id"), multi_line=False)
 
 
 @query("write_remittance", with_ctes("""
@@ -798,7 +802,7 @@ def q_select_tag(spark, sf):
 @query("vars", with_ctes("""
     SELECT order_date, order_count, total_revenue FROM (
       SELECT order_date, count(*) AS order_count,
-             CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
+             CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS total_revenue
       FROM stg_orders WHERE status = 'completed' GROUP BY order_date) t
     WHERE order_date >= DATE '1998-01-01' AND order_count >= 2""", "stg_orders"))
 def q_vars(spark, sf):
@@ -878,15 +882,16 @@ def q_stream_ingest(spark, sf):
 
 
 @query("stream_order_status", with_ctes("""
-    SELECT r.order_ref,
+    SELECT r.batch_id, r.vendor, r.order_ref,
            CASE WHEN d.decision IS NULL THEN 'escalated'
                 WHEN d.decision = 'approve' THEN 'settled' ELSE 'denied' END AS outcome,
            CASE WHEN d.decision IS NULL THEN 'sla_timeout' ELSE 'reviewer' END AS decision_source,
            CASE WHEN d.decision IS NULL THEN 'no decision within 300s' ELSE d.decision_note END AS note,
            TIMESTAMP '2024-01-01 00:00:00'
                + to_milliseconds(CAST(coalesce(d.decision_delay_s, 300) * 1000 AS BIGINT)) AS resolved_at
-    FROM (SELECT DISTINCT order_ref FROM settled WHERE _review) r
-    LEFT JOIN first_decision d ON r.order_ref = d.order_ref""", "settled", "first_decision"))
+    FROM (SELECT DISTINCT batch_id, vendor, order_ref FROM settled WHERE _review) r
+    LEFT JOIN first_decision d
+      ON r.batch_id = d.batch_id AND r.vendor = d.vendor AND r.order_ref = d.order_ref""", "settled", "first_decision"))
 def q_stream_order_status(spark, sf):
     from vendorlake.streaming.order_status import review_events, run_order_status
     events = review_events(settled_records(spark, sf), A.decisions(spark, sf))

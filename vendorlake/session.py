@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -41,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     that ``DataFrame.checkpoint()`` works too; any other master raises, since a
     machine-local folder is not shared by its executors.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
@@ -59,13 +61,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for Python-side file access in tests."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for functions that run in their Python
+    workers.  Not needed where it is installed on every machine (pyproject.toml)
+    or the driver is the cluster (a local master)."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or getattr(sc, "_vendorlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="vendorlake-zip-"), "vendorlake.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("vendorlake", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    sc._vendorlake_shipped = True
 
 
 def materialize(df, name: str = "materialized"):

@@ -210,16 +210,28 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # valid decision; `value` is the delay in seconds after review opened.
 # ---------------------------------------------------------------------------
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event decides on one order line; the line's batch (order month) and
+    vendor (its least supplier) make the key of the order's lifecycle."""
     e = read_table(spark, sf_dir, "events")
-    return e.select(
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    lines = (read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
+             .agg(F.min("l_suppkey").alias("s_suppkey")).join(s, "s_suppkey")
+             .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+             .select("l_orderkey", "l_linenumber", F.lower("s_name").alias("vendor"),
+                     F.concat(F.lit("batch-"), F.date_format("o_orderdate", "yyyy-MM")).alias("batch_id")))
+    made = e.select(
         F.col("event_id").alias("decision_id"),
-        F.concat(F.lit("ORD-"), F.floor(F.col("event_id") / 2).cast("string"), F.lit("-"),
-                 (F.col("user_id") % 3 + 1).cast("string")).alias("order_ref"),
+        F.floor(F.col("event_id") / 2).alias("l_orderkey"), (F.col("user_id") % 3 + 1).alias("l_linenumber"),
         F.coalesce(_case("event_type", DECISION_BY_EVENT),
                    F.col("event_type")).alias("decision"),
         F.concat(F.lit("k="), F.get_json_object("props", "$.k")).alias("note"),
         F.col("value").cast("decimal(12,2)").alias("delay_s"),
     )
+    return made.join(lines, ["l_orderkey", "l_linenumber"]).select(
+        "decision_id", "batch_id", "vendor",
+        F.concat(F.lit("ORD-"), F.col("l_orderkey").cast("string"), F.lit("-"),
+                 F.col("l_linenumber").cast("string")).alias("order_ref"), "decision", "note", "delay_s")
 
 
 # ---------------------------------------------------------------------------
@@ -352,13 +364,17 @@ ADAPTER_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(s_suppkey % 11 AS DECIMAL(7,4)) AS discount_pct
         FROM supplier WHERE s_acctbal >= 0"""),
     "decisions": ((), f"""
-        SELECT event_id AS decision_id,
-               'ORD-' || CAST(CAST(floor(event_id / 2) AS BIGINT) AS VARCHAR) || '-'
-                      || CAST(user_id % 3 + 1 AS VARCHAR) AS order_ref,
+        SELECT e.event_id AS decision_id, 'batch-' || strftime(o.o_orderdate, '%Y-%m') AS batch_id,
+               lower(s.s_name) AS vendor,
+               'ORD-' || CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS order_ref,
                coalesce({_sql_case('event_type', DECISION_BY_EVENT)}, event_type) AS decision,
                'k=' || json_extract_string(props, '$.k') AS note,
                CAST(value AS DECIMAL(12,2)) AS delay_s
-        FROM events"""),
+        FROM events e
+        JOIN (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS suppkey FROM lineitem GROUP BY ALL) l
+          ON l.l_orderkey = floor(e.event_id / 2) AND l.l_linenumber = e.user_id % 3 + 1
+        JOIN supplier s ON s.s_suppkey = l.suppkey
+        JOIN orders o ON o.o_orderkey = l.l_orderkey"""),
     "lifecycle_events": ((), f"""
         SELECT event_id, 'ORD-' || CAST(user_id AS VARCHAR) AS order_ref,
                'order-' || CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS run_id,

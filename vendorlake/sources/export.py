@@ -7,27 +7,35 @@ has been checked with ``limit(cap + 1)``.
 """
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.model import MAX_INLINE_BYTES, MAX_INLINE_ROWS, REMIT_COLUMNS
+from vendorlake.model import MAX_INLINE_ROWS, REMIT_COLUMNS
 from vendorlake.operators.diff import capped_result
+from vendorlake.session import materialize
 
 
 def json_document(df: DataFrame) -> DataFrame:
     """One row, one column ``json``: the result as a JSON array (nulls kept,
-    dates as text)."""
+    dates as text), in the order of ``df``.  For bounded results only."""
     cols = [F.col(c).cast("string").alias(c) if t in ("date", "timestamp") else F.col(c)
             for c, t in df.dtypes]
-    return df.select(F.struct(*cols).alias("r")).agg(
-        F.to_json(F.coalesce(F.collect_list("r"), F.array()),
-                  {"ignoreNullFields": "false"}).alias("json"))
+    numbered = df.select(F.struct(F.monotonically_increasing_id().alias("i"), F.struct(*cols).alias("r")).alias("x"))
+    rows = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"])
+    return numbered.agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def export_json(df: DataFrame, path: str, cap: int = MAX_INLINE_ROWS, name: str = "output") -> int:
-    capped_result(df, cap, name)
-    json_document(df).coalesce(1).write.mode("overwrite").text(path)
-    return df.count()
+    """A small result as one JSON document; more than ``cap`` rows are refused.
+
+    The result is computed once, into the shared folder, and then counted,
+    checked and written from there."""
+    kept = materialize(df, "json_result")
+    capped_result(kept, cap, name)
+    json_document(kept).coalesce(1).write.mode("overwrite").text(path)
+    return kept.count()
 
 
 def export_parquet(df: DataFrame, path: str) -> int:
@@ -35,14 +43,17 @@ def export_parquet(df: DataFrame, path: str) -> int:
     return df.sparkSession.read.parquet(path).count()
 
 
-def export(df: DataFrame, table: str, destination: str, fmt: str = "json") -> dict:
+def export(df: DataFrame, table: str, destination: str, fmt: str = "parquet",
+           max_rows: int = MAX_INLINE_ROWS) -> dict:
+    """Write a result: ``parquet``, of any size, or on request one ``json``
+    document of at most ``max_rows`` rows."""
     if fmt == "json":
-        rows = export_json(df, destination, name=table)
+        rows = export_json(df, destination, max_rows, table)
     elif fmt == "parquet":
         rows = export_parquet(df, destination)
     else:
         raise ValueError(f"unsupported output format: {fmt}")
-    return {"table": table, "destination": destination, "rows": rows}
+    return {"table": table, "destination": destination, "rows": rows, "format": fmt}
 
 
 def export_manifest(spark: SparkSession, results: list[dict]) -> DataFrame:
@@ -50,32 +61,25 @@ def export_manifest(spark: SparkSession, results: list[dict]) -> DataFrame:
 
 
 def validate_outputs(spark: SparkSession, outputs: list[dict]) -> DataFrame:
-    """Every declared output exists and is non-empty, checked from the file
-    listing; small JSON outputs also report their row count."""
+    """destination, format, objects, bytes, rows of every declared output, from
+    its listing and a distributed count.  An output without rows is a failure,
+    whatever its size."""
     rows = []
     for out in outputs:
-        fmt, dest = out.get("format", "json"), out["destination"]
-        listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                   .load(dest).select("path", "length"))
-        if fmt == "parquet":
-            stats = listing.filter(F.col("path").contains("part-") & (F.col("length") > 0)) \
-                .agg(F.count(F.lit(1)).alias("objects"), F.sum("length").alias("bytes")).first()
-            if not stats["objects"]:
-                raise RuntimeError(f"output prefix {dest} has no part files")
-            rows.append((dest, fmt, int(stats["objects"]), int(stats["bytes"]), None))
-            continue
-        size = listing.agg(F.sum("length")).first()[0] or 0
-        if size == 0:
-            raise RuntimeError(f"output {dest} is empty")
-        n = None
-        if size <= MAX_INLINE_BYTES:
-            doc = spark.read.text(dest).select(F.from_json("value", "array<string>").alias("a"))
-            n = doc.select(F.size("a")).first()[0]
-            if not n:
-                raise RuntimeError(f"output {dest} has no rows")
-        rows.append((dest, fmt, 1, int(size), n))
-    return spark.createDataFrame(rows, "destination string, format string, objects long, "
-                                       "bytes long, rows long")
+        kind, dest = out.get("format", "parquet"), out["destination"]
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(dest)
+                 .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first())
+        if not files.n:
+            raise RuntimeError(f"output {dest} holds no files")
+        if kind == "parquet":
+            count = spark.read.parquet(dest).count()
+        else:
+            held = spark.read.text(dest).select(F.size(F.from_json("value", "array<string>")).alias("n"))
+            count = held.agg(F.sum("n")).first()[0] or 0
+        if not count:
+            raise RuntimeError(f"output {dest} holds no rows")
+        rows.append((dest, kind, files.n, files.bytes, count))
+    return spark.createDataFrame(rows, "destination string, format string, objects long, bytes long, rows long")
 
 
 def write_remittance(outcomes: DataFrame, path: str) -> str:
@@ -91,13 +95,13 @@ def _copy_files(dest_root: str):
 
     def run(batches):
         from pyarrow import fs
-        from vendorlake.sources.files import _open
+        from vendorlake.sources.files import _local, _open
         for pdf in batches:
             out = []
             for path, name, reason in zip(pdf["path"], pdf["file_name"], pdf["reason"]):
                 target = f"{dest_root.rstrip('/')}/{name}/{path.rsplit('/', 1)[-1]}"
-                uri = target if "://" in target else "file://" + target.replace("file:", "", 1)
-                filesystem, p = fs.FileSystem.from_uri(uri)
+                local = _local(target)
+                filesystem, p = (fs.LocalFileSystem(), local) if local else fs.FileSystem.from_uri(quote(target, safe="/:@"))
                 filesystem.create_dir(p.rsplit("/", 1)[0], recursive=True)
                 copied = 0
                 with _open(path) as src, filesystem.open_output_stream(p, compression=None) as dst:
@@ -105,7 +109,7 @@ def _copy_files(dest_root: str):
                         dst.write(chunk)
                         copied += len(chunk)
                 with filesystem.open_output_stream(p + ".reason.txt", compression=None) as r:
-                    r.write((reason or "")[:1024].encode())
+                    r.write((reason or "").encode())
                 out.append((path, target, copied))
             yield pd.DataFrame(out, columns=["path", "quarantine_path", "bytes"])
     return run
@@ -113,7 +117,7 @@ def _copy_files(dest_root: str):
 
 def quarantine_files(parts: DataFrame, ledger: DataFrame, dest_root: str) -> DataFrame:
     """Copy every part file of each quarantined drop to ``dest_root/<drop>/``
-    with a ``.reason.txt`` sidecar (reason cut to 1024 characters).
+    with a ``.reason.txt`` sidecar.
 
     Executors stream the bytes (8 MiB chunks) straight from source to
     destination; nothing passes through the driver.  Lazy: returns one row

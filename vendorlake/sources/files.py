@@ -1,39 +1,48 @@
 """File sources: discovery, headers, the header-signature CSV read, any format.
 
 Discovery uses the ``binaryFile`` source without its ``content`` column, so
-only the listing is read.  Headers are read by a small Python task per file
-(``mapInPandas`` + ``pyarrow.fs``) that opens the file and reads its first
-line only - metadata-sized work, whatever the file size.  Files are then
-read once per distinct header signature (a handful), so columns are matched
-by name, never by position, even when vendors reorder them.
+only the listing is read; names and empty files that Spark's sources skip are
+added from the file system's own listing.  Headers are read by a small Python
+task per file (``mapInPandas`` + ``pyarrow.fs``) that opens the file, reads its
+header only and settles its columns: a file whose columns collide or miss is
+rejected there, with a reason of its own.  The others are read once per
+distinct column layout (a handful), so columns are matched by name, never by
+position, even when vendors reorder or rename them.
 """
 from __future__ import annotations
 
+import codecs
+import csv
 import gzip
-import io
+import json
+import re
+import sys
 from collections.abc import Iterable, Mapping
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vendorlake.functions.names import glob_to_regex, sanitize_header
 from vendorlake.model import DEFAULT_PATTERN
 from vendorlake.operators.hygiene import alias_map, contract_message, missing_columns
 
-DROP_NAME = r"^(?:[^=/]+=)?(.*)$"
+#: Names that Spark itself leaves at the top of a folder it wrote.
+SPARK_MARKERS = ("_SUCCESS", "_temporary", "_metadata", "_common_metadata", "_spark_metadata")
 
 
 def _drop_name(path_col, root: str):
     """Top-level entry under ``root``: a file, a directory, or the value of a
-    ``key=value`` directory (Spark's partitioned layout)."""
+    ``key=value`` directory (Spark's partitioned layout).  A plain file keeps
+    its whole name, whatever characters it has."""
     rel = F.regexp_replace(path_col, "^.*?" + _root_regex(root) + "/", "")
     first = F.regexp_extract(rel, r"^([^/]*)", 1)
-    return F.regexp_extract(first, DROP_NAME, 1)
+    return F.when(F.instr(rel, "/") > 0, F.regexp_replace(first, "^[^=]+=", "")).otherwise(first)
 
 
 def _root_regex(root: str) -> str:
-    import re
     r = root.rstrip("/")
     if r.startswith("file:"):
         r = r[len("file:"):]
@@ -47,16 +56,37 @@ def list_parts(spark: SparkSession, root: str, modified_after: str | None = None
     ``modified_after`` / ``modified_before`` (``YYYY-MM-DDTHH:mm:ss``) re-run a
     past window (backfill); they prune the listing itself.
     """
-    reader = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", "[!._]*"))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     if modified_before:
         reader = reader.option("modifiedBefore", modified_before)
     df = reader.load(root).select("path", "length", F.col("modificationTime").alias("modified_at"))
+    df = df.unionByName(_skipped_files(spark, root, modified_after, modified_before))
     return df.withColumn("file_name", _drop_name(F.col("path"), root))
 
 
+def _skipped_files(spark: SparkSession, root: str, after: str | None, before: str | None) -> DataFrame:
+    """The top-level files that Spark's sources never list: empty ones, and names
+    that begin with ``_`` or ``.`` (but for Spark's own markers and checksums)."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.listStatus(path) if fs.exists(path) else []:
+        name = status.getPath().getName()
+        odd = status.getLen() == 0 or name[0] in "._"
+        if status.isFile() and odd and name not in SPARK_MARKERS and not name.endswith(".crc"):
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime() / 1000))
+    df = spark.createDataFrame(found, "path string, length long, seconds double").select(
+        "path", "length", F.timestamp_seconds("seconds").alias("modified_at"))
+    if after:
+        df = df.filter(F.col("modified_at") >= F.lit(after).cast("timestamp"))
+    if before:
+        df = df.filter(F.col("modified_at") < F.lit(before).cast("timestamp"))
+    return df
+
+
 def discover_files(spark: SparkSession, root: str, pattern: str = DEFAULT_PATTERN,
                    modified_after: str | None = None, modified_before: str | None = None) -> DataFrame:
     """Drops under ``root`` whose name matches ``pattern``, one row per drop:
@@ -72,33 +102,46 @@ def discover_files(spark: SparkSession, root: str, pattern: str = DEFAULT_PATTER
 # --------------------------------------------------------------------------
 # headers
 # --------------------------------------------------------------------------
+def _local(path: str) -> str | None:
+    """The plain path of a local file; None for another file system."""
+    if path.startswith("file:"):
+        return "/" + path[len("file:"):].lstrip("/")
+    return path if path.startswith("/") else None
+
+
 def _open(path: str):
+    """An input stream; names may hold any character (blanks, ``#``, ``%``)."""
     from pyarrow import fs
-    uri = path
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:"):]
-    filesystem, p = fs.FileSystem.from_uri(uri)
+    local = _local(path)
+    if local:
+        return fs.LocalFileSystem().open_input_stream(local, compression=None)
+    filesystem, p = fs.FileSystem.from_uri(quote(path, safe="/:@"))
     return filesystem.open_input_stream(p, compression=None)
 
 
-def _first_line(path: str, limit: int = 1 << 20) -> str | None:
-    """First line of a (possibly gzip) file, reading only as far as needed."""
+def _header_record(path: str) -> list[str] | None:
+    """The first CSV record of a (possibly gzip) file, reading only as far as
+    needed; a quoted name may hold commas and line breaks, of any length."""
+    decode = codecs.getincrementaldecoder("utf-8")(errors="replace").decode
+    text, quotes, end = "", 0, -1
     with _open(path) as raw:
         stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
-        buf = io.BytesIO()
-        while buf.tell() < limit:
+        while end < 0:
             chunk = stream.read(65536)
+            new = decode(chunk, final=not chunk)
+            for i, c in enumerate(new):
+                quotes += c == '"'
+                if c == "\n" and quotes % 2 == 0:
+                    end = len(text) + i
+                    break
+            text += new
             if not chunk:
                 break
-            cut = chunk.find(b"\n")
-            if cut >= 0:
-                buf.write(chunk[:cut])
-                break
-            buf.write(chunk)
-        line = buf.getvalue()
-    if not line:
+    line = (text if end < 0 else text[:end]).lstrip("\ufeff").rstrip("\r")
+    if not line.strip():
         return None
-    return line.decode("utf-8", errors="replace").rstrip("\r").lstrip("﻿")
+    csv.field_size_limit(sys.maxsize)
+    return next(csv.reader([line + "\n"] if "\n" not in line else line.splitlines(keepends=True)))
 
 
 def _headers(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -106,37 +149,29 @@ def _headers(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         out = []
         for p in pdf["path"]:
             try:
-                out.append((p, _first_line(p), None))
+                names = _header_record(p)
+                out.append((p, None if names is None else json.dumps(names), None))
             except Exception as exc:  # noqa: BLE001 - an unreadable file is data
-                out.append((p, None, f"{type(exc).__name__}: {exc}"[:500]))
+                out.append((p, None, f"{type(exc).__name__}: {exc}"))
         yield pd.DataFrame(out, columns=["path", "header", "header_error"])
 
 
 def header_lines(parts: DataFrame) -> DataFrame:
-    """path -> first line (CSV header) of every part file."""
+    """path -> header (a JSON array of its names) of every part file; null for a
+    file without one, with the error if it could not be read."""
     return parts.select("path").mapInPandas(
         _headers, "path string, header string, header_error string")
 
 
-def split_header(line: str | None) -> list[str]:
-    """Header names as Spark's CSV reader names them: a blank name becomes
-    ``_c<i>``, and names equal up to case get their position appended
-    (``Order ID,order id`` -> ``Order ID0,order id1``)."""
-    import csv
-    if not line:
-        return []
-    names = [n if n.strip() else f"_c{i}" for i, n in enumerate(next(csv.reader([line])))]
-    lowered = [n.lower() for n in names]
-    return [f"{n}{i}" if lowered.count(n.lower()) > 1 else n for i, n in enumerate(names)]
-
-
 def header_profile(spark: SparkSession, root: str) -> DataFrame:
-    """Historical headers through the sanitizer: (sanitized, raw, files)."""
-    h = header_lines(list_parts(spark, root)).filter(F.col("header").isNotNull())
-    cols = h.select("path", F.posexplode(F.split("header", ",")).alias("pos", "raw"))
+    """Historical headers through the sanitizer: (sanitized, raw, files); a drop
+    of many parts counts once."""
     from vendorlake.functions.names import sanitize_col
-    raw = F.regexp_replace(F.col("raw"), '^"|"$', "")
-    return (cols.select(sanitize_col(raw).alias("sanitized"), raw.alias("raw"))
+    parts = list_parts(spark, root)
+    h = header_lines(parts).filter(F.col("header").isNotNull())
+    named = h.join(parts.select("path", "file_name"), "path").select(
+        "file_name", F.explode(F.from_json("header", "array<string>")).alias("raw"))
+    return (named.select(sanitize_col(F.col("raw")).alias("sanitized"), "raw", "file_name").distinct()
             .groupBy("sanitized", "raw").agg(F.count(F.lit(1)).alias("files"))
             .orderBy("sanitized", "raw"))
 
@@ -144,11 +179,47 @@ def header_profile(spark: SparkSession, root: str) -> DataFrame:
 # --------------------------------------------------------------------------
 # the CSV read
 # --------------------------------------------------------------------------
-def _scan_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-          .option("inferSchema", False).option("enforceSchema", True).csv(paths))
+#: Columns the reader adds; a landed column of such a name is a collision.
+READER_COLUMNS = ("_path", "_block_start", "_mid", "_source_file")
+
+
+def _layouts(sanitize: bool, amap: Mapping[str, str], required: list[str]):
+    """Per file: its canonical columns (JSON), or why it is rejected."""
+    def judge(name: str, header: str | None, error: str | None) -> tuple[str | None, str | None]:
+        if header is None:
+            return None, f"input {name} could not be read: {error}" if error else "empty file: no header"
+        names = [n if n.strip() else f"_c{i}" for i, n in enumerate(json.loads(header))]
+        cols = [amap.get(c, c) for c in (sanitize_header(n) if sanitize else n for n in names)]
+        missing = missing_columns(cols, required)
+        if missing:
+            return None, contract_message(name, missing, cols)
+        seen = [c.lower() for c in cols]
+        twice = sorted({c for c in cols if seen.count(c.lower()) > 1 or c in READER_COLUMNS})
+        if twice:
+            return None, f"input {name} has ambiguous columns {twice} (header {names})"
+        return json.dumps(cols), None
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            text = pdf[["file_name", "header", "header_error"]].astype(object).where(pdf.notna(), None)
+            told = [judge(*row) for row in text.itertuples(index=False)]
+            yield pd.DataFrame({"path": pdf["path"], "file_name": pdf["file_name"],
+                                "layout": [t[0] for t in told], "reason": [t[1] for t in told]})
+    return run
+
+
+def _as_uri(path: str) -> str:
+    """The path as Spark's file metadata spells it: escaped but for non-ASCII."""
+    return "".join(c if ord(c) > 127 else quote(c, safe="/:@!$&'()*+,;=~") for c in path)
+
+
+def _scan_csv(spark: SparkSession, columns: list[str], paths: list[str], multi_line: bool) -> DataFrame:
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    escaped = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]       # names are no globs
+    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+          .option("multiLine", multi_line).option("escape", '"').csv(escaped))
     return df.select(
-        "*",
+        *[df[f"`{c.replace('`', '``')}`"] for c in columns],
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_block_start"),
         F.monotonically_increasing_id().alias("_mid"),
@@ -157,53 +228,39 @@ def _scan_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_csv_raw(spark: SparkSession, parts: DataFrame, sanitize: bool = True,
                  aliases: Mapping[str, Iterable[str]] | None = None,
-                 required: Iterable[str] | None = None) -> tuple[DataFrame | None, DataFrame]:
+                 required: Iterable[str] | None = None,
+                 multi_line: bool = False) -> tuple[DataFrame | None, DataFrame]:
     """All-string read of the part files in ``parts`` (path, file_name).
 
     Returns (rows, rejected).  ``rows`` carries every landed column plus
     ``_source_file`` (the drop name), ``_block_start`` and ``_mid`` (for
     record numbers); extra columns are kept, missing ones are NULL across
-    signatures.  ``rejected`` (file_name, reason) lists drops whose header
-    misses a required column; they are not read.
+    layouts.  ``rejected`` (file_name, reason) lists the drops that are not
+    read: unreadable or empty ones, those whose header misses a required
+    column, and those where two columns come to one name.
+
+    ``multi_line`` lets quoted values hold line breaks; such files are read
+    whole by one task each, so it is off unless asked for.
     """
     from vendorlake.session import materialize
-    heads = materialize(header_lines(parts).join(parts.select("path", "file_name"), "path"),
-                        "headers")
-    amap = alias_map(aliases or {})
-    # Only the distinct header signatures (a handful) are collected; each
-    # signature's file list is then fetched as plain rows - the listing
-    # Spark's own file index keeps on the driver - never built into one
-    # array by one task.
-    headers = [r["header"] for r in heads.select("header").distinct().collect()]
-    required = list(required or [])
-    frames, rejects = [], []
-    for header in headers:
-        sel = heads.filter(F.col("header").eqNullSafe(header)).select("path", "file_name").collect()
-        row = {"header": header, "paths": [r["path"] for r in sel],
-               "files": sorted({r["file_name"] for r in sel})}
-        raw_cols = split_header(row["header"])
-        cols = [sanitize_header(c) if sanitize else c for c in raw_cols]
-        cols = [amap.get(c, c) for c in cols]
-        missing = missing_columns(cols, required)
-        if missing or not raw_cols:
-            msg = contract_message(",".join(sorted(row["files"])), missing, cols) if raw_cols \
-                else "empty file: no header"
-            rejects += [(f, msg) for f in row["files"]]
-            continue
-        df = _scan_csv(spark, sorted(row["paths"]))
-        n = len(raw_cols)
-        data_cols = df.columns[:n]
-        df = df.select(*[F.col(f"`{c}`").alias(new) for c, new in zip(data_cols, cols)],
-                       "_path", "_block_start", "_mid")
-        frames.append(df)
-    rejected = spark.createDataFrame(rejects, "file_name string, reason string")
-    if not frames:
-        return None, rejected
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    names = parts.select(F.col("path").alias("_path"), F.col("file_name").alias("_source_file"))
-    return out.join(names, "_path").drop("_path"), rejected
+    heads = materialize(
+        header_lines(parts).join(parts.select("path", "file_name"), "path")
+        .mapInPandas(_layouts(sanitize, alias_map(aliases or {}), list(required or [])),
+                     "path string, file_name string, layout string, reason string"), "headers")
+    rejected = heads.filter(F.col("reason").isNotNull()).groupBy("file_name").agg(F.min("reason").alias("reason"))
+    usable = heads.join(rejected.select("file_name"), "file_name", "left_anti")
+    out = None
+    # The distinct layouts (a handful) and, for the reader, the paths of each
+    # reach the driver: the listing that Spark's own file index keeps there.
+    for row in usable.select("layout").distinct().collect():
+        files = usable.filter(F.col("layout") == row.layout).select("path", "file_name").collect()
+        df = _scan_csv(spark, json.loads(row.layout), sorted(f.path for f in files), multi_line)
+        # one row per file already listed here; paths as text and as URI
+        names = {(p, f.file_name) for f in files for p in (f.path, _as_uri(f.path))}
+        listing = F.broadcast(spark.createDataFrame(sorted(names), "_path string, _source_file string"))
+        df = df.join(listing, "_path").drop("_path")
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out, rejected
 
 
 def read_any(spark: SparkSession, fmt: str, path: str, **options) -> DataFrame:

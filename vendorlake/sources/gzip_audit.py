@@ -3,8 +3,9 @@
 Spark decompresses gzip natively, but a corrupt archive fails the whole read
 at header time.  This audit streams each compressed part file through
 ``zlib`` in 8 MiB chunks inside an executor task (``mapInPandas``), never
-holding a file in memory, and stops at the decompressed-size cap.  Result:
-one row per part file with ``gzip_error`` NULL when the file is sound.
+holding a file in memory.  A cap on the decompressed size can be given; by
+default there is none.  Result: one row per drop with ``gzip_error`` NULL when
+all its part files are sound.
 """
 from __future__ import annotations
 
@@ -15,13 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vendorlake.model import PREPROCESS_MAX_DECOMPRESSED
 from vendorlake.sources.files import _open
 
 CHUNK = 8 * 1024 ** 2
 
 
-def inflate_check(path: str, cap: int = PREPROCESS_MAX_DECOMPRESSED) -> tuple[int, str | None]:
+def inflate_check(path: str, cap: int | None = None) -> tuple[int, str | None]:
     """(decompressed bytes, error text or None); the caller prefixes the name."""
     total = 0
     d = zlib.decompressobj(16 + zlib.MAX_WBITS)
@@ -34,7 +34,7 @@ def inflate_check(path: str, cap: int = PREPROCESS_MAX_DECOMPRESSED) -> tuple[in
                 while chunk:
                     out = d.decompress(chunk, CHUNK)
                     total += len(out)
-                    if total > cap:
+                    if cap is not None and total > cap:
                         return total, f"decompressed size exceeds {cap} bytes"
                     chunk = d.unconsumed_tail
                     if d.eof and d.unused_data:        # concatenated members
@@ -48,7 +48,7 @@ def inflate_check(path: str, cap: int = PREPROCESS_MAX_DECOMPRESSED) -> tuple[in
     return total, None
 
 
-def _audit(cap: int):
+def _audit(cap: int | None):
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
             rows = [(p, *inflate_check(p, cap)) for p in pdf["path"]]
@@ -56,7 +56,7 @@ def _audit(cap: int):
     return run
 
 
-def gzip_audit(parts: DataFrame, cap: int = PREPROCESS_MAX_DECOMPRESSED) -> DataFrame:
+def gzip_audit(parts: DataFrame, cap: int | None = None) -> DataFrame:
     """Audit every part file of every ``.gz`` drop in ``parts`` (path,
     file_name).  One row per drop: file_name, decompressed_bytes, gzip_error
     (first error of its parts)."""

@@ -3,8 +3,9 @@
 A file-source stream over the landing prefix (``binaryFile`` listing, no
 content) feeds ``foreachBatch``; each micro-batch runs the batch ingest on
 exactly its new files and writes its ledger under ``batch_id=<n>`` with
-overwrite, so a replayed micro-batch (after an executor or driver failure)
-rewrites the same rows instead of duplicating them.  The checkpoint is the
+overwrite, and its models' rows under ``<ledger>_tables/<model>/batch_id=<n>``,
+so a replayed micro-batch (after an executor or driver failure) rewrites the
+same rows instead of duplicating them.  The checkpoint is the
 per-file "seen" guard.  ``trigger`` ``availableNow`` drains what is there
 and stops (a scheduled run); ``processingTime='1 hour'`` runs hourly and
 never overlaps itself.
@@ -29,7 +30,7 @@ def stream_ingest(spark: SparkSession, root: str, ledger_path: str | None = None
     ledger_path = ledger_path or scratch_path(spark, "ingest_ledger")
     checkpoint = checkpoint or scratch_path(spark, "ingest_checkpoint")
     listing = (spark.readStream.format("binaryFile").schema(LISTING_SCHEMA)
-               .option("pathGlobFilter", "[!._]*").option("recursiveFileLookup", "true")
+               .option("recursiveFileLookup", "true")
                .load(root)
                .select("path", "length", F.col("modificationTime").alias("modified_at")))
 
@@ -37,8 +38,10 @@ def stream_ingest(spark: SparkSession, root: str, ledger_path: str | None = None
         parts = batch.withColumn("file_name", _drop_name(F.col("path"), root))
         if not parts.take(1):
             return
-        ledger = run_batch(spark, parts, consolidate=False,
-                           dispatch_transforms=dispatch_transforms)["ledger"]
+        done = run_batch(spark, parts, consolidate=False, dispatch_transforms=dispatch_transforms)
+        for name, df in done["tables"].items():
+            df.write.mode("overwrite").parquet(f"{ledger_path}_tables/{name}/batch_id={batch_id}")
+        ledger = done["ledger"]
         (ledger.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .parquet(f"{ledger_path}/batch_id={batch_id}"))
 

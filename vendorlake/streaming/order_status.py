@@ -1,15 +1,18 @@
 """Live review status per order, with the SLA as an event-time timer.
 
-Input events (order_ref, kind, ts, decision, note, decision_id):
+Input events (batch_id, vendor, order_ref, kind, ts, decision, note, decision_id):
 ``kind = 'opened'`` when an order enters review, ``kind = 'decision'`` for
 a reviewer signal.  Per order the state keeps the review start and the first
 valid decision; the order resolves when a valid decision lands within the
 SLA (``reviewer``) or when the watermark passes start + SLA with none
 (``sla_timeout``).  Decisions may arrive before the review opens; late or
 invalid signals are harmless.  A tie with the timer goes to the decision.
+Orders are told apart by batch, vendor and order_ref.
 
 State is a few scalars per open order, updated incrementally; nothing about
-an order is ever gathered whole.
+an order is ever gathered whole.  Every state has a timeout: an order that was
+resolved, and a decision whose review never opens, are forgotten when the
+watermark is two SLAs past.
 """
 from __future__ import annotations
 
@@ -22,9 +25,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vendorlake.model import REVIEW_SLA_SECONDS, SLA_ACTION, VALID_DECISIONS
 
-OUTPUT_SCHEMA = ("order_ref string, outcome string, decision_source string, note string, "
-                 "resolved_at timestamp")
-STATE_SCHEMA = ("opened_ms long, decision string, note string, decided_ms long, decision_id long")
+KEY = ("batch_id", "vendor", "order_ref")
+OUTPUT_SCHEMA = ("batch_id string, vendor string, order_ref string, outcome string, decision_source string, "
+                 "note string, resolved_at timestamp")
+STATE_SCHEMA = ("opened_ms long, decision string, note string, decided_ms long, decision_id long, resolved boolean, "
+                "last_ms long")
 
 
 def _resolver(sla_seconds: int, sla_action: str):
@@ -32,46 +37,46 @@ def _resolver(sla_seconds: int, sla_action: str):
     terminal = "denied" if sla_action == "deny" else "escalated"
 
     def out(key, outcome, source, note, ms):
-        return pd.DataFrame({"order_ref": [key], "outcome": [outcome], "decision_source": [source],
+        return pd.DataFrame({**{k: [v] for k, v in zip(KEY, key)}, "outcome": [outcome], "decision_source": [source],
                              "note": [note], "resolved_at": [pd.Timestamp(ms, unit="ms")]})
 
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        order_ref = key[0]
-        opened, decision, note, decided, did = (state.get if state.exists
-                                                else (None, None, None, None, None))
-        if state.hasTimedOut:
-            state.remove()
-            if decision is not None and opened is not None and decided <= opened + sla_ms:
-                yield out(order_ref, "settled" if decision == "approve" else "denied", "reviewer",
-                          note, decided)
-            else:
-                yield out(order_ref, terminal, "sla_timeout",
-                          f"no decision within {sla_seconds}s", opened + sla_ms)
+        opened, decision, note, decided, did, resolved, last = (
+            state.get if state.exists else (None, None, None, None, None, False, None))
+        if not state.hasTimedOut:
+            for pdf in batches:
+                ms = pdf["ms"].to_numpy()
+                last = max(int(ms.max()), last if last is not None else int(ms.max()))
+                kinds = pdf["kind"].to_numpy()
+                opened_ms = ms[kinds == "opened"]
+                if opened_ms.size:
+                    first_open = int(opened_ms.min())
+                    opened = first_open if opened is None else min(opened, first_open)
+                valid = (kinds == "decision") & pdf["decision"].isin(VALID_DECISIONS).to_numpy()
+                if valid.any():
+                    ids = pdf["decision_id"].fillna(-1).to_numpy().astype("int64")
+                    cand = np.flatnonzero(valid)
+                    best = cand[np.lexsort((ids[cand], ms[cand]))[0]]
+                    key_ = (int(ms[best]), int(ids[best]))
+                    if decided is None or key_ < (decided, did):
+                        decision, note = pdf["decision"].iat[best], pdf["note"].iat[best]
+                        decided, did = key_
+        watermark = state.getCurrentWatermarkMs()
+        if not resolved and opened is not None:
+            if decision is not None and decided <= opened + sla_ms:
+                resolved = True
+                yield out(key, "settled" if decision == "approve" else "denied", "reviewer", note, decided)
+            elif opened + sla_ms <= watermark or state.hasTimedOut:
+                resolved = True
+                yield out(key, terminal, "sla_timeout", f"no decision within {sla_seconds}s", opened + sla_ms)
+        # until the timer, or until no signal of this order can be on time any more
+        until = opened + sla_ms if opened is not None and not resolved else last + 2 * sla_ms
+        if until <= watermark or (state.hasTimedOut and resolved):
+            if state.exists:
+                state.remove()
             return
-        for pdf in batches:
-            ms = pdf["ts"].astype("datetime64[ns]").to_numpy().astype("int64") // 1_000_000
-            kinds = pdf["kind"].to_numpy()
-            opened_ms = ms[kinds == "opened"]
-            if opened_ms.size:
-                first_open = int(opened_ms.min())
-                opened = first_open if opened is None else min(opened, first_open)
-            valid = (kinds == "decision") & pdf["decision"].isin(VALID_DECISIONS).to_numpy()
-            if valid.any():
-                ids = pdf["decision_id"].fillna(-1).to_numpy().astype("int64")
-                cand = np.flatnonzero(valid)
-                best = cand[np.lexsort((ids[cand], ms[cand]))[0]]
-                key_ = (int(ms[best]), int(ids[best]))
-                if decided is None or key_ < (decided, did):
-                    decision, note = pdf["decision"].iat[best], pdf["note"].iat[best]
-                    decided, did = key_
-        if opened is not None and decision is not None and decided <= opened + sla_ms:
-            state.remove()
-            yield out(order_ref, "settled" if decision == "approve" else "denied", "reviewer",
-                      note, decided)
-            return
-        state.update((opened, decision, note, decided, did))
-        if opened is not None:
-            state.setTimeoutTimestamp(opened + sla_ms)
+        state.update((opened, decision, note, decided, did, resolved, last))
+        state.setTimeoutTimestamp(until)
 
     return fn
 
@@ -79,8 +84,9 @@ def _resolver(sla_seconds: int, sla_action: str):
 def order_status(events: DataFrame, sla_seconds: int = REVIEW_SLA_SECONDS,
                  sla_action: str = SLA_ACTION, lateness: str = "0 seconds") -> DataFrame:
     """Streaming (or batch) events -> one resolution row per reviewed order."""
-    return (events.withWatermark("ts", lateness)
-            .groupBy("order_ref")
+    from pyspark.sql import functions as F
+    return (events.withWatermark("ts", lateness).withColumn("ms", F.unix_millis("ts"))
+            .groupBy(*KEY)
             .applyInPandasWithState(_resolver(sla_seconds, sla_action), OUTPUT_SCHEMA,
                                     STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
 
@@ -90,13 +96,13 @@ def review_events(settled: DataFrame, decisions: DataFrame, opened_at: str = "20
     entered review opens at ``opened_at``; decisions arrive ``delay_s`` later."""
     from pyspark.sql import functions as F
     t0 = F.lit(opened_at).cast("timestamp")
-    opened = (settled.filter(F.col("_review")).select("order_ref").distinct()
-              .select("order_ref", F.lit("opened").alias("kind"), t0.alias("ts"),
+    opened = (settled.filter(F.col("_review")).select(*KEY).distinct()
+              .select(*KEY, F.lit("opened").alias("kind"), t0.alias("ts"),
                       F.lit(None).cast("string").alias("decision"),
                       F.lit(None).cast("string").alias("note"),
                       F.lit(None).cast("long").alias("decision_id")))
     dec = decisions.select(
-        "order_ref", F.lit("decision").alias("kind"),
+        *KEY, F.lit("decision").alias("kind"),
         (t0 + F.make_dt_interval(secs=F.col("delay_s").cast("decimal(18,6)"))).alias("ts"),
         "decision", "note", F.col("decision_id").cast("long").alias("decision_id"))
     return opened.unionByName(dec)
@@ -129,7 +135,7 @@ def _replay(spark, events, stream, src, out, ckpt, sla_seconds, sla_action) -> N
     for phase in ("data", "tick"):
         if phase == "tick":
             tick_ts = spark.read.parquet(f"{src}/data").agg(F.max("ts")).first()[0]
-            spark.createDataFrame([("__tick__", "tick", tick_ts, None, None, None)], events.schema) \
+            spark.createDataFrame([("", "", "__tick__", "tick", tick_ts, None, None, None)], events.schema) \
                 .write.mode("overwrite").parquet(f"{src}/tick")
         q = (order_status(stream, sla_seconds, sla_action).writeStream.format("parquet")
              .option("path", out).option("checkpointLocation", ckpt)
