@@ -64,7 +64,8 @@ def test_search_prunes_ranges_without_loss():
             tf = sum(h == t for h in (_cached(x) for x in text.split()))
             scores[d] += w * search._norm(tf, len(text.split()), 15.0) if tf else 0
     order = np.lexsort((np.arange(3000), -scores))[:10]
-    assert best.ids.tolist() == order.tolist() and best.scores == pytest.approx(scores[order])
+    _, ids, found = best.rows()
+    assert ids.tolist() == order.tolist() and found == pytest.approx(scores[order])
 
 
 _seen = {}
