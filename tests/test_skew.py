@@ -26,7 +26,7 @@ def test_dedupe_with_a_hot_key(spark):
 def test_first_decision_with_a_hot_order(spark):
     n = 20000
     d = spark.range(n).select(
-        F.col("id").alias("decision_id"),
+        F.col("id").alias("decision_id"), F.lit("b").alias("batch_id"), F.lit("v").alias("vendor"),
         F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(
             F.concat(F.lit("ORD-"), F.col("id").cast("string"))).alias("order_ref"),
         F.when(F.col("id") % 2 == 0, F.lit("approve")).otherwise(F.lit("deny")).alias("decision"),
