@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vendorlake.llm import linededup, lmscore, minhash, mixing, packing, quality, search, secrets, sharding, substrings
 from vendorlake.llm.common import documents
+from vendorlake.llm.oracle import ORACLE_SQL  # noqa: F401 - read beside QUERIES
 from vendorlake.session import scratch_path
 
 SHARDS = 24
@@ -87,4 +88,3 @@ QUERIES = {"op1_bmw_bm25_search": op1_bmw_bm25_search,
            "op3_host_quality": op3_host_quality,
            "op5_secret_ledger": op5_secret_ledger,
            "op10_rendezvous_sharding": op10_rendezvous_sharding}
-ORACLE_SQL: dict[str, str] = {}
