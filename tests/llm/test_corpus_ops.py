@@ -48,6 +48,33 @@ def test_search_matches_brute_force(frame, rows, shard_bytes, block):
     assert set(out) <= set(want)
 
 
+def _same_hits(found, want):
+    out = collections.defaultdict(list)
+    for r in found.collect():
+        out[r.query_id].append((r.rank, r.doc_id, r.score))
+    assert set(out) == {q for q, hits in want.items() if hits}
+    for q, hits in want.items():
+        got, scores = sorted(out.get(q, [])), [round(s, 6) for s, _ in hits]
+        assert [r for r, _, _ in got] == list(range(1, len(hits) + 1))
+        assert [s for _, _, s in got] == pytest.approx([s for s, _ in hits])
+        assert [d for _, d, s in got if scores.count(round(s, 6)) == 1] == [d for s, d in hits if scores.count(round(s, 6)) == 1]
+
+
+def test_the_search_query_asks_with_every_word(spark, frame, tmp_path):
+    """No word of a query document is left out, as brute force without a cut shows."""
+    rows = make_rows(seed=5, n=120)
+    text = dict(rows)
+    frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute.bm25(rows, lambda d: d % 20 == 0, _hash_of, most=None)
+    assert max(len(set(brute.words(text[q], lower=True))) for q in want) > 2 * search.QUERY_WORDS
+    _same_hits(QUERIES["op1_bmw_bm25_search"](spark, str(tmp_path)), want)
+
+
+def test_search_blocks_by_terms(frame, rows):
+    want = brute.bm25(rows, lambda d: d % 3 == 0, _hash_of, most=None)
+    _same_hits(search.search_documents(frame(rows), F.col("doc_id") % 3 == 0, words=None, shard_bytes=3000, terms=500), want)
+
+
 def test_search_prunes_ranges_without_loss():
     """Many ranges: most lie under the floor, and the best are still exact."""
     r = random.Random(4)
