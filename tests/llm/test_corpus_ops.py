@@ -234,12 +234,20 @@ def test_filter_counts_back():
     part = lmscore.Filter({0: len(bits)}, [(0, bits)], np.ones(1 << lmscore.SEGMENT_BITS, bool))
     exact = lmscore.estimate(lmscore.level(counts))
     got = part.count(grams)
-    assert (got >= exact).all() and (got == exact).mean() > 0.95
+    assert (got >= exact).all() and (got == exact).mean() > 0.97
     others = n.integers(0, 2 ** 52, 20_000, np.uint64)
-    assert (part.count(others) == 0).mean() > 0.95
+    assert (part.count(others) == 0).mean() > 0.97
     assert lmscore.estimate(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
 
 
+def test_filter_false_hits():
+    """About 1 % of the n-grams that are no members hit, not 2 %."""
+    n = np.random.Generator(np.random.PCG64(3))
+    bits = lmscore.build_segment(np.unique(n.integers(0, 2 ** 52, 20_000, np.uint64)), np.ones(20_000, np.int64))
+    part = lmscore.Filter({0: len(bits)}, [(0, bits)], np.ones(1 << lmscore.SEGMENT_BITS, bool))
+    assert (part.count(n.integers(0, 2 ** 52, 50_000, np.uint64)) > 0).mean() < 0.015
+
+
 def test_lm_empty_and_no_training(frame):
     assert lmscore.score_documents(frame([])).count() == 0
     held = [(d, "some words") for d in range(60) if zlib.crc32(str(d).encode()) % 7 == 2][:3]
