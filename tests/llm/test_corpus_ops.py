@@ -326,6 +326,22 @@ def test_pipeline_matches_brute_force(spark, frame):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "mixing", "packing"]
 
 
+def test_packed_sequences_keep_the_mix(spark, frame):
+    """Prefixes of the packed output stay near the targets, the longest texts being
+    all of one source."""
+    rows = [(d, " ".join([f"w{d}"] * (60 if d % 5 > 2 else 10))) for d in range(6000)]
+    docs = frame(rows, partitions=1)         # a fifth null, src1, src2 each, two fifths src0
+    out = corpus_pipeline.packing_stage(spark, docs, "").collect()
+    check_packing(out, rows, 2048)
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    parts = {s: corpus_pipeline.TARGETS[s or mixing.OTHER] for s in ("src0", "src1", "src2", None)}
+    share = parts["src0"] / sum(parts.values())
+    seen = 0
+    for n, r in enumerate(sorted(out, key=lambda r: (r.sequence_id, r.offset))[:4500], 1):     # src0 lasts for 5,000
+        seen += source[r.doc_id] == "src0"
+        assert abs(seen - share * n) <= packing.WINDOW * (1 - share) + 2 * mixing.BLOCK
+
+
 def test_pipeline_on_an_empty_table(spark, frame):
     docs = frame([])
     for _, stage in corpus_pipeline.STAGES:

@@ -128,10 +128,17 @@ def positions(docs: DataFrame, targets: Mapping[str, int], source: str = "source
     return _placed(rows, targets, source, key, block, ("pool", "source_rank", "slot", "position"))
 
 
+def placed(docs: DataFrame, targets: Mapping[str, int], out: str, source: str = "source", key: str = "doc_id",
+           block: int = BLOCK) -> DataFrame:
+    """``docs`` with the position of each row, as ``positions`` has it, as ``out``."""
+    names = (*(fresh(docs, x) for x in ("_pool", "_rank", "_slot")), out)
+    return _placed(docs, targets, source, key, block, names).select(*docs.columns, out)
+
+
 def mixed(docs: DataFrame, targets: Mapping[str, int], source: str = "source", key: str = "doc_id",
           block: int = BLOCK) -> DataFrame:
     """``docs`` in the order of the mix: range-partitioned and sorted by position,
     so that files written from it hold the mix, in the order of their names."""
-    names = tuple(fresh(docs, x) for x in ("_pool", "_rank", "_slot", "_position"))
-    placed = _placed(docs, targets, source, key, block, names)
-    return placed.repartitionByRange(names[3]).sortWithinPartitions(names[3]).select(*docs.columns)
+    position = fresh(docs, "_position")
+    out = placed(docs, targets, position, source, key, block)
+    return out.repartitionByRange(position).sortWithinPartitions(position).select(*docs.columns)

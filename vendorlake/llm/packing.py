@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vendorlake.llm.common import stash
+from vendorlake.llm.common import fresh, stash
 
 CAPACITY = 2048
 END_ID = 0
+#: Pieces that are best-fitted together where sequences keep an order.
+WINDOW = 1024
 TOKENIZER = "byte_bpe_50k"
 
 _MEMBER = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()),
@@ -128,6 +130,59 @@ def _merge(capacity: int, chunk: int):
     return run
 
 
+def _pack_windows(capacity: int, window: int, tokenizer: str):
+    """Bins of at most ``window`` pieces at a time, rows (key, text, position)
+    being sorted by position; each with its least position and the piece there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Tokenizer(tokenizer)
+        items: list = []
+        places: list[tuple[int, int]] = []
+
+        def flush(n: int) -> pa.RecordBatch:
+            bins = best_fit([size for size, _ in items[:n]], capacity)
+            packed = _flush(items[:n], capacity)     # the same bins: best_fit has no chance in it
+            least = [min(places[i] for i in b) for b in bins]
+            del items[:n], places[:n]
+            return pa.RecordBatch.from_arrays(
+                [*packed.columns, pa.array([p for p, _ in least], pa.int64()), pa.array([n for _, n in least], pa.int32())],
+                names=["size", "members", "place", "nth"])
+
+        for batch in batches:
+            for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                ids = np.array(encode.ids(text.as_py() or "") + [END_ID], dtype="<u4")
+                for n, (start, size) in enumerate(cut(len(ids), capacity)):
+                    items.append((size, [(doc, n, start, size, zlib.crc32(ids[start:start + size].tobytes()))]))
+                    places.append((place, n))
+                while len(items) >= window:
+                    yield flush(window)
+        if items:
+            yield flush(len(items))
+    return run
+
+
+def pack_in_order(docs: DataFrame, position: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
+                  tokenizer: str = TOKENIZER, window: int = WINDOW) -> DataFrame:
+    """What ``pack`` returns, with the sequences in the order of ``position`` (one
+    number per row, all distinct): pieces are best-fitted within windows of
+    consecutive positions, and sequence ids rise with the least position in a
+    sequence.  A prefix of the sequences thus holds a prefix of the rows, but for
+    a window.  Bins left open at the end of a window stay so.
+    """
+    if not 1 <= capacity <= 1 << 20:
+        raise ValueError("capacity out of range")
+    rows = docs.select(F.col(key).cast("long"), text, F.col(position).cast("long").alias(fresh(docs, "_place")))
+    rows = rows.repartitionByRange(rows.columns[2]).sortWithinPartitions(rows.columns[2])
+    placed = T.StructType([*_BIN.fields, T.StructField("place", T.LongType()), T.StructField("nth", T.IntegerType())])
+    bins = stash(rows.mapInArrow(_pack_windows(capacity, window, tokenizer), placed), "bins")
+    return _exploded(bins.repartitionByRange("place", "nth").sortWithinPartitions("place", "nth"))
+
+
+def _exploded(bins: DataFrame) -> DataFrame:
+    return bins.withColumn("sequence_id", F.monotonically_increasing_id()).select(
+        "sequence_id", F.explode("members").alias("m")).select(
+        "m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
+
+
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
          tokenizer: str = TOKENIZER, nearly_full: float = 0.99, chunk: int = 50_000) -> DataFrame:
     """Every piece of every document, with its sequence and place there.
@@ -160,6 +215,4 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     all_bins = done[0]
     for more in done[1:]:
         all_bins = all_bins.unionByName(more)
-    return all_bins.withColumn("sequence_id", F.monotonically_increasing_id()).select(
-        "sequence_id", F.explode("members").alias("m")).select(
-        "m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", "m.offset")
+    return _exploded(all_bins)
