@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.llm import linededup, lmscore, minhash, mixing, packing, quality, search, secrets, sharding, substrings
+from vendorlake.llm import langid, linededup, lmscore, minhash, mixing, packing, quality, search, secrets, sharding, substrings
 from vendorlake.llm.common import documents
 from vendorlake.llm.oracle import ORACLE_SQL  # noqa: F401 - read beside QUERIES
 from vendorlake.session import scratch_path
@@ -78,7 +78,13 @@ def op1_bmw_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_documents(documents(spark, sf_dir), F.col("doc_id") % 20 == 0, words=None)
 
 
-QUERIES = {"op1_bmw_bm25_search": op1_bmw_bm25_search,
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of them."""
+    return langid.identify(documents(spark, sf_dir))
+
+
+QUERIES = {"op12_language_id": op12_language_id,
+           "op1_bmw_bm25_search": op1_bmw_bm25_search,
            "op6_bloom_lm_scores": op6_bloom_lm_scores,
            "op9_debruijn_dedup": op9_debruijn_dedup,
            "op8_line_dedup": op8_line_dedup,
