@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.llm import langid, linededup, lmscore, minhash, mixing, packing, quality, search, secrets, sharding, substrings
+from vendorlake.llm import collocations, langid, linededup, lmscore, minhash, mixing, packing, quality, search, secrets, sharding, substrings
 from vendorlake.llm.common import documents
 from vendorlake.llm.oracle import ORACLE_SQL  # noqa: F401 - read beside QUERIES
 from vendorlake.session import scratch_path
@@ -83,7 +83,13 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {"op12_language_id": op12_language_id,
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+QUERIES = {"op13_collocations": op13_collocations,
+           "op12_language_id": op12_language_id,
            "op1_bmw_bm25_search": op1_bmw_bm25_search,
            "op6_bloom_lm_scores": op6_bloom_lm_scores,
            "op9_debruijn_dedup": op9_debruijn_dedup,
