@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.llm import collocations, langid, linededup, lmscore, minhash, mixing, packing, quality, search, secrets, sharding, substrings
+from vendorlake.llm import collocations, convtrie, langid, linededup, lmscore, minhash, mixing, packing, quality, search, secrets, sharding, substrings
 from vendorlake.llm.common import documents
 from vendorlake.llm.oracle import ORACLE_SQL  # noqa: F401 - read beside QUERIES
 from vendorlake.session import scratch_path
@@ -88,7 +88,13 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
-QUERIES = {"op13_collocations": op13_collocations,
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations."""
+    return convtrie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {"op11_conversation_trie": op11_conversation_trie,
+           "op13_collocations": op13_collocations,
            "op12_language_id": op12_language_id,
            "op1_bmw_bm25_search": op1_bmw_bm25_search,
            "op6_bloom_lm_scores": op6_bloom_lm_scores,
