@@ -123,3 +123,86 @@ def bm25(rows, wanted, hash_of, k=10, most=32):
                     scores[d] += idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * length[d] / average))
         out[q] = sorted(((s, d) for d, s in scores.items()), key=lambda x: (-round(x[0], 9), x[1]))[:k]
     return out
+
+
+def conversation_trie(rows, hash_of):
+    """Nodes of rows (conv_id, turn, role, text), by depth and conv_id."""
+    turns = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            one = (role or "", text or "")
+            turns[c].append(((turn is not None, turn or 0), hash_of(*one), one))
+    own = {c: [x[2] for x in sorted(v)] for c, v in turns.items()}
+    built = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        built[c] = own.get(c - int(math.fmod(c, 100)), [])[:h] + v[h:]
+    members = collections.defaultdict(list)
+    for c, v in built.items():
+        for d in range(len(v) + 1):
+            members[tuple(v[:d])].append(c)
+    kids = collections.Counter(p[:-1] for p in members if p)
+    leaves, saved, out = collections.Counter(), collections.Counter(), []
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += kids[p] == 0
+            saved[p[:d]] += (len(m) - 1) * len(p[-1][1]) if p else 0
+    for p, m in members.items():
+        ends = ",".join(str(c) for c in sorted(c for c in m if len(built[c]) == len(p)))
+        out.append((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), kids[p], leaves[p], saved[p],
+                    hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=lambda r: (r[1], r[0]))
+
+
+def collocations(rows, least=30, longest=4, best=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of rows (text, lang)."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    f, n, out = collections.defaultdict(collections.Counter), collections.Counter(), []
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                f[lang].update(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+    for lang, c in f.items():
+        found = {p: a for p, a in c.items() if len(p) >= 2 and a >= least}
+        cover = collections.Counter()
+        for p, a in found.items():
+            for size in range(2, len(p)):
+                for i in range(len(p) - size + 1):
+                    cover[p[i:i + size]] = max(cover[p[i:i + size]], a)
+        kept = []
+        for p, a in found.items():
+            if not (cover[p] and 100 * cover[p] >= 80 * a):
+                score, k = min((2000000 * a // (c[p[:k]] + c[p[k:]]), k) for k in range(1, len(p)))
+                kept.append((-score, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        out += [(lang, i, p.decode(), -a, x, y, n[lang], -s) for i, (s, a, p, x, y) in enumerate(sorted(kept)[:best], 1)]
+    return sorted(out)
+
+
+def language_scores(rows, bucket_of, buckets, alpha, scale):
+    """[(held out, language, score)] of rows (key, text, lang)."""
+    def features(text):
+        s = " " + "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "") + " "
+        return [bucket_of(s[i:i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1) if s[i:i + n].strip(" ")]
+
+    held = [zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 0 for k, _, _ in rows]
+    seen = [features(t) for _, t, _ in rows]
+    counts, texts = collections.defaultdict(collections.Counter), collections.Counter()
+    for out, grams, (_, t, lang) in zip(held, seen, rows):
+        if not out and t is not None and lang is not None:
+            counts[lang].update(grams)
+            texts[lang] += bool(grams)
+    langs = sorted(x for x in texts if texts[x])
+    size = {x: sum(counts[x].values()) for x in langs}
+    log = {x: {b: round((math.log(counts[x][b] + alpha) - math.log(size[x] + alpha * buckets)) * scale) for g in seen for b in g} for x in langs}
+    result = []
+    for out, grams in zip(held, seen):
+        if not grams or not langs:
+            result.append((out, "und", 0.0))
+            continue
+        s = {x: round(math.log(texts[x] / sum(texts.values())) * scale) + sum(log[x][b] for b in grams) for x in langs}
+        top = max(s.values())
+        result.append((out, min(x for x in langs if s[x] == top), 1 / sum(math.exp((v - top) / scale) for v in s.values())))
+    return result

@@ -111,5 +111,60 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, m), doc_id,
        doc_id IS NOT DISTINCT FROM coalesce(least(doc_id, m), doc_id, m) AS kept
 FROM docs LEFT JOIN sizes USING (rid) LEFT JOIN least_id USING (rid)"""
 
-ORACLE_SQL = {"op3_host_quality": HOST_QUALITY, "op5_secret_ledger": _secrets(), "op7_minhash_near_dedup": NEAR_DUPLICATES,
+#: Unsigned CRC-32 of a number's decimal text, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda crc, byte: list_reduce([CAST(1 AS BIGINT), 2, 3, 4, 5, 6, 7, 8], lambda x, step: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END,
+                                xor(crc, byte)), CAST(4294967295 AS BIGINT)))"""
+
+CONVERSATION_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, count(*) AS own, conv_id - conv_id % 100 AS root, {_CRC32.format("conv_id")} % 6 AS h FROM turns GROUP BY conv_id),
+built AS (
+  SELECT c.conv_id, t.p, role, text FROM convs c JOIN turns t ON t.conv_id = c.root AND t.p <= c.h
+  UNION ALL SELECT conv_id, p, role, text FROM turns JOIN convs USING (conv_id) WHERE p > h),
+placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS d, sha256(length(role) || ':' || role || text) AS turn, length(text) AS chars FROM built),
+sizes AS (SELECT conv_id, coalesce(n, 0) AS n FROM convs LEFT JOIN (SELECT conv_id, count(*) AS n FROM placed GROUP BY conv_id) USING (conv_id)),
+member AS (
+  SELECT conv_id, 0 AS d, '' AS path, NULL AS up, 0 AS chars FROM convs
+  UNION ALL
+  SELECT conv_id, d, sha256(string_agg(turn, '') OVER w), CASE WHEN d > 1 THEN sha256(string_agg(turn, '') OVER v) ELSE '' END, chars
+  FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY d), v AS (PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+nodes AS (
+  SELECT d, path, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM member JOIN sizes USING (conv_id) GROUP BY d, path),
+kids AS (SELECT d - 1 AS d, up AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+valued AS (SELECT *, coalesce(n_children, 0) AS kids FROM nodes LEFT JOIN kids USING (d, path)),
+subtree AS (
+  SELECT m.d, m.path, count(*) FILTER (WHERE v.kids = 0) AS n_leaves, sum((v.n_convs - 1) * v.chars) AS saved_tokens
+  FROM valued v JOIN member m ON m.conv_id = v.conv_id AND m.d <= v.d GROUP BY ALL)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, v.n_convs, v.kids AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM valued v JOIN subtree s ON s.d = v.d AND s.path = v.path LEFT JOIN nodes q ON q.d = v.d - 1 AND q.path = v.up"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+COLLOCATIONS = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+runs AS (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+counts AS (SELECT lang, w[i:i + k - 1] AS p, k, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30),
+found AS (SELECT lang, p, k, f AS a FROM counts WHERE k >= 2),
+inner_runs AS (
+  SELECT lang, a, p[i:i + size - 1] AS p FROM (
+    SELECT lang, a, p, size, unnest(generate_series(1, k - size + 1)) AS i FROM (SELECT *, unnest(generate_series(2, k - 1)) AS size FROM found WHERE k >= 3))),
+covers AS (SELECT lang, p, max(a) AS cover FROM inner_runs GROUP BY ALL),
+cuts AS (SELECT lang, p, a, k, unnest(generate_series(1, k - 1)) AS cut FROM found LEFT JOIN covers USING (lang, p)
+         WHERE cover IS NULL OR CAST(cover AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80),
+scores AS (SELECT c.*, x.f AS l, y.f AS r, CAST(CAST(a AS HUGEINT) * 2000000 // (x.f + y.f) AS BIGINT) AS score
+           FROM cuts c JOIN counts x ON x.lang = c.lang AND x.p = c.p[1:cut] JOIN counts y ON y.lang = c.lang AND y.p = c.p[cut + 1:]),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(p, ' '))) AS rank,
+                  array_to_string(p, ' ') AS phrase, a, l, r, score FROM best)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000"""
+
+ORACLE_SQL = {"op11_conversation_trie": CONVERSATION_TRIE, "op13_collocations": COLLOCATIONS,
+              "op3_host_quality": HOST_QUALITY, "op5_secret_ledger": _secrets(), "op7_minhash_near_dedup": NEAR_DUPLICATES,
               "op9_debruijn_dedup": REPEATED_PASSAGES}
