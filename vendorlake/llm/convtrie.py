@@ -236,7 +236,7 @@ def _finish(members: DataFrame, nodes: DataFrame, below: DataFrame | None, block
         "parent_conv_id", F.when(F.col("level") == 1, F.col("at")).otherwise(F.coalesce("above", "conv_id")))
     kids = (nodes.where("level > 0").groupBy("up").agg(F.count(F.lit(1)).alias("kids"), F.count_if(~many).alias("lone"))
             .withColumnRenamed("up", "path"))
-    shared = nodes.where(many | (F.col("depth") == 0)).join(kids, "path", "left")
+    shared = nodes.where(many | (F.col("level") == 0)).join(kids, "path", "left")
     if below is not None:
         end = shared.where(F.col("level") == width).drop("kids", "lone").join(below, "conv_id", "left")
         shared = shared.where(F.col("level") < width).withColumn("leaves", F.lit(0).cast("long")).withColumn(
