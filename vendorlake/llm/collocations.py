@@ -55,6 +55,7 @@ class Positions:
         inside = ~_GAP[data]
         first = np.zeros(len(data) + 1, bool)
         first[at] = True
+        first[-1] = True
         before, after = first[:-1].copy(), first[1:].copy()
         before[1:] |= ~inside[:-1]
         after[:-1] |= ~inside[1:]
