@@ -5,9 +5,11 @@ they add nothing to the physical plan.  ``land_table`` is the one write.
 """
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from vendorlake.functions.names import sanitize_header
 
@@ -85,14 +87,29 @@ def land_table(df: DataFrame, table: str, path: str | None = None,
                fmt: str = "parquet") -> DataFrame:
     """Overwrite a table (database created if needed) and return it re-read.
 
-    With ``path`` the table is external (a location in the shared folder),
-    which is what a cluster without a shared warehouse needs.
+    Without a catalog of its own (``fmt`` parquet) the table is external, at
+    ``path`` or else at a version of its own in the warehouse folder: frames that
+    still read the version before keep working, older versions are deleted.
     """
     spark = df.sparkSession
     if "." in table:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.split('.')[0]}")
     writer = df.write.mode("overwrite").format(fmt)
+    home = None
+    if path is None and fmt == "parquet":
+        home = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{table.replace('.', '.db/')}"
+        path = f"{home}/v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
+    if home:
+        _drop_versions(spark, home, keep=2)
     return spark.table(table)
+
+
+def _drop_versions(spark: SparkSession, home: str, keep: int) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(home)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("v")), key=lambda p: p.getName())
+    for old in found[:-keep]:
+        files.delete(old, True)

@@ -88,7 +88,9 @@ def resolve_spec(routed: DataFrame) -> DataFrame:
 def batch_ledger(files: DataFrame, dispatch_transforms: bool = True,
                  rejected: DataFrame | None = None, landing_prefix: str = "landing",
                  quarantine_prefix: str = "quarantine") -> DataFrame:
-    """One result row per discovered file (the batch's ``results``).
+    """One result row per discovered file (the batch's ``results``): ``file`` is its
+    name as landed, ``file_name`` as it was found (``x.csv`` and ``x.csv.gz`` land
+    under one name).
 
     ``files`` may carry ``gzip_error`` (from ``sources.gzip_audit``);
     ``rejected`` (file_name, reason) holds files the transform refused
@@ -123,7 +125,7 @@ def batch_ledger(files: DataFrame, dispatch_transforms: bool = True,
               .when(~has_spec, F.lit(None))
               .otherwise(F.col("_rejected")))
     out = r.select(
-        file_out.alias("file"), status.alias("status"),
+        "file_name", file_out.alias("file"), status.alias("status"),
         F.when(F.col("gzip_error").isNull(), F.col("route")).alias("route"),
         landed_key.alias("landed_key"), reason.alias("_reason"))
     qkey = F.concat(F.lit(quarantine_prefix + "/"), F.regexp_extract("landed_key", r"([^/]*)$", 1))
@@ -134,6 +136,7 @@ def batch_ledger(files: DataFrame, dispatch_transforms: bool = True,
         F.when(F.col("status") == "quarantined", qkey).alias("quarantine_key"),
         F.col("_reason").alias("error"),
         F.when(F.col("status") == "quarantined", F.col("_reason")).alias("quarantine_reason"),
+        "file_name",
     )
 
 

@@ -9,10 +9,13 @@ The spec shape is the one vendors' jobs already use::
                               "require_columns": ["order_id", ...]}}],
      "dbt_args": ["build", "--select", "tag:orders"],
      "dbt_vars": {"since": "2026-08-01"},
+     "sql_models": {"recent": "SELECT * FROM daily_revenue WHERE order_date >= CAST(:since AS DATE)"},
      "outputs": [{"table": "analytics.daily_revenue",
-                  "destination": "<path>", "format": "json"}],
+                  "destination": "<path>", "format": "parquet"}],
      "catalog": {"type": "rest", "name": "lake", "uri": "...", "warehouse": "..."}}
 
+Outputs are parquet unless they ask for ``json`` (one document of at most
+``max_rows`` rows).  With a catalog, tables are kept in its format.
 Prints one final line ``ETL_RESULT {json}`` (success, outputs or error) and
 exits non-zero on a deterministic rejection or a failed data test.
 """
@@ -22,6 +25,7 @@ import argparse
 import json
 import sys
 
+from vendorlake.model import MAX_INLINE_ROWS
 from vendorlake.plans.jobs import InputSpec, JobSpec, OutputSpec, run_job
 
 
@@ -49,10 +53,10 @@ def job_from_dict(spec: dict) -> JobSpec:
             sanitize_headers=bool(h.get("sanitize_headers", inp.get("format", "csv") == "csv")),
             column_aliases={k: tuple(v) for k, v in (h.get("column_aliases") or {}).items()},
             require_columns=tuple(h.get("require_columns") or ())))
-    outputs = [OutputSpec(o["table"], o.get("destination") or o.get("key"), o.get("format", "json"))
-               for o in spec.get("outputs", [])]
+    outputs = [OutputSpec(o["table"], o.get("destination") or o.get("key"), o.get("format", "parquet"),
+                          o.get("max_rows", MAX_INLINE_ROWS)) for o in spec.get("outputs", [])]
     return JobSpec(spec.get("name", "job"), inputs, selectors(spec.get("dbt_args", ["build"])),
-                   outputs, spec.get("dbt_vars") or {})
+                   outputs, spec.get("dbt_vars") or {}, spec.get("sql_models") or {})
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -64,12 +68,12 @@ def main(argv: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
-    from vendorlake.plans.catalog import catalog_conf
+    from vendorlake.plans.catalog import catalog_conf, table_format
     builder = SparkSession.builder.appName(spec.get("name", "vendorlake-job"))
     for k, v in catalog_conf(spec.get("catalog")).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    res = run_job(spark, job_from_dict(spec))
+    res = run_job(spark, job_from_dict(spec), table_format=table_format(spec.get("catalog")))
     if res["success"]:
         print("ETL_RESULT " + json.dumps({"success": True, "outputs": res["outputs"]}))
         return 0

@@ -120,7 +120,7 @@ def load_input(spark: SparkSession, inp: InputSpec) -> DataFrame:
         from vendorlake.sources.files import list_parts, read_csv_raw
         parts = list_parts(spark, inp.source)
         df, rejected = read_csv_raw(spark, parts, inp.sanitize_headers, inp.column_aliases,
-                                    inp.require_columns)
+                                    inp.require_columns, root=inp.source)
         bad = rejected.select("reason").limit(1).collect()
         if bad:
             raise ContractError(bad[0]["reason"])
@@ -156,7 +156,7 @@ def run_job(spark: SparkSession, spec: JobSpec, tables: dict[str, DataFrame] | N
     """Run one job; returns {success, error, tables, outputs, tests}.
 
     Inputs are landed as their tables and models saved in MODEL_DATABASE (as
-    ``table_format``), so a later job - a consolidation without inputs, say -
+    ``table_format``; in the warehouse, not among intermediate tables), so a later job - a consolidation without inputs, say -
     finds them; with ``save`` off they are plans only.  A rejected input, a
     missing table, a failed test and data that cannot be computed all end in
     ``success: False`` with the reason.
@@ -167,8 +167,7 @@ def run_job(spark: SparkSession, spec: JobSpec, tables: dict[str, DataFrame] | N
         if not save:
             return df
         table = name if "." in name else f"{MODEL_DATABASE}.{name}"
-        path = scratch_path(spark, table.replace(".", "_")) if table_format == "parquet" else None
-        return land_table(df, table, path, table_format)
+        return land_table(df, table, fmt=table_format)
 
     def result(error: str | None = None) -> dict:
         return {"success": error is None, "error": error, "tables": tables, "outputs": outputs, "tests": tests}
@@ -202,19 +201,10 @@ def run_job(spark: SparkSession, spec: JobSpec, tables: dict[str, DataFrame] | N
     return result()
 
 
-def route_job(route: str) -> JobSpec | None:
-    """The job a route's files feed (spec from the registry)."""
-    entry = next((r for r in REGISTRY if r.route == route), None)
-    if entry is None or entry.spec is None:
-        return None
-    s = SPECS[entry.spec]
-    return JobSpec(s.name, select=tuple(f"tag:{t}" for t in s.select_tags),
-                   outputs=[OutputSpec(o) for o in s.outputs])
-
-
-def run_batch(spark: SparkSession, root: str | DataFrame, consolidate: bool = True,
+def run_batch(spark: SparkSession, root: str, consolidate: bool = True,
               dispatch_transforms: bool = True, pattern: str = DEFAULT_PATTERN,
-              max_decompressed: int | None = None, publish: str | None = None) -> dict:
+              max_decompressed: int | None = None, publish: str | None = None,
+              parts: DataFrame | None = None) -> dict:
     """The file batch as one set of Spark jobs.
 
     discover (names matching ``pattern``) -> gzip audit -> route -> duplicates ->
@@ -223,16 +213,18 @@ def run_batch(spark: SparkSession, root: str | DataFrame, consolidate: bool = Tr
     -> consolidation, once a file has transformed, over this batch's tables and
     those that earlier jobs left.
 
+    ``parts``: only these files of ``root`` (what a stream's micro-batch brought).
     ``publish``: a folder for what the batch gives out: the models, the outputs
-    its specs declare (parquet, validated), and copies of the quarantined files.
+    its specs declare (parquet, validated: an empty one quarantines the files of its
+    route), and copies of the quarantined files.
     Returns {ledger, report, tables, rejected, outputs, quarantined}.
     """
     from vendorlake.operators.routing import classify_route, mark_duplicates
     from vendorlake.sources.files import list_parts, read_csv_raw
     from vendorlake.sources.gzip_audit import gzip_audit
 
-    parts = list_parts(spark, root) if isinstance(root, str) else root
-    parts = materialize(parts.filter(F.col("file_name").rlike(glob_to_regex(pattern))), "listing")
+    parts = list_parts(spark, root, pattern=pattern) if parts is None else parts.filter(F.col("file_name").rlike(glob_to_regex(pattern)))
+    parts = materialize(parts, "listing")
     # the audit inflates every archive once; all later steps read its result
     files = materialize(
         parts.groupBy("file_name").agg(F.max("modified_at").alias("modified_at"))
@@ -251,7 +243,7 @@ def run_batch(spark: SparkSession, root: str | DataFrame, consolidate: bool = Tr
             route_parts = parts.join(usable.filter(F.col("route") == entry.route)
                                      .select("file_name"), "file_name")
             raw, rej = read_csv_raw(spark, route_parts, True, spec.column_aliases,
-                                    canonical_columns(model))
+                                    canonical_columns(model), root=root)
             rejected_frames.append(rej)
             if raw is None:
                 continue
@@ -262,6 +254,14 @@ def run_batch(spark: SparkSession, root: str | DataFrame, consolidate: bool = Tr
             for m in selected_models(tuple(f"tag:{t}" for t in spec.select_tags)):
                 if m.entity is None and all(d in tables for d in m.deps):
                     tables[m.name] = m.build(*[tables[d] for d in m.deps])
+    outputs: list[dict] = []
+    if publish:
+        for spec in SPECS.values():
+            outputs += _publish(spark, spec, tables, publish)
+            empty = [o["error"] for o in outputs if o["error"] and o["spec"] == spec.name]
+            if empty:                                  # the transform failed: its files are quarantined
+                routes = [r.route for r in REGISTRY if r.spec == spec.name]
+                rejected_frames.append(usable.filter(F.col("route").isin(routes)).select("file_name", F.lit(empty[0]).alias("reason")))
     rejected = None
     if rejected_frames:
         rejected = rejected_frames[0]
@@ -275,20 +275,24 @@ def run_batch(spark: SparkSession, root: str | DataFrame, consolidate: bool = Tr
             known = [d for d in m.deps if d in tables or spark.catalog.tableExists(f"{MODEL_DATABASE}.{d}")]
             if transformed and len(known) == len(m.deps):
                 tables[m.name] = m.build(*[tables[d] if d in tables else _saved(spark, d) for d in m.deps])
-    outputs, quarantined = [], None
+    quarantined = None
     if publish:
+        outputs += _publish(spark, SPECS["consolidation"], tables, publish, outputs) if "consolidation" in SPECS else []
         for name, df in tables.items():
             tables[name] = land_table(df, f"{MODEL_DATABASE}.{name}", f"{publish}/tables/{name}")
-        for spec in SPECS.values():
-            for out in spec.outputs:
-                if _short(out) in tables:
-                    outputs.append(export(tables[_short(out)], out, f"{publish}/outputs/{_short(out)}"))
-        validate_outputs(spark, [o for o in outputs if o["rows"]])
         quarantined = materialize(quarantine_files(parts, ledger, f"{publish}/quarantine"), "quarantined")
     return {"ledger": ledger, "report": batch_report(ledger), "tables": tables,
             "rejected": rejected, "outputs": outputs, "quarantined": quarantined}
 
 
+def _publish(spark: SparkSession, spec, tables: dict[str, DataFrame], root: str, done: list[dict] | tuple = ()) -> list[dict]:
+    """Write and check the outputs a spec declares, as far as their models were built."""
+    names = [o for o in spec.outputs if _short(o) in tables and o not in {d["table"] for d in done}]
+    outputs = [export(tables[_short(o)], o, f"{root}/outputs/{_short(o)}") | {"spec": spec.name} for o in names]
+    checked = {r.destination: r.error for r in validate_outputs(spark, outputs, strict=False).collect()} if outputs else {}
+    return [o | {"error": checked[o["destination"]]} for o in outputs]
+
+
 def run_settlement_batch(spark: SparkSession, root: str, contracts: DataFrame,
                          decisions: DataFrame, remit_path: str | None = None,
                          batch_id: str = "batch", multi_line: bool = True, **policy) -> dict:
@@ -315,7 +319,7 @@ def run_settlement_batch(spark: SparkSession, root: str, contracts: DataFrame,
     parts = materialize(parts.join(vendor_files, "file_name"), "vendor_files")
     corrupt = materialize(gzip_audit(parts).filter(F.col("gzip_error").isNotNull())
                           .select("file_name", F.col("gzip_error").alias("reason")), "corrupt")
-    raw, rejected = read_csv_raw(spark, parts.join(corrupt, "file_name", "left_anti"), multi_line=multi_line)
+    raw, rejected = read_csv_raw(spark, parts.join(corrupt, "file_name", "left_anti"), multi_line=multi_line, root=root)
     rejected = rejected.unionByName(corrupt)
     if raw is None and rejected.isEmpty():
         raise ContractError("no vendor-orders files landed in this batch")

@@ -198,7 +198,8 @@ CTES.update({
                CASE WHEN route IS NULL THEN 'quarantine/' || decompressed_name END AS quarantine_key,
                CASE WHEN route IS NULL THEN 'no route pattern matched'
                     WHEN is_duplicate THEN 'a transform for this route+filename is already running' END AS error,
-               CASE WHEN route IS NULL THEN 'no route pattern matched' END AS quarantine_reason
+               CASE WHEN route IS NULL THEN 'no route pattern matched' END AS quarantine_reason,
+               file_name
         FROM routed_dups"""),
 })
 
@@ -240,7 +241,7 @@ CTES.update({
         SELECT file, status, route,
                CASE WHEN status IN ('landed', 'transformed') THEN 'landing/' || file END AS landed_key,
                CASE WHEN status = 'quarantined' THEN 'quarantine/' || drop_name END AS quarantine_key,
-               error, CASE WHEN status = 'quarantined' THEN error END AS quarantine_reason
+               error, CASE WHEN status = 'quarantined' THEN error END AS quarantine_reason, drop_name AS file_name
         FROM (
           SELECT drop_name,
                  CASE WHEN starts_with(drop_name, 'documents_') THEN drop_name

@@ -881,21 +881,73 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(ledger).drop("batch_id")
 
 
-@query("stream_order_status", with_ctes("""
-    SELECT r.batch_id, r.vendor, r.order_ref,
-           CASE WHEN d.decision IS NULL THEN 'escalated'
-                WHEN d.decision = 'approve' THEN 'settled' ELSE 'denied' END AS outcome,
-           CASE WHEN d.decision IS NULL THEN 'sla_timeout' ELSE 'reviewer' END AS decision_source,
-           CASE WHEN d.decision IS NULL THEN 'no decision within 300s' ELSE d.decision_note END AS note,
-           TIMESTAMP '2024-01-01 00:00:00'
-               + to_milliseconds(CAST(coalesce(d.decision_delay_s, 300) * 1000 AS BIGINT)) AS resolved_at
-    FROM (SELECT DISTINCT batch_id, vendor, order_ref FROM settled WHERE _review) r
-    LEFT JOIN first_decision d
-      ON r.batch_id = d.batch_id AND r.vendor = d.vendor AND r.order_ref = d.order_ref""", "settled", "first_decision"))
+#: Reviews of the events table: the SLA, how late an event may come, and how far
+#: apart the events of one order (of a day) may lie.
+EVENT_SLA, EVENT_LATENESS, EVENT_RETENTION = 6 * 3600, 3600, 86_400
+
+
+def _ended(stream, name: str, spark):
+    """Run a stream over what its source holds; its rows."""
+    from vendorlake.session import scratch_path
+    from vendorlake.streaming.order_status import start
+    out = scratch_path(spark, name)
+    start(stream, out, scratch_path(spark, f"{name}-checkpoint")).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("stream_order_status", with_ctes(f"""
+    SELECT batch_id, vendor, order_ref,
+           CASE WHEN verb IS NULL THEN 'escalated' WHEN verb = 'approve' THEN 'settled' ELSE 'denied' END AS outcome,
+           CASE WHEN verb IS NULL THEN 'sla_timeout' ELSE 'reviewer' END AS decision_source,
+           CASE WHEN verb IS NULL THEN 'no decision within {EVENT_SLA}s' ELSE note END AS note,
+           coalesce(decided, opened + INTERVAL {EVENT_SLA} SECOND) AS resolved_at
+    FROM (SELECT o.batch_id, o.vendor, o.order_ref, o.opened, d.decision AS verb, d.ts AS decided, d.note
+          FROM (SELECT batch_id, vendor, order_ref, min(ts) AS opened FROM review_signals WHERE opened GROUP BY ALL) o
+          LEFT JOIN review_signals d
+            ON d.batch_id = o.batch_id AND d.vendor = o.vendor AND d.order_ref = o.order_ref
+               AND d.decision IN ('approve', 'deny') AND d.ts <= o.opened + INTERVAL {EVENT_SLA} SECOND
+          QUALIFY row_number() OVER (PARTITION BY o.batch_id, o.vendor, o.order_ref ORDER BY d.ts, d.decision_id) = 1) t
+    WHERE greatest(opened, coalesce(decided, opened + INTERVAL {EVENT_SLA} SECOND))
+          <= (SELECT max(ts) - INTERVAL {EVENT_LATENESS} SECOND FROM review_signals)""", "review_signals"))
 def q_stream_order_status(spark, sf):
-    from vendorlake.streaming.order_status import review_events, run_order_status
-    events = review_events(settled_records(spark, sf), A.decisions(spark, sf))
-    return run_order_status(spark, events)
+    """Resolutions that the watermark has made final, from the events table as a stream."""
+    from vendorlake.streaming.order_status import order_status
+    signals = A.review_signals(A.events_stream(spark, sf))
+    return _ended(order_status(signals, EVENT_SLA, lateness=f"{EVENT_LATENESS} seconds", retention_seconds=EVENT_RETENTION),
+                  "order-status", spark)
+
+
+_REVIEWS_SQL = f"""
+    SELECT vendor, order_ref, review_id, opened_at,
+           CASE WHEN verb IS NULL THEN 'escalated' WHEN verb = 'approve' THEN 'settled' ELSE 'denied' END AS outcome,
+           CASE WHEN verb IS NULL THEN 'sla_timeout' ELSE 'reviewer' END AS decision_source, decision_id,
+           CASE WHEN verb IS NULL THEN 'no decision within {EVENT_SLA}s' ELSE note END AS note,
+           CASE WHEN verb IS NULL THEN opened_at + INTERVAL {EVENT_SLA} SECOND ELSE greatest(decided, opened_at) END AS resolved_at
+    FROM (SELECT o.vendor, o.order_ref, o.decision_id AS review_id, o.ts AS opened_at, d.decision AS verb, d.ts AS decided, d.note, d.decision_id
+          FROM review_signals o LEFT JOIN review_signals d
+            ON d.vendor = o.vendor AND d.order_ref = o.order_ref AND d.decision IN ('approve', 'deny')
+               AND d.ts BETWEEN o.ts - INTERVAL {EVENT_LATENESS} SECOND AND o.ts + INTERVAL {EVENT_SLA} SECOND
+          WHERE o.opened QUALIFY row_number() OVER (PARTITION BY o.decision_id ORDER BY d.ts, d.decision_id) = 1) t"""
+
+
+@query("review_decisions", with_ctes(_REVIEWS_SQL, "review_signals"))
+def q_review_decisions(spark, sf):
+    """The first decision of every review, by an interval join of the events table."""
+    from vendorlake.streaming.decisions import first_decisions
+    events = A.read_events(spark, sf)
+    return first_decisions(A.review_openings(events), A.review_decisions(events), EVENT_SLA, EVENT_LATENESS)
+
+
+@query("stream_review_decisions", with_ctes(_REVIEWS_SQL + f"""
+    WHERE opened_at + INTERVAL {EVENT_SLA} SECOND <= (
+      SELECT least(max(ts) FILTER (WHERE opened), max(ts) FILTER (WHERE decision IN ('approve', 'deny'))) - INTERVAL {EVENT_LATENESS} SECOND
+      FROM review_signals)""", "review_signals"))
+def q_stream_review_decisions(spark, sf):
+    """The same as two streams: the reviews that both watermarks have closed."""
+    from vendorlake.streaming.decisions import first_decisions
+    opened, decided = A.review_openings(A.events_stream(spark, sf)), A.review_decisions(A.events_stream(spark, sf))
+    return _ended(first_decisions(opened, decided, EVENT_SLA, EVENT_LATENESS, lateness=f"{EVENT_LATENESS} seconds"),
+                  "review-decisions", spark)
 
 
 @query("settlement_lifecycle", with_ctes("""

@@ -27,6 +27,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="vendorlake-warehouse-"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -62,11 +63,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, for functions that run in their Python
-    workers.  Not needed where it is installed on every machine (pyproject.toml)
-    or the driver is the cluster (a local master)."""
+    """Send this package to the Python workers, for functions that run in them; a
+    local master's workers do not have the driver's ``sys.path`` either."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or getattr(sc, "_vendorlake_shipped", False):
+    if getattr(sc, "_vendorlake_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(prefix="vendorlake-zip-"), "vendorlake.zip")

@@ -252,6 +252,45 @@ def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------------------
+# review signals: a purchase opens the review of its user's order of the day;
+# every other event is a signal on it (see DECISION_BY_EVENT).
+# ---------------------------------------------------------------------------
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table, read as a stream."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    found = f"{path[:-1]}[{path[-1]}]"               # a pattern: a stream's plain path must be a folder
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(found).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def review_signals(events: DataFrame) -> DataFrame:
+    """Events (a table or a stream) as the input of ``streaming.order_status``."""
+    opened = F.col("event_type") == "purchase"
+    return events.select(
+        F.concat(F.lit("batch-"), F.date_format("ts", "yyyy-MM-dd")).alias("batch_id"),
+        F.concat(F.lit("vendor-"), (F.col("user_id") % 10).cast("string")).alias("vendor"),
+        F.concat(F.lit("ORD-"), F.col("user_id").cast("string")).alias("order_ref"),
+        F.when(opened, "opened").otherwise("decision").alias("kind"), "ts",
+        F.when(~opened, F.coalesce(_case("event_type", DECISION_BY_EVENT), F.col("event_type"))).alias("decision"),
+        F.when(~opened, F.concat(F.lit("k="), F.get_json_object("props", "$.k"))).alias("note"),
+        F.when(~opened, F.col("event_id")).alias("decision_id"), "event_id")
+
+
+def review_openings(events: DataFrame) -> DataFrame:
+    """Every purchase opens a review of its own (input of ``streaming.decisions``)."""
+    return review_signals(events).where(F.col("kind") == "opened").select(
+        "vendor", "order_ref", F.col("event_id").alias("review_id"), F.col("ts").alias("opened_at"))
+
+
+def review_decisions(events: DataFrame) -> DataFrame:
+    return review_signals(events).where(F.col("kind") == "decision").select(
+        "vendor", "order_ref", F.col("event_id").alias("decision_id"), F.col("ts").alias("decided_at"), "decision", "note")
+
+
 # ---------------------------------------------------------------------------
 # file inventory: names of vendor drops, derived row by row from the tables
 # (one drop per order, customer, payment line, event and page), including
@@ -306,6 +345,12 @@ def _sql_money(col: str) -> str:
 
 
 ADAPTER_SQL: dict[str, tuple[tuple[str, ...], str]] = {
+    "review_signals": ((), f"""
+        SELECT 'batch-' || strftime(ts, '%Y-%m-%d') AS batch_id, 'vendor-' || CAST(user_id % 10 AS VARCHAR) AS vendor,
+               'ORD-' || CAST(user_id AS VARCHAR) AS order_ref, event_type = 'purchase' AS opened, ts,
+               coalesce({_sql_case('event_type', DECISION_BY_EVENT)}, event_type) AS decision,
+               'k=' || json_extract_string(props, '$.k') AS note, event_id AS decision_id
+        FROM events"""),
     "raw_orders": ((), f"""
         SELECT CAST(o.o_orderkey AS VARCHAR) AS order_id, c.c_name AS customer,
                CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) AS order_date,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vendorlake.model import MAX_INLINE_ROWS, REMIT_COLUMNS
 from vendorlake.operators.diff import capped_result
 from vendorlake.session import materialize
+from vendorlake.sources.landed import landed_files
 
 
 def json_document(df: DataFrame) -> DataFrame:
@@ -60,26 +61,25 @@ def export_manifest(spark: SparkSession, results: list[dict]) -> DataFrame:
     return spark.createDataFrame(results, "table string, destination string, rows long")
 
 
-def validate_outputs(spark: SparkSession, outputs: list[dict]) -> DataFrame:
-    """destination, format, objects, bytes, rows of every declared output, from
-    its listing and a distributed count.  An output without rows is a failure,
-    whatever its size."""
+def validate_outputs(spark: SparkSession, outputs: list[dict], strict: bool = True) -> DataFrame:
+    """destination, format, objects, bytes, rows, error of every declared output,
+    from its listing and its rows (counted by the write itself where the output
+    says so).  An output without files or rows is a failure, whatever its size:
+    ``strict`` raises it, otherwise it stands in ``error``."""
     rows = []
     for out in outputs:
-        kind, dest = out.get("format", "parquet"), out["destination"]
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(dest)
+        kind, dest, count = out.get("format", "parquet"), out["destination"], out.get("rows")
+        files = (landed_files(spark, dest, minLength="1")
                  .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first())
-        if not files.n:
-            raise RuntimeError(f"output {dest} holds no files")
-        if kind == "parquet":
-            count = spark.read.parquet(dest).count()
-        else:
-            held = spark.read.text(dest).select(F.size(F.from_json("value", "array<string>")).alias("n"))
-            count = held.agg(F.sum("n")).first()[0] or 0
-        if not count:
-            raise RuntimeError(f"output {dest} holds no rows")
-        rows.append((dest, kind, files.n, files.bytes, count))
-    return spark.createDataFrame(rows, "destination string, format string, objects long, bytes long, rows long")
+        if count is None and files.n:
+            held = (spark.read.parquet(dest).select(F.lit(1).alias("n")) if kind == "parquet" else
+                    spark.read.text(dest).select(F.size(F.from_json("value", "array<string>")).alias("n")))
+            count = held.agg(F.sum("n")).first()[0]
+        error = f"output {dest} holds no files" if not files.n else None if count else f"output {dest} holds no rows"
+        if error and strict:
+            raise RuntimeError(error)
+        rows.append((dest, kind, files.n, files.bytes, count or 0, error))
+    return spark.createDataFrame(rows, "destination string, format string, objects long, bytes long, rows long, error string")
 
 
 def write_remittance(outcomes: DataFrame, path: str) -> str:
@@ -123,9 +123,7 @@ def quarantine_files(parts: DataFrame, ledger: DataFrame, dest_root: str) -> Dat
     destination; nothing passes through the driver.  Lazy: returns one row
     per copied file once an action runs.
     """
-    q = ledger.filter(F.col("status") == "quarantined").select(
-        F.regexp_extract("quarantine_key", r"([^/]*)$", 1).alias("file_name"),
-        F.col("quarantine_reason").alias("reason"))
+    q = ledger.filter(F.col("status") == "quarantined").select("file_name", F.col("quarantine_reason").alias("reason"))
     todo = parts.select("path", "file_name").join(q, "file_name")
     return todo.repartition(F.col("path")).mapInPandas(
         _copy_files(dest_root), "path string, quarantine_path string, bytes long")

@@ -1,8 +1,7 @@
 """File sources: discovery, headers, the header-signature CSV read, any format.
 
-Discovery uses the ``binaryFile`` source without its ``content`` column, so
-only the listing is read; names and empty files that Spark's sources skip are
-added from the file system's own listing.  Headers are read by a small Python
+Discovery reads the ``landed_files`` source (``sources.landed``): every file, at
+any depth, listed by tasks.  Headers are read by a small Python
 task per file (``mapInPandas`` + ``pyarrow.fs``) that opens the file, reads its
 header only and settles its columns: a file whose columns collide or miss is
 rejected there, with a reason of its own.  The others are read once per
@@ -28,71 +27,36 @@ from pyspark.sql import types as T
 from vendorlake.functions.names import glob_to_regex, sanitize_header
 from vendorlake.model import DEFAULT_PATTERN
 from vendorlake.operators.hygiene import alias_map, contract_message, missing_columns
+from vendorlake.sources.landed import landed_files
 
-#: Names that Spark itself leaves at the top of a folder it wrote.
-SPARK_MARKERS = ("_SUCCESS", "_temporary", "_metadata", "_common_metadata", "_spark_metadata")
-
-
-def _drop_name(path_col, root: str):
-    """Top-level entry under ``root``: a file, a directory, or the value of a
-    ``key=value`` directory (Spark's partitioned layout).  A plain file keeps
-    its whole name, whatever characters it has."""
-    rel = F.regexp_replace(path_col, "^.*?" + _root_regex(root) + "/", "")
-    first = F.regexp_extract(rel, r"^([^/]*)", 1)
-    return F.when(F.instr(rel, "/") > 0, F.regexp_replace(first, "^[^=]+=", "")).otherwise(first)
-
-
-def _root_regex(root: str) -> str:
-    r = root.rstrip("/")
-    if r.startswith("file:"):
-        r = r[len("file:"):]
-    return re.escape(r.lstrip("/"))
+def _source_of(file_path, root: str):
+    """The drop of a row of a file under ``root``, from Spark's own file metadata
+    (a URI): what ``sources.landed.drop_name`` gives for the listing."""
+    plain = F.url_decode(F.regexp_replace(file_path, r"\+", "%2B"))
+    top = re.escape(root.removeprefix("file:").strip("/"))
+    below = F.regexp_extract(plain, f"^.*?{top}/(.*)$", 1)
+    first = F.regexp_extract(below, "^([^/]*)", 1)
+    return (F.when(below == "", F.regexp_extract(plain, "([^/]*)$", 1))
+            .when(F.instr(below, "/") > 0, F.regexp_replace(first, "^[^=]+=", "")).otherwise(first))
 
 
 def list_parts(spark: SparkSession, root: str, modified_after: str | None = None,
-               modified_before: str | None = None) -> DataFrame:
-    """Every data file under ``root`` (no content read): path, length, mtime.
+               modified_before: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Every data file under ``root`` (no content read): path, length, mtime, drop.
 
-    ``modified_after`` / ``modified_before`` (``YYYY-MM-DDTHH:mm:ss``) re-run a
-    past window (backfill); they prune the listing itself.
+    ``modified_after`` / ``modified_before`` (``YYYY-MM-DDTHH:mm:ss``, UTC) re-run a
+    past window (backfill); they and ``pattern`` (a glob for the drop's name) prune
+    the listing itself.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    if modified_before:
-        reader = reader.option("modifiedBefore", modified_before)
-    df = reader.load(root).select("path", "length", F.col("modificationTime").alias("modified_at"))
-    df = df.unionByName(_skipped_files(spark, root, modified_after, modified_before))
-    return df.withColumn("file_name", _drop_name(F.col("path"), root))
-
-
-def _skipped_files(spark: SparkSession, root: str, after: str | None, before: str | None) -> DataFrame:
-    """The top-level files that Spark's sources never list: empty ones, and names
-    that begin with ``_`` or ``.`` (but for Spark's own markers and checksums)."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    for status in fs.listStatus(path) if fs.exists(path) else []:
-        name = status.getPath().getName()
-        odd = status.getLen() == 0 or name[0] in "._"
-        if status.isFile() and odd and name not in SPARK_MARKERS and not name.endswith(".crc"):
-            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime() / 1000))
-    df = spark.createDataFrame(found, "path string, length long, seconds double").select(
-        "path", "length", F.timestamp_seconds("seconds").alias("modified_at"))
-    if after:
-        df = df.filter(F.col("modified_at") >= F.lit(after).cast("timestamp"))
-    if before:
-        df = df.filter(F.col("modified_at") < F.lit(before).cast("timestamp"))
-    return df
+    return landed_files(spark, root, modifiedAfter=modified_after, modifiedBefore=modified_before,
+                        pattern=glob_to_regex(pattern) if pattern else None)
 
 
 def discover_files(spark: SparkSession, root: str, pattern: str = DEFAULT_PATTERN,
                    modified_after: str | None = None, modified_before: str | None = None) -> DataFrame:
     """Drops under ``root`` whose name matches ``pattern``, one row per drop:
     file_name, parts, length, modified_at (sorted by name)."""
-    parts = list_parts(spark, root, modified_after, modified_before) \
-        .filter(F.col("file_name").rlike(glob_to_regex(pattern)))
+    parts = list_parts(spark, root, modified_after, modified_before, pattern)
     return (parts.groupBy("file_name")
             .agg(F.count(F.lit(1)).alias("parts"), F.sum("length").alias("length"),
                  F.max("modified_at").alias("modified_at"))
@@ -179,6 +143,7 @@ def header_profile(spark: SparkSession, root: str) -> DataFrame:
 # --------------------------------------------------------------------------
 # the CSV read
 # --------------------------------------------------------------------------
+NO_HEADER = "empty file: no header"
 #: Columns the reader adds; a landed column of such a name is a collision.
 READER_COLUMNS = ("_path", "_block_start", "_mid", "_source_file")
 
@@ -187,7 +152,7 @@ def _layouts(sanitize: bool, amap: Mapping[str, str], required: list[str]):
     """Per file: its canonical columns (JSON), or why it is rejected."""
     def judge(name: str, header: str | None, error: str | None) -> tuple[str | None, str | None]:
         if header is None:
-            return None, f"input {name} could not be read: {error}" if error else "empty file: no header"
+            return None, f"input {name} could not be read: {error}" if error else NO_HEADER
         names = [n if n.strip() else f"_c{i}" for i, n in enumerate(json.loads(header))]
         cols = [amap.get(c, c) for c in (sanitize_header(n) if sanitize else n for n in names)]
         missing = missing_columns(cols, required)
@@ -203,7 +168,7 @@ def _layouts(sanitize: bool, amap: Mapping[str, str], required: list[str]):
         for pdf in batches:
             text = pdf[["file_name", "header", "header_error"]].astype(object).where(pdf.notna(), None)
             told = [judge(*row) for row in text.itertuples(index=False)]
-            yield pd.DataFrame({"path": pdf["path"], "file_name": pdf["file_name"],
+            yield pd.DataFrame({"path": pdf["path"], "uri": [_as_uri(p) for p in pdf["path"]], "file_name": pdf["file_name"],
                                 "layout": [t[0] for t in told], "reason": [t[1] for t in told]})
     return run
 
@@ -229,7 +194,7 @@ def _scan_csv(spark: SparkSession, columns: list[str], paths: list[str], multi_l
 def read_csv_raw(spark: SparkSession, parts: DataFrame, sanitize: bool = True,
                  aliases: Mapping[str, Iterable[str]] | None = None,
                  required: Iterable[str] | None = None,
-                 multi_line: bool = False) -> tuple[DataFrame | None, DataFrame]:
+                 multi_line: bool = False, root: str | None = None) -> tuple[DataFrame | None, DataFrame]:
     """All-string read of the part files in ``parts`` (path, file_name).
 
     Returns (rows, rejected).  ``rows`` carries every landed column plus
@@ -237,8 +202,11 @@ def read_csv_raw(spark: SparkSession, parts: DataFrame, sanitize: bool = True,
     record numbers); extra columns are kept, missing ones are NULL across
     layouts.  ``rejected`` (file_name, reason) lists the drops that are not
     read: unreadable or empty ones, those whose header misses a required
-    column, and those where two columns come to one name.
+    column, and those where two columns come to one name.  An empty part of a
+    drop that has others holds no rows and is no reason.
 
+    ``root``: where ``list_parts`` found the parts; the drop of a row then
+    comes from the row's own file path.  Without it, it is joined.
     ``multi_line`` lets quoted values hold line breaks; such files are read
     whole by one task each, so it is off unless asked for.
     """
@@ -246,19 +214,22 @@ def read_csv_raw(spark: SparkSession, parts: DataFrame, sanitize: bool = True,
     heads = materialize(
         header_lines(parts).join(parts.select("path", "file_name"), "path")
         .mapInPandas(_layouts(sanitize, alias_map(aliases or {}), list(required or [])),
-                     "path string, file_name string, layout string, reason string"), "headers")
-    rejected = heads.filter(F.col("reason").isNotNull()).groupBy("file_name").agg(F.min("reason").alias("reason"))
-    usable = heads.join(rejected.select("file_name"), "file_name", "left_anti")
+                     "path string, uri string, file_name string, layout string, reason string"), "headers")
+    full = heads.filter(F.col("layout").isNotNull()).select(F.col("file_name").alias("full"), F.lit(NO_HEADER).alias("why")).distinct()
+    rejected = (heads.filter(F.col("reason").isNotNull())
+                .join(full, (F.col("file_name") == F.col("full")) & (F.col("reason") == F.col("why")), "left_anti")
+                .groupBy("file_name").agg(F.min("reason").alias("reason")))
+    usable = heads.filter(F.col("layout").isNotNull()).join(rejected.select("file_name"), "file_name", "left_anti")
     out = None
-    # The distinct layouts (a handful) and, for the reader, the paths of each
-    # reach the driver: the listing that Spark's own file index keeps there.
+    # The distinct layouts (a handful) reach the driver, and the paths of each, as
+    # arguments of the reader: the listing that Spark's own file index keeps there.
     for row in usable.select("layout").distinct().collect():
-        files = usable.filter(F.col("layout") == row.layout).select("path", "file_name").collect()
-        df = _scan_csv(spark, json.loads(row.layout), sorted(f.path for f in files), multi_line)
-        # one row per file already listed here; paths as text and as URI
-        names = {(p, f.file_name) for f in files for p in (f.path, _as_uri(f.path))}
-        listing = F.broadcast(spark.createDataFrame(sorted(names), "_path string, _source_file string"))
-        df = df.join(listing, "_path").drop("_path")
+        files = usable.filter(F.col("layout") == row.layout)
+        df = _scan_csv(spark, json.loads(row.layout), sorted(f.path for f in files.select("path").collect()), multi_line)
+        if root is None:
+            df = df.join(files.select(F.col("uri").alias("_path"), F.col("file_name").alias("_source_file")), "_path").drop("_path")
+        else:
+            df = df.withColumn("_source_file", _source_of(F.col("_path"), root)).drop("_path")
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out, rejected
 

@@ -45,6 +45,8 @@ def inflate_check(path: str, cap: int | None = None) -> tuple[int, str | None]:
             return total, "not valid gzip (truncated stream)"
     except zlib.error as exc:
         return total, f"not valid gzip ({exc})"
+    except OSError as exc:                         # this file's trouble, not the batch's
+        return total, f"could not be read ({exc})"
     return total, None
 
 

@@ -1,14 +1,14 @@
 """Incremental ingest: new drops are processed once, as they land.
 
-A file-source stream over the landing prefix (``binaryFile`` listing, no
-content) feeds ``foreachBatch``; each micro-batch runs the batch ingest on
-exactly its new files and writes its ledger under ``batch_id=<n>`` with
-overwrite, and its models' rows under ``<ledger>_tables/<model>/batch_id=<n>``,
-so a replayed micro-batch (after an executor or driver failure) rewrites the
-same rows instead of duplicating them.  The checkpoint is the
-per-file "seen" guard.  ``trigger`` ``availableNow`` drains what is there
-and stops (a scheduled run); ``processingTime='1 hour'`` runs hourly and
-never overlaps itself.
+The ``landed_files`` stream over the landing prefix sees every file that the
+batch sees, empty ones and ``_`` names included.  It feeds ``foreachBatch``: each
+micro-batch runs the batch ingest on exactly its new files and writes its ledger
+under ``batch_id=<n>`` with overwrite, and its models' rows under
+``<ledger>_tables/<model>/batch_id=<n>``, so a replayed micro-batch (after an
+executor or driver failure) rewrites the same rows instead of duplicating them.
+The log of what was seen lies beside the checkpoint.  ``trigger``
+``availableNow`` drains what is there and stops (a scheduled run);
+``processingTime='1 hour'`` runs hourly and never overlaps itself.
 """
 from __future__ import annotations
 
@@ -16,9 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendorlake.session import scratch_path
-from vendorlake.sources.files import _drop_name
-
-LISTING_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+from vendorlake.sources.landed import landed_stream
 
 
 def stream_ingest(spark: SparkSession, root: str, ledger_path: str | None = None,
@@ -29,16 +27,12 @@ def stream_ingest(spark: SparkSession, root: str, ledger_path: str | None = None
 
     ledger_path = ledger_path or scratch_path(spark, "ingest_ledger")
     checkpoint = checkpoint or scratch_path(spark, "ingest_checkpoint")
-    listing = (spark.readStream.format("binaryFile").schema(LISTING_SCHEMA)
-               .option("recursiveFileLookup", "true")
-               .load(root)
-               .select("path", "length", F.col("modificationTime").alias("modified_at")))
+    listing = landed_stream(spark, root, f"{checkpoint}/landed")
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        parts = batch.withColumn("file_name", _drop_name(F.col("path"), root))
+    def process(parts: DataFrame, batch_id: int) -> None:
         if not parts.take(1):
             return
-        done = run_batch(spark, parts, consolidate=False, dispatch_transforms=dispatch_transforms)
+        done = run_batch(spark, root, consolidate=False, dispatch_transforms=dispatch_transforms, parts=parts)
         for name, df in done["tables"].items():
             df.write.mode("overwrite").parquet(f"{ledger_path}_tables/{name}/batch_id={batch_id}")
         ledger = done["ledger"]

@@ -1,143 +1,126 @@
 """Live review status per order, with the SLA as an event-time timer.
 
 Input events (batch_id, vendor, order_ref, kind, ts, decision, note, decision_id):
-``kind = 'opened'`` when an order enters review, ``kind = 'decision'`` for
-a reviewer signal.  Per order the state keeps the review start and the first
-valid decision; the order resolves when a valid decision lands within the
-SLA (``reviewer``) or when the watermark passes start + SLA with none
-(``sla_timeout``).  Decisions may arrive before the review opens; late or
-invalid signals are harmless.  A tie with the timer goes to the decision.
-Orders are told apart by batch, vendor and order_ref.
-
-State is a few scalars per open order, updated incrementally; nothing about
-an order is ever gathered whole.  Every state has a timeout: an order that was
-resolved, and a decision whose review never opens, are forgotten when the
-watermark is two SLAs past.
+``kind = 'opened'`` when an order enters review, ``kind = 'decision'`` for a
+reviewer signal; other kinds are ignored.  Orders are told apart by batch, vendor
+and order_ref.  An order's review opens with its first ``opened`` event; its first
+valid decision settles it if it comes by the opening + SLA (before the opening,
+too; a tie with the timer goes to the decision), else the SLA does.
+
+``transformWithState`` keeps a few numbers per order in RocksDB.  A resolution is
+given out when the watermark has passed the moment that makes it final, so events
+that come late or out of order, within the lateness, never change it, and a
+replayed or differently cut stream gives the same rows.  An order is forgotten
+``retention`` after its opening (or its last signal, if it never opens).
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from vendorlake.model import REVIEW_SLA_SECONDS, SLA_ACTION, VALID_DECISIONS
 
 KEY = ("batch_id", "vendor", "order_ref")
 OUTPUT_SCHEMA = ("batch_id string, vendor string, order_ref string, outcome string, decision_source string, "
-                 "note string, resolved_at timestamp")
-STATE_SCHEMA = ("opened_ms long, decision string, note string, decided_ms long, decision_id long, resolved boolean, "
-                "last_ms long")
-
-
-def _resolver(sla_seconds: int, sla_action: str):
-    sla_ms = int(sla_seconds * 1000)
-    terminal = "denied" if sla_action == "deny" else "escalated"
-
-    def out(key, outcome, source, note, ms):
-        return pd.DataFrame({**{k: [v] for k, v in zip(KEY, key)}, "outcome": [outcome], "decision_source": [source],
-                             "note": [note], "resolved_at": [pd.Timestamp(ms, unit="ms")]})
-
-    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, decision, note, decided, did, resolved, last = (
-            state.get if state.exists else (None, None, None, None, None, False, None))
-        if not state.hasTimedOut:
-            for pdf in batches:
-                ms = pdf["ms"].to_numpy()
-                last = max(int(ms.max()), last if last is not None else int(ms.max()))
-                kinds = pdf["kind"].to_numpy()
-                opened_ms = ms[kinds == "opened"]
-                if opened_ms.size:
-                    first_open = int(opened_ms.min())
-                    opened = first_open if opened is None else min(opened, first_open)
-                valid = (kinds == "decision") & pdf["decision"].isin(VALID_DECISIONS).to_numpy()
-                if valid.any():
-                    ids = pdf["decision_id"].fillna(-1).to_numpy().astype("int64")
-                    cand = np.flatnonzero(valid)
-                    best = cand[np.lexsort((ids[cand], ms[cand]))[0]]
-                    key_ = (int(ms[best]), int(ids[best]))
-                    if decided is None or key_ < (decided, did):
-                        decision, note = pdf["decision"].iat[best], pdf["note"].iat[best]
-                        decided, did = key_
-        watermark = state.getCurrentWatermarkMs()
-        if not resolved and opened is not None:
-            if decision is not None and decided <= opened + sla_ms:
-                resolved = True
-                yield out(key, "settled" if decision == "approve" else "denied", "reviewer", note, decided)
-            elif opened + sla_ms <= watermark or state.hasTimedOut:
-                resolved = True
-                yield out(key, terminal, "sla_timeout", f"no decision within {sla_seconds}s", opened + sla_ms)
-        # until the timer, or until no signal of this order can be on time any more
-        until = opened + sla_ms if opened is not None and not resolved else last + 2 * sla_ms
-        if until <= watermark or (state.hasTimedOut and resolved):
-            if state.exists:
-                state.remove()
-            return
-        state.update((opened, decision, note, decided, did, resolved, last))
-        state.setTimeoutTimestamp(until)
-
-    return fn
-
-
-def order_status(events: DataFrame, sla_seconds: int = REVIEW_SLA_SECONDS,
-                 sla_action: str = SLA_ACTION, lateness: str = "0 seconds") -> DataFrame:
-    """Streaming (or batch) events -> one resolution row per reviewed order."""
-    from pyspark.sql import functions as F
-    return (events.withWatermark("ts", lateness).withColumn("ms", F.unix_millis("ts"))
-            .groupBy(*KEY)
-            .applyInPandasWithState(_resolver(sla_seconds, sla_action), OUTPUT_SCHEMA,
-                                    STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
-
-
-def review_events(settled: DataFrame, decisions: DataFrame, opened_at: str = "2024-01-01 00:00:00") -> DataFrame:
-    """Events for ``order_status`` from a settlement run: every record that
-    entered review opens at ``opened_at``; decisions arrive ``delay_s`` later."""
-    from pyspark.sql import functions as F
-    t0 = F.lit(opened_at).cast("timestamp")
-    opened = (settled.filter(F.col("_review")).select(*KEY).distinct()
-              .select(*KEY, F.lit("opened").alias("kind"), t0.alias("ts"),
-                      F.lit(None).cast("string").alias("decision"),
-                      F.lit(None).cast("string").alias("note"),
-                      F.lit(None).cast("long").alias("decision_id")))
-    dec = decisions.select(
-        *KEY, F.lit("decision").alias("kind"),
-        (t0 + F.make_dt_interval(secs=F.col("delay_s").cast("decimal(18,6)"))).alias("ts"),
-        "decision", "note", F.col("decision_id").cast("long").alias("decision_id"))
-    return opened.unionByName(dec)
-
-
-def run_order_status(spark, events: DataFrame, sla_seconds: int = REVIEW_SLA_SECONDS,
-                     sla_action: str = SLA_ACTION, root: str | None = None) -> DataFrame:
-    """Replay ``events`` through the stream (file source, availableNow) and
-    return the resolutions.  A final tick file advances the watermark so the
-    pending SLA timers fire; the second run resumes from the checkpoint."""
-    from pyspark.sql import functions as F
-    from vendorlake.session import scratch_path
-    root = root or scratch_path(spark, "order_status")
-    src, out, ckpt = f"{root}/events", f"{root}/resolved", f"{root}/checkpoint"
-    events.write.mode("overwrite").parquet(f"{src}/data")
-    stream = spark.readStream.schema(events.schema).parquet(f"{src}/*")
-    # The number of state partitions is fixed when the query first starts;
-    # size it to the cluster's parallelism rather than the session default.
-    prior = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+                 "note string, resolved_us long")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class Review(StatefulProcessor):
+    """opened: when (microseconds) and whether resolved; decision: the first valid one."""
+
+    def __init__(self, sla_us: int, retention_us: int, valid: tuple[str, ...], timeout_outcome: str, timeout_note: str):
+        self.sla, self.retention, self.valid = sla_us, retention_us, valid
+        self.timeout_outcome, self.timeout_note = timeout_outcome, timeout_note
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.opened = handle.getValueState("opened", "us long, resolved boolean")
+        self.decision = handle.getValueState("decision", "us long, id long, decision string, note string")
+        self.forget = handle.getValueState("forget", "us long")
+
+    def _at(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        opened, resolved = self.opened.get() or (None, False)
+        first = self.decision.get()
+        start, best, last = opened, first, None
+        for r in rows:
+            last = r.us if last is None else max(last, r.us)
+            if r.kind == "opened":
+                start = r.us if start is None else min(start, r.us)
+            elif r.decision in self.valid:
+                signal = (r.us, -1 if r.decision_id is None else r.decision_id, r.decision, r.note)
+                best = signal if best is None or signal[:2] < tuple(best)[:2] else best
+        if not resolved:
+            if best is not None and best is not first:
+                self.decision.update(tuple(best))
+            if start is not None and start != opened:
+                self.opened.update((start, False))
+            if start is not None:
+                self._at(self._due(start, best))
+        known = self.forget.get()
+        until = (start if start is not None else last) + self.retention
+        if known is None or start is None or start != opened:
+            self.forget.update((until,))
+            self._at(until)
+        return iter(())
+
+    def _due(self, opened: int, decision) -> int:
+        """When the watermark shows how the review ended."""
+        if decision is not None and decision[0] <= opened + self.sla:
+            return max(opened, decision[0])
+        return opened + self.sla
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        opened, resolved = self.opened.get() or (None, False)
+        if opened is not None and not resolved:
+            decision = self.decision.get()
+            if self._due(opened, decision) <= now:
+                self.opened.update((opened, True))
+                yield self._row(key, opened, decision)
+        until = self.forget.get()
+        if until is not None and until[0] <= now:
+            for state in (self.opened, self.decision, self.forget):
+                state.clear()
+
+    def _row(self, key, opened: int, decision) -> Row:
+        if decision is not None and decision[0] <= opened + self.sla:
+            end = ("settled" if decision[2] == "approve" else "denied", "reviewer", decision[3], decision[0])
+        else:
+            end = (self.timeout_outcome, "sla_timeout", self.timeout_note, opened + self.sla)
+        return Row(**dict(zip((*KEY, "outcome", "decision_source", "note", "resolved_us"), (*key, *end))))
+
+
+def order_status(events: DataFrame, sla_seconds: int = REVIEW_SLA_SECONDS, sla_action: str = SLA_ACTION,
+                 lateness: str = "0 seconds", retention_seconds: int | None = None) -> DataFrame:
+    """A stream of events -> one resolution row per reviewed order.
+
+    ``retention_seconds`` (two SLAs by default) must cover what an order's events
+    can lie apart: later ones open a review of their own."""
+    retention = 2 * sla_seconds if retention_seconds is None else max(retention_seconds, sla_seconds)
+    review = Review(int(sla_seconds * 1e6), int(retention * 1e6), VALID_DECISIONS,
+                    "denied" if sla_action == "deny" else "escalated", f"no decision within {sla_seconds}s")
+    rows = (events.withWatermark("ts", lateness).where(F.col("kind").isin("opened", "decision"))
+            .select(*KEY, "kind", "decision", "note", "decision_id", "ts", F.unix_micros("ts").alias("us")))
+    out = rows.groupBy(*KEY).transformWithState(review, OUTPUT_SCHEMA, "Append", "EventTime")
+    return out.select(*KEY, "outcome", "decision_source", "note", F.timestamp_micros("resolved_us").alias("resolved_at"))
+
+
+def start(resolutions: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Run the stream into parquet at ``path``, its state in RocksDB."""
+    spark = resolutions.sparkSession
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, ROCKSDB)
     try:
-        _replay(spark, events, stream, src, out, ckpt, sla_seconds, sla_action)
+        return (resolutions.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"availableNow": True})).start())
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", prior)
-    return spark.read.parquet(out)
-
-
-def _replay(spark, events, stream, src, out, ckpt, sla_seconds, sla_action) -> None:
-    from pyspark.sql import functions as F
-    for phase in ("data", "tick"):
-        if phase == "tick":
-            tick_ts = spark.read.parquet(f"{src}/data").agg(F.max("ts")).first()[0]
-            spark.createDataFrame([("", "", "__tick__", "tick", tick_ts, None, None, None)], events.schema) \
-                .write.mode("overwrite").parquet(f"{src}/tick")
-        q = (order_status(stream, sla_seconds, sla_action).writeStream.format("parquet")
-             .option("path", out).option("checkpointLocation", ckpt)
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
+        spark.conf.set(_PROVIDER, before)
