@@ -21,7 +21,7 @@ from vendorlake.llm.queries import QUERIES
 def test_queries_are_registered():
     import __spark_entry__
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
     assert all(names[x] is f for x, f in QUERIES.items())
@@ -194,6 +194,19 @@ def test_tokens_equal_the_json_tokenizer():
     assert [plain.encode(t, add_special_tokens=False).ids for t in texts] == [ours.ids(t) for t in texts]
 
 
+def test_endless_runs_are_packed_whole(frame):
+    """Two million blanks, line breaks or letters in a row, by the operator and the pipeline's stage."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {1: "a" + " " * 2_000_000 + "b", 2: "x" * 2_000_000, 3: "\n" * 2_000_000, 4: " " * packing.LONG_RUN, 5: "short"}
+    want = {d: len(plain.encode(t, add_special_tokens=False).ids) + 1 for d, t in texts.items()}
+    docs = frame(list(texts.items()))
+    for out in (packing.pack(docs), corpus_pipeline.packing_stage(docs.sparkSession, docs, "")):
+        assert {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
+    assert packing.Tokenizer().ids(texts[1]) == plain.encode(texts[1], add_special_tokens=False).ids
+
+
 def test_best_fit_and_empty(frame):
     assert sorted(map(sorted, packing.best_fit([6, 5, 5, 4], 10))) == [[0, 3], [1, 2]]
     assert packing.cut(5, 2) == [(0, 1), (1, 2), (3, 2)] and packing.cut(4, 2) == [(0, 2), (2, 2)]

@@ -7,6 +7,7 @@ A task never holds more than ``chunk`` items, however large its input.
 """
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,11 @@ _MEMBER = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pi
 _BIN = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("members", T.ArrayType(_MEMBER))])
 
 
+#: White space without end breaks the fast encoder's pattern matcher (its stack, at
+#: a million); texts with this much in a row go to the ``tokenizers`` file itself.
+LONG_RUN = 20_000
+
+
 class Tokenizer:
     """Token ids of the public byte-level BPE, from its rank file: the ids of the
     ``tokenizers`` file of the same vocabulary, several times faster."""
@@ -40,11 +46,18 @@ class Tokenizer:
         import base64
         import public_tokenizers as public
         import tiktoken
+        self._name, self._plain = name, None
         with open(public.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f)}
         self._bpe = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
+        if len(text) > LONG_RUN and re.search(r"\s{%d}" % LONG_RUN, text):
+            if self._plain is None:
+                import public_tokenizers as public
+                from tokenizers import Tokenizer as Plain
+                self._plain = Plain.from_file(public.path(f"{self._name}.json"))
+            return self._plain.encode(text, add_special_tokens=False).ids
         head, *rest = text.split(self.special)       # as the json file does: one id of its own
         out = self._bpe.encode_ordinary(head)
         for part in rest:
