@@ -87,7 +87,7 @@ def resolve_spec(routed: DataFrame) -> DataFrame:
 
 def batch_ledger(files: DataFrame, dispatch_transforms: bool = True,
                  rejected: DataFrame | None = None, landing_prefix: str = "landing",
-                 quarantine_prefix: str = "quarantine") -> DataFrame:
+                 quarantine_prefix: str = "quarantine", registry: tuple[Route, ...] = REGISTRY) -> DataFrame:
     """One result row per discovered file (the batch's ``results``): ``file`` is its
     name as landed, ``file_name`` as it was found (``x.csv`` and ``x.csv.gz`` land
     under one name).
@@ -99,7 +99,7 @@ def batch_ledger(files: DataFrame, dispatch_transforms: bool = True,
     """
     if "gzip_error" not in files.columns:
         files = files.withColumn("gzip_error", F.lit(None).cast("string"))
-    r = mark_duplicates(classify_route(files))
+    r = mark_duplicates(classify_route(files, registry))
     is_gz = F.col("file_name") != F.col("decompressed_name")
     file_out = F.when(F.col("gzip_error").isNotNull(), F.col("file_name")).otherwise(F.col("decompressed_name"))
     landed_key = F.concat(F.lit(landing_prefix + "/"), F.when(is_gz & F.col("gzip_error").isNull(),
@@ -110,7 +110,7 @@ def batch_ledger(files: DataFrame, dispatch_transforms: bool = True,
         r = r.join(first_reason, "file_name", "left")
     else:
         r = r.withColumn("_rejected", F.lit(None).cast("string"))
-    has_spec = spec_col(F.col("route")).isNotNull()
+    has_spec = spec_col(F.col("route"), registry).isNotNull()
     status = (F.when(F.col("gzip_error").isNotNull(), "quarantined")
               .when(F.col("route").isNull(), "quarantined")
               .when(F.lit(not dispatch_transforms), "landed")

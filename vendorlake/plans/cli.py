@@ -14,6 +14,9 @@ The spec shape is the one vendors' jobs already use::
                   "destination": "<path>", "format": "parquet"}],
      "catalog": {"type": "rest", "name": "lake", "uri": "...", "warehouse": "..."}}
 
+A spec with ``"landing": "<prefix>"`` runs the file batch on that prefix instead
+(``publish``: where its tables, outputs and quarantine go).  Either kind takes a
+``"config"``: routes, specs, entities and models as ``plans.config`` reads them.
 Outputs are parquet unless they ask for ``json`` (one document of at most
 ``max_rows`` rows).  With a catalog, tables are kept in its format.
 Prints one final line ``ETL_RESULT {json}`` (success, outputs or error) and
@@ -26,7 +29,7 @@ import json
 import sys
 
 from vendorlake.model import MAX_INLINE_ROWS
-from vendorlake.plans.jobs import InputSpec, JobSpec, OutputSpec, run_job
+from vendorlake.plans.jobs import DEFAULT, InputSpec, JobSpec, OutputSpec, run_batch, run_job
 
 
 def selectors(dbt_args: list[str]) -> tuple[str, ...]:
@@ -69,11 +72,21 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from vendorlake.plans.catalog import catalog_conf, table_format
+    from vendorlake.plans.config import ConfigError, load_config
     builder = SparkSession.builder.appName(spec.get("name", "vendorlake-job"))
     for k, v in catalog_conf(spec.get("catalog")).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    res = run_job(spark, job_from_dict(spec), table_format=table_format(spec.get("catalog")))
+    try:
+        config = load_config(spark, spec["config"]) if spec.get("config") else DEFAULT
+    except ConfigError as exc:
+        print("ETL_RESULT " + json.dumps({"success": False, "error": str(exc), "tests": []}))
+        return 1
+    if spec.get("landing"):
+        done = run_batch(spark, spec["landing"], publish=spec.get("publish"), config=config)
+        print("ETL_RESULT " + json.dumps({"success": True, "report": done["report"].first().asDict(), "outputs": done["outputs"]}))
+        return 0
+    res = run_job(spark, job_from_dict(spec), table_format=table_format(spec.get("catalog")), config=config)
     if res["success"]:
         print("ETL_RESULT " + json.dumps({"success": True, "outputs": res["outputs"]}))
         return 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendorlake.functions.names import glob_to_regex
-from vendorlake.model import DEFAULT_PATTERN, MAX_INLINE_ROWS, REGISTRY, SPECS, canonical_columns
+from vendorlake.model import DEFAULT_PATTERN, ENTITIES, MAX_INLINE_ROWS, REGISTRY, SPECS, Entity, Route, Spec, canonical_columns
 from vendorlake.operators import marts
 from vendorlake.operators.hygiene import ContractError, apply_hygiene, land_table
 from vendorlake.operators.quality import quality_gate, run_tests
@@ -88,10 +88,23 @@ MODELS: dict[str, Model] = {m.name: m for m in (
 )}
 
 
-def selected_models(select: tuple[str, ...]) -> list[Model]:
+@dataclass(frozen=True)
+class Config:
+    """What a batch or job goes by; ``plans.config`` loads one from JSON."""
+
+    registry: tuple[Route, ...] = REGISTRY
+    specs: Mapping[str, Spec] = field(default_factory=lambda: SPECS)
+    entities: Mapping[str, Entity] = field(default_factory=lambda: ENTITIES)
+    models: Mapping[str, Model] = field(default_factory=lambda: MODELS)
+
+
+DEFAULT = Config()
+
+
+def selected_models(select: tuple[str, ...], models: Mapping[str, Model] = MODELS) -> list[Model]:
     """Models matching any selector (``tag:x`` or a model name), in
     dependency order."""
-    chosen = [m for m in MODELS.values()
+    chosen = [m for m in models.values()
               if any((s.startswith("tag:") and s[4:] in m.tags) or s == m.name for s in select)]
     names = {m.name for m in chosen}
     ordered, done = [], set()
@@ -101,7 +114,7 @@ def selected_models(select: tuple[str, ...]) -> list[Model]:
             return
         for d in m.deps:
             if d in names:
-                visit(MODELS[d])
+                visit(models[d])
         done.add(m.name)
         ordered.append(m)
     for m in chosen:
@@ -138,7 +151,7 @@ def _saved(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name if "." in name else f"{MODEL_DATABASE}.{name}")
 
 
-def _run_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], args: Mapping[str, object]) -> DataFrame:
+def run_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], args: Mapping[str, object]) -> DataFrame:
     """A statement over the job's tables by their short names; the names are gone
     afterwards, so no later job can pick them up."""
     views = {_short(t): df for t, df in tables.items()}
@@ -152,7 +165,7 @@ def _run_sql(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], arg
 
 
 def run_job(spark: SparkSession, spec: JobSpec, tables: dict[str, DataFrame] | None = None,
-            save: bool = True, table_format: str = "parquet") -> dict:
+            save: bool = True, table_format: str = "parquet", config: Config = DEFAULT) -> dict:
     """Run one job; returns {success, error, tables, outputs, tests}.
 
     Inputs are landed as their tables and models saved in MODEL_DATABASE (as
@@ -176,13 +189,13 @@ def run_job(spark: SparkSession, spec: JobSpec, tables: dict[str, DataFrame] | N
     try:
         for inp in spec.inputs:
             tables[inp.table] = keep(inp.table, load_input(spark, inp).drop("_block_start", "_mid"))
-        for m in selected_models(spec.select):
+        for m in selected_models(spec.select, config.models):
             if any(d in failed for d in m.deps):
                 failed.add(m.name)
                 continue
             df = m.build(*[tables[d] if d in tables else _saved(spark, d) for d in m.deps])
             if m.entity:
-                bad = run_tests(df, m.entity).filter(F.col("failures") > 0).collect()
+                bad = run_tests(df, config.entities[m.entity]).filter(F.col("failures") > 0).collect()
                 tests += [r.asDict() for r in bad]
                 if bad:
                     failed.add(m.name)
@@ -191,7 +204,7 @@ def run_job(spark: SparkSession, spec: JobSpec, tables: dict[str, DataFrame] | N
         if failed:
             return result(f"data tests failed in {sorted(failed)}")
         for name, sql in spec.sql_models.items():
-            tables[name] = _run_sql(spark, sql, tables, spec.vars)
+            tables[name] = run_sql(spark, sql, tables, spec.vars)
         for out in spec.outputs:
             short = _short(out.table)
             df = tables[short] if short in tables else _saved(spark, out.table)
@@ -204,7 +217,7 @@ def run_job(spark: SparkSession, spec: JobSpec, tables: dict[str, DataFrame] | N
 def run_batch(spark: SparkSession, root: str, consolidate: bool = True,
               dispatch_transforms: bool = True, pattern: str = DEFAULT_PATTERN,
               max_decompressed: int | None = None, publish: str | None = None,
-              parts: DataFrame | None = None) -> dict:
+              parts: DataFrame | None = None, config: Config = DEFAULT) -> dict:
     """The file batch as one set of Spark jobs.
 
     discover (names matching ``pattern``) -> gzip audit -> route -> duplicates ->
@@ -213,6 +226,7 @@ def run_batch(spark: SparkSession, root: str, consolidate: bool = True,
     -> consolidation, once a file has transformed, over this batch's tables and
     those that earlier jobs left.
 
+    ``config``: other routes, specs, entities and models (``plans.config``).
     ``parts``: only these files of ``root`` (what a stream's micro-batch brought).
     ``publish``: a folder for what the batch gives out: the models, the outputs
     its specs declare (parquet, validated: an empty one quarantines the files of its
@@ -229,38 +243,39 @@ def run_batch(spark: SparkSession, root: str, consolidate: bool = True,
     files = materialize(
         parts.groupBy("file_name").agg(F.max("modified_at").alias("modified_at"))
         .join(gzip_audit(parts, max_decompressed).select("file_name", "gzip_error"), "file_name", "left"), "audit")
-    routed = mark_duplicates(classify_route(files))
+    routed = mark_duplicates(classify_route(files, config.registry))
     usable = materialize(routed.filter(F.col("gzip_error").isNull() & F.col("route").isNotNull()
                                        & ~F.col("is_duplicate")).select("file_name", "route"), "usable")
     tables: dict[str, DataFrame] = {}
     rejected_frames = []
     if dispatch_transforms:
-        for entry in REGISTRY:
+        for entry in config.registry:
             if entry.spec is None:
                 continue
-            spec = SPECS[entry.spec]
+            spec = config.specs[entry.spec]
             model = spec.staging_model
+            entity = config.entities[model]
             route_parts = parts.join(usable.filter(F.col("route") == entry.route)
                                      .select("file_name"), "file_name")
             raw, rej = read_csv_raw(spark, route_parts, True, spec.column_aliases,
-                                    canonical_columns(model), root=root)
+                                    entity.column_names, root=root)
             rejected_frames.append(rej)
             if raw is None:
                 continue
             raw = raw.drop("_block_start", "_mid")
-            good, bad = quality_gate(raw, model, materialize=True)   # parse the CSV once
+            good, bad = quality_gate(raw, entity, materialize=True)   # parse the CSV once
             rejected_frames.append(bad.select(F.col("_source_file").alias("file_name"), "reason"))
             tables[model] = good.drop("_source_file")
-            for m in selected_models(tuple(f"tag:{t}" for t in spec.select_tags)):
+            for m in selected_models(tuple(f"tag:{t}" for t in spec.select_tags), config.models):
                 if m.entity is None and all(d in tables for d in m.deps):
                     tables[m.name] = m.build(*[tables[d] for d in m.deps])
     outputs: list[dict] = []
     if publish:
-        for spec in SPECS.values():
+        for spec in config.specs.values():
             outputs += _publish(spark, spec, tables, publish)
             empty = [o["error"] for o in outputs if o["error"] and o["spec"] == spec.name]
             if empty:                                  # the transform failed: its files are quarantined
-                routes = [r.route for r in REGISTRY if r.spec == spec.name]
+                routes = [r.route for r in config.registry if r.spec == spec.name]
                 rejected_frames.append(usable.filter(F.col("route").isin(routes)).select("file_name", F.lit(empty[0]).alias("reason")))
     rejected = None
     if rejected_frames:
@@ -268,16 +283,16 @@ def run_batch(spark: SparkSession, root: str, consolidate: bool = True,
         for r in rejected_frames[1:]:
             rejected = rejected.unionByName(r)
         rejected = materialize(rejected, "rejected")
-    ledger = batch_ledger(files, dispatch_transforms, rejected)
-    if consolidate and dispatch_transforms and "consolidation" in SPECS:
+    ledger = batch_ledger(files, dispatch_transforms, rejected, registry=config.registry)
+    if consolidate and dispatch_transforms and "consolidation" in config.specs:
         transformed = not ledger.filter(F.col("status") == "transformed").isEmpty()
-        for m in selected_models(tuple(f"tag:{t}" for t in SPECS["consolidation"].select_tags)):
+        for m in selected_models(tuple(f"tag:{t}" for t in config.specs["consolidation"].select_tags), config.models):
             known = [d for d in m.deps if d in tables or spark.catalog.tableExists(f"{MODEL_DATABASE}.{d}")]
             if transformed and len(known) == len(m.deps):
                 tables[m.name] = m.build(*[tables[d] if d in tables else _saved(spark, d) for d in m.deps])
     quarantined = None
     if publish:
-        outputs += _publish(spark, SPECS["consolidation"], tables, publish, outputs) if "consolidation" in SPECS else []
+        outputs += _publish(spark, config.specs["consolidation"], tables, publish, outputs) if "consolidation" in config.specs else []
         for name, df in tables.items():
             tables[name] = land_table(df, f"{MODEL_DATABASE}.{name}", f"{publish}/tables/{name}")
         quarantined = materialize(quarantine_files(parts, ledger, f"{publish}/quarantine"), "quarantined")

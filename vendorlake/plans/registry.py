@@ -561,10 +561,11 @@ def landing(spark, sf):
     return _LANDINGS[key]
 
 
-@query("discover_files")
+@query("discover_files", with_ctes("SELECT drop_name AS file_name, 1 AS parts, true AS holds_bytes FROM landing_drops", "landing_drops"))
 def q_discover_files(spark, sf):
+    from pyspark.sql import functions as F
     from vendorlake.sources.files import discover_files
-    return discover_files(spark, landing(spark, sf))
+    return discover_files(spark, landing(spark, sf)).select("file_name", "parts", (F.col("length") > 0).alias("holds_bytes"))
 
 
 @query("read_csv_raw", with_ctes("SELECT * FROM landed_orders_csv", "landed_orders_csv"))
@@ -587,11 +588,16 @@ def q_column_contract(spark, sf):
     return read_csv_raw(spark, parts, required=canonical_columns("stg_orders"))[1]
 
 
-@query("gzip_audit")
+@query("gzip_audit", with_ctes("""
+    SELECT drop_name AS file_name, CASE WHEN starts_with(drop_name, 'documents_') THEN error END AS gzip_error,
+           NOT starts_with(drop_name, 'documents_') AS inflated
+    FROM landing_drops JOIN landing_ledger ON file_name = drop_name WHERE drop_name LIKE '%.gz'""", "landing_drops", "landing_ledger"))
 def q_gzip_audit(spark, sf):
+    from pyspark.sql import functions as F
     from vendorlake.sources.files import list_parts
     from vendorlake.sources.gzip_audit import gzip_audit
-    return gzip_audit(list_parts(spark, landing(spark, sf)))
+    return gzip_audit(list_parts(spark, landing(spark, sf))).select(
+        "file_name", "gzip_error", (F.col("decompressed_bytes") > 0).alias("inflated"))
 
 
 @query("header_profile", with_ctes("""
@@ -621,10 +627,10 @@ def q_run_batch(spark, sf):
     return run_batch(spark, landing(spark, sf))["ledger"]
 
 
-@query("read_any", with_ctes("SELECT * FROM region"))
+@query("read_any", with_ctes("SELECT * FROM documents"))
 def q_read_any(spark, sf):
     from vendorlake.sources.files import read_any
-    return read_any(spark, "parquet", f"{sf.rstrip('/')}/region.parquet")
+    return read_any(spark, "parquet", f"{sf.rstrip('/')}/documents.parquet")
 
 
 @query("land_table", with_ctes(
@@ -697,36 +703,141 @@ def q_export_parquet(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("export_manifest")
+def _manifest_sql(table: str, fmt: str, view: str, columns: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT 'analytics.{table}' AS \"table\", '{fmt}' AS format, count(*) AS rows, '{c}' AS \"column\", "
+        f"CAST(min({e}) AS VARCHAR) AS least, CAST(max({e}) AS VARCHAR) AS greatest FROM {view}" for c, e in columns.items())
+
+
+_REVENUE_VIEW = """(SELECT order_date, count(*) AS order_count, CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS total_revenue
+                    FROM stg_orders WHERE status = 'completed' GROUP BY order_date) t"""
+
+
+@query("export_manifest", with_ctes(" UNION ALL ".join((
+    _manifest_sql("daily_revenue", "json", _REVENUE_VIEW, {
+        "order_date": "order_date", "order_count": "order_count", "total_revenue": "CAST(total_revenue AS DECIMAL(28,6))"}),
+    _manifest_sql("stg_orders", "parquet", "stg_orders", {
+        "order_id": "order_id", "customer": "customer", "order_date": "order_date", "amount": "CAST(amount AS DECIMAL(28,6))", "status": "status"}),
+    _manifest_sql("dim_customers", "parquet", "dim_customers", {c: c for c in ("customer", "segment", "region")}))),
+    "stg_orders", "dim_customers"))
 def q_export_manifest(spark, sf):
     from vendorlake.session import scratch_path
     from vendorlake.sources.export import export, export_manifest
-    results = [export(marts.daily_revenue(staged_orders(spark, sf)), "analytics.daily_revenue",
-                      scratch_path(spark, "daily_revenue"), "json"),
-               export(marts.dim_customers(staged_customers(spark, sf)), "analytics.dim_customers",
-                      scratch_path(spark, "dim_customers"), "parquet")]
-    return export_manifest(spark, results)
+    orders = staged_orders(spark, sf)
+    results = [export(df, f"analytics.{name}", scratch_path(spark, name), fmt) for name, df, fmt in (
+        ("daily_revenue", marts.daily_revenue(orders), "json"), ("stg_orders", orders, "parquet"),
+        ("dim_customers", marts.dim_customers(staged_customers(spark, sf)), "parquet"))]
+    return export_manifest(spark, results).select("table", "format", "rows", "column", "least", "greatest")
 
 
-@query("validate_outputs")
+@query("validate_outputs", with_ctes("""
+    SELECT f.format, t.rows, t.rows > 0 AS holds_rows
+    FROM (SELECT unnest(['json', 'parquet']) AS format) f, (SELECT count(DISTINCT order_date) AS rows FROM stg_orders WHERE status = 'completed') t
+    UNION ALL SELECT 'parquet', 0, false""", "stg_orders"))
 def q_validate_outputs(spark, sf):
+    """Two outputs with rows, read back, and one without."""
+    from pyspark.sql import functions as F
     from vendorlake.session import scratch_path
     from vendorlake.sources.export import export, validate_outputs
     outs = []
-    for fmt in ("json", "parquet"):
+    revenue = marts.daily_revenue(staged_orders(spark, sf))
+    for fmt, df in (("json", revenue), ("parquet", revenue), ("parquet", revenue.filter("false"))):
         dest = scratch_path(spark, f"daily_revenue_{fmt}")
-        export(marts.daily_revenue(staged_orders(spark, sf)), "analytics.daily_revenue", dest, fmt)
+        export(df, "analytics.daily_revenue", dest, fmt)
         outs.append({"destination": dest, "format": fmt})
-    return validate_outputs(spark, outs)
+    return validate_outputs(spark, outs, strict=False).select("format", "rows", (F.col("rows") > 0).alias("holds_rows"))
 
 
-@query("table_format")
+@query("table_format", with_ctes("""
+    SELECT 'parquet' AS format, customer, segment, region FROM dim_customers""", "dim_customers"))
 def q_table_format(spark, sf):
+    """A model kept in the format of the catalog (none: parquet), and its rows read back."""
+    from pyspark.sql import functions as F
     from vendorlake.operators.hygiene import land_table
-    from vendorlake.session import scratch_path
-    land_table(marts.dim_customers(staged_customers(spark, sf)), "analytics.dim_customers",
-               path=scratch_path(spark, "dim_customers_tbl"), fmt="parquet")
-    return spark.sql("DESCRIBE TABLE EXTENDED analytics.dim_customers")
+    from vendorlake.plans.catalog import table_format
+    name = "analytics.dim_customers"
+    kept = land_table(marts.dim_customers(staged_customers(spark, sf)), name, fmt=table_format(None))
+    fmt = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Provider'").first().data_type
+    return kept.select(F.lit(fmt.lower()).alias("format"), "customer", "segment", "region")
+
+
+# --------------------------------------------------------------------------
+# landed tables that join without a shuffle, keys across batches, diffs in detail
+# --------------------------------------------------------------------------
+@query("landed_paid_left", ORACLE_SQL["join_paid_left"])
+def q_landed_paid_left(spark, sf):
+    """``join_paid_left`` over two tables bucketed by order: no exchange."""
+    from pyspark.sql import functions as F
+    from vendorlake.operators.landed_tables import land_bucketed
+    orders, payments = (land_bucketed(df, f"landed.{name}_{_fresh()}", ["order_id"], buckets=8) for name, df in (
+        ("orders", build_staging(landed_orders(spark, sf), "stg_orders", keep_lineage=True)),
+        ("payments", build_staging(landed_payments(spark, sf), "stg_payments", keep_lineage=True))))
+    j = marts.orders_with_payments(orders.drop("_source_file"), marts.fct_payments(payments))
+    return j.withColumn("paid_amount", F.col("paid_amount").cast("double"))
+
+
+@query("landed_dedupe", ORACLE_SQL["dedupe_orders"])
+def q_landed_dedupe(spark, sf):
+    """``dedupe_orders`` over records bucketed by their lifecycle key: no exchange."""
+    from vendorlake.operators.landed_tables import dedupe_landed, land_bucketed
+    from vendorlake.operators.settlement import LIFECYCLE_KEY
+    from pyspark.sql import functions as F
+    # one folder for each batch: vendor files here are as many as orders
+    records = split_records(spark, sf).withColumn("_batch", F.col("batch_id"))
+    landed = land_bucketed(records, f"landed.records_{_fresh()}", list(LIFECYCLE_KEY), buckets=8, per="_batch")
+    return dedupe_landed(landed).select(*[c.strip() for c in _SPLIT_COLS.split(",")], "is_duplicate")
+
+
+def _fresh() -> str:
+    import uuid
+    return uuid.uuid4().hex[:12]
+
+
+_BATCH_OF_YEAR = "CASE WHEN {y} < '1995' THEN 'b1' WHEN {y} < '1997' THEN 'b2' ELSE 'b3' END"
+
+
+_BATCH_KEYS = (f"SELECT payment_id, {_BATCH_OF_YEAR.format(y='substr(paid_date, 1, 4)')} AS batch, count(*) AS n "
+               "FROM raw_payment_lines GROUP BY ALL")
+
+
+@query("unique_across_batches", with_ctes(f"""
+    SELECT x.payment_id, x.batch, x.n, min(y.batch) AS first_batch
+    FROM ({_BATCH_KEYS}) x LEFT JOIN ({_BATCH_KEYS}) y ON x.payment_id = y.payment_id AND y.batch < x.batch
+    GROUP BY ALL HAVING min(y.batch) IS NOT NULL OR x.n > 1""", "raw_payment_lines"))
+def q_unique_across_batches(spark, sf):
+    """Payment ids that fail to be unique, in their batch or against earlier ones."""
+    from functools import reduce
+    from pyspark.sql import DataFrame, functions as F
+    from vendorlake.operators.seen import SeenKeys
+    from vendorlake.session import materialize, scratch_path
+    lines = materialize(apply_hygiene(A.raw_payment_lines(spark, sf)).withColumn(
+        "batch", F.expr(_BATCH_OF_YEAR.format(y="substr(paid_date, 1, 4)"))), "payment_lines")
+    seen, found = SeenKeys(spark, scratch_path(spark, "seen-payments"), expected_keys=1 << 20), []
+    for batch in ("b1", "b2", "b3"):
+        rows = lines.filter(F.col("batch") == batch)
+        found.append(materialize(seen.repeated(rows, "payment_id", batch).select(
+            F.col("key").alias("payment_id"), F.lit(batch).alias("batch"), "n", "first_batch"), "repeated"))
+        seen.add(rows, "payment_id", batch)
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("diff_detail", with_ctes("""
+    SELECT n.order_id, 'changed' AS change, 'status' AS "column", o.status AS old_value, n.status AS new_value
+    FROM stg_orders n JOIN legacy_orders o ON o.order_id = n.order_id
+    WHERE o.status IS DISTINCT FROM n.status AND n.order_id % 7 <> 0 AND n.order_id % 11 <> 0
+    UNION ALL SELECT order_id, 'only_new', NULL, NULL, NULL FROM stg_orders WHERE order_id % 7 = 0 AND order_id % 11 <> 0
+    UNION ALL SELECT order_id, 'only_old', NULL, NULL, NULL FROM legacy_orders WHERE order_id % 11 = 0 AND order_id % 7 <> 0""",
+                              "stg_orders", "legacy_orders"))
+def q_diff_detail(spark, sf):
+    """The parallel run of ``table_diff`` by key and column; the legacy side also
+    lacks every seventh order and the new one every eleventh."""
+    from pyspark.sql import functions as F
+    from vendorlake.operators.diff import diff_detail
+    new = staged_orders(spark, sf)
+    legacy = landed_orders(spark, sf).selectExpr(
+        "cast(order_id as int) as order_id", "customer", "cast(order_date as date) as order_date",
+        "cast(amount as double) as amount", "lower(status) as status")
+    return diff_detail(new.filter(F.col("order_id") % 11 != 0), legacy.filter(F.col("order_id") % 7 != 0), ["order_id"], fan=64)
 
 
 def settlement_batch(spark, sf):

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vendorlake.model import MAX_INLINE_ROWS, REMIT_COLUMNS
 from vendorlake.operators.diff import capped_result
@@ -28,37 +29,70 @@ def json_document(df: DataFrame) -> DataFrame:
     return numbered.agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def export_json(df: DataFrame, path: str, cap: int = MAX_INLINE_ROWS, name: str = "output") -> int:
+def observed(df: DataFrame) -> tuple[DataFrame, Observation, list[str]]:
+    """``df`` with its row count and each column's least and greatest value (as
+    text, of 200 characters at most) measured by whatever action reads it."""
+    columns = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.BinaryType)]
+    watch = Observation()
+
+    def text(c, kind):
+        return F.left(c.cast("decimal(28,6)").cast("string") if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType)
+                      else c.cast("string"), F.lit(200))
+
+    kinds = {f.name: f.dataType for f in df.schema}
+    ends = [text(agg(F.col(f"`{c}`")), kinds[c]).alias(f"{name}_{i}") for i, c in enumerate(columns)
+            for name, agg in (("least", F.min), ("greatest", F.max))]
+    return df.observe(watch, F.count(F.lit(1)).alias("rows"), *ends), watch, columns
+
+
+def _measured(watch: Observation, columns: list[str]) -> dict:
+    got = watch.get
+    return {"rows": got["rows"], "stats": {c: (got[f"least_{i}"], got[f"greatest_{i}"]) for i, c in enumerate(columns)}}
+
+
+def export_json(df: DataFrame, path: str, cap: int = MAX_INLINE_ROWS, name: str = "output") -> dict:
     """A small result as one JSON document; more than ``cap`` rows are refused.
 
-    The result is computed once, into the shared folder, and then counted,
-    checked and written from there."""
-    kept = materialize(df, "json_result")
+    The result is computed once, into the shared folder, and checked and written
+    from there.  Returns its rows and column statistics, measured by that write."""
+    watched, watch, columns = observed(df)
+    kept = materialize(watched, "json_result")
     capped_result(kept, cap, name)
     json_document(kept).coalesce(1).write.mode("overwrite").text(path)
-    return kept.count()
+    return _measured(watch, columns)
 
 
-def export_parquet(df: DataFrame, path: str) -> int:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+def export_parquet(df: DataFrame, path: str) -> dict:
+    """Returns rows and column statistics, measured by the write itself."""
+    watched, watch, columns = observed(df)
+    watched.write.mode("overwrite").parquet(path)
+    return _measured(watch, columns)
 
 
 def export(df: DataFrame, table: str, destination: str, fmt: str = "parquet",
            max_rows: int = MAX_INLINE_ROWS) -> dict:
     """Write a result: ``parquet``, of any size, or on request one ``json``
-    document of at most ``max_rows`` rows."""
+    document of at most ``max_rows`` rows.  Returns table, destination, format,
+    rows and stats (column -> least and greatest value)."""
     if fmt == "json":
-        rows = export_json(df, destination, max_rows, table)
+        measured = export_json(df, destination, max_rows, table)
     elif fmt == "parquet":
-        rows = export_parquet(df, destination)
+        measured = export_parquet(df, destination)
     else:
         raise ValueError(f"unsupported output format: {fmt}")
-    return {"table": table, "destination": destination, "rows": rows, "format": fmt}
+    return {"table": table, "destination": destination, "format": fmt} | measured
 
 
 def export_manifest(spark: SparkSession, results: list[dict]) -> DataFrame:
-    return spark.createDataFrame(results, "table string, destination string, rows long")
+    """table, destination, format, rows, files, bytes, column, least, greatest: a row
+    for each column of each output, from what its write measured and its listing."""
+    rows = []
+    for r in results:
+        held = landed_files(spark, r["destination"]).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes")).first()
+        for column, (least, greatest) in (r.get("stats") or {None: (None, None)}).items():
+            rows.append((r["table"], r["destination"], r["format"], r["rows"], held.n, held.bytes, column, least, greatest))
+    return spark.createDataFrame(rows, "table string, destination string, format string, rows long, files long, bytes long, "
+                                       "column string, least string, greatest string")
 
 
 def validate_outputs(spark: SparkSession, outputs: list[dict], strict: bool = True) -> DataFrame:
