@@ -19,6 +19,7 @@ HEADLINE = [
     "daily_revenue", "executive_summary", "invoice_summary", "test_report", "quality_gate",
     "cast_gate", "settlement_report", "outcome_rows", "pricing_summary", "apply_decisions",
     "batch_ledger", "classify_route", "review_queue", "trace_order", "table_diff",
+    "run_batch", "settlement_batch", "dedupe_orders", "stream_ingest", "diff_detail", "unique_across_batches",
 ]
 
 

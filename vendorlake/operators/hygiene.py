@@ -8,6 +8,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,53 +22,69 @@ class ContractError(ValueError):
     """A deterministic, non-retryable rejection of an input."""
 
 
-def _rename(df: DataFrame, fn) -> DataFrame:
-    return df.toDF(*[c if c in LINEAGE_COLUMNS else fn(c) for c in df.columns])
+@dataclass(frozen=True)
+class Header:
+    """A header as the library reads it: the column each name stands for, and the
+    columns that several names stand for (column -> those names)."""
 
+    columns: tuple[str, ...]
+    shared: Mapping[str, tuple[str, ...]]
 
-def sanitize_headers(df: DataFrame) -> DataFrame:
-    return _rename(df, sanitize_header)
+    def lacks(self, required: Iterable[str]) -> list[str]:
+        return [c for c in required if c not in self.columns]
 
 
-def alias_map(aliases: Mapping[str, Iterable[str]]) -> dict[str, str]:
-    """Each variant's sanitized form and the canonical name it stands for.
+class Resolver:
+    """Finds the canonical column of each name of a header.
 
-    Entries apply in order, so the last canonical name that claims a variant
-    gets it.
-    """
-    mapping: dict[str, str] = {}
-    for canonical in aliases:
-        mapping.update(dict.fromkeys(map(sanitize_header, aliases[canonical]), canonical))
-    return mapping
+    A name that several canonical columns claim goes to the one declared last;
+    one that none claims stays.  Lineage columns are never touched."""
+
+    def __init__(self, sanitize: bool = True, aliases: Mapping[str, Iterable[str]] | None = None):
+        self.sanitize = sanitize
+        claims = [(canonical, frozenset(sanitize_header(v) for v in variants)) for canonical, variants in (aliases or {}).items()]
+        self.claims = claims[::-1]                      # the last claim is asked first
+
+    def column(self, name: str) -> str:
+        if name in LINEAGE_COLUMNS:
+            return name
+        clean = sanitize_header(name) if self.sanitize else name
+        return next((canonical for canonical, variants in self.claims if clean in variants), clean)
+
+    def header(self, names: Iterable[str], fold_case: bool = False) -> Header:
+        """``fold_case``: columns that differ by case only are one, as Spark's are."""
+        names = list(names)
+        columns = tuple(map(self.column, names))
+        sources: dict[str, list[str]] = {}
+        for name, column in zip(names, columns):
+            sources.setdefault(column.lower() if fold_case else column, []).append(name)
+        return Header(columns, {c: tuple(n) for c, n in sources.items() if len(n) > 1})
+
+
+def sanitize_headers(df: DataFrame) -> DataFrame:
+    return df.toDF(*Resolver().header(df.columns).columns)
 
 
 def alias_columns(df: DataFrame, aliases: Mapping[str, Iterable[str]]) -> DataFrame:
     """Variants take their canonical names; two columns that come to one name are
     a deterministic rejection."""
-    mapping = alias_map(aliases)
-    renamed = _rename(df, lambda c: mapping.get(c, c))
-    twice = sorted({c for c in renamed.columns if renamed.columns.count(c) > 1})
-    if twice:
-        raise ContractError(f"ambiguous columns {twice} (from {df.columns})")
-    return renamed
-
-
-def missing_columns(columns: Iterable[str], required: Iterable[str]) -> list[str]:
-    have = set(columns)
-    return [c for c in required if c not in have]
+    header = Resolver(False, aliases).header(df.columns)
+    if header.shared:
+        raise ContractError(f"ambiguous columns {sorted(header.shared)} (from {df.columns})")
+    return df.toDF(*header.columns)
 
 
-def contract_message(source: str, missing: list[str], found: list[str]) -> str:
-    return (f"input {source} does not satisfy its column contract; "
-            f"missing {missing} (found {found})")
+def lacking(source: str, missing: Iterable[str], columns: Iterable[str]) -> str:
+    """Why an input breaks its contract."""
+    return f"{source} lacks required columns {list(missing)}; its columns are {list(columns)}"
 
 
 def column_contract(df: DataFrame, required: Iterable[str], source: str = "input") -> DataFrame:
     """Return ``df`` unchanged if every required column exists, else raise."""
-    missing = missing_columns(df.columns, required)
+    landed = tuple(c for c in df.columns if c not in LINEAGE_COLUMNS)
+    missing = Header(tuple(df.columns), {}).lacks(required)
     if missing:
-        found = [c for c in df.columns if c not in LINEAGE_COLUMNS]
-        raise ContractError(contract_message(source, missing, found))
+        raise ContractError(lacking(source, missing, landed))
     return df
 
 

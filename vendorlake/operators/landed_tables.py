@@ -29,16 +29,22 @@ def _quoted(names: Sequence[str]) -> str:
 
 
 def land_bucketed(df: DataFrame, table: str, key: Sequence[str], buckets: int = BUCKETS,
-                  per: str = "_source_file", location: str | None = None) -> DataFrame:
+                  per: str | None = "_source_file", location: str | None = None) -> DataFrame:
     """Write ``df`` into ``table`` (made when it is missing), replacing the rows of
-    the ``per`` values that ``df`` has; returns the whole table.
+    the ``per`` values that ``df`` has, or the whole table without ``per``; returns
+    the table.
 
     Rows need a ``per`` value.  An existing table keeps its key and buckets; a
     column it does not have is an error, one that ``df`` lacks is null."""
     spark = df.sparkSession
+    if "." in table:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.split('.')[0]}")
+    if per is None:
+        writer = (df.repartition(buckets, *[F.col(f"`{k}`") for k in key]).write.mode("overwrite").format("parquet")
+                  .bucketBy(buckets, *key).sortBy(*key))
+        (writer.option("path", location) if location else writer).saveAsTable(table)
+        return spark.table(table)
     if not spark.catalog.tableExists(table):
-        if "." in table:
-            spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.split('.')[0]}")
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != per)
         where = f" LOCATION '{location}'" if location else ""
         spark.sql(f"CREATE TABLE {table} ({columns}, `{per}` string) USING parquet PARTITIONED BY (`{per}`) "

@@ -21,7 +21,7 @@ def review_queue(events: DataFrame) -> DataFrame:
 
 
 def trace_order(events: DataFrame, order_ref: str | None = None) -> DataFrame:
-    """Events of the newest run of each order (or of one order), in time order.
+    """Events of the newest run of each order; of one order, in time order.
 
     Run start times and the newest run per order are partial aggregates; the
     events are then selected with an equi-join, so no order's events are ever
@@ -32,9 +32,9 @@ def trace_order(events: DataFrame, order_ref: str | None = None) -> DataFrame:
     runs = events.groupBy("order_ref", "run_id").agg(F.min("ts").alias("_start"))
     newest = runs.groupBy("order_ref").agg(
         F.max_by("run_id", F.struct("_start", "run_id")).alias("run_id"))
-    return (events.join(newest, ["order_ref", "run_id"])
-            .select("order_ref", "run_id", "batch_id", "stage", "ts", "event_id")
-            .orderBy("order_ref", "ts", "event_id"))
+    traced = (events.join(newest, ["order_ref", "run_id"])
+              .select("order_ref", "run_id", "batch_id", "stage", "ts", "event_id"))
+    return traced if order_ref is None else traced.orderBy("ts", "event_id")
 
 
 def lineage_filter(events: DataFrame, batch_id: str | None = None, route: str | None = None,

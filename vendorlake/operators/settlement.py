@@ -192,18 +192,25 @@ def first_decisions(decisions: DataFrame, sla_seconds: float = REVIEW_SLA_SECOND
 def settle(raw_records: DataFrame, contracts: DataFrame, decisions: DataFrame,
            variance_threshold_pct: float = VARIANCE_THRESHOLD_PCT,
            review_sla_seconds: int = REVIEW_SLA_SECONDS,
-           sla_action: str = SLA_ACTION, materialize: bool = False) -> DataFrame:
+           sla_action: str = SLA_ACTION, materialize: bool = False, landed: bool = False) -> DataFrame:
     """One status row per split record (outcome is settled / denied /
     escalated / duplicate / errored) with the outcome-row values.
 
     ``materialize`` writes the split records to the shared folder first:
     duplicate detection reads them twice (aggregate + join back), and the
     checkpoint also bounds recomputation if an executor is lost.
+    ``landed``: the records are a table bucketed by their lifecycle key
+    (``landed_tables``), so that twins and decisions are found without shuffling it.
     """
     if materialize:
         from vendorlake.session import materialize as _checkpoint
         raw_records = _checkpoint(raw_records, "split_records")
-    r = dedupe_orders(raw_records)
+    if landed:
+        from vendorlake.operators.landed_tables import dedupe_landed
+        r = dedupe_landed(raw_records)
+        r = r.join(first_decisions(decisions, review_sla_seconds), list(LIFECYCLE_KEY), "left")
+    else:
+        r = dedupe_orders(raw_records)
     r = r.withColumn("validation_note", validation_note(r))
     r = lookup_contracts(r, contracts)
     r = price_orders(r)
@@ -211,7 +218,8 @@ def settle(raw_records: DataFrame, contracts: DataFrame, decisions: DataFrame,
     r = r.withColumn("_review", ~F.col("is_duplicate") & F.col("validation_note").isNull()
                      & F.col("_has_contract").isNotNull()
                      & F.col("_variance").isNotNull() & needs_review)
-    r = r.join(first_decisions(decisions, review_sla_seconds), list(LIFECYCLE_KEY), "left")
+    if not landed:
+        r = r.join(first_decisions(decisions, review_sla_seconds), list(LIFECYCLE_KEY), "left")
     errored = F.col("_has_contract").isNull() | F.col("_variance").isNull()
     approved = F.col("decision") == "approve"
     terminal = "denied" if sla_action == "deny" else "escalated"

@@ -207,8 +207,8 @@ CTES.update({
 # ---------------------------------------------------------------------------
 # the landing zone written by sources.landing (drop names follow its rules)
 # ---------------------------------------------------------------------------
-_CONTRACT_1998 = ("input orders_1998.csv does not satisfy its column contract; missing ['amount'] "
-                  "(found ['order_id', 'customer', 'order_date', 'status'])")
+_CONTRACT_1998 = ("orders_1998.csv lacks required columns ['amount']; "
+                  "its columns are ['order_id', 'customer', 'order_date', 'status']")
 _GZIP_ERR = "not valid gzip (Error -3 while decompressing data: incorrect header check)"
 
 
@@ -237,6 +237,19 @@ CTES.update({
         SELECT DISTINCT 'zz_pages.csv' FROM pages
         UNION ALL
         SELECT DISTINCT 'documents_' || lang || '.csv.gz' FROM documents"""),
+    "raw_headers": (("landing_drops",), """
+        SELECT drop_name, unnest(CASE
+            WHEN drop_name = 'orders_1997.csv' THEN ['Customer', 'Order ID', 'Status', 'Amount', 'Order Date']
+            WHEN drop_name = 'orders_1998.csv' THEN ['Order ID', 'Customer', 'Order Date', 'Status']
+            WHEN starts_with(drop_name, 'orders_') THEN ['Order ID', 'Customer', 'Order Date', 'Amount', 'Status']
+            WHEN starts_with(drop_name, 'customers_') THEN ['Cust', 'Seg', 'RGN']
+            WHEN starts_with(drop_name, 'payments_') THEN ['Payment ID', 'Order ID', 'Paid Amount', 'Paid Date']
+            WHEN starts_with(drop_name, 'vendor_orders_') THEN
+                 ['order_ref', 'vendor', 'item_count', 'submitted_amount', 'batch_id']
+            WHEN drop_name = 'zz_pages.csv' THEN ['page_id', 'url']
+            WHEN starts_with(drop_name, 'documents_') THEN ['doc_id', 'lang', 'n_chars']
+            ELSE [] END) AS raw
+        FROM landing_drops"""),
     "landing_ledger": (("landing_drops",), f"""
         SELECT file, status, route,
                CASE WHEN status IN ('landed', 'transformed') THEN 'landing/' || file END AS landed_key,

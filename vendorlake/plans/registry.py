@@ -86,9 +86,9 @@ def q_fct_payments(spark, sf):
 
 @query("executive_summary", with_ctes("""
     SELECT c.segment, count(DISTINCT o.order_id) AS orders_count,
-           CAST(round(sum(CAST(o.amount AS DECIMAL(18,2))), 2) AS DOUBLE) AS revenue,
+           CAST(round(sum(CAST(o.amount AS DECIMAL(28,6))), 2) AS DOUBLE) AS revenue,
            CAST(round(coalesce(sum(p.paid_amount), 0), 2) AS DOUBLE) AS collected,
-           CAST(round(coalesce(sum(p.paid_amount), 0) / sum(CAST(o.amount AS DECIMAL(18,2))), 3) AS DOUBLE)
+           CAST(round(coalesce(sum(p.paid_amount), 0) / sum(CAST(o.amount AS DECIMAL(28,6))), 3) AS DOUBLE)
                AS collection_rate
     FROM (SELECT * FROM stg_orders WHERE status = 'completed') o
     JOIN dim_customers c ON o.customer = c.customer
@@ -281,10 +281,27 @@ def split_records(spark, sf):
     return split_orders(A.raw_vendor_orders(spark, sf))
 
 
+#: The vendor orders of a session and folder, split, numbered and landed once.
+_RECORDS: dict[tuple[str, str], str] = {}
+
+
+def landed_records(spark, sf):
+    """The split records as a table bucketed by their lifecycle key."""
+    from vendorlake.operators.landed_tables import land_bucketed
+    from vendorlake.operators.settlement import LIFECYCLE_KEY
+    from vendorlake.session import scratch_path
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RECORDS:
+        table = f"landed.vendor_records_{_fresh()}"
+        land_bucketed(split_records(spark, sf), table, list(LIFECYCLE_KEY), int(spark.conf.get("spark.sql.shuffle.partitions")),
+                      per=None, location=scratch_path(spark, "vendor-records"))
+        _RECORDS[key] = table
+    return spark.table(_RECORDS[key])
+
+
 def settled_records(spark, sf):
     from vendorlake.operators.settlement import settle
-    return settle(split_records(spark, sf), A.contracts(spark, sf), A.decisions(spark, sf),
-                  materialize=True)
+    return settle(landed_records(spark, sf), A.contracts(spark, sf), A.decisions(spark, sf), landed=True)
 
 
 def _sub(df):
@@ -603,24 +620,53 @@ def q_gzip_audit(spark, sf):
 @query("header_profile", with_ctes("""
     SELECT regexp_replace(regexp_replace(lower(trim(raw)), '[^0-9a-zA-Z]+', '_', 'g'), '^_+|_+$', '', 'g')
                AS sanitized, raw, count(*) AS files
-    FROM (SELECT unnest(CASE
-            WHEN drop_name = 'orders_1997.csv' THEN ['Customer', 'Order ID', 'Status', 'Amount', 'Order Date']
-            WHEN drop_name = 'orders_1998.csv' THEN ['Order ID', 'Customer', 'Order Date', 'Status']
-            WHEN starts_with(drop_name, 'orders_') THEN ['Order ID', 'Customer', 'Order Date', 'Amount', 'Status']
-            WHEN starts_with(drop_name, 'customers_') THEN ['Cust', 'Seg', 'RGN']
-            WHEN starts_with(drop_name, 'payments_') THEN ['Payment ID', 'Order ID', 'Paid Amount', 'Paid Date']
-            WHEN starts_with(drop_name, 'vendor_orders_') THEN
-                 ['order_ref', 'vendor', 'item_count', 'submitted_amount', 'batch_id']
-            WHEN drop_name = 'zz_pages.csv' THEN ['page_id', 'url']
-            WHEN starts_with(drop_name, 'documents_') THEN ['doc_id', 'lang', 'n_chars']
-            ELSE [] END) AS raw
-          FROM landing_drops) t
-    GROUP BY 1, 2""", "landing_drops"))
+    FROM raw_headers GROUP BY 1, 2""", "raw_headers"))
 def q_header_profile(spark, sf):
     from vendorlake.sources.files import header_profile
     return header_profile(spark, landing(spark, sf))
 
 
+def _proposals_sql() -> str:
+    """Header proposals in rounds of mutual best pairs; five headers need five at most."""
+    from vendorlake.model import ENTITIES
+    names = ", ".join(f"('{e.name}', '{c}')" for e in ENTITIES.values() for c in e.column_names)
+    grams = "list_distinct(list_transform(range(1, len({0}) + 2), lambda i: substr('  ' || {0} || ' ', i, 3)))"
+    rounds = [f"""p0 AS (
+      SELECT *, CASE WHEN header = canonical THEN 1000
+                     WHEN len(header) >= 2 AND regexp_matches(canonical, '^' || regexp_replace(header, '([0-9a-z])', '\\1[0-9a-z_]*', 'g'))
+                     THEN greatest(shared, 600) ELSE shared END AS score
+      FROM (SELECT grp, entity, header, canonical, len(list_intersect({grams.format("header")}, {grams.format("canonical")})) * 1000
+                   // len(list_distinct(list_concat({grams.format("header")}, {grams.format("canonical")}))) AS shared
+            FROM (SELECT DISTINCT drop_name AS grp,
+                         regexp_replace(regexp_replace(lower(trim(raw)), '[^0-9a-zA-Z]+', '_', 'g'), '^_+|_+$', '', 'g') AS header FROM raw_headers),
+                 (VALUES {names}) n(entity, canonical)) t)"""]
+    order = "ORDER BY score DESC, canonical, header"
+    for i in range(5):
+        rounds.append(f"""b{i} AS (SELECT * FROM p{i} WHERE score >= 200
+          QUALIFY row_number() OVER (PARTITION BY grp, entity, header {order}) = 1 AND row_number() OVER (PARTITION BY grp, entity, canonical {order}) = 1)""")
+        rounds.append(f"p{i + 1} AS (SELECT * FROM p{i} WHERE (grp, entity, header) NOT IN (SELECT grp, entity, header FROM b{i}) "
+                      f"AND (grp, entity, canonical) NOT IN (SELECT grp, entity, canonical FROM b{i}))")
+    chosen = " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(5))
+    return f"""SELECT * FROM (WITH {", ".join(rounds)}
+      SELECT entity, canonical, header, count(*) AS "groups", max(score) AS score FROM ({chosen}) WHERE header <> canonical GROUP BY ALL)"""
+
+
+@query("alias_proposals", with_ctes(_proposals_sql(), "raw_headers"))
+def q_alias_proposals(spark, sf):
+    """Aliases worth declaring, from the headers of everything that landed."""
+    from pyspark.sql import functions as F
+    from vendorlake.functions.names import sanitize_col
+    from vendorlake.model import ENTITIES
+    from vendorlake.operators.proposals import alias_table, propose
+    from vendorlake.sources.files import header_lines, list_parts
+    parts = list_parts(spark, landing(spark, sf))
+    headers = (header_lines(parts).join(parts.select("path", F.col("file_name").alias("group")), "path")
+               .select("group", F.explode(F.from_json("header", "array<string>")).alias("raw"))
+               .select("group", sanitize_col(F.col("raw")).alias("header")).distinct())
+    wanted = headers.withColumn("entity", F.explode(F.array(*[F.lit(e) for e in ENTITIES])))
+    return alias_table(propose(wanted, {e.name: e.column_names for e in ENTITIES.values()}))
+
+
 @query("run_batch", with_ctes("SELECT * FROM landing_ledger", "landing_ledger"))
 def q_run_batch(spark, sf):
     from vendorlake.plans.jobs import run_batch
@@ -781,10 +827,8 @@ def q_landed_dedupe(spark, sf):
     """``dedupe_orders`` over records bucketed by their lifecycle key: no exchange."""
     from vendorlake.operators.landed_tables import dedupe_landed, land_bucketed
     from vendorlake.operators.settlement import LIFECYCLE_KEY
-    from pyspark.sql import functions as F
-    # one folder for each batch: vendor files here are as many as orders
-    records = split_records(spark, sf).withColumn("_batch", F.col("batch_id"))
-    landed = land_bucketed(records, f"landed.records_{_fresh()}", list(LIFECYCLE_KEY), buckets=8, per="_batch")
+    records = split_records(spark, sf)
+    landed = land_bucketed(records, f"landed.records_{_fresh()}", list(LIFECYCLE_KEY), buckets=8, per=None)
     return dedupe_landed(landed).select(*[c.strip() for c in _SPLIT_COLS.split(",")], "is_duplicate")
 
 

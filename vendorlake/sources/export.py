@@ -50,11 +50,20 @@ def _measured(watch: Observation, columns: list[str]) -> dict:
     return {"rows": got["rows"], "stats": {c: (got[f"least_{i}"], got[f"greatest_{i}"]) for i, c in enumerate(columns)}}
 
 
-def export_json(df: DataFrame, path: str, cap: int = MAX_INLINE_ROWS, name: str = "output") -> dict:
+def export_json(df: DataFrame, path: str, cap: int = MAX_INLINE_ROWS, name: str = "output") -> int:
     """A small result as one JSON document; more than ``cap`` rows are refused.
+    Returns its rows."""
+    return _write_json(df, path, cap, name)["rows"]
 
-    The result is computed once, into the shared folder, and checked and written
-    from there.  Returns its rows and column statistics, measured by that write."""
+
+def export_parquet(df: DataFrame, path: str) -> int:
+    """Returns the rows written."""
+    return _write_parquet(df, path)["rows"]
+
+
+def _write_json(df: DataFrame, path: str, cap: int, name: str) -> dict:
+    """The result is computed once, into the shared folder, and checked and written
+    from there; that write measures it."""
     watched, watch, columns = observed(df)
     kept = materialize(watched, "json_result")
     capped_result(kept, cap, name)
@@ -62,8 +71,7 @@ def export_json(df: DataFrame, path: str, cap: int = MAX_INLINE_ROWS, name: str
     return _measured(watch, columns)
 
 
-def export_parquet(df: DataFrame, path: str) -> dict:
-    """Returns rows and column statistics, measured by the write itself."""
+def _write_parquet(df: DataFrame, path: str) -> dict:
     watched, watch, columns = observed(df)
     watched.write.mode("overwrite").parquet(path)
     return _measured(watch, columns)
@@ -75,9 +83,9 @@ def export(df: DataFrame, table: str, destination: str, fmt: str = "parquet",
     document of at most ``max_rows`` rows.  Returns table, destination, format,
     rows and stats (column -> least and greatest value)."""
     if fmt == "json":
-        measured = export_json(df, destination, max_rows, table)
+        measured = _write_json(df, destination, max_rows, table)
     elif fmt == "parquet":
-        measured = export_parquet(df, destination)
+        measured = _write_parquet(df, destination)
     else:
         raise ValueError(f"unsupported output format: {fmt}")
     return {"table": table, "destination": destination, "format": fmt} | measured

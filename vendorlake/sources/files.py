@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vendorlake.functions.names import glob_to_regex, sanitize_header
+from vendorlake.functions.names import glob_to_regex
 from vendorlake.model import DEFAULT_PATTERN
-from vendorlake.operators.hygiene import alias_map, contract_message, missing_columns
+from vendorlake.operators.hygiene import Resolver, lacking
 from vendorlake.sources.landed import landed_files
 
 def _source_of(file_path, root: str):
@@ -148,21 +148,20 @@ NO_HEADER = "empty file: no header"
 READER_COLUMNS = ("_path", "_block_start", "_mid", "_source_file")
 
 
-def _layouts(sanitize: bool, amap: Mapping[str, str], required: list[str]):
+def _layouts(resolver: Resolver, required: list[str]):
     """Per file: its canonical columns (JSON), or why it is rejected."""
     def judge(name: str, header: str | None, error: str | None) -> tuple[str | None, str | None]:
         if header is None:
             return None, f"input {name} could not be read: {error}" if error else NO_HEADER
         names = [n if n.strip() else f"_c{i}" for i, n in enumerate(json.loads(header))]
-        cols = [amap.get(c, c) for c in (sanitize_header(n) if sanitize else n for n in names)]
-        missing = missing_columns(cols, required)
+        found = resolver.header(names, fold_case=True)
+        missing = found.lacks(required)
         if missing:
-            return None, contract_message(name, missing, cols)
-        seen = [c.lower() for c in cols]
-        twice = sorted({c for c in cols if seen.count(c.lower()) > 1 or c in READER_COLUMNS})
-        if twice:
-            return None, f"input {name} has ambiguous columns {twice} (header {names})"
-        return json.dumps(cols), None
+            return None, lacking(name, missing, found.columns)
+        unclear = sorted({c for c in found.columns if c.lower() in found.shared or c in READER_COLUMNS})
+        if unclear:
+            return None, f"input {name} has ambiguous columns {unclear} (header {names})"
+        return json.dumps(found.columns), None
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
@@ -213,7 +212,7 @@ def read_csv_raw(spark: SparkSession, parts: DataFrame, sanitize: bool = True,
     from vendorlake.session import materialize
     heads = materialize(
         header_lines(parts).join(parts.select("path", "file_name"), "path")
-        .mapInPandas(_layouts(sanitize, alias_map(aliases or {}), list(required or [])),
+        .mapInPandas(_layouts(Resolver(sanitize, aliases), list(required or [])),
                      "path string, uri string, file_name string, layout string, reason string"), "headers")
     full = heads.filter(F.col("layout").isNotNull()).select(F.col("file_name").alias("full"), F.lit(NO_HEADER).alias("why")).distinct()
     rejected = (heads.filter(F.col("reason").isNotNull())
