@@ -106,7 +106,7 @@ def lm(rows, mu=100.0):
     return result
 
 
-def bm25(rows, wanted, hash_of, k=10, most=32):
+def bm25(rows, wanted, hash_of, k=10, most=None):
     """{key: [(score, key)]} for rows (key, text) with distinct keys."""
     tf = {d: collections.Counter(words(t, lower=True)) for d, t in rows}
     length = {d: sum(c.values()) for d, c in tf.items()}

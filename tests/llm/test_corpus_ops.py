@@ -66,10 +66,15 @@ def test_the_search_query_asks_with_every_word(spark, frame, tmp_path):
     text = dict(rows)
     frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
     want = brute.bm25(rows, lambda d: d % 20 == 0, _hash_of, most=None)
-    assert max(len(set(brute.words(text[q], lower=True))) for q in want) > 2 * search.QUERY_WORDS
+    assert max(len(set(brute.words(text[q], lower=True))) for q in want) > 64
     _same_hits(QUERIES["op1_bmw_bm25_search"](spark, str(tmp_path)), want)
 
 
+def test_keyword_search_asks_with_the_most_telling_words(frame, rows):
+    want = brute.bm25(rows, lambda d: d % 3 == 0, _hash_of, most=32)
+    _same_hits(search.search_documents(frame(rows), F.col("doc_id") % 3 == 0, words=32), want)
+
+
 def test_search_blocks_by_terms(frame, rows):
     want = brute.bm25(rows, lambda d: d % 3 == 0, _hash_of, most=None)
     _same_hits(search.search_documents(frame(rows), F.col("doc_id") % 3 == 0, words=None, shard_bytes=3000, terms=500), want)

@@ -130,3 +130,19 @@ def test_substrings_overlaps_inside_one_text_and_empty(frame):
     assert substrings.removal_report(frame([])).count() == 0
     with pytest.raises(ValueError):
         substrings.Repeats(frame([]), span=8)
+
+
+def test_columns_and_rules_of_any_name(spark, tmp_path):
+    """Columns called like the operators' own, and rule sets of every kind."""
+    from vendorlake.llm import linededup, quality, secrets
+    rows = [(1, "password = abcdef123\nsame words in this line here", "x"), (2, "same words in this line here\nother", "x"), (None, None, None)]
+    named = spark.createDataFrame(rows, "d long, t string, Spans string")
+    got = {r.doc_id: (r.n_lines, r.n_kept) for r in linededup.line_report(named, key="d", text="t").collect()}
+    assert got == {1: (2, 2), 2: (2, 1), None: (0, 0)}
+    assert {r.d: r.t for r in linededup.drop_repeated_lines(named, key="d", text="t").collect()}[2] == "other"
+    found = secrets.scan_versions(named, secrets.Ledger(spark, str(tmp_path / "ledger")), text="t").collect()
+    assert sorted(len(r.spans) for r in found) == [0, 0, 1] and found[0].asDict().keys() == {"d", "blob", "spans"}
+    docs = named.select(named.d.alias("doc_id"), named.t.alias("text"), named.Spans.alias("source"))
+    for rules in ((quality.Rule("docs", "n_words < 3"),), (quality.Rule("docs", "n_words < 3", True),), ()):
+        judged = {r.doc_id: r.base_failed for r in quality.judge(docs, rules=rules).collect()}
+        assert judged == {1: False, 2: False, None: any(r.drops for r in rules)}

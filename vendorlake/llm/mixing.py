@@ -121,6 +121,8 @@ def positions(docs: DataFrame, targets: Mapping[str, int], source: str = "source
 
     Within a source the order is a fixed shuffle by the hash of the key.
     ``position`` counts all rows from 0 without gaps; slot t holds one block.
+    Targets whose whole parts need a pattern of more than MAX_PATTERN slots are
+    refused: use smaller parts.
     Null or unnamed sources form the pool OTHER; null keys and repeated rows get
     a place each; an empty table gives no rows.
     """

@@ -110,23 +110,25 @@ def beta_prior(failed: DataFrame, rule: str) -> tuple[float, float]:
 
 def host_verdicts(docs: DataFrame, host: str, rules: Sequence[Rule] = RULES,
                   limit: float = HOST_LIMIT) -> DataFrame:
-    """Per host: host, docs, failures per rule (by name), host_rejected.
+    """Per host: host, docs, failures per rule (by its name; ``f_`` before one that is
+    a column's here), host_rejected.
 
     ``docs`` has a column f with the features.  Null hosts are one host.
     """
+    column = {r.name: f"f_{r.name}" if r.name in ("host", "docs", "host_rejected") else r.name for r in rules}
     fails = docs.select(F.col(host).alias("host"), "f.*")
     counts = stash(fails.groupBy("host").agg(
         F.count(F.lit(1)).alias("docs"),
-        *[F.sum(F.expr(r.fails).cast("long")).alias(r.name) for r in rules]), "hosts")
+        *[F.sum(F.expr(r.fails).cast("long")).alias(column[r.name]) for r in rules]), "hosts")
     rejected = F.lit(False)
     for r in rules:
-        a, b = beta_prior(counts, r.name)
-        rejected = rejected | ((F.col(r.name) + a) / (F.col("docs") + a + b) > limit)
+        a, b = beta_prior(counts, column[r.name])
+        rejected = rejected | ((F.col(column[r.name]) + a) / (F.col("docs") + a + b) > limit)
     return counts.withColumn("host_rejected", rejected)
 
 
 def base_failed(f: str = "f", rules: Sequence[Rule] = RULES) -> Column:
-    drops = " OR ".join(f"({r.fails})" for r in rules if r.drops)
+    drops = " OR ".join(f"({r.fails})" for r in rules if r.drops) or "false"
     for name in FEATURES:
         drops = drops.replace(name, f"{f}.{name}")
     return F.expr(drops)

@@ -118,8 +118,8 @@ def scan_versions(versions: DataFrame, ledger: Ledger, rules: Sequence[Rule] = R
     """Scan what the ledger has not seen; return ``versions`` without its text,
     plus ``blob`` and ``spans`` (array of start, kind, end; by start, then rule order).
 
-    ``versions``: a row per path or version; all columns but the text are kept
-    (two columns are added, so it may not have columns blob or spans).  Null
+    ``versions``: a row per path or version; all columns but the text are kept, but
+    that columns of its own called blob or spans (any case) give way.  Null
     text: empty.  Repeated rows and copies are scanned once and all get the
     spans.  An empty table gives no rows.
     """
@@ -147,7 +147,8 @@ def scan_versions(versions: DataFrame, ledger: Ledger, rules: Sequence[Rule] = R
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     named = stash(per_blob.withColumn("spans", F.transform("spans", lambda s: F.struct(
         s["start"].alias("start"), F.get(kinds, s["nth"]).alias("kind"), s["end"].alias("end")))), "per-blob")
-    paths = versions.withColumn("blob", blob_id(F.col(text))).drop(text)
+    kept = [c for c in versions.columns if c != text and c.lower() not in ("blob", "spans")]
+    paths = versions.select(*[F.col(f"`{c}`") for c in kept], blob_id(F.col(text)).alias("blob"))
     return (paths.join(named, "blob", "left")
             .withColumn("spans", F.coalesce("spans", F.array().cast(named.schema["spans"].dataType)))
             .select(*paths.columns, "spans"))
