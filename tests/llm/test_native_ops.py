@@ -87,3 +87,30 @@ def test_secrets_empty_table(frame, ledger):
 def test_null_text_is_the_empty_blob(frame, ledger):
     row = secrets.scan_versions(frame([(1, None)]).select("doc_id", "text"), ledger).first()
     assert bytes(row.blob).hex() == hashlib.sha256(b"").hexdigest() and row.spans == []
+
+
+def test_numbers_of_a_hot_key_are_dealt_out(spark):
+    """A third of the rows without a key: whole numbers, in many buckets."""
+    from vendorlake.llm import common
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), (F.col("id") % 2).alias("g"), F.lit("x").alias("_row"))
+    got = common.number_within(rows, "g", ["k"], "at", per_bucket=100)
+    assert got.columns == ["k", "g", "_row", "at"] and got.count() == 30_000
+    for r in got.groupBy("g").agg(F.count_distinct("at").alias("d"), F.min("at").alias("a"), F.max("at").alias("b")).collect():
+        assert (r.d, r.a, r.b) == (15_000, 0, 14_999)
+    assert sorted(map(tuple, got.select("k", "g").collect()), key=str) == sorted(map(tuple, rows.select("k", "g").collect()), key=str)
+
+
+def test_known_texts_are_not_moved(spark, tmp_path, monkeypatch):
+    """A second scan of the same versions looks at no text; a new one at that text only."""
+    rows = [(i, f"password = secret{i:04d}") for i in range(30)] + [(99, None)]
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    seen = []
+    scan = secrets.scan_blobs
+    monkeypatch.setattr(secrets, "scan_blobs", lambda blobs, rules: seen.append(blobs.count()) or scan(blobs, rules))
+    for extra, limit in (([], 20_000), ([], 20_000), ([(100, "token = abcdefgh")], 20_000), ([(101, "token = hgfedcba")], 0)):
+        rows = rows + extra
+        monkeypatch.setattr(secrets, "MAX_BROADCAST", limit)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = {r.doc_id: len(r.spans) for r in secrets.scan_versions(docs, ledger).collect()}
+        assert found == {d: int(t is not None) for d, t in rows}
+    assert seen == [31, 0, 1, 1]

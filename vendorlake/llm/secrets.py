@@ -100,6 +100,10 @@ def _matches(text: Column, rule: Rule, due: Column) -> Column:
     return F.when(due & text.rlike(rule.pattern), rows)
 
 
+#: Addresses that are broadcast to find their texts (2 MB); more are joined.
+MAX_BROADCAST = 20_000
+
+
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """(blob, rule, start, end) of the matches in ``blobs`` (blob, text, due tags)."""
     found = blobs.select("blob", F.explode(F.array(*[
@@ -123,22 +127,19 @@ def scan_versions(versions: DataFrame, ledger: Ledger, rules: Sequence[Rule] = R
     text: empty.  Repeated rows and copies are scanned once and all get the
     spans.  An empty table gives no rows.
     """
-    spark = versions.sparkSession
     tags = [r.tag for r in rules]
     seen = ledger.pairs().where(F.col("rule").isin(tags)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    texts = (versions.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-             .dropDuplicates(["blob"]))
+    # the ledger is asked by address; only texts with something due are moved
     all_tags = F.array(*[F.lit(t) for t in tags])
-    due = (texts.join(seen, "blob", "left")
-           .withColumn("due", F.array_except(all_tags, F.coalesce("seen", F.array().cast("array<string>"))))
-           .where(F.size("due") > 0))
-    found = stash(scan_blobs(due, rules), "found")
-    # no texts here: the addresses of the same versions, less the pairs already scanned
-    addresses = versions.select(blob_id(F.col(text)).alias("blob")).distinct()
-    pairs = (addresses.join(seen, "blob", "left")
-             .select("blob", F.explode(F.array_except(all_tags, F.coalesce("seen", F.array().cast("array<string>")))).alias("rule")))
-    ledger.append(pairs, found, uuid.uuid4().hex)
-    discard(found)
+    due = stash(versions.select(blob_id(F.col(text)).alias("blob")).distinct().join(seen, "blob", "left")
+                .select("blob", F.array_except(all_tags, F.coalesce("seen", F.array().cast("array<string>"))).alias("due"))
+                .where(F.size("due") > 0), "due")
+    few = due.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    texts = versions.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    wanted = texts.join(F.broadcast(due) if few else due, "blob").dropDuplicates(["blob"])
+    found = stash(scan_blobs(wanted, rules), "found")
+    ledger.append(due.select("blob", F.explode("due").alias("rule")), found, uuid.uuid4().hex)
+    discard(found, due)
 
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.tag), F.lit(i))])
     per_blob = (ledger.findings().where(F.col("rule").isin(tags))
