@@ -69,16 +69,28 @@ def number_within(df: DataFrame, group: str, order: Sequence[str], out: str,
     in hash buckets of the order columns instead (more buckets for more rows),
     and a bucket starts where the counts of the earlier buckets of its group
     end.  The buckets depend on the rows' values alone, so a recomputation
-    gives the same numbers; equal rows may swap theirs.
+    gives the same numbers; equal rows may swap theirs.  A bucket much larger
+    than the others holds a repeated key: its rows are dealt out further, by
+    numbers that a written copy of the rows fixes.
     """
-    b, base, n, g, b2 = (fresh(df, x) for x in ("_bucket", "_base", "_n", "_group", "_bucket2"))
+    b, sub, base, n, g, b2, s2, row = (fresh(df, x) for x in (
+        "_bucket", "_sub", "_base", "_n", "_group", "_bucket2", "_sub2", "_row"))
     buckets = max(1024, df.count() // per_bucket)
     rows = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    counts = rows.groupBy(F.col(group).alias(g), F.col(b).alias(b2)).agg(F.count(F.lit(1)).alias(n))
-    before = Window.partitionBy(g).orderBy(b2).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(g, b2, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
-    in_bucket = Window.partitionBy(group, b).orderBy(*order)
+    sizes = rows.groupBy(F.col(group).alias(g), F.col(b).alias(b2)).agg(F.count(F.lit(1)).alias(n))
+    hot = sizes.where(F.col(n) > 10 * per_bucket)
+    if hot.isEmpty():
+        rows = rows.withColumn(sub, F.lit(0).cast("long"))
+    else:
+        fixed = stash(rows.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+        rows = (fixed.join(stash(hot, "hot-buckets"), (F.col(group) == F.col(g)) & (F.col(b) == F.col(b2)), "left")
+                .withColumn(sub, F.coalesce(F.pmod(F.xxhash64(row), F.ceil(F.col(n) / per_bucket)), F.lit(0)))
+                .select(*df.columns, b, sub))
+    counts = rows.groupBy(F.col(group).alias(g), F.col(b).alias(b2), F.col(sub).alias(s2)).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(g).orderBy(b2, s2).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(g, b2, s2, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    in_bucket = Window.partitionBy(group, b, sub).orderBy(*order)
     numbered = rows.withColumn(n, F.row_number().over(in_bucket))
-    return (numbered.join(bases, (F.col(group) == F.col(g)) & (F.col(b) == F.col(b2)))
+    return (numbered.join(bases, (F.col(group) == F.col(g)) & (F.col(b) == F.col(b2)) & (F.col(sub) == F.col(s2)))
             .withColumn(out, F.col(base) + F.col(n) - 1)
             .select(*df.columns, out))
