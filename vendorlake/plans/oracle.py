@@ -246,8 +246,8 @@ CTES.update({
             WHEN starts_with(drop_name, 'payments_') THEN ['Payment ID', 'Order ID', 'Paid Amount', 'Paid Date']
             WHEN starts_with(drop_name, 'vendor_orders_') THEN
                  ['order_ref', 'vendor', 'item_count', 'submitted_amount', 'batch_id']
-            WHEN drop_name = 'zz_pages.csv' THEN ['page_id', 'url']
-            WHEN starts_with(drop_name, 'documents_') THEN ['doc_id', 'lang', 'n_chars']
+            WHEN drop_name = 'zz_pages.csv' THEN ['page_id', 'url', 'html']
+            WHEN starts_with(drop_name, 'documents_') THEN ['doc_id', 'lang', 'n_chars', 'text']
             ELSE [] END) AS raw
         FROM landing_drops"""),
     "landing_ledger": (("landing_drops",), f"""

@@ -33,9 +33,9 @@ def _write(df: DataFrame, root: str, drop: F.Column, compression: str = "none")
     cols = df.columns
     (df.withColumn("_drop", drop)
      .repartition("_drop")
-     .sortWithinPartitions("_drop", *cols)
+     .sortWithinPartitions("_drop", *cols[:5])
      .write.mode("append").partitionBy("_drop")
-     .option("header", True).option("compression", compression)
+     .option("header", True).option("compression", compression).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(root))
 
@@ -61,9 +61,9 @@ def write_landing(spark: SparkSession, sf_dir: str, root: str | None = None) ->
     vendor = A.raw_vendor_orders(spark, sf_dir)
     _write(vendor.select("order_ref", "vendor", "item_count", "submitted_amount", "batch_id"), root,
            F.concat(F.lit("vendor_orders_"), F.substring(F.col("batch_id"), 7, 4), F.lit(".csv")))
-    pages = A.read_table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = A.read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     _write(pages, root, F.lit("zz_pages.csv"))
-    docs = A.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    docs = A.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
     # plain text under a .gz name: the audit must catch it
     _write(docs, root, F.concat(F.lit("documents_"), F.col("lang"), F.lit(".csv.gz")))
     return root
