@@ -48,7 +48,7 @@ def _landing(root):
     _drop(root, ".orders_dot.csv", row)
     _drop(root, "_drop=orders_parts.csv/part-0.csv", row, "2.00")
     _drop(root, "_drop=orders_parts.csv/part-1.csv")              # an empty inner part
-    _drop(root, "_drop=orders_parts.csv/deep/_part-2.csv", row, "3.00")
+    _drop(root, "_drop=orders_parts.csv/deep/_part-2.csv", row.replace("1,acme", "2,acme"), "3.00")
     _drop(root, "_drop=orders_parts.csv/_SUCCESS")
     _drop(root, "_drop=orders_parts.csv/.part-0.csv.crc", "x")
     _drop(root, "_drop=orders_parts.csv/_temporary/0/part-9.csv", "x")
@@ -89,6 +89,29 @@ def test_rows_know_their_drop_with_and_without_root(spark, tmp_path):
         assert {r.file_name for r in rejected.collect()} == {"orders_empty.csv", "orders_hollow.csv"}
         got = sorted((r._source_file, r.amount) for r in rows.collect())
         assert ("orders_parts.csv", "2.00") in got and ("zz a+b%c é#.csv", "1.00") in got
+        assert ("orders_parts.csv", "3.00") in got and ("_orders_hidden.csv", "1.00") in got      # names that Spark passes over
+
+
+def test_files_that_spark_passes_over_read_like_others(spark, tmp_path):
+    import gzip
+    text = '\ufeffid,note,more\r\n1,"a ""b"", c",x\r\n\r\n2,,""\n3,short\n4,long,x,y,z\n   \n5,é,last'
+    plain = [tuple(r) for r in _read(spark, tmp_path / "a", "part.csv", text, False)]
+    assert len(plain) == 5
+    for name in ("_part.csv", ".part.csv", "part.csv._COPYING_"):
+        assert [tuple(r) for r in _read(spark, tmp_path / name, name, text, False)] == plain
+    folded = text.replace("\r\n", "\n").replace("é", '"two\nlines, ""quoted"""')
+    assert [tuple(r) for r in _read(spark, tmp_path / "m", "_part.csv", folded, True)] == [tuple(r) for r in _read(spark, tmp_path / "n", "part.csv", folded, True)]
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "_part.csv.gz").write_bytes(gzip.compress(text.encode()))
+    rows, _ = read_csv_raw(spark, list_parts(spark, str(tmp_path / "z")), root=str(tmp_path / "z"))
+    assert sorted(map(tuple, rows.select("id", "note", "more").collect()), key=str) == sorted(plain, key=str)
+
+
+def _read(spark, folder, name, text, multi_line):
+    folder.mkdir()
+    (folder / name).write_bytes(text.encode())
+    rows, _ = read_csv_raw(spark, list_parts(spark, str(folder)), multi_line=multi_line, root=str(folder))
+    return rows.orderBy("_mid").select("id", "note", "more").collect()
 
 
 def test_stream_ingest_equals_batch_for_every_file(spark, tmp_path):

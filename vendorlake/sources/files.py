@@ -13,6 +13,8 @@ from __future__ import annotations
 import codecs
 import csv
 import gzip
+import io
+import itertools
 import json
 import re
 import sys
@@ -190,6 +192,50 @@ def _scan_csv(spark: SparkSession, columns: list[str], paths: list[str], multi_l
     )
 
 
+#: File names that Spark's sources pass over even when they are asked for by path.
+PASSED_OVER = r"(^|/)(_[^=/]*|\.[^/]*|[^/]*\._COPYING_)$"
+
+
+def _records(multi_line: bool):
+    """The records of each file after its header, as text.  As for Spark's reader,
+    empty lines are none, and lines of blanks are some only with ``multi_line``."""
+    blank = "\n" if multi_line else None
+
+    def of(path: str) -> Iterable[str]:
+        with _open(path) as raw:
+            stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+            held, header = "", True
+            for line in io.TextIOWrapper(stream, "utf-8-sig", "replace"):
+                held += line
+                if not (multi_line and held.count('"') % 2) and held.strip(blank):
+                    if not header:
+                        yield held.rstrip("\n")
+                    held, header = "", False
+                elif not held.strip(blank):
+                    held = ""
+            if held.strip(blank) and not header:
+                yield held.rstrip("\n")
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            for path, name in zip(pdf["path"], pdf["file_name"]):
+                records = of(path)
+                while some := list(itertools.islice(records, 10_000)):
+                    yield pd.DataFrame({"_source_file": name, "record": some})
+    return run
+
+
+def _scan_passed_over(columns: list[str], files: DataFrame, multi_line: bool) -> DataFrame:
+    """What ``_scan_csv`` gives, for files that Spark's reader does not see: tasks
+    hand over their records, and Spark parses them as it parses a file's."""
+    ddl = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
+    lines = files.select("path", "file_name").repartition(F.col("path")).mapInPandas(
+        _records(multi_line), "_source_file string, record string")
+    row = F.from_csv("record", ddl, {"mode": "PERMISSIVE", "escape": '"'})
+    return lines.select(row.alias("r"), F.lit(0).cast("long").alias("_block_start"),
+                        F.monotonically_increasing_id().alias("_mid"), "_source_file").select("r.*", "_block_start", "_mid", "_source_file")
+
+
 def read_csv_raw(spark: SparkSession, parts: DataFrame, sanitize: bool = True,
                  aliases: Mapping[str, Iterable[str]] | None = None,
                  required: Iterable[str] | None = None,
@@ -223,13 +269,21 @@ def read_csv_raw(spark: SparkSession, parts: DataFrame, sanitize: bool = True,
     # The distinct layouts (a handful) reach the driver, and the paths of each, as
     # arguments of the reader: the listing that Spark's own file index keeps there.
     for row in usable.select("layout").distinct().collect():
-        files = usable.filter(F.col("layout") == row.layout)
-        df = _scan_csv(spark, json.loads(row.layout), sorted(f.path for f in files.select("path").collect()), multi_line)
-        if root is None:
-            df = df.join(files.select(F.col("uri").alias("_path"), F.col("file_name").alias("_source_file")), "_path").drop("_path")
-        else:
-            df = df.withColumn("_source_file", _source_of(F.col("_path"), root)).drop("_path")
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        files, columns = usable.filter(F.col("layout") == row.layout), json.loads(row.layout)
+        passed_over = F.col("path").rlike(PASSED_OVER)
+        paths = sorted(f.path for f in files.filter(~passed_over).select("path").collect())
+        found = []
+        if paths:
+            df = _scan_csv(spark, columns, paths, multi_line)
+            if root is None:
+                df = df.join(files.select(F.col("uri").alias("_path"), F.col("file_name").alias("_source_file")), "_path").drop("_path")
+            else:
+                df = df.withColumn("_source_file", _source_of(F.col("_path"), root)).drop("_path")
+            found.append(df)
+        if not files.filter(passed_over).isEmpty():
+            found.append(_scan_passed_over(columns, files.filter(passed_over), multi_line))
+        for df in found:
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out, rejected
 
 
