@@ -2,7 +2,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from vendorlake.plans import registry as R
 from vendorlake.sources import adapters as A

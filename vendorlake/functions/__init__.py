@@ -1,5 +1,4 @@
 from vendorlake.functions.names import (  # noqa: F401
-    base_name_col,
     decompressed_name,
     decompressed_name_col,
     glob_match,

@@ -76,7 +76,3 @@ def decompressed_name(filename: str) -> str:
 
 def decompressed_name_col(c: Column) -> Column:
     return F.regexp_replace(c, r"\.gz$", "")
-
-
-def base_name_col(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)$", 1)
