@@ -97,6 +97,22 @@ def test_many_alike_lines_in_one_list(frame):
     assert out == brute.kept_lines(rows)
 
 
+@pytest.mark.parametrize("named", [linededup.NAMED, (1, 2, 3), (1,)])
+def test_lines_around_the_threshold(frame, named, monkeypatch):
+    """Long variants of one line, some similar, most not quite: early candidates fail."""
+    monkeypatch.setattr(linededup, "NAMED", named)
+    r = random.Random(8)
+    base = [f"w{j}" for j in range(60)]
+    rows = []
+    for i in range(160):
+        words = [f"n{i}_{j}" if r.random() < 0.1 else w for j, w in enumerate(base)]
+        r.shuffle(words)
+        rows.append((i, " ".join(words) + "\n" + " ".join(r.sample(base, 20) + [f"o{i}_{j}" for j in range(r.randint(3, 6))])))
+    out = {x.doc_id: x.kept_lines for x in linededup.line_report(frame(rows)).collect()}
+    want = brute.kept_lines(rows)
+    assert out == want and 20 < sum(0 in k for k in want.values()) < 150
+
+
 def test_substrings_match_brute_force(frame, odd_rows):
     out = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.removal_report(frame(odd_rows)).collect())
     want = brute.substrings([t for _, t in odd_rows])
