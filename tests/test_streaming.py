@@ -189,6 +189,21 @@ def test_order_status_does_not_depend_on_the_cut_of_the_stream(spark, tmp_path):
     assert whole.count() > 50 and sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
 
 
+def test_order_status_state_grows_with_parts_not_calls(spark, tmp_path):
+    """Many orders of one batch: a state value and a timer a part, not some for each
+    order; a row is out once the watermark reaches the moment that makes it final."""
+    from vendorlake.streaming.order_status import PARTS
+    n = 2000
+    opened = [_event("acme", f"O{i}", "opened", i % 50) for i in range(n)]
+    signals = [_event("acme", f"O{i}", "decision", 60 + i % 50, ("approve", "maybe", "deny")[i % 3], i) for i in range(n)]
+    turns = [opened + signals, [_event("acme", "tick", "decision", 349, "x")], [_event("acme", "tick", "decision", 349, "x")]]
+    out, q = _replay(spark, tmp_path, turns, SIGNALS, lambda s: order_status(s, 300))
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= 4 * PARTS
+    got = {r.order_ref: (r.outcome, r.decision_source, (r.resolved_at - T0).total_seconds()) for r in out.collect()}
+    assert got == {f"O{i}": ("escalated", "sla_timeout", i % 50 + 300) if i % 3 == 1 else
+                   (("settled", "", "denied")[i % 3], "reviewer", 60 + i % 50) for i in range(n)}
+
+
 # decisions as an interval join
 
 def test_stream_decisions_equal_batch(spark, tmp_path):
