@@ -360,6 +360,23 @@ def test_packed_sequences_keep_the_mix(spark, frame):
         assert abs(seen - share * n) <= packing.WINDOW * (1 - share) + 2 * mixing.BLOCK
 
 
+def test_open_bins_of_windows_are_merged(frame):
+    """What windows leave open is packed on, in the rounds of ``pack``, neighbours together."""
+    rows = [(d, " ".join(["w"] * (5 + d * 7 % 23))) for d in range(400)]
+    docs = frame(rows).withColumn("at", F.col("doc_id"))
+    plain, _ = check_packing(packing.pack(docs, capacity=64).collect(), rows, 64)
+    for chunk in (50_000, 16):
+        out = packing.pack_in_order(docs, "at", capacity=64, window=4, chunk=chunk).collect()
+        bins, _ = check_packing(out, rows, 64)
+        assert bins <= plain * (1.03 if chunk > 100 else 1.2)
+        firsts = collections.defaultdict(list)
+        for r in out:
+            firsts[r.sequence_id].append(r.doc_id)
+        least = [min(firsts[i]) for i in sorted(firsts)]
+        assert least == sorted(least)
+    assert packing.pack_in_order(frame([]).withColumn("at", F.col("doc_id")), "at").count() == 0
+
+
 def test_pipeline_on_an_empty_table(spark, frame):
     docs = frame([])
     for _, stage in corpus_pipeline.STAGES:

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,20 @@ def _merge(capacity: int, chunk: int):
     return run
 
 
+_PLACED = T.StructType([*_BIN.fields, T.StructField("place", T.LongType()), T.StructField("nth", T.IntegerType())])
+
+
+def _flush_placed(items: list, places: list[tuple[int, int]], n: int, capacity: int) -> pa.RecordBatch:
+    """Bins of the first ``n`` items, which go, each with the least place in it."""
+    bins = best_fit([size for size, _ in items[:n]], capacity)
+    packed = _flush(items[:n], capacity)             # the same bins: best_fit has no chance in it
+    least = [min(places[i] for i in b) for b in bins]
+    del items[:n], places[:n]
+    return pa.RecordBatch.from_arrays(
+        [*packed.columns, pa.array([p for p, _ in least], pa.int64()), pa.array([n for _, n in least], pa.int32())],
+        names=[f.name for f in _PLACED])
+
+
 def _pack_windows(capacity: int, window: int, tokenizer: str):
     """Bins of at most ``window`` pieces at a time, rows (key, text, position)
     being sorted by position; each with its least position and the piece there."""
@@ -150,16 +165,6 @@ def _pack_windows(capacity: int, window: int, tokenizer: str):
         encode = Tokenizer(tokenizer)
         items: list = []
         places: list[tuple[int, int]] = []
-
-        def flush(n: int) -> pa.RecordBatch:
-            bins = best_fit([size for size, _ in items[:n]], capacity)
-            packed = _flush(items[:n], capacity)     # the same bins: best_fit has no chance in it
-            least = [min(places[i] for i in b) for b in bins]
-            del items[:n], places[:n]
-            return pa.RecordBatch.from_arrays(
-                [*packed.columns, pa.array([p for p, _ in least], pa.int64()), pa.array([n for _, n in least], pa.int32())],
-                names=["size", "members", "place", "nth"])
-
         for batch in batches:
             for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 ids = np.array(encode.ids(text.as_py() or "") + [END_ID], dtype="<u4")
@@ -167,27 +172,72 @@ def _pack_windows(capacity: int, window: int, tokenizer: str):
                     items.append((size, [(doc, n, start, size, zlib.crc32(ids[start:start + size].tobytes()))]))
                     places.append((place, n))
                 while len(items) >= window:
-                    yield flush(window)
+                    yield _flush_placed(items, places, window, capacity)
+        if items:
+            yield _flush_placed(items, places, len(items), capacity)
+    return run
+
+
+def _merge_windows(capacity: int, chunk: int):
+    """``_merge`` for bins with places, sorted by them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: list = []
+        places: list[tuple[int, int]] = []
+        for batch in batches:
+            for size, members, *place in zip(*(c.to_pylist() for c in batch.columns)):
+                items.append((size, [tuple(m.values())[:-1] for m in members]))
+                places.append(tuple(place))
+                if len(items) >= chunk:
+                    yield _flush_placed(items, places, len(items), capacity)
         if items:
-            yield flush(len(items))
+            yield _flush_placed(items, places, len(items), capacity)
     return run
 
 
 def pack_in_order(docs: DataFrame, position: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-                  tokenizer: str = TOKENIZER, window: int = WINDOW) -> DataFrame:
+                  tokenizer: str = TOKENIZER, window: int = WINDOW, nearly_full: float = 0.99, chunk: int = 50_000) -> DataFrame:
     """What ``pack`` returns, with the sequences in the order of ``position`` (one
     number per row, all distinct): pieces are best-fitted within windows of
-    consecutive positions, and sequence ids rise with the least position in a
-    sequence.  A prefix of the sequences thus holds a prefix of the rows, but for
-    a window.  Bins left open at the end of a window stay so.
+    consecutive positions, bins that are not nearly full then in ``pack``'s merge
+    rounds, neighbours together, and sequence ids rise with the least position in a
+    sequence.  A prefix of the sequences thus holds a prefix of the rows, but for a
+    window and the few bins that were left open.
     """
     if not 1 <= capacity <= 1 << 20:
         raise ValueError("capacity out of range")
     rows = docs.select(F.col(key).cast("long"), text, F.col(position).cast("long").alias(fresh(docs, "_place")))
     rows = rows.repartitionByRange(rows.columns[2]).sortWithinPartitions(rows.columns[2])
-    placed = T.StructType([*_BIN.fields, T.StructField("place", T.LongType()), T.StructField("nth", T.IntegerType())])
-    bins = stash(rows.mapInArrow(_pack_windows(capacity, window, tokenizer), placed), "bins")
-    return _exploded(bins.repartitionByRange("place", "nth").sortWithinPartitions("place", "nth"))
+    bins = stash(rows.mapInArrow(_pack_windows(capacity, window, tokenizer), _PLACED), "bins")
+
+    def merge(open_bins: DataFrame, tasks: int) -> DataFrame:
+        near = open_bins.repartitionByRange(tasks, "place", "nth").sortWithinPartitions("place", "nth")
+        return near.mapInArrow(_merge_windows(capacity, chunk), _PLACED)
+
+    packed = _merged(bins, capacity, nearly_full, chunk, merge)
+    return _exploded(packed.repartitionByRange("place", "nth").sortWithinPartitions("place", "nth"))
+
+
+def _merged(bins: DataFrame, capacity: int, nearly_full: float, chunk: int,
+            merge: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """All bins after the merge rounds of those that are not nearly full.
+
+    Rounds go on while such bins are left, each with at most about ``chunk`` of them
+    to a task, until one task has seen all of them or a round saves less than one
+    bin in 1000 (bins that fit nowhere)."""
+    enough = int(capacity * nearly_full)
+    done = [bins.where(F.col("size") >= enough)]
+    open_bins = bins.where(F.col("size") < enough)
+    count = open_bins.count()
+    while count > 1:
+        tasks = -(-count // chunk)
+        merged = stash(merge(open_bins, tasks), "merged")
+        done.append(merged.where(F.col("size") >= enough))
+        open_bins, before = merged.where(F.col("size") < enough), count
+        count, saved = open_bins.count(), before - merged.count()
+        if tasks == 1 or saved * 1000 < before:
+            break
+    done.append(open_bins)
+    return reduce(DataFrame.unionByName, done)
 
 
 def _exploded(bins: DataFrame) -> DataFrame:
@@ -205,27 +255,13 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     length, ids_crc32, sequence_id, offset.  Null text: empty, one id.  Null
     keys, repeated rows: packed like others.  An empty table gives no rows.
 
-    Merge rounds go on while bins are left that are not nearly full, each with
-    at most ``chunk`` bins to a task, until one task has seen all of them or a
-    round saves less than one bin in 1000 (bins that fit nowhere).
+    Bins that are not nearly full are merged in rounds (``_merged``).
     """
     if not 1 <= capacity <= 1 << 20:
         raise ValueError("capacity out of range")
-    enough = int(capacity * nearly_full)
     bins = stash(docs.select(F.col(key).cast("long"), text).mapInArrow(_tokenise(capacity, chunk, tokenizer), _BIN), "bins")
-    done = [bins.where(F.col("size") >= enough)]
-    open_bins = bins.where(F.col("size") < enough)
-    count = open_bins.count()
-    while count > 1:
-        tasks = -(-count // chunk)
-        merged = stash(open_bins.repartition(tasks).mapInArrow(_merge(capacity, chunk), _BIN), "merged")
-        done.append(merged.where(F.col("size") >= enough))
-        open_bins, before = merged.where(F.col("size") < enough), count
-        count, saved = open_bins.count(), before - merged.count()
-        if tasks == 1 or saved * 1000 < before:
-            break
-    done.append(open_bins)
-    all_bins = done[0]
-    for more in done[1:]:
-        all_bins = all_bins.unionByName(more)
-    return _exploded(all_bins)
+
+    def merge(open_bins: DataFrame, tasks: int) -> DataFrame:
+        return open_bins.repartition(tasks).mapInArrow(_merge(capacity, chunk), _BIN)
+
+    return _exploded(_merged(bins, capacity, nearly_full, chunk, merge))
