@@ -73,3 +73,19 @@ def test_line_numbers_of_a_hot_file_span_partitions(spark):
         Window.partitionBy("k").orderBy("a", "b")) + 1).alias("_line"))
     assert got.count() == n
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_vendor_lines_are_numbered_behind_one_shuffle(spark):
+    """The lines of an order are numbered where the join with the orders has dealt
+    them; orders of many lines by a range sort, with the same numbers."""
+    from vendorlake.sources import adapters as A
+    sf = "/root/testdata/sf0.001"
+    plain = A._numbered_lines(spark, sf)
+    plan = A.raw_vendor_orders(spark, sf, once=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "rangepartitioning" not in plan
+    sizes = plain.groupBy("l_orderkey").count()
+    assert 0 < sizes.filter("count > 4").count() < sizes.count()
+    mixed = A._numbered_lines(spark, sf, hot_lines=4)
+    assert plain.dtypes == mixed.dtypes
+    assert plain.exceptAll(mixed).isEmpty() and mixed.exceptAll(plain).isEmpty()
+    assert "_line" not in A.raw_vendor_orders(spark, sf, numbered=False).columns

@@ -242,7 +242,7 @@ def q_test_report(spark, sf):
     WHERE bad_cells > 0""", "raw_vendor_orders"))
 def q_cast_gate(spark, sf):
     from vendorlake.operators.quality import cast_gate
-    return cast_gate(A.raw_vendor_orders(spark, sf), "stg_settlements", ["_source_file"])
+    return cast_gate(A.raw_vendor_orders(spark, sf, once=True), "stg_settlements", ["_source_file"])
 
 
 _GATE_SQL = """
@@ -276,15 +276,20 @@ def q_anti_join_rejects(spark, sf):
 # --------------------------------------------------------------------------
 # 2.10 settlement
 # --------------------------------------------------------------------------
-def split_records(spark, sf):
+def split_records(spark, sf, once=False):
     from vendorlake.operators.settlement import split_orders
-    return split_orders(A.raw_vendor_orders(spark, sf))
+    return split_orders(A.raw_vendor_orders(spark, sf, once=once))
 
 
 #: The vendor orders of a session and folder, split, numbered and landed once.
 _RECORDS: dict[tuple[str, str], str] = {}
 
 
+def _buckets(spark, sf):
+    """Buckets for the vendor records: 250,000 in each, as many as a shuffle has at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), A.read_table(spark, sf, "lineitem").count() // 250_000)
+
+
 def landed_records(spark, sf):
     """The split records as a table bucketed by their lifecycle key."""
     from vendorlake.operators.landed_tables import land_bucketed
@@ -293,7 +298,7 @@ def landed_records(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RECORDS:
         table = f"landed.vendor_records_{_fresh()}"
-        land_bucketed(split_records(spark, sf), table, list(LIFECYCLE_KEY), int(spark.conf.get("spark.sql.shuffle.partitions")),
+        land_bucketed(split_records(spark, sf, once=True), table, list(LIFECYCLE_KEY), _buckets(spark, sf),
                       per=None, location=scratch_path(spark, "vendor-records"))
         _RECORDS[key] = table
     return spark.table(_RECORDS[key])
@@ -316,7 +321,7 @@ _SPLIT_COLS = "batch_id, _source_file, _line, order_ref, vendor, item_count"
     SELECT {_SPLIT_COLS}, CAST(_submitted AS DOUBLE) AS submitted_amount, parse_error FROM split""",
                                  "split"))
 def q_split_orders(spark, sf):
-    return _sub(split_records(spark, sf))
+    return _sub(split_records(spark, sf, once=True))
 
 
 @query("dedupe_orders", with_ctes(f"""
@@ -827,8 +832,8 @@ def q_landed_dedupe(spark, sf):
     """``dedupe_orders`` over records bucketed by their lifecycle key: no exchange."""
     from vendorlake.operators.landed_tables import dedupe_landed, land_bucketed
     from vendorlake.operators.settlement import LIFECYCLE_KEY
-    records = split_records(spark, sf)
-    landed = land_bucketed(records, f"landed.records_{_fresh()}", list(LIFECYCLE_KEY), buckets=8, per=None)
+    records = split_records(spark, sf, once=True)
+    landed = land_bucketed(records, f"landed.records_{_fresh()}", list(LIFECYCLE_KEY), _buckets(spark, sf), per=None)
     return dedupe_landed(landed).select(*[c.strip() for c in _SPLIT_COLS.split(",")], "is_duplicate")
 
 

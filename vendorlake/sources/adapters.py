@@ -6,14 +6,15 @@ blanks, bad numbers) so that every hygiene rule, cast gate and data test has
 work to do.  Every rule here is deterministic so that the DuckDB oracle in
 ``ADAPTER_SQL`` builds the very same rows.
 
-All joins are equi-joins on keys; no adapter uses a window over a data
-group.  The record number inside a vendor file is computed like the file
-reader's (``record_numbers``): a range sort splits even a hot file across
-tasks, and only per-partition counts are windowed.
+All joins are equi-joins on keys.  The record number inside a vendor file (the
+lines of one order) comes from a window over the order, behind the shuffle of the
+join with the orders; orders of more than ``HOT_LINES`` lines are numbered like the
+file reader's files (``record_numbers``): a range sort splits them across tasks, and
+only per-partition counts are windowed.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vendorlake.functions.money import MONEY
@@ -141,10 +142,50 @@ VENDOR_ORDER_SORT = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                      "l_linestatus", "l_shipdate")
 
 
-def raw_vendor_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Orders of more lines than this are not numbered by one task.
+HOT_LINES = 1_000_000
+
+
+def _vendor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     l = read_table(spark, sf_dir, "lineitem")
     s = read_table(spark, sf_dir, "supplier")
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return l.join(o, l.l_orderkey == o.o_orderkey).join(s, l.l_suppkey == s.s_suppkey)
+
+
+def _numbered_lines(spark: SparkSession, sf_dir: str, hot_lines: int = HOT_LINES) -> DataFrame:
+    """The vendor lines with ``_line``, on the raw columns: strings are built later,
+    so little is sorted.  The window needs no shuffle of its own: the join with the
+    orders has dealt the lines by order."""
+    kept = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "s_suppkey", "s_name", "o_orderdate")
+    lines = _vendor_lines(spark, sf_dir)
+    in_order = Window.partitionBy("l_orderkey").orderBy(*VENDOR_ORDER_SORT)
+
+    def by_window(df: DataFrame) -> DataFrame:
+        return df.withColumn("_line", F.row_number().over(in_order).cast("long") + 1).select(*kept, "_line")
+
+    hot = (read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > hot_lines).select("_hot"))
+    if hot.isEmpty():
+        return by_window(lines)
+    hot = F.broadcast(materialize(hot, "hot_orders"))       # at most 1 in hot_lines rows
+    same = F.col("l_orderkey") == F.col("_hot")
+    # written once, so that the per-partition counts and the rows they number come
+    # from the same partitioning (a second evaluation would sample other bounds)
+    ordered = materialize(
+        lines.join(hot, same, "left_semi").orderBy("l_orderkey", *VENDOR_ORDER_SORT)
+        .select(*kept, F.spark_partition_id().alias("_block_start"), F.monotonically_increasing_id().alias("_mid")), "vendor_order_lines")
+    numbered = record_numbers(ordered, "l_orderkey").select(*kept, F.col("_line").cast("long").alias("_line"))
+    return by_window(lines.join(hot, same, "left_anti")).unionByName(numbered)
+
+
+def raw_vendor_orders(spark: SparkSession, sf_dir: str, numbered: bool = True, once: bool = False) -> DataFrame:
+    """``numbered``: with ``_source_file`` and ``_line``; the numbered lines are
+    written to the shared folder, for readers that pass over them several times,
+    unless the caller reads them ``once``."""
+    lines = _numbered_lines(spark, sf_dir) if numbered else _vendor_lines(spark, sf_dir)
+    if numbered and not once:
+        lines = materialize(lines, "vendor_order_lines")
     pk = F.col("l_partkey")
     ref = (F.when(pk % 101 == 0, F.lit(None).cast("string"))
            .when(pk % 103 == 0, F.lit("  "))
@@ -162,33 +203,15 @@ def raw_vendor_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .when(pk % 137 == 0, F.lit("-5.00"))
                  .when(pk % 149 == 0, F.lit(None).cast("string"))
                  .otherwise(_money_text("l_extendedprice")))
-    # Number the records on the raw columns first: the string building below
-    # then runs after the sort's shuffle, in parallel tasks, not in the scan
-    # stage.  The range sort spreads a hot order key over several partitions;
-    # the sorted lines are written once to the shared folder so that the
-    # per-partition counts and the rows they number come from the same
-    # partitioning (a second evaluation would sample other range bounds).
-    ordered = (l.join(s, l.l_suppkey == s.s_suppkey)
-               .join(o, l.l_orderkey == o.o_orderkey)
-               .orderBy("l_orderkey", *VENDOR_ORDER_SORT)
-               .select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
-                       "l_extendedprice", "s_suppkey", "s_name", "o_orderdate",
-                       F.spark_partition_id().alias("_block_start"),
-                       F.monotonically_increasing_id().alias("_mid")))
-    ordered = materialize(ordered, "vendor_order_lines")
-    numbered = record_numbers(ordered, "l_orderkey")
-    return (
-        numbered
-        .select(
-            ref.alias("order_ref"),
-            vendor.alias("vendor"),
-            items.alias("item_count"),
-            submitted.alias("submitted_amount"),
-            F.concat(F.lit("vendor_orders_"), F.col("l_orderkey").cast("string"),
-                     F.lit(".csv")).alias("_source_file"),
-            F.col("_line"),
-            F.concat(F.lit("batch-"), F.date_format("o_orderdate", "yyyy-MM")).alias("batch_id"),
-        )
+    place = [F.concat(F.lit("vendor_orders_"), F.col("l_orderkey").cast("string"),
+                      F.lit(".csv")).alias("_source_file"), F.col("_line")] if numbered else []
+    return lines.select(
+        ref.alias("order_ref"),
+        vendor.alias("vendor"),
+        items.alias("item_count"),
+        submitted.alias("submitted_amount"),
+        *place,
+        F.concat(F.lit("batch-"), F.date_format("o_orderdate", "yyyy-MM")).alias("batch_id"),
     )
 
 
@@ -215,11 +238,6 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    lines = (read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
-             .agg(F.min("l_suppkey").alias("s_suppkey")).join(s, "s_suppkey")
-             .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-             .select("l_orderkey", "l_linenumber", F.lower("s_name").alias("vendor"),
-                     F.concat(F.lit("batch-"), F.date_format("o_orderdate", "yyyy-MM")).alias("batch_id")))
     made = e.select(
         F.col("event_id").alias("decision_id"),
         F.floor(F.col("event_id") / 2).alias("l_orderkey"), (F.col("user_id") % 3 + 1).alias("l_linenumber"),
@@ -228,6 +246,14 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("k="), F.get_json_object("props", "$.k")).alias("note"),
         F.col("value").cast("decimal(12,2)").alias("delay_s"),
     )
+    # only lines that some event names are grouped and joined further
+    named = made.select("l_orderkey", "l_linenumber")
+    lines = (read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+             .join(named, ["l_orderkey", "l_linenumber"], "left_semi")
+             .groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s_suppkey")).join(s, "s_suppkey")
+             .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+             .select("l_orderkey", "l_linenumber", F.lower("s_name").alias("vendor"),
+                     F.concat(F.lit("batch-"), F.date_format("o_orderdate", "yyyy-MM")).alias("batch_id")))
     return made.join(lines, ["l_orderkey", "l_linenumber"]).select(
         "decision_id", "batch_id", "vendor",
         F.concat(F.lit("ORD-"), F.col("l_orderkey").cast("string"), F.lit("-"),
