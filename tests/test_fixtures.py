@@ -260,3 +260,34 @@ def test_ambiguous_headers_reject_only_their_file(spark, tmp_path):
     assert rows.count() == 1
     (row,) = rejected.collect()
     assert row.file_name == "orders_dup.csv" and "ambiguous columns ['order_id']" in row.reason
+
+
+def test_no_task_sorts_a_whole_drop(spark, tmp_path, monkeypatch):
+    """Drops are joined from sorted runs, one file each: plain, as gzip members, quoted."""
+    import gzip
+    from vendorlake.sources import adapters as A, landing as L
+    made, write = [], L._write
+
+    def counted(df, drop):
+        made.append(write(df, drop).collect())
+        return spark.createDataFrame(made[-1])
+
+    monkeypatch.setattr(L, "_write", counted)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")      # keep the range partitions of a tiny input
+    try:
+        root = L.write_landing(spark, "/root/testdata/sf0.001", str(tmp_path / "landing"))
+    finally:
+        spark.conf.set(key, "true")
+    runs = {r.file_name: len(r.paths) for rows in made for r in rows}
+    assert max(runs.values()) > 1
+    for name in runs:
+        (part,) = (tmp_path / "landing" / f"_drop={name}").glob("part-*")
+        data = part.read_bytes()
+        text = (gzip.decompress(data) if part.name.endswith(".gz") else data).decode()
+        if name.startswith(("payments", "customers", "orders", "vendor")):
+            head, *lines = text.splitlines()
+            firsts = [line.split(",")[0].strip('"') for line in lines]
+            assert head.split(",")[0] in ("Payment ID", "Cust", "Order ID", "Customer", "order_ref") and firsts == sorted(firsts), name
+    assert spark.read.option("header", True).csv(f"{root}/_drop=payments_*").count() == A.raw_payments(spark, "/root/testdata/sf0.001").count()
+

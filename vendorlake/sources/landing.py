@@ -2,8 +2,8 @@
 
 Used to exercise the file operators (discovery, gzip audit, header-signature
 read, contracts, quarantine, streaming) on data that grows with the tables.
-Each drop is a directory of part files written by Spark's CSV writer in
-partitioned layout (``_drop=<drop name>/part-*``), the way a cluster writes.
+Each drop is a directory in partitioned layout (``_drop=<drop name>/part-*``) with
+one file, as a vendor sends it, joined from runs that Spark's CSV writer wrote.
 
 Drops (all derived from the tables):
 
@@ -17,53 +17,95 @@ Drops (all derived from the tables):
 """
 from __future__ import annotations
 
+import gzip
+import uuid
+from collections.abc import Iterable
+from functools import reduce
+from urllib.parse import quote
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendorlake.session import scratch_path
 from vendorlake.sources import adapters as A
+from vendorlake.sources.files import _local, _open, list_parts
+
+DROP = "_drop"
 
 ORDERS_HEADER = ("Order ID", "Customer", "Order Date", "Amount", "Status")
 ORDERS_HEADER_REORDERED = ("Customer", "Order ID", "Status", "Amount", "Order Date")
 ORDERS_HEADER_NO_AMOUNT = ("Order ID", "Customer", "Order Date", "Status")
 
 
-def _write(df: DataFrame, root: str, drop: F.Column, compression: str = "none") -> None:
-    """One part file per drop; rows sorted so record numbers are reproducible."""
+def _join_runs(root: str):
+    """One file per drop from its runs, in the order of their names.  Bytes are
+    streamed, so that no task sorts or holds a whole drop; where the drop is an
+    archive (``packed``), the runs become its members."""
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        from pyarrow import fs
+        for pdf in batches:
+            for name, paths, header, packed in zip(pdf["file_name"], pdf["paths"], pdf["header"].str.encode("utf-8"), pdf["packed"]):
+                folder = f"{root}/{DROP}={name}"
+                local = _local(folder)
+                filesystem, p = (fs.LocalFileSystem(), local) if local else fs.FileSystem.from_uri(quote(folder, safe="/:@"))
+                filesystem.create_dir(p, recursive=True)
+                unfinished = f"{p}/.{uuid.uuid4().hex}"
+                with filesystem.open_output_stream(unfinished, compression=None) as out:
+                    out.write(gzip.compress(header) if packed else header)
+                    for path in paths:
+                        with _open(path) as raw:
+                            src = raw if packed else gzip.GzipFile(fileobj=raw)
+                            while chunk := src.read(8 * 1024 ** 2):
+                                out.write(chunk)
+                filesystem.move(unfinished, f"{p}/part-00000.csv{'.gz' if packed else ''}")
+            yield pdf[["file_name"]]
+    return run
+
+
+def _write(df: DataFrame, drop: F.Column) -> DataFrame:
+    """The rows of each drop, sorted so that record numbers are reproducible, as runs
+    (ranges of the rows, gzip) that many tasks sort and write: (file_name, paths,
+    header) of every drop."""
     cols = df.columns
-    (df.withColumn("_drop", drop)
-     .repartition("_drop")
-     .sortWithinPartitions("_drop", *cols[:5])
-     .write.mode("append").partitionBy("_drop")
-     .option("header", True).option("compression", compression).option("escape", '"')
+    runs = scratch_path(df.sparkSession, "landing-runs")
+    (df.withColumn(DROP, drop)
+     .repartitionByRange(DROP, *cols[:5])
+     .sortWithinPartitions(DROP, *cols[:5])
+     .write.partitionBy(DROP)
+     .option("header", False).option("compression", "gzip").option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .csv(root))
+     .csv(runs))
+    return (list_parts(df.sparkSession, runs).groupBy("file_name")
+            .agg(F.array_sort(F.collect_list("path")).alias("paths"))
+            .withColumn("header", F.lit(",".join(cols) + "\n")))
 
 
 def write_landing(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
     root = root or scratch_path(spark, "landing")
+    drops = []
+
+    def land(df: DataFrame, drop: F.Column, packed: bool = False) -> None:
+        drops.append(_write(df, drop).withColumn("packed", F.lit(packed)))
+
     orders = A.raw_orders(spark, sf_dir)
     year = F.substring(F.col("Order Date"), 1, 4)
-    _write(orders.filter(~year.isin("1997", "1998")).select(*ORDERS_HEADER), root,
-           F.concat(F.lit("orders_"), F.substring(F.col("Order Date"), 1, 4), F.lit(".csv")))
-    _write(orders.filter(year == "1997").select(*ORDERS_HEADER_REORDERED), root,
-           F.concat(F.lit("orders_"), F.substring(F.col("Order Date"), 1, 4), F.lit(".csv")))
-    _write(orders.filter(year == "1998").select(*ORDERS_HEADER_NO_AMOUNT), root,
-           F.concat(F.lit("orders_"), F.substring(F.col("Order Date"), 1, 4), F.lit(".csv")))
+    for chosen, header in ((~year.isin("1997", "1998"), ORDERS_HEADER), (year == "1997", ORDERS_HEADER_REORDERED),
+                           (year == "1998", ORDERS_HEADER_NO_AMOUNT)):
+        land(orders.filter(chosen).select(*header), F.concat(F.lit("orders_"), year, F.lit(".csv")))
     customers = A.raw_customers(spark, sf_dir)
-    _write(customers.select("Cust", "Seg", "RGN", F.col("_source_file").alias("_f")).drop("_f"),
-           root, F.concat(F.lit("customers_"), F.lower(F.regexp_replace("RGN", "[^A-Za-z]", "")),
-                          F.lit(".csv")))
+    land(customers.select("Cust", "Seg", "RGN"),
+         F.concat(F.lit("customers_"), F.lower(F.regexp_replace("RGN", "[^A-Za-z]", "")), F.lit(".csv")))
     payments = A.raw_payments(spark, sf_dir)
-    _write(payments.select("Payment ID", "Order ID", "Paid Amount", "Paid Date"), root,
-           F.concat(F.lit("payments_"), F.substring(F.col("Paid Date"), 1, 4), F.lit(".csv.gz")),
-           compression="gzip")
-    vendor = A.raw_vendor_orders(spark, sf_dir)
-    _write(vendor.select("order_ref", "vendor", "item_count", "submitted_amount", "batch_id"), root,
-           F.concat(F.lit("vendor_orders_"), F.substring(F.col("batch_id"), 7, 4), F.lit(".csv")))
-    pages = A.read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    _write(pages, root, F.lit("zz_pages.csv"))
+    land(payments.select("Payment ID", "Order ID", "Paid Amount", "Paid Date"),
+         F.concat(F.lit("payments_"), F.substring(F.col("Paid Date"), 1, 4), F.lit(".csv.gz")), packed=True)
+    vendor = A.raw_vendor_orders(spark, sf_dir, numbered=False)
+    land(vendor.select("order_ref", "vendor", "item_count", "submitted_amount", "batch_id"),
+         F.concat(F.lit("vendor_orders_"), F.substring(F.col("batch_id"), 7, 4), F.lit(".csv")))
+    land(A.read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), F.lit("zz_pages.csv"))
     docs = A.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
     # plain text under a .gz name: the audit must catch it
-    _write(docs, root, F.concat(F.lit("documents_"), F.col("lang"), F.lit(".csv.gz")))
+    land(docs, F.concat(F.lit("documents_"), F.col("lang"), F.lit(".csv.gz")))
+    joined = reduce(DataFrame.unionByName, drops).repartition(64, "file_name").mapInPandas(_join_runs(root), "file_name string")
+    joined.write.format("noop").mode("overwrite").save()
     return root
