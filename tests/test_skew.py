@@ -89,3 +89,21 @@ def test_vendor_lines_are_numbered_behind_one_shuffle(spark):
     assert plain.dtypes == mixed.dtypes
     assert plain.exceptAll(mixed).isEmpty() and mixed.exceptAll(plain).isEmpty()
     assert "_line" not in A.raw_vendor_orders(spark, sf, numbered=False).columns
+
+
+def test_vendor_lines_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    """A task's share does not grow with the table: the partitions do."""
+    from vendorlake.session import tasks_for
+    from vendorlake.sources import adapters as A
+    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark, 0) == at_least and tasks_for(spark, 10 * at_least + 1, each=10) == at_least + 1
+    sf = "/root/testdata/sf0.001"
+    plain = A._numbered_lines(spark, sf)
+    asked = []
+    monkeypatch.setattr(A, "tasks_for", lambda spark, rows: asked.append(rows) or 25)
+    many = A._numbered_lines(spark, sf)
+    assert asked == [A.read_table(spark, sf, "lineitem").count()]
+    assert many.rdd.getNumPartitions() == 25
+    assert plain.exceptAll(many).isEmpty() and many.exceptAll(plain).isEmpty()
+    mixed = A.raw_vendor_orders(spark, sf, numbered=False)
+    assert mixed.count() == plain.count()

@@ -7,8 +7,8 @@ work to do.  Every rule here is deterministic so that the DuckDB oracle in
 ``ADAPTER_SQL`` builds the very same rows.
 
 All joins are equi-joins on keys.  The record number inside a vendor file (the
-lines of one order) comes from a window over the order, behind the shuffle of the
-join with the orders; orders of more than ``HOT_LINES`` lines are numbered like the
+lines of one order) comes from a window over the order, behind the one shuffle that
+deals lines and orders to tasks by order, as many as the lines need (``tasks_for``); orders of more than ``HOT_LINES`` lines are numbered like the
 file reader's files (``record_numbers``): a range sort splits them across tasks, and
 only per-partition counts are windowed.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vendorlake.functions.money import MONEY
 from vendorlake.operators.settlement import record_numbers
-from vendorlake.session import materialize
+from vendorlake.session import materialize, tasks_for
 
 TABLES = ("region nation customer supplier part orders lineitem events "
           "documents embeddings pages benchmark labels conversations").split()
@@ -146,44 +146,60 @@ VENDOR_ORDER_SORT = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
 HOT_LINES = 1_000_000
 
 
-def _vendor_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+def _vendor_lines(spark: SparkSession, sf_dir: str, hot_lines: int = HOT_LINES) -> tuple[DataFrame, DataFrame | None]:
+    """The lines with their orders and suppliers, dealt by order to tasks enough for
+    the table; apart from them, not dealt, those of orders of more than
+    ``hot_lines`` lines, if there are any."""
     l = read_table(spark, sf_dir, "lineitem")
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     s = read_table(spark, sf_dir, "supplier")
-    return l.join(o, l.l_orderkey == o.o_orderkey).join(s, l.l_suppkey == s.s_suppkey)
+    n = tasks_for(spark, l.count())
+    of_order, of_supplier = F.col("l_orderkey") == F.col("o_orderkey"), F.col("l_suppkey") == F.col("s_suppkey")
+
+    def dealt(lines: DataFrame) -> DataFrame:
+        return (lines.repartition(n, "l_orderkey").join(o.repartition(n, "o_orderkey"), of_order).join(s, of_supplier))
+
+    hot = (l.groupBy(F.col("l_orderkey").alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > hot_lines).select("_hot"))
+    if hot.isEmpty():
+        return dealt(l), None
+    hot = F.broadcast(materialize(hot, "hot_orders"))       # at most 1 in hot_lines rows
+    same = F.col("l_orderkey") == F.col("_hot")
+    few = o.join(hot, F.col("o_orderkey") == F.col("_hot"), "left_semi")
+    return dealt(l.join(hot, same, "left_anti")), l.join(hot, same, "left_semi").join(few, of_order).join(s, of_supplier)
 
 
 def _numbered_lines(spark: SparkSession, sf_dir: str, hot_lines: int = HOT_LINES) -> DataFrame:
     """The vendor lines with ``_line``, on the raw columns: strings are built later,
-    so little is sorted.  The window needs no shuffle of its own: the join with the
-    orders has dealt the lines by order."""
+    so little is sorted.  The window needs no shuffle of its own: the lines come dealt
+    by order."""
     kept = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "s_suppkey", "s_name", "o_orderdate")
-    lines = _vendor_lines(spark, sf_dir)
+    lines, hot = _vendor_lines(spark, sf_dir, hot_lines)
     in_order = Window.partitionBy("l_orderkey").orderBy(*VENDOR_ORDER_SORT)
 
     def by_window(df: DataFrame) -> DataFrame:
         return df.withColumn("_line", F.row_number().over(in_order).cast("long") + 1).select(*kept, "_line")
 
-    hot = (read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > hot_lines).select("_hot"))
-    if hot.isEmpty():
+    if hot is None:
         return by_window(lines)
-    hot = F.broadcast(materialize(hot, "hot_orders"))       # at most 1 in hot_lines rows
-    same = F.col("l_orderkey") == F.col("_hot")
     # written once, so that the per-partition counts and the rows they number come
     # from the same partitioning (a second evaluation would sample other bounds)
     ordered = materialize(
-        lines.join(hot, same, "left_semi").orderBy("l_orderkey", *VENDOR_ORDER_SORT)
+        hot.orderBy("l_orderkey", *VENDOR_ORDER_SORT)
         .select(*kept, F.spark_partition_id().alias("_block_start"), F.monotonically_increasing_id().alias("_mid")), "vendor_order_lines")
     numbered = record_numbers(ordered, "l_orderkey").select(*kept, F.col("_line").cast("long").alias("_line"))
-    return by_window(lines.join(hot, same, "left_anti")).unionByName(numbered)
+    return by_window(lines).unionByName(numbered)
 
 
 def raw_vendor_orders(spark: SparkSession, sf_dir: str, numbered: bool = True, once: bool = False) -> DataFrame:
     """``numbered``: with ``_source_file`` and ``_line``; the numbered lines are
     written to the shared folder, for readers that pass over them several times,
     unless the caller reads them ``once``."""
-    lines = _numbered_lines(spark, sf_dir) if numbered else _vendor_lines(spark, sf_dir)
+    if numbered:
+        lines = _numbered_lines(spark, sf_dir)
+    else:
+        lines, hot = _vendor_lines(spark, sf_dir)
+        lines = lines if hot is None else lines.unionByName(hot)
     if numbered and not once:
         lines = materialize(lines, "vendor_order_lines")
     pk = F.col("l_partkey")
@@ -247,8 +263,10 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("decimal(12,2)").alias("delay_s"),
     )
     # only lines that some event names are grouped and joined further
-    named = made.select("l_orderkey", "l_linenumber")
-    lines = (read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    l = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"), "l_suppkey")
+    n = tasks_for(spark, l.count())
+    named = made.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long")).repartition(n, "l_orderkey", "l_linenumber")
+    lines = (l.repartition(n, "l_orderkey", "l_linenumber")
              .join(named, ["l_orderkey", "l_linenumber"], "left_semi")
              .groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s_suppkey")).join(s, "s_suppkey")
              .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
