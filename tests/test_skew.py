@@ -107,3 +107,9 @@ def test_vendor_lines_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch
     assert plain.exceptAll(many).isEmpty() and many.exceptAll(plain).isEmpty()
     mixed = A.raw_vendor_orders(spark, sf, numbered=False)
     assert mixed.count() == plain.count()
+
+
+def test_runs_of_a_drop_grow_with_its_table(spark):
+    from vendorlake.sources.landing import _write
+    df = spark.range(3000).select(*[(F.col("id") + i).cast("string").alias(c) for i, c in enumerate("abcde")])
+    assert len(_write(df, F.lit("x.csv"), 13).first().paths) == 13

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.session import scratch_path
+from vendorlake.session import ROWS_PER_TASK, scratch_path, tasks_for
 from vendorlake.sources import adapters as A
 from vendorlake.sources.files import _local, _open, list_parts
 
@@ -63,14 +63,18 @@ def _join_runs(root: str):
     return run
 
 
-def _write(df: DataFrame, drop: F.Column) -> DataFrame:
+#: Rows of pages and documents, whole texts, that one task sorts.
+TEXTS_PER_TASK = 20_000
+
+
+def _write(df: DataFrame, drop: F.Column, tasks: int) -> DataFrame:
     """The rows of each drop, sorted so that record numbers are reproducible, as runs
-    (ranges of the rows, gzip) that many tasks sort and write: (file_name, paths,
+    (ranges of the rows, gzip) that ``tasks`` tasks sort and write: (file_name, paths,
     header) of every drop."""
     cols = df.columns
     runs = scratch_path(df.sparkSession, "landing-runs")
     (df.withColumn(DROP, drop)
-     .repartitionByRange(DROP, *cols[:5])
+     .repartitionByRange(tasks, DROP, *cols[:5])
      .sortWithinPartitions(DROP, *cols[:5])
      .write.partitionBy(DROP)
      .option("header", False).option("compression", "gzip").option("escape", '"')
@@ -85,27 +89,29 @@ def write_landing(spark: SparkSession, sf_dir: str, root: str | None = None) ->
     root = root or scratch_path(spark, "landing")
     drops = []
 
-    def land(df: DataFrame, drop: F.Column, packed: bool = False) -> None:
-        drops.append(_write(df, drop).withColumn("packed", F.lit(packed)))
+    def land(df: DataFrame, drop: F.Column, table: str, packed: bool = False, each: int = ROWS_PER_TASK) -> None:
+        tasks = tasks_for(spark, A.read_table(spark, sf_dir, table).count(), each)
+        drops.append(_write(df, drop, tasks).withColumn("packed", F.lit(packed)))
 
     orders = A.raw_orders(spark, sf_dir)
     year = F.substring(F.col("Order Date"), 1, 4)
     for chosen, header in ((~year.isin("1997", "1998"), ORDERS_HEADER), (year == "1997", ORDERS_HEADER_REORDERED),
                            (year == "1998", ORDERS_HEADER_NO_AMOUNT)):
-        land(orders.filter(chosen).select(*header), F.concat(F.lit("orders_"), year, F.lit(".csv")))
+        land(orders.filter(chosen).select(*header), F.concat(F.lit("orders_"), year, F.lit(".csv")), "orders")
     customers = A.raw_customers(spark, sf_dir)
     land(customers.select("Cust", "Seg", "RGN"),
-         F.concat(F.lit("customers_"), F.lower(F.regexp_replace("RGN", "[^A-Za-z]", "")), F.lit(".csv")))
+         F.concat(F.lit("customers_"), F.lower(F.regexp_replace("RGN", "[^A-Za-z]", "")), F.lit(".csv")), "customer")
     payments = A.raw_payments(spark, sf_dir)
     land(payments.select("Payment ID", "Order ID", "Paid Amount", "Paid Date"),
-         F.concat(F.lit("payments_"), F.substring(F.col("Paid Date"), 1, 4), F.lit(".csv.gz")), packed=True)
+         F.concat(F.lit("payments_"), F.substring(F.col("Paid Date"), 1, 4), F.lit(".csv.gz")), "lineitem", packed=True)
     vendor = A.raw_vendor_orders(spark, sf_dir, numbered=False)
     land(vendor.select("order_ref", "vendor", "item_count", "submitted_amount", "batch_id"),
-         F.concat(F.lit("vendor_orders_"), F.substring(F.col("batch_id"), 7, 4), F.lit(".csv")))
-    land(A.read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), F.lit("zz_pages.csv"))
+         F.concat(F.lit("vendor_orders_"), F.substring(F.col("batch_id"), 7, 4), F.lit(".csv")), "lineitem")
+    land(A.read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), F.lit("zz_pages.csv"),
+         "pages", each=TEXTS_PER_TASK)
     docs = A.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
     # plain text under a .gz name: the audit must catch it
-    land(docs, F.concat(F.lit("documents_"), F.col("lang"), F.lit(".csv.gz")))
+    land(docs, F.concat(F.lit("documents_"), F.col("lang"), F.lit(".csv.gz")), "documents", each=TEXTS_PER_TASK)
     joined = reduce(DataFrame.unionByName, drops).repartition(64, "file_name").mapInPandas(_join_runs(root), "file_name string")
     joined.write.format("noop").mode("overwrite").save()
     return root
