@@ -113,3 +113,25 @@ def test_runs_of_a_drop_grow_with_its_table(spark):
     from vendorlake.sources.landing import _write
     df = spark.range(3000).select(*[(F.col("id") + i).cast("string").alias(c) for i, c in enumerate("abcde")])
     assert len(_write(df, F.lit("x.csv"), 13).first().paths) == 13
+
+
+def test_records_without_twins_are_not_shuffled(spark):
+    """Only the hashes of the keys are; colliding hashes would be told apart by the keys."""
+    records = spark.range(5000).select(
+        F.when(F.col("id") % 5 > 0, "b").alias("batch_id"), F.lit("v").alias("vendor"),
+        F.concat(F.lit("ORD-"), (F.col("id") % 4999).cast("string")).alias("order_ref"),
+        F.lit("f.csv").alias("_source_file"), F.col("id").alias("_line"))
+    out = dedupe_orders(records)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString()
+    assert [r._line for r in out.filter("is_duplicate").collect()] == []        # 0 and 4999 differ in batch_id
+    again = records.withColumn("batch_id", F.lit(None).cast("string"))
+    assert [r._line for r in dedupe_orders(again).filter("is_duplicate").collect()] == [4999]
+
+
+def test_split_counts_are_joined_without_moving_the_rows(spark):
+    from vendorlake.operators.settlement import record_numbers
+    rows = spark.range(0, 1000, 1, 4).select(
+        F.lit("f").alias("_source_file"), F.spark_partition_id().alias("_block_start"), F.monotonically_increasing_id().alias("_mid"), "id")
+    out = record_numbers(rows)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString()
+    assert out.filter("_line <> id + 2").isEmpty()

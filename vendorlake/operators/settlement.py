@@ -16,7 +16,8 @@ column expression or an equi-join over *all* records of all batches at once:
 
 Skew: duplicates and first decisions are found with ``groupBy().agg(min)``
 (map-side partial aggregation) and a many-to-one equi-join, never with a
-window over a possibly hot key.
+window over a possibly hot key.  Only the count of a key's hash has no partial
+aggregate: nearly all keys differ, and a hot one is a run of equal numbers.
 """
 from __future__ import annotations
 
@@ -64,7 +65,8 @@ def record_numbers(df: DataFrame, group: str = "_source_file") -> DataFrame:
     by ``sources.files.read_csv_raw``.  Rows of one split are contiguous in one
     partition, so a record's number is the count of rows in earlier splits of
     its file plus its position in its split.  Only the per-split counts (a
-    small table: one row per file split) are windowed, so a huge file is
+    small table: one row per file split, written, so that its real size lets it be
+    broadcast and the rows stay where they are) are windowed, so a huge file is
     numbered by many tasks.  Any frame range-sorted by (group, order) with
     ``_block_start = spark_partition_id()`` and ``_mid`` taken after the sort
     is numbered the same way.
@@ -73,7 +75,8 @@ def record_numbers(df: DataFrame, group: str = "_source_file") -> DataFrame:
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
     w = (Window.partitionBy(group).orderBy("_block_start")
          .rowsBetween(Window.unboundedPreceding, -1))
-    offs = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    from vendorlake.session import materialize
+    offs = materialize(blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))), "file_splits")
     return (df.join(offs, [group, "_block_start"])
             .withColumn("_line", F.col("_before") + F.col("_mid") - F.col("_first") + 2)
             .drop("_n", "_first", "_before"))
@@ -118,15 +121,21 @@ def dedupe_orders(records: DataFrame) -> DataFrame:
     """Mark twins: the lifecycle id is vendor + order_ref + batch; the first
     record (by file, then line) runs, the others are ``duplicate``.
 
-    One aggregate counts the records of each key and finds their first (file,
-    line); partial aggregation absorbs a hot key.  Only keys seen more than once
-    are left-joined back (null-safely) - normally few, so AQE broadcasts them at
-    runtime; when many, the same plan runs as a sort-merge join with AQE's skew
-    splitting.
+    Keys are counted by their 64-bit hash, so that only numbers are shuffled.  Equal
+    keys have equal hashes: what is counted once has no twin, and only the records of
+    the other hashes are grouped by their keys, exactly, for their first (file, line).
+    Both lists are written, so that their real sizes decide on the joins: normally
+    few, they are broadcast and the records stay where they are; when many, the
+    same plan runs as a sort-merge join with AQE's skew splitting.
     """
-    twins = records.groupBy(*LIFECYCLE_KEY).agg(
+    from vendorlake.session import materialize, tasks_for
+    spark, key = records.sparkSession, F.xxhash64(*LIFECYCLE_KEY)
+    again = materialize(
+        records.select(key.alias("_key")).repartition(tasks_for(spark, records.count()), "_key")
+        .groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_key"), "keys_seen_again")
+    twins = records.join(again, key == F.col("_key"), "left_semi").groupBy(*LIFECYCLE_KEY).agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("_source_file", "_line")).alias("_first"))
-    first = twins.filter(F.col("_n") > 1).select(*[F.col(c).alias(f"_{c}") for c in LIFECYCLE_KEY], "_first")
+    first = materialize(twins.filter(F.col("_n") > 1).select(*[F.col(c).alias(f"_{c}") for c in LIFECYCLE_KEY], "_first"), "twins")
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LIFECYCLE_KEY))
     return (records.join(first, same, "left").drop(*[f"_{c}" for c in LIFECYCLE_KEY])
             .withColumn("is_duplicate", F.coalesce(

@@ -277,8 +277,12 @@ def q_anti_join_rejects(spark, sf):
 # 2.10 settlement
 # --------------------------------------------------------------------------
 def split_records(spark, sf, once=False):
+    """Written to the shared folder, unless the caller reads them ``once``: readers that
+    pass over them several times do not parse their cells again."""
     from vendorlake.operators.settlement import split_orders
-    return split_orders(A.raw_vendor_orders(spark, sf, once=once))
+    from vendorlake.session import materialize
+    records = split_orders(A.raw_vendor_orders(spark, sf, once=True))
+    return records if once else materialize(records, "split_records")
 
 
 #: The vendor orders of a session and folder, split, numbered and landed once.
@@ -286,8 +290,9 @@ _RECORDS: dict[tuple[str, str], str] = {}
 
 
 def _buckets(spark, sf):
-    """Buckets for the vendor records: 250,000 in each, as many as a shuffle has at least."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), A.read_table(spark, sf, "lineitem").count() // 250_000)
+    """Buckets for the vendor records."""
+    from vendorlake.session import tasks_for
+    return tasks_for(spark, A.read_table(spark, sf, "lineitem").count())
 
 
 def landed_records(spark, sf):
