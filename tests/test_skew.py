@@ -135,3 +135,23 @@ def test_split_counts_are_joined_without_moving_the_rows(spark):
     out = record_numbers(rows)
     assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString()
     assert out.filter("_line <> id + 2").isEmpty()
+
+
+def test_settlement_parses_its_files_once(spark, tmp_path, monkeypatch):
+    """The rows are numbered and split from a written copy, not from a second read."""
+    from vendorlake.plans import jobs
+    plans, write = [], jobs.materialize
+
+    def watched(df, name="materialized"):
+        if name == "split_records":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(jobs, "materialize", watched)
+    (tmp_path / "vendor_orders_1.csv").write_text("order_ref,vendor,item_count,submitted_amount\nA,v,1,10\n,v,2,x\nA,v,1,10\n")
+    contracts = spark.createDataFrame([("v", "10.0", "0")], "vendor string, unit_rate string, discount_pct string")
+    decisions = spark.createDataFrame([], "vendor string, order_ref string, decision_id long, decision string, note string, delay_s decimal(12,2)")
+    done = jobs.run_settlement_batch(spark, str(tmp_path), contracts, decisions, multi_line=False)
+    assert len(plans) == 1 and "csv" not in plans[0].lower() and "parquet" in plans[0].lower()
+    assert sorted((r._line, r.order_ref, r.outcome) for r in done["settled"].collect()) == [
+        (2, "A", "settled"), (3, "line-3", "denied"), (4, "A", "duplicate")]

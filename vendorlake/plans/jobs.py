@@ -340,7 +340,8 @@ def run_settlement_batch(spark: SparkSession, root: str, contracts: DataFrame,
         raise ContractError("no vendor-orders files landed in this batch")
     if raw is None:
         raw = spark.createDataFrame([], "_source_file string, _block_start long, _mid long")
-    records = materialize(split_orders(raw, batch_id), "split_records")
+    # parsed once: the rows are counted by file split first, and numbered by the counts
+    records = materialize(split_orders(materialize(raw, "vendor_rows"), batch_id), "split_records")
     silent = (parts.select("file_name").distinct().join(rejected.select("file_name"), "file_name", "left_anti")
               .join(records.select(F.col("_source_file").alias("file_name")).distinct(), "file_name", "left_anti")
               .select("file_name", F.concat("file_name", F.lit(": no records")).alias("reason")))
