@@ -2,8 +2,10 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +188,44 @@ def test_long_text_and_no_candidates(spark, monkeypatch):
     assert _found(spark, [("only once", "en")]) == [] and _found(spark, []) == []
 
 
+class _Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("step", [
+    lambda: collocations._support(_Shared(None), 1),
+    lambda: collocations._support(_Shared(np.full(1 << 17, 255, np.uint8)), 2),
+    lambda: collocations._spelled(_Shared([None, *(np.zeros(1 << 17, np.uint8) for _ in range(4))]), 4)])
+def test_counting_phrases_takes_little_memory_at_once(step):
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefg", k=5)) for _ in range(3000)]
+    texts = [" ".join(r.choices(words, k=500)) for _ in range(4000)]            # 12 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * len(texts))], names=["text", "lang"])
+    tracemalloc.start()
+    rows = sum(len(b) for b in step()(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and peak < 120 << 20
+
+
+@pytest.mark.parametrize("held", [1, 50, 10 ** 6])
+def test_few_runs_held_at_once(spark, monkeypatch, held):
+    monkeypatch.setattr(collocations, "_HELD", held)
+    monkeypatch.setattr(collocations, "_BLOCK", 400)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b a b, a b c", "a b c d"] * 30), pa.array(["en", "fr"] * 30)], names=["text", "lang"])
+    codes = collections.Counter()
+    for b in collocations._support(_Shared(None), 1)(iter([batch])):
+        for code in b.column(0).to_pylist():
+            codes[code >> 5] += code & 31
+    assert sorted(min(n, 30) for n in codes.values()) == [30] * 7
+    full = np.full(1 << 17, 255, np.uint8)
+    named = pa.Table.from_batches(list(collocations._spelled(_Shared([None, full, full, full, full]), 4)(iter([batch, batch]))))
+    got = {(x["lang"], x["phrase"]) for x in named.to_pylist() if x["phrase"]}
+    assert got == {("en", x) for x in ("a b", "b a", "b c", "a b a", "b a b", "a b c", "a b a b")} | {
+        ("fr", x) for x in ("a b", "b c", "c d", "a b c", "b c d", "a b c d")}
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     big = 9 * 10**15
     counts = spark.createDataFrame([("en", "a", 1, big + 1), ("en", "b", 1, big + 2), ("en", "a b", 2, big)], "lang string, phrase string, k bigint, f bigint")

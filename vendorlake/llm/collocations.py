@@ -33,7 +33,8 @@ COVER_PERCENT, SCALE = 80, 2_000_000
 NONE = "und"
 #: Entries of a trie: at most 64 MB of arrays to broadcast.
 TRIE_ENTRIES = 500_000
-_BLOCK = 8 << 20                        # bytes of text handled at once
+_BLOCK = 1 << 20                        # bytes of text handled at once (the arrays of a block take some 40 times that)
+_HELD = 3 << 19                         # runs of words counted together, and distinct ones a task remembers
 _DIGIT = 10
 _CLAMP = 5                              # bits of a count beside a hash
 _MOST = (1 << _CLAMP) - 1               # enough to tell what reaches LEAST
@@ -123,24 +124,35 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[Positions]:
 
 
 def _support(shared: Broadcast | None, k: int):
-    """Hash and clamped count, in one number, of the distinct k-word runs of each
-    block whose first and last k - 1 words pass the bit map."""
+    """Hash and clamped count, in one number, of the distinct k-word runs of some
+    blocks whose first and last k - 1 words pass the bit map."""
+    def counted(grams: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(grams), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found << _CLAMP | np.minimum(n, _MOST))], names=["code"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for p in _blocks(batch):
                 grams = p.hashes(k)
                 if k > 1:
                     may = sift.passes(shared.value, p.hashes(k - 1))
                     grams = grams[may[:-1] & may[1:] & p.together(k)]
-                found, n = np.unique(grams, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found << _CLAMP | np.minimum(n, _MOST))], names=["code"])
+                held.append(grams)
+                size += len(grams)
+                if size >= _HELD:
+                    yield counted(held)
+                    held, size = [], 0
+        if size:
+            yield counted(held)
     return run
 
 
 def _spelled(shared: Broadcast, longest: int):
     """Every run of 2 to ``longest`` words that passes its bit map, spelled out, once
-    a block; and the number of words of each language (phrase null)."""
+    a block at most; and the number of words of each language (phrase null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {k: np.zeros(0, np.int64) for k in range(2, longest + 1)}      # spelled by this task
         for batch in batches:
             for p in _blocks(batch):
                 n = np.bincount(p.owner, minlength=len(p.langs))
@@ -149,7 +161,10 @@ def _spelled(shared: Broadcast, longest: int):
                     grams = p.hashes(k)
                     may = np.flatnonzero(p.together(k) & sift.passes(shared.value[k], grams))
                     found, at = np.unique(grams[may], return_index=True)
-                    at = may[at]
+                    place = np.searchsorted(known[k], found)
+                    new = np.searchsorted(known[k], found, "right") == place
+                    found, at = found[new], may[at[new]]
+                    known[k] = np.insert(known[k], place[new], found) if len(known[k]) < _HELD else found
                     langs = pa.array(p.langs, pa.string()).take(pa.array(p.owner[at]))
                     yield _named(langs, p.spell(at, k), pa.array(found), pa.nulls(len(at), pa.int64()), k)
     return run
