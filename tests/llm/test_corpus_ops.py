@@ -100,6 +100,51 @@ def test_search_prunes_ranges_without_loss():
     assert ids.tolist() == order.tolist() and found == pytest.approx(scores[order])
 
 
+def _long_queries():
+    """A shard with copies, and (q, term, idf) of twenty of its documents."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choices(words, weights=[1 / (i + 1) for i in range(400)], k=r.randint(1, 200))) for _ in range(600)]
+    texts += ["", "w0"] + [texts[7]] * 150 + [" ".join(reversed(texts[8].split(" ")))] * 30
+    columns = search.index_shard(pa.array([(i * 7919) % 100_003 for i in range(len(texts))]), pa.array(texts))
+    shard = {n: columns.column(n)[0].values.to_numpy(zero_copy_only=False).astype(np.int64) for n in columns.schema.names}
+    term, q, _, _ = search._postings(pa.array(texts[:20] + ["w399 none", "nothing"]))
+    order = np.lexsort((term, q))
+    term, q = term[order], q[order]
+    return shard, q, term, np.log(1 + 800 / (1 + np.abs(term) % 700))
+
+
+@pytest.mark.parametrize("often,cells", [(24, 1 << 21), (2, 1 << 21), (24, 3000), (10 ** 6, 1 << 21)])
+@pytest.mark.parametrize("k", [1, 10, 1000])
+def test_product_and_postings_find_the_same(monkeypatch, often, cells, k):
+    """To the last bit and tie, from any floor."""
+    shard, q, term, idf = _long_queries()
+    found = {}
+    for many in (10 ** 9, 0):
+        monkeypatch.setattr(search, "_MANY", many)
+        if not many:
+            monkeypatch.setattr(search, "_OFTEN", often)
+            monkeypatch.setattr(search, "_CELLS", cells)
+            monkeypatch.setattr(search, "_BATCH", cells)
+        best = search.Best(k, 22)
+        for _ in range(2):                               # the second time with floors, the documents once more
+            search.search_shard(shard, q, term, idf, 90.0, best)
+            found.setdefault(many, []).append([x.tolist() for x in best.rows()])
+    assert found[0] == found[10 ** 9] and len(found[0][0][0]) >= 20
+
+
+def test_long_queries_read_few_postings(monkeypatch):
+    shard, q, term, idf = _long_queries()
+    read, expand = [], search._expand
+    monkeypatch.setattr(search, "_expand", lambda first, count: read.append(int(np.sum(count))) or expand(first, count))
+    best = search.Best(10, 22)
+    search.search_shard(shard, q, term, idf, 90.0, best)
+    at = np.searchsorted(shard["terms"], term).clip(max=len(shard["terms"]) - 1)
+    at = at[shard["terms"][at] == term]
+    size = np.diff(shard["block_from"][shard["blocks_from"]])
+    assert sum(read) < size[at].sum()
+
+
 _seen = {}
 
 
