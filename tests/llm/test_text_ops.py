@@ -2,6 +2,7 @@
 import collections
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -77,6 +78,25 @@ def test_lines_match_brute_force(frame, rows):
             assert left[d] == (text, len(text))
 
 
+def test_sets_of_lines_are_sorted_by_one_number(monkeypatch):
+    texts = pa.array(["b a b\nA c  d\n\n e", None, "", "one two three four five six\n" * 50, "x " * 300])
+    rank = np.random.default_rng(1).integers(0, 200, linededup.CELLS).astype(np.uint8)
+    plain = np.lexsort
+
+    def slow(keys):
+        raise AssertionError("sorted by several keys")
+
+    monkeypatch.setattr(np, "lexsort", slow)
+    got = [linededup._line_sets(texts, r) for r in (None, rank)]
+    monkeypatch.setattr(np, "lexsort", plain)
+    monkeypatch.setattr(linededup, "_ties", lambda number, h: True)              # as if hashes shared a number
+    for a, b in zip(got, (linededup._line_sets(texts, r) for r in (None, rank))):
+        assert a[0].equals(b[0]) and a[4] == b[4] and all((a[i] == b[i]).all() for i in (1, 2, 3, 5, 6))
+    same, first = np.array([1, 1, 2], np.uint64), np.array([5, 5, 6], np.uint64)
+    monkeypatch.undo()
+    assert not linededup._ties(same, first) and linededup._ties(same, np.array([5, 7, 6], np.uint64))
+
+
 def test_lines_with_odd_keys(frame):
     same = "a line of five words\nanother line of five words"
     rows = [(None, same), (5, same), (5, same), (5, "a line of five words"), (6, "own words here only now")]
