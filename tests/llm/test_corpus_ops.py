@@ -145,6 +145,41 @@ def test_long_queries_read_few_postings(monkeypatch):
     assert sum(read) < size[at].sum()
 
 
+def test_like_documents_share_ranges():
+    """Two vocabularies that take turns: a word is in the ranges of its own only, and scores are kept."""
+    r = random.Random(5)
+    texts = [" ".join(r.choices([f"{'ab'[i % 2]}{j}" for j in range(60)], k=r.randint(20, 40))) for i in range(2000)]
+    columns = search.index_shard(pa.array(range(2000)), pa.array(texts))
+    shard = {n: columns.column(n)[0].values.to_numpy(zero_copy_only=False).astype(np.int64) for n in columns.schema.names}
+    ranges = 2000 // search.RANGE + 1
+    assert np.diff(shard["blocks_from"]).max() <= ranges * 3 // 4          # some ranges lie between groups
+    assert sorted(shard["doc_ids"].tolist()) == list(range(2000))
+    for d, n in zip(shard["doc_ids"], shard["lengths"]):
+        assert n == len(texts[d].split(" "))
+
+
+def test_every_shard_has_one_turn(spark):
+    shards = spark.range(700).toDF("s")
+    for n in (0, 1, 40, 700):
+        some, turns = shards.where(F.col("s") < n), search._turns(n)
+        sizes = [some.where(t).count() for t in turns]
+        assert sum(sizes) == n and some.where(sum((t.cast("int") for t in turns), F.lit(0)) != 1).count() == 0
+        assert n < 700 or sizes[0] < sizes[1] < sizes[2] and sizes[0] < 40
+
+
+def test_tasks_return_what_reaches_the_floor():
+    """Shards far from the best send nothing once the best of others are known."""
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+    texts = [" ".join(["far"] * 9 + [f"x{i}", "near"]) for i in range(50)]
+    bodies = pa.RecordBatch.from_arrays([pa.array([search._pack(search.index_shard(pa.array(range(50)), pa.array(texts)))])], names=["body"])
+    term, _, _, _ = search._postings(pa.array(["near"]))
+    shared = Shared((np.array([7]), np.zeros(1, np.int32), term, np.zeros(1, np.int32), np.array([2.0])))
+    (all_,), (few,) = (list(search._run_block(shared, 11.0, 10, f)(iter([bodies]))) for f in (None, Shared(np.array([2.5]))))
+    assert len(all_) == 10 and len(few) == 0
+
+
 _seen = {}
 
 
