@@ -97,6 +97,37 @@ def test_sets_of_lines_are_sorted_by_one_number(monkeypatch):
     assert not linededup._ties(same, first) and linededup._ties(same, np.array([5, 7, 6], np.uint64))
 
 
+def test_words_found_once_and_unwanted_lines_cost_nothing(frame, monkeypatch):
+    """A word that is nowhere else has no list; only lines that are asked for are hashed."""
+    texts = pa.array(["a b c d e\nf g h\n\nold line", "a b c d e", None])
+    rank = np.full(linededup.CELLS, 1, np.uint8)
+    rank[linededup.cell(textops.Words(pa.array(["a", "b"])).hashes)] = 2
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([7, -8, 9]), texts], names=["d", "t", "text"])
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+    (out,) = linededup._classes_of(Shared(rank), 80)(iter([batch]))
+    assert out.column("blocks").to_pylist()[0] == [0, 0] and len(out.column("prefix")[0]) == 2
+    rank[:] = 2
+    (out,) = linededup._classes_of(Shared(rank), 80)(iter([batch]))
+    assert out.column("blocks").to_pylist()[0] == [1, 1]
+    wanted = np.zeros(linededup.WANTED, bool)
+    wanted[linededup._places(np.array([7]), np.array([1], np.int32))] = True
+    hashed = []
+    words = textops.Words
+    monkeypatch.setattr(textops, "Words", lambda x, lower: hashed.extend(x.to_pylist()) or words(x, lower))
+    (bodies,) = linededup._bodies_of(Shared(wanted))(iter([batch]))
+    assert hashed == ["f g h"] and len(bodies) == 1 and len(bodies.column("words")[0].as_py()) == 24
+
+
+def test_candidates_in_one_look_or_two(frame, rows, monkeypatch):
+    want = brute.kept_lines(rows)
+    for few in (0, 1 << 30):
+        monkeypatch.setattr(linededup, "FEW", few)
+        assert {r.doc_id: r.kept_lines for r in linededup.line_report(frame(rows)).collect()} == want
+
+
 def test_lines_with_odd_keys(frame):
     same = "a line of five words\nanother line of five words"
     rows = [(None, same), (5, same), (5, same), (5, "a line of five words"), (6, "own words here only now")]
