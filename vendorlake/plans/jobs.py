@@ -308,6 +308,28 @@ def _publish(spark: SparkSession, spec, tables: dict[str, DataFrame], root: str,
     return [o | {"error": checked[o["destination"]]} for o in outputs]
 
 
+def reland_settlements(spark: SparkSession, remit: str, gate: bool = True) -> dict:
+    """A remittance CSV -> re-landed through the settlements contract (sanitized
+    headers, no aliases) -> stg_settlements -> its data tests -> pricing_summary.
+
+    ``gate``: failing tests stop the mart, as in one batch.  Off, they are told in
+    ``error`` all the same: for a remittance of many batches and vendors, whose order
+    refs the model's tests do not hold unique.
+    Returns {stg_settlements, tests, mart, error}.
+    """
+    from vendorlake.sources.files import list_parts, read_csv_raw
+    raw, rejected = read_csv_raw(spark, list_parts(spark, remit).withColumn("file_name", F.lit("remittance.csv")),
+                                 True, None, canonical_columns("stg_settlements"))
+    if raw is None:
+        refused = [r.reason for r in rejected.select("reason").collect()]       # of the one drop
+        return {"stg_settlements": None, "tests": None, "mart": None, "error": "remittance has no rows" if not refused else refused[0]}
+    stg = materialize(build_staging(raw.drop("_block_start", "_mid", "_source_file"), "stg_settlements"), "stg")
+    tests = materialize(run_tests(stg, "stg_settlements"), "tests")
+    failed = tests.filter(F.col("failures") > 0).collect()
+    return {"stg_settlements": stg, "tests": tests, "mart": None if failed and gate else marts.pricing_summary(stg),
+            "error": f"data tests failed: {[r.asDict() for r in failed]}" if failed else None}
+
+
 def run_settlement_batch(spark: SparkSession, root: str, contracts: DataFrame,
                          decisions: DataFrame, remit_path: str | None = None,
                          batch_id: str = "batch", multi_line: bool = True, **policy) -> dict:
@@ -351,18 +373,6 @@ def run_settlement_batch(spark: SparkSession, root: str, contracts: DataFrame,
     settled = materialize(settle(records, contracts, decisions, **policy), "settled")
     outcomes = outcome_rows(settled)
     remit = write_remittance(outcomes, remit_path or scratch_path(spark, "remittance"))
-    relanded, _ = read_csv_raw(spark, list_parts(spark, remit).withColumn("file_name", F.lit("remittance.csv")),
-                               True, None, canonical_columns("stg_settlements"))
-    stg = tests = mart = None
-    error = None if relanded is not None else "remittance has no rows"
-    if relanded is not None:
-        stg = materialize(build_staging(relanded.drop("_block_start", "_mid", "_source_file"), "stg_settlements"), "stg")
-        tests = materialize(run_tests(stg, "stg_settlements"), "tests")
-        failed = tests.filter(F.col("failures") > 0).collect()
-        if failed:
-            error = f"data tests failed: {[r.asDict() for r in failed]}"
-        else:
-            mart = marts.pricing_summary(stg)
+    relanded = reland_settlements(spark, remit)
     return {"settled": settled, "outcomes": outcomes, "report": settlement_report(settled, rejected),
-            "rejected": rejected, "stg_settlements": stg, "mart": mart, "error": error,
-            "remittance": remit, "tests": tests}
+            "rejected": rejected, "remittance": remit, **relanded}
