@@ -217,9 +217,10 @@ def settle(raw_records: DataFrame, contracts: DataFrame, decisions: DataFrame,
     if landed:
         from vendorlake.operators.landed_tables import dedupe_landed
         r = dedupe_landed(raw_records)
-        r = r.join(first_decisions(decisions, review_sla_seconds), list(LIFECYCLE_KEY), "left")
     else:
         r = dedupe_orders(raw_records)
+    # joined while the rows are narrow, for they may be shuffled by it
+    r = r.join(first_decisions(decisions, review_sla_seconds), list(LIFECYCLE_KEY), "left")
     r = r.withColumn("validation_note", validation_note(r))
     r = lookup_contracts(r, contracts)
     r = price_orders(r)
@@ -227,8 +228,6 @@ def settle(raw_records: DataFrame, contracts: DataFrame, decisions: DataFrame,
     r = r.withColumn("_review", ~F.col("is_duplicate") & F.col("validation_note").isNull()
                      & F.col("_has_contract").isNotNull()
                      & F.col("_variance").isNotNull() & needs_review)
-    if not landed:
-        r = r.join(first_decisions(decisions, review_sla_seconds), list(LIFECYCLE_KEY), "left")
     errored = F.col("_has_contract").isNull() | F.col("_variance").isNull()
     approved = F.col("decision") == "approve"
     terminal = "denied" if sla_action == "deny" else "escalated"

@@ -25,7 +25,7 @@ from vendorlake.operators.hygiene import ContractError, apply_hygiene, land_tabl
 from vendorlake.operators.quality import quality_gate, run_tests
 from vendorlake.operators.routing import batch_ledger, batch_report
 from vendorlake.operators.staging import build_staging
-from vendorlake.session import materialize, scratch_path
+from vendorlake.session import discard, materialize, scratch_path, shuffles_freed
 from vendorlake.sources.export import export, quarantine_files, validate_outputs
 
 #: Where built models are kept as tables; landed inputs carry their own database.
@@ -323,7 +323,7 @@ def reland_settlements(spark: SparkSession, remit: str, gate: bool = True) -> di
     if raw is None:
         refused = [r.reason for r in rejected.select("reason").collect()]       # of the one drop
         return {"stg_settlements": None, "tests": None, "mart": None, "error": "remittance has no rows" if not refused else refused[0]}
-    stg = materialize(build_staging(raw.drop("_block_start", "_mid", "_source_file"), "stg_settlements"), "stg")
+    stg = materialize(build_staging(raw.drop("_block_start", "_mid", "_source_file"), "stg_settlements"), "stg", "zstd")
     tests = materialize(run_tests(stg, "stg_settlements"), "tests")
     failed = tests.filter(F.col("failures") > 0).collect()
     return {"stg_settlements": stg, "tests": tests, "mart": None if failed and gate else marts.pricing_summary(stg),
@@ -343,7 +343,16 @@ def run_settlement_batch(spark: SparkSession, root: str, contracts: DataFrame,
     the mart.  ``multi_line``: quoted values may hold line breaks; off, large
     files are split between tasks.  Returns {settled, outcomes, report, mart,
     error, rejected, remittance, stg_settlements, tests}.
+
+    Copies that only one step reads go with it, and shuffles with their statement; a
+    remittance without a ``remit_path`` of its own is kept as gzip.
     """
+    with shuffles_freed(spark):
+        return _settlement_batch(spark, root, contracts, decisions, remit_path, batch_id, multi_line, **policy)
+
+
+def _settlement_batch(spark: SparkSession, root: str, contracts: DataFrame, decisions: DataFrame,
+                      remit_path: str | None, batch_id: str, multi_line: bool, **policy) -> dict:
     from vendorlake.operators.routing import classify_route
     from vendorlake.operators.settlement import outcome_rows, settle, settlement_report, split_orders
     from vendorlake.sources.export import write_remittance
@@ -363,16 +372,19 @@ def run_settlement_batch(spark: SparkSession, root: str, contracts: DataFrame,
     if raw is None:
         raw = spark.createDataFrame([], "_source_file string, _block_start long, _mid long")
     # parsed once: the rows are counted by file split first, and numbered by the counts
-    records = materialize(split_orders(materialize(raw, "vendor_rows"), batch_id), "split_records")
+    rows = materialize(raw, "vendor_rows", "zstd")
+    records = materialize(split_orders(rows, batch_id), "split_records", "zstd")
+    discard(rows)
     silent = (parts.select("file_name").distinct().join(rejected.select("file_name"), "file_name", "left_anti")
               .join(records.select(F.col("_source_file").alias("file_name")).distinct(), "file_name", "left_anti")
               .select("file_name", F.concat("file_name", F.lit(": no records")).alias("reason")))
     rejected = materialize(rejected.unionByName(silent).withColumn("batch_id", F.lit(batch_id)), "rejected_files")
     if "batch_id" not in decisions.columns:
         decisions = decisions.withColumn("batch_id", F.lit(batch_id))
-    settled = materialize(settle(records, contracts, decisions, **policy), "settled")
+    settled = materialize(settle(records, contracts, decisions, **policy), "settled", "zstd")
+    discard(records)
     outcomes = outcome_rows(settled)
-    remit = write_remittance(outcomes, remit_path or scratch_path(spark, "remittance"))
+    remit = write_remittance(outcomes, remit_path) if remit_path else write_remittance(outcomes, scratch_path(spark, "remittance"), "gzip")
     relanded = reland_settlements(spark, remit)
     return {"settled": settled, "outcomes": outcomes, "report": settlement_report(settled, rejected),
             "rejected": rejected, "remittance": remit, **relanded}

@@ -923,7 +923,7 @@ def relanded_settlements(spark, sf):
     from vendorlake.plans.jobs import reland_settlements
     from vendorlake.session import scratch_path
     from vendorlake.sources.export import write_remittance
-    path = write_remittance(outcome_rows(settled_records(spark, sf)), scratch_path(spark, "remit"))
+    path = write_remittance(outcome_rows(settled_records(spark, sf)), scratch_path(spark, "remit"), "gzip")
     return reland_settlements(spark, path, gate=False)
 
 

@@ -124,11 +124,19 @@ def validate_outputs(spark: SparkSession, outputs: list[dict], strict: bool = Tr
     return spark.createDataFrame(rows, "destination string, format string, objects long, bytes long, rows long, error string")
 
 
-def write_remittance(outcomes: DataFrame, path: str) -> str:
-    """Canonical CSV with header, columns in remittance order."""
-    (outcomes.select(*REMIT_COLUMNS).write.mode("overwrite")
-     .option("header", True).option("ignoreLeadingWhiteSpace", False)
-     .option("ignoreTrailingWhiteSpace", False).csv(path))
+#: Records of one file of a compressed remittance, which one task reads whole.
+RECORDS_PER_FILE = 1_000_000
+
+
+def write_remittance(outcomes: DataFrame, path: str, compression: str = "none") -> str:
+    """Canonical CSV with header, columns in remittance order; with ``compression``
+    (gzip, for copies that only Spark reads again) as files of a bounded size."""
+    writer = (outcomes.select(*REMIT_COLUMNS).write.mode("overwrite")
+              .option("header", True).option("ignoreLeadingWhiteSpace", False)
+              .option("ignoreTrailingWhiteSpace", False).option("compression", compression))
+    if compression != "none":
+        writer = writer.option("maxRecordsPerFile", RECORDS_PER_FILE)
+    writer.csv(path)
     return path
 
 

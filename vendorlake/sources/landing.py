@@ -20,14 +20,14 @@ from __future__ import annotations
 import gzip
 import uuid
 from collections.abc import Iterable
-from functools import reduce
+from dataclasses import dataclass
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendorlake.session import ROWS_PER_TASK, scratch_path, tasks_for
+from vendorlake.session import ROWS_PER_TASK, discard, scratch_path, shuffles_freed, tasks_for
 from vendorlake.sources import adapters as A
 from vendorlake.sources.files import _local, _open, list_parts
 
@@ -67,31 +67,51 @@ def _join_runs(root: str):
 TEXTS_PER_TASK = 20_000
 
 
-def _write(df: DataFrame, drop: F.Column, tasks: int) -> DataFrame:
+@dataclass(frozen=True)
+class Drops:
+    """Where the rows of a table go: the drop of a row, archives or not, and the tasks
+    that sort them."""
+
+    name: Column
+    packed: bool
+    tasks: int
+
+
+def _write(df: DataFrame, drops: Drops) -> DataFrame:
     """The rows of each drop, sorted so that record numbers are reproducible, as runs
-    (ranges of the rows, gzip) that ``tasks`` tasks sort and write: (file_name, paths,
+    (ranges of the rows, gzip) that ``drops.tasks`` tasks sort and write: (file_name, paths,
     header) of every drop."""
     cols = df.columns
     runs = scratch_path(df.sparkSession, "landing-runs")
-    (df.withColumn(DROP, drop)
-     .repartitionByRange(tasks, DROP, *cols[:5])
+    (df.withColumn(DROP, drops.name)
+     .repartitionByRange(drops.tasks, DROP, *cols[:5])
      .sortWithinPartitions(DROP, *cols[:5])
      .write.partitionBy(DROP)
      .option("header", False).option("compression", "gzip").option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(runs))
-    return (list_parts(df.sparkSession, runs).groupBy("file_name")
-            .agg(F.array_sort(F.collect_list("path")).alias("paths"))
-            .withColumn("header", F.lit(",".join(cols) + "\n")))
+    listed = (list_parts(df.sparkSession, runs).groupBy("file_name")
+              .agg(F.array_sort(F.collect_list("path")).alias("paths"))
+              .withColumn("header", F.lit(",".join(cols) + "\n")))
+    listed._written = runs
+    return listed
 
 
 def write_landing(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
+    """Table by table: the runs of one go before those of the next are written."""
     root = root or scratch_path(spark, "landing")
-    drops = []
+    with shuffles_freed(spark):
+        _write_landing(spark, sf_dir, root)
+    return root
+
 
-    def land(df: DataFrame, drop: F.Column, table: str, packed: bool = False, each: int = ROWS_PER_TASK) -> None:
+def _write_landing(spark: SparkSession, sf_dir: str, root: str) -> None:
+    def land(df: DataFrame, drop: Column, table: str, packed: bool = False, each: int = ROWS_PER_TASK) -> None:
         tasks = tasks_for(spark, A.read_table(spark, sf_dir, table).count(), each)
-        drops.append(_write(df, drop, tasks).withColumn("packed", F.lit(packed)))
+        runs = _write(df, Drops(drop, packed, tasks))
+        joined = runs.withColumn("packed", F.lit(packed)).repartition(64, "file_name").mapInPandas(_join_runs(root), "file_name string")
+        joined.write.format("noop").mode("overwrite").save()
+        discard(runs)
 
     orders = A.raw_orders(spark, sf_dir)
     year = F.substring(F.col("Order Date"), 1, 4)
@@ -112,6 +132,3 @@ def write_landing(spark: SparkSession, sf_dir: str, root: str | None = None) ->
     docs = A.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
     # plain text under a .gz name: the audit must catch it
     land(docs, F.concat(F.lit("documents_"), F.col("lang"), F.lit(".csv.gz")), "documents", each=TEXTS_PER_TASK)
-    joined = reduce(DataFrame.unionByName, drops).repartition(64, "file_name").mapInPandas(_join_runs(root), "file_name string")
-    joined.write.format("noop").mode("overwrite").save()
-    return root
