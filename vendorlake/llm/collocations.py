@@ -16,7 +16,7 @@ bits for the trie, so no node has more than 1,024 children.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,13 @@ from vendorlake.llm.common import discard, stash
 LONGEST, LEAST, BEST = 4, 30, 2000
 COVER_PERCENT, SCALE = 80, 2_000_000
 NONE = "und"
-#: Entries of a trie: at most 64 MB of arrays to broadcast.
-TRIE_ENTRIES = 500_000
+#: Entries of a trie: some 64 MB of arrays to broadcast, and of tries that a pass over the texts counts.
+TRIE_ENTRIES, AT_ONCE = 1_500_000, 2
 _BLOCK = 1 << 20                        # bytes of text handled at once (the arrays of a block take some 40 times that)
 _HELD = 3 << 19                         # runs of words counted together, and distinct ones a task remembers
 _DIGIT = 10
+_DRAWN = 4                              # a state with more children is placed where it fits first
+_WINDOW = 1024                          # places tried at once
 _CLAMP = 5                              # bits of a count beside a hash
 _MOST = (1 << _CLAMP) - 1               # enough to tell what reaches LEAST
 _U = np.uint64
@@ -205,29 +207,58 @@ class Trie:
         accept[state] = np.arange(len(counts))
         return cls(known, base.astype(np.int32), check.astype(np.int32), accept, len(counts))
 
+    @cached_property
+    def _buckets(self) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+        """The symbols, closed by the greatest number, where those of each leading bits
+        start, and the shift that leaves these bits: hashes are spread evenly."""
+        bits = len(self.symbols).bit_length() + 1
+        shift = _U(64 - bits)
+        starts = np.searchsorted(self.symbols, np.arange(1 << bits, dtype=np.uint64) << shift)
+        return np.append(self.symbols, _U(2 ** 64 - 1)), starts, shift
+
+    @cached_property
+    def _heads(self) -> np.ndarray:
+        """The state that each first symbol, by its number, leads to; -1 for none."""
+        number = np.arange(len(self.symbols) + 1)
+        ok, state = self._step(np.zeros(len(number), np.int64), number)
+        heads = np.full(len(number), -1, np.int64)
+        heads[ok] = state
+        return heads
+
     def numbers(self, words: np.ndarray) -> np.ndarray:
         """The number of each symbol, from 1; 0 if no entry has it."""
-        if not len(self.symbols):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.symbols, words), len(self.symbols) - 1)
-        return np.where(self.symbols[at] == words, at + 1, 0)
+        known, starts, shift = self._buckets
+        at = starts[words >> shift]
+        low = np.flatnonzero(known[at] < words)
+        while len(low):
+            at[low] += 1
+            low = low[known[at[low]] < words[low]]
+        return np.where((known[at] == words) & (at < len(self.symbols)), at + 1, 0)
+
+    def _step(self, state: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(those whose symbol leads on, the states it leads them to)."""
+        ok = np.flatnonzero(number > 0)
+        state, number = state[ok], number[ok]
+        for i in range(self.digits):
+            to = self.base[state] + (number >> _DIGIT * (self.digits - 1 - i) & (1 << _DIGIT) - 1)
+            on = self.check[to] == state
+            ok, state, number = ok[on], to[on], number[on]
+        return ok, state
 
     def count(self, words: np.ndarray, run: np.ndarray, longest: int) -> np.ndarray:
         """How often each entry occurs in the words within a run."""
         numbers = self.numbers(words)
         total = np.zeros(self.entries, np.int64)
-        at, state = np.flatnonzero(numbers), None
-        state = np.zeros(len(at), np.int64)
+        state = self._heads[numbers]
+        at = np.flatnonzero(state >= 0)
+        state = state[at]
         for k in range(longest):
             if k:                                          # the next word of the same run
                 ok = at + k < len(run)
                 ok[ok] = run[at[ok] + k] == run[at[ok]]
                 at, state = at[ok], state[ok]
-            number = numbers[at + k]
-            for i in range(self.digits):
-                to = self.base[state] + (number >> _DIGIT * (self.digits - 1 - i) & (1 << _DIGIT) - 1)
-                ok = (self.check[to] == state) & (number > 0)
-                at, state, number = at[ok], to[ok], number[ok]
+                ok, state = self._step(state, numbers[at + k])
+                at = at[ok]
             entry = self.accept[state]
             total += np.bincount(entry[entry >= 0], minlength=self.entries)
         return total
@@ -239,20 +270,43 @@ def digits(symbols: int) -> int:
 
 def _place(parents: np.ndarray, edge_parent: np.ndarray, digit: np.ndarray, base: np.ndarray, check: np.ndarray,
            rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Find a base for each parent such that its children fall on free slots.
+    """Find a base for each parent (edges by parent) such that its children fall on free slots.
 
-    All parents draw a base at once; of those whose slots are free the first wins
-    a slot that several want; the others draw again.  Parents with many children,
-    and those unlucky for long, get fresh slots at the end."""
+    Parents with several children come first, those with most before the others, each
+    where it fits first.  The others, most of all, draw a base at once; of those whose
+    slots are free the first wins a slot that several want; the others draw again.
+    Half of the slots are used in the end."""
     width = 1 << _DIGIT
     slots = np.full(len(digit), -1, np.int64)
     fan = np.bincount(edge_parent, minlength=len(parents))
-    room = len(check) - width
-    while room < 2 * ((check >= 0).sum() + len(digit)):
-        room *= 2
-    check = np.concatenate([check, np.full(max(room + width - len(check), 0), -1, np.int64)])
+    start = np.cumsum(fan) - fan
+    room = max(len(check) - width, 2 * (int((check >= 0).sum()) + len(digit)))
+    check = np.concatenate([check, np.full(room + width - len(check), -1, np.int64)])
     new = np.zeros(len(parents), np.int64)
-    todo = np.flatnonzero(fan <= 8)
+    near = np.arange(_WINDOW)
+
+    def fit(some: np.ndarray) -> None:
+        nonlocal check
+        at = width
+        for i in some:
+            edges = slice(start[i], start[i] + fan[i])
+            away = digit[edges] - digit[start[i]]                 # its digits ascend
+            while True:
+                if at + _WINDOW + 2 * width > len(check):
+                    check = np.concatenate([check, np.full(_WINDOW + 2 * width, -1, np.int64)])
+                fits = (check[at:at + _WINDOW + width] < 0)[away[:, None] + near].all(axis=0)
+                if fits.any():
+                    break
+                at += _WINDOW
+            first = at + int(fits.argmax())
+            new[i], slots[edges] = first - digit[start[i]], first + away
+            check[first + away] = parents[i]
+
+    for low, high in ((64, width), (16, 64), (8, 16), (_DRAWN, 8)):
+        some = np.flatnonzero((fan > low) & (fan <= high))
+        fit(some[np.argsort(-fan[some], kind="stable")])
+    todo = np.flatnonzero(fan <= _DRAWN)
+    room = len(check) - width
     for _ in range(64):
         if not len(todo):
             break
@@ -269,17 +323,7 @@ def _place(parents: np.ndarray, edge_parent: np.ndarray, digit: np.ndarray, base
         slots[e[won]] = want[won]
         check[want[won]] = parents[edge_parent[e[won]]]
         todo = todo[failed[todo]]
-    rest = np.union1d(todo, np.flatnonzero(fan > 8))
-    if len(rest):
-        low, span = np.full(len(parents), width), np.zeros(len(parents), np.int64)
-        np.minimum.at(low, edge_parent, digit)
-        np.maximum.at(span, edge_parent, digit)
-        size = (span - low + 1)[rest]
-        new[rest] = len(check) + np.cumsum(size) - size - low[rest]
-        check = np.concatenate([check, np.full(size.sum() + width, -1, np.int64)])
-        e = np.flatnonzero(np.isin(edge_parent, rest))
-        slots[e] = new[edge_parent[e]] + digit[e]
-        check[slots[e]] = parents[edge_parent[e]]
+    fit(todo)
     base = np.concatenate([base, np.zeros(len(check) - len(base), np.int64)])
     base[parents] = new
     return base, check, slots
@@ -298,14 +342,17 @@ def _build(table: pa.Table) -> pa.Table:
                      pa.array([trie.entries])], names=["part", "symbols", "base", "check", "accept", "entries"])
 
 
-def _count(shared: Broadcast, part: int, longest: int):
+def _count(tries: dict[int, Broadcast], longest: int):
+    """The counts of the tries (by part) over the rows: their words are taken apart once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(*shared.value)
-        total = np.zeros(trie.entries, np.int64)
+        held = {part: Trie(*shared.value) for part, shared in tries.items()}
+        total = {part: np.zeros(trie.entries, np.int64) for part, trie in held.items()}
         for batch in batches:
             for p in _blocks(batch):
-                total += trie.count(p.symbols, p.run, longest)
-        yield from vectors.slices(str(part), total)
+                for part, trie in held.items():
+                    total[part] += trie.count(p.symbols, p.run, longest)
+        for part, counts in total.items():
+            yield from vectors.slices(str(part), counts)
     return run
 
 
@@ -342,18 +389,24 @@ def frequencies(rows: DataFrame, phrases: DataFrame, longest: int, entries: int
     words = phrases.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct().withColumn("k", F.lit(1).cast("long"))
     every = stash(phrases.unionByName(words), "entries")
     parts = max(1, -(-every.count() // entries))
-    every = every.withColumn("part", F.pmod(F.xxhash64("lang", "phrase"), F.lit(parts)))
+    # phrases with the same first two words lie together: a word's paths do not start in every trie
+    first = F.substring_index("phrase", " ", 2)
+    every = every.withColumn("part", F.pmod(F.xxhash64("lang", first), F.lit(parts)))
     numbered = every.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("lang", "phrase")) - 1)
     tries = stash(every.select("part", "lang", "phrase").groupBy("part").applyInArrow(_build, _TRIE), "tries")
     counted = None
-    for part in range(parts):
-        for r in tries.where(F.col("part") == part).collect():        # one bounded trie
-            arrays = [np.frombuffer(x, kind) for x, kind in
-                      zip((r.symbols, r.base, r.check, r.accept), (np.uint64, np.int32, np.int32, np.int32))]
-            shared = rows.sparkSession.sparkContext.broadcast((*arrays, r.entries))
-            one = stash(vectors.added(rows.mapInArrow(_count(shared, part, longest), vectors.ROWS)), "counts")
-            shared.unpersist()
+    for low in range(0, parts, AT_ONCE):
+        some = {}
+        for part in range(low, min(low + AT_ONCE, parts)):
+            for r in tries.where(F.col("part") == part).collect():        # one bounded trie
+                arrays = [np.frombuffer(x, kind) for x, kind in
+                          zip((r.symbols, r.base, r.check, r.accept), (np.uint64, np.int32, np.int32, np.int32))]
+                some[part] = rows.sparkSession.sparkContext.broadcast((*arrays, r.entries))
+        if some:
+            one = stash(vectors.added(rows.mapInArrow(_count(some, longest), vectors.ROWS)), "counts")
             counted = one if counted is None else counted.unionByName(one)
+        for shared in some.values():
+            shared.unpersist()
     if counted is None:                                                # no candidates at all
         return every.select("lang", "phrase", "k", F.lit(0).cast("long").alias("f"))
     sums = vectors.counts(counted).select(F.col("name").cast("long").alias("part"), "at", F.col("n").alias("f"))
